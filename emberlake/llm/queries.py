@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlake.llm import chat, simhash
+from emberlake.llm import chat, packing, simhash
 from emberlake.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_target_examples(rows))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of all documents and its place in a sequence of 1024."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -23,6 +28,7 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_packing": op2_packing,
     "op4_simhash_dedup": op4_simhash_dedup,
 }
 
