@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlake.llm import chat, packing, simhash
+from emberlake.llm import chat, packing, quality, simhash, toxicity
 from emberlake.llm.common import table
 
 
@@ -21,15 +21,29 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
