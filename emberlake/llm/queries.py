@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlake.llm import chat, packing, quality, simhash, toxicity
+from emberlake.llm import chat, linededup, packing, quality, simhash, toxicity
 from emberlake.llm.common import table
 
 
@@ -32,6 +32,13 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, as text lines without the boilerplate of their hosts."""
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select("page_id", linededup.host_of(pages["url"]).alias("host"), linededup.html_lines(pages["html"]).alias("text"))
+    return linededup.drop_boilerplate(rows)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -43,10 +50,12 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
+    "op9_line_dedup": linededup.PAGES_SQL % {"ratio": linededup.RATIO, "least": linededup.LEAST_PAGES},
     "op1_chat_formatting": chat.DIGESTS_SQL
     % """SELECT conv_id, turn, role, text FROM conversations
     UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')""",
