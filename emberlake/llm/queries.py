@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlake.llm import chat, linededup, packing, quality, simhash, toxicity
+from emberlake.llm import chat, decontam, linededup, packing, quality, simhash, toxicity
 from emberlake.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, verbatim or with other numbers, names and units."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, as text lines without the boilerplate of their hosts."""
     pages = table(spark, sf_dir, "pages")
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }

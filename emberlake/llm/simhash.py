@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import stored
+from emberlake.llm.common import stored, without_ids
 from emberlake.llm.graph import components
 
 SEED = 42
@@ -176,6 +176,9 @@ def one_of_each(docs: DataFrame, bits: int = 3) -> DataFrame:
     Rows without id stay, since nothing tells them apart; of the rows with one id, one stays.
     """
     found = near_duplicates(docs, bits)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    left = without_ids(docs, found.where("doc_id != component_id").select("doc_id").distinct())
+    again = stored(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return without_ids(left, again).unionByName(repeated)
