@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlake.llm import chat, decontam, linededup, packing, quality, simhash, toxicity
+from emberlake.llm import chat, decontam, linededup, packing, quality, simhash, token_output, toxicity, webp
 from emberlake.llm.common import table
 
 
@@ -32,6 +32,16 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as lossless images and read back."""
+    return webp.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of 1024 token ids."""
+    return token_output.packed_rows(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, verbatim or with other numbers, names and units."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -55,6 +65,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_media_columns": op5_media_columns,
+    "op6_token_output": op6_token_output,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
