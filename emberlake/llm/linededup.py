@@ -62,16 +62,19 @@ def drop_boilerplate(
     lists = per_host.select(F.col("host").alias("at"), F.col("nameless").alias("no_name"), "keys")
     if total <= broadcast_lines:
         lists = F.broadcast(lists)
-    joined = pages.join(lists, (F.coalesce(pages["host"], F.lit("")) == F.col("at")) & (pages["host"].isNull() == F.col("no_name")), "left")
-    split = joined.withColumn("all_lines", F.split("text", "\n"))
+    # The page travels as one column, so none of its names can clash with those made here.
+    whole = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.col("host").alias("page_host"), F.col("text").alias("page_text"))
+    joined = whole.join(lists, (F.coalesce("page_host", F.lit("")) == F.col("at")) & (F.col("page_host").isNull() == F.col("no_name")), "left")
+    split = joined.withColumn("all_lines", F.split("page_text", "\n"))
     kept = F.filter("all_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("keys", line_key(F.trim(x))))
     cleaned = split.withColumn("kept_lines", F.when(F.col("keys").isNull(), F.col("all_lines")).otherwise(kept))
-    filled = lambda c: F.coalesce(F.size(F.filter(c, lambda x: F.trim(x) != "")), F.lit(0))
-    counted = cleaned.withColumn("n_lines", F.greatest(filled("all_lines"), F.lit(0)).cast("long")).withColumn("n_kept", F.greatest(filled("kept_lines"), F.lit(0)).cast("long"))
+    filled = lambda c: F.greatest(F.coalesce(F.size(F.filter(c, lambda x: F.trim(x) != "")), F.lit(0)), F.lit(0)).cast("long")
+    counted = cleaned.withColumn("n_lines", filled("all_lines")).withColumn("n_kept", filled("kept_lines"))
     emptied = (F.col("n_kept") == 0) & (F.col("n_lines") > 0) if keep_emptied else F.lit(False)
-    out = F.when(emptied, F.col("text")).otherwise(F.array_join("kept_lines", "\n"))
+    out = F.when(emptied, F.col("page_text")).otherwise(F.array_join("kept_lines", "\n"))
     dropped = F.when(emptied, F.lit(0)).otherwise(F.col("n_lines") - F.col("n_kept")).cast("long")
-    return counted.select(*[out.alias("text") if c == "text" else F.col(c) for c in pages.columns], "n_lines", dropped.alias("n_dropped"))
+    names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    return counted.select(*[out.alias("text") if c == "text" else F.col(f"page.`{c}`") for c in names], "n_lines", dropped.alias("n_dropped"))
 
 
 #: DuckDB's form for pages: %(ratio)s and %(least)s are numbers.

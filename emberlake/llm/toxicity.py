@@ -215,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column toxicity_score (0 to 1)."""
+    """``docs`` with a column toxicity_score (0 to 1), in place of any of that name."""
+    docs = docs.drop("toxicity_score")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
