@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlake.llm import chat, decontam, linededup, packing, quality, simhash, token_output, toxicity, webp
+from emberlake.llm import chat, decontam, katz, linededup, packing, quality, simhash, token_output, toxicity, webp
 from emberlake.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of all documents."""
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, verbatim or with other numbers, names and units."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -67,6 +72,7 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_token_output": op6_token_output,
+    "op7_katz_backoff": op7_katz_backoff,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
