@@ -1 +1 @@
-
+"""Column expressions: scoring, text, time."""

@@ -1 +1 @@
-
+"""Structured Streaming forms of ingest, projection and enrichment."""
