@@ -41,7 +41,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def relevance(a: Column, b: Column) -> Column:
     """Cosine within 0 and 1; 0.5 where there is none."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b))), F.lit(0.5))
+    near = cosine(a, b)
+    return F.when(near.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), near)))
 
 
 def composite(recency_score: Column, importance_score: Column, relevance_score: Column, affinity: Column, d: Decay = Decay()) -> Column:
