@@ -36,10 +36,10 @@ from emberlake.llm.common import stored, without_ids
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
 
 # Words that name units.
-UNITS = (
+UNITS = frozenset((
     "kg g mg lb lbs oz ton tons km m cm mm mile miles ft foot feet inch inches yard yards l ml liter liters litre litres gallon gallons second seconds sec minute minutes "
     "min hour hours day days week weeks month months year years mph kmh percent degree degrees dollar dollars cent cents euro euros pound pounds usd eur gbp"
-).split()
+).split())
 
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 QUANTITY = re.compile(r"[$€£]\d[\d.,]*|\d[\d.,]*(?:%|[$€£]|[^\W\d_]{1,3})")
@@ -48,55 +48,66 @@ NAME = re.compile(r"[^\W\d_][^\W\d_'’-]*")
 #: Kinds of words. NOTHING: only punctuation.
 LITERAL, NUM, QTY, UNIT, NOTHING = range(5)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: The hash of the placeholder of names.
+NAMED = np.uint64(xxhash.xxh64_intdigest("\0name"))
 
 
-class Words:
-    """What is known of each distinct word, kept by number; bounded: starts anew beyond ``most`` words."""
+class Words(dict):
+    """Numbers of distinct words; the arrays tell, for each number, the hash, the kind, and flags: 1 looks like a name, 2 ends a sentence.
 
-    def __init__(self, most: int = 300_000) -> None:
-        self.most, self.number = most, {}
-        self.clear()
+    vocabulary: the plain words that matter; all others share the first four numbers, one for
+    each value of the flags. Starts anew beyond ``most`` words, between two texts.
+    """
 
-    def clear(self) -> None:
-        self.number.clear()
-        self.size, self.hashes, self.kinds, self.flags = 0, np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, np.int8)
+    def __init__(self, vocabulary: frozenset[str] | None = None, most: int = 400_000) -> None:
+        super().__init__()
+        self.vocabulary, self.most = vocabulary, most
+        self.start()
 
-    def add(self, word: str) -> int:
-        bare, kind = EDGES.sub("", word), LITERAL
-        if not any(map(str.isalnum, bare)):
+    def start(self) -> None:
+        self.clear()
+        self.hashes, self.kinds, self.flags = [0] * 4, [LITERAL] * 4, [0, 1, 2, 3]
+        self.arrays = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int8)
+
+    def __missing__(self, word: str) -> int:
+        bare = word.rstrip(".,!?;:")
+        if not bare.isalpha():
+            bare = EDGES.sub("", word)
+        low = bare.lower()
+        if bare.isalpha():
+            kind = UNIT if low in UNITS else LITERAL
+        elif not any(map(str.isalnum, bare)):
             kind = NOTHING
-        elif NUMBER.fullmatch(bare):
-            kind = NUM
-        elif QUANTITY.fullmatch(bare):
-            kind = QTY
-        elif bare.lower() in UNITS:
-            kind = UNIT
-        named = kind == LITERAL and bare[0].isupper() and not bare.isupper() and NAME.fullmatch(bare) is not None
-        k = self.size
-        if k == len(self.hashes):
-            self.hashes, self.kinds, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.kinds, self.flags))
-        self.hashes[k] = xxhash.xxh64_intdigest(bare.lower() if kind == LITERAL else f"\0{kind}")
-        self.kinds[k], self.flags[k] = kind, named + 2 * (word.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":"))
-        self.number[word] = k
-        self.size += 1
+        else:
+            kind = NUM if NUMBER.fullmatch(bare) else QTY if QUANTITY.fullmatch(bare) else LITERAL
+        named = kind == LITERAL and bare[0].isupper() and not bare.isupper() and (bare.isalpha() or NAME.fullmatch(bare) is not None)
+        flags = named + 2 * (word.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":"))
+        if kind == LITERAL and self.vocabulary is not None and low not in self.vocabulary:
+            k = flags
+        else:
+            k = len(self.hashes)
+            self.hashes.append(xxhash.xxh64_intdigest(low if kind == LITERAL else f"\0{kind}"))
+            self.kinds.append(kind)
+            self.flags.append(flags)
+        self[word] = k
         return k
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Token hashes, whether each is a placeholder, and the words, without mere punctuation."""
-        words, find = text.split(), self.number.get
-        at = [find(w) for w in words]
-        if None in at:
-            if self.size + at.count(None) > self.most:
-                self.clear()
-                find = self.number.get
-            at = [find(w) if find(w) is not None else self.add(w) for w in words]
-        ids = np.array(at, np.int64)
-        kinds, flags = self.kinds[ids], self.flags[ids]
-        first = np.concatenate([[True], flags[:-1] >= 2])[: len(ids)]
+        if len(self) > self.most:
+            self.start()
+        words = text.split()
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if (n := len(self.arrays[0])) < len(self.hashes):
+            self.arrays = tuple(np.append(x, np.array(y[n:], x.dtype)) for x, y in zip(self.arrays, (self.hashes, self.kinds, self.flags), strict=True))
+        hashes, kinds, flags = (x[ids] for x in self.arrays)
+        first = np.ones(len(ids), bool)
+        first[1:] = flags[:-1] >= 2
         name = (flags & 1 == 1) & ~first  # a capital that no sentence start explains
-        hashes = np.where(name, np.uint64(xxhash.xxh64_intdigest("\0name")), self.hashes[ids])
-        kept = np.flatnonzero(kinds != NOTHING)
-        return hashes[kept], (name | (kinds != LITERAL))[kept], words if len(kept) == len(words) else [words[i] for i in kept]
+        hashes[name] = NAMED
+        kept = kinds != NOTHING
+        slots = name | (kinds != LITERAL)
+        return (hashes, slots, words) if kept.all() else (hashes[kept], slots[kept], [words[i] for i in np.flatnonzero(kept)])
 
 
 def windows(hashes: np.ndarray, slots: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +122,11 @@ def windows(hashes: np.ndarray, slots: np.ndarray, size: int, literals: int) ->
     return out ^ (out >> np.uint64(29)), plain[size:] - plain[:-size] >= literals
 
 
-def template_windows(rows: DataFrame, sizes: list[int], literals: int, only: np.ndarray | None, own_length: bool) -> DataFrame:
+def template_windows(rows: DataFrame, sizes: list[int], literals: int, only: np.ndarray | None, own_length: bool, vocabulary: frozenset[str] | None = None) -> DataFrame:
     """(id, hash, at, slots, n_windows) of template windows; ``rows``: id and text.
 
-    only: sorted hashes beyond which nothing is returned; own_length: a text shorter than the
+    only: sorted hashes beyond which nothing is returned; vocabulary: plain words of the texts that have
+    these hashes, others stand in none of them; own_length: a text shorter than the
     first size is one window of its own length.
     """
     mask = np.uint64((1 << 22) - 1)
@@ -123,7 +135,7 @@ def template_windows(rows: DataFrame, sizes: list[int], literals: int, only: np.
         maybe[only & mask] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        known = Words(vocabulary)
         for b in batches:
             ids, found, at, slots, totals = [], [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -155,13 +167,15 @@ def leaks(
     """(doc_id, item_id, n_windows, coverage, n_slots, verbatim) of each document that holds an item."""
     items = benchmark.where("text IS NOT NULL").groupBy("text").agg(F.min("item_id").cast("long").alias("id")).select("id", "text")
     of_items = stored(template_windows(items, [window], literals, None, True), "item-windows")
-    only, sizes = None, [window]
+    only, vocabulary, sizes = None, None, [window]
     n = of_items.count()
     if n <= filter_bound:
+        # At most window words for each of the bounded windows.
+        vocabulary = frozenset(r["word"] for r in plain_words(items).collect())
         only = np.unique(np.array([r["hash"] for r in of_items.select("hash").distinct().collect()], np.int64).view(np.uint64))
     short = template_sizes(items, window)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    of_docs = template_windows(rows, sizes + short, literals, only, False).select(F.col("id").alias("doc_id"), "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+    of_docs = template_windows(rows, sizes + short, literals, only, False, vocabulary).select(F.col("id").alias("doc_id"), "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
     own = of_items.select(F.col("id").alias("item_id"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows")
     met = of_docs.join(F.broadcast(own) if n <= 100_000 else own, "hash")
     # At one alignment an item has as many windows as it has tokens, so these sets are as short as an item.
@@ -179,6 +193,18 @@ def leaks(
     )
 
 
+def plain_words(items: DataFrame) -> DataFrame:
+    """The distinct plain words of the items, as templates see them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = {EDGES.sub("", w).lower() for t in b.column(1).to_pylist() for w in t.split()}
+            words |= {w.rstrip(".,!?;:").lower() for t in b.column(1).to_pylist() for w in t.split()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+
+    return items.mapInArrow(run, "word string").distinct()
+
+
 def template_sizes(items: DataFrame, window: int) -> list[int]:
     """The lengths, in template tokens, of items shorter than a window."""
 
