@@ -2,6 +2,7 @@
 
 import pytest
 
+import emberlake.plans.surface  # noqa: F401  registers more queries
 from emberlake.plans.catalogue import ORACLE_SQL, QUERIES
 from tests.conftest import oracle_rows, rows_of
 
