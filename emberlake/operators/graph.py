@@ -30,18 +30,15 @@ def lineage(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFram
 
     Paths never visit a node twice; of several paths the shortest tells the depth.
     """
-    depth = max(1, min(max_depth, 10))
     steps = edges.select("src", "dst")
+    # One chain of joins: a path that ends early is carried along, and all of its nodes are told at the end.
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"))
-    found: list[DataFrame] = []
-    for d in range(1, depth + 1):
-        reached = front.join(steps, front["node"] == steps["src"]).where(~F.array_contains("path", F.col("dst")))
-        front = reached.select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        found.append(front.select("start", F.col("node").alias("ancestor"), F.lit(d).alias("depth")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("start", "ancestor").agg(F.min("depth").alias("depth"))
+    for _ in range(max(1, min(max_depth, 10))):
+        joined = front.join(steps, front["node"] == steps["src"], "left")
+        goes_on = F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst"))
+        front = joined.select("start", F.when(goes_on, F.col("dst")).alias("node"), F.when(goes_on, F.array_append("path", F.col("dst"))).otherwise(F.col("path")).alias("path"))
+    told = front.select("start", F.posexplode("path").alias("depth", "ancestor")).where("depth > 0")
+    return told.groupBy("start", "ancestor").agg(F.min("depth").alias("depth"))
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, per_seed: int = 50) -> DataFrame:
@@ -71,26 +68,26 @@ def weighted_both_ways(edges: DataFrame, intent: str = "general", default: float
 
 
 def personalised_pagerank(adjacency: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 5) -> DataFrame:
-    """(id, score) after some rounds of power iteration from ``seeds`` (id).
+    """(id, score) after some rounds of power iteration from ``seeds`` (id); empty without a known seed.
 
-    Mass at nodes without outgoing edges returns to the seeds; each round is scaled to sum one.
-    Plans stay lazy: five rounds are ten joins, planned as one job.
+    Mass at nodes without outgoing edges returns to the seeds, so each round keeps the sum at one
+    and needs no scaling. A round is one table in the shared folder.
     """
     links = adjacency.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     total = links.groupBy("src").agg(F.sum("w").alias("out"))
-    share = links.join(total, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p"))
-    ids = links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct()
+    share = cut(links.join(total, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
+    ids = share.select(F.col("src").alias("id")).union(share.select(F.col("dst").alias("id"))).distinct()
     known = seeds.select("id").distinct().join(ids, "id", "left_semi")
-    start = ids.join(known.withColumn("seed", F.lit(1)), "id", "left").select("id", (F.coalesce("seed", F.lit(0)) / F.sum(F.coalesce("seed", F.lit(0))).over(Window.partitionBy())).alias("restart"))
-    rank = cut(start.withColumn("score", F.col("restart")))
-    sinks = total.select(F.col("src").alias("id")).withColumn("has_out", F.lit(1))
+    start = ids.join(known.withColumn("seed", F.lit(1)), "id", "left").join(share.select(F.col("src").alias("id"), F.lit(1).alias("has_out")).distinct(), "id", "left")
+    one = F.coalesce("seed", F.lit(0))
+    rank = start.join(F.broadcast(known.agg(F.count("*").alias("n")))).where("n > 0").select("id", (one / F.col("n")).alias("restart"), (one / F.col("n")).alias("score"), F.col("has_out").isNull().alias("sink"))
+    rank = cut(rank)
     for _ in range(rounds):
         moved = rank.join(share, rank["id"] == share["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("moved"))
-        lost = rank.join(sinks, "id", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0)).alias("lost"))
         joined = rank.join(moved, rank["id"] == moved["dst"], "left").join(F.broadcast(lost))  # one row
-        raw = joined.select("id", "restart", (damping * (F.coalesce("moved", F.lit(0.0)) + F.col("lost") * F.col("restart")) + (1 - damping) * F.col("restart")).alias("raw"))
-        norm = raw.agg(F.sum("raw").alias("norm"))
-        rank = cut(raw.join(F.broadcast(norm)).select("id", "restart", (F.col("raw") / F.col("norm")).alias("score")))
+        score = damping * (F.coalesce("moved", F.lit(0.0)) + F.col("lost") * F.col("restart")) + (1 - damping) * F.col("restart")
+        rank = cut(joined.select("id", "restart", score.alias("score"), "sink"))
     return rank.select("id", "score")
 
 
