@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from emberlake.model import ENTITY_TYPES, EVENT_SCHEMA
 
@@ -100,3 +101,14 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
 def scenarios(spark: SparkSession, path: str) -> DataFrame:
     """Scenario documents, one JSON object a file."""
     return spark.read.option("multiLine", "true").json(path)
+
+
+def write_ledger(events: DataFrame, path: str) -> None:
+    """Appends events to a stored ledger: a folder for each day, sorted by session, so that day and session filters skip files and row groups."""
+    days = events.withColumn("day", F.to_date("occurred_at"))
+    days.repartitionByRange("day", "session_id").sortWithinPartitions("day", "session_id", "occurred_us").write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger, with its day column."""
+    return spark.read.schema(StructType([*EVENT_SCHEMA.fields, StructField("day", DateType())])).parquet(path)

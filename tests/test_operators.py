@@ -137,3 +137,16 @@ def test_dead_letters(spark, folder, tmp_path):
     stream = streams.event_stream(spark, f"{tmp_path}/in", 100).drop("at")
     streams.with_dead_letters(stream, NOW_US, f"{tmp_path}/good", f"{tmp_path}/dead").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/dead").count() == 100 and spark.read.parquet(f"{tmp_path}/good").count() == 900
+
+
+def test_stored_ledger_is_pruned(spark, folder, tmp_path, capsys):
+    from emberlake.sources.ledger import read_ledger, write_ledger
+
+    t = Tables(spark, folder)
+    write_ledger(t.ledger, f"{tmp_path}/l")
+    back = read_ledger(spark, f"{tmp_path}/l")
+    assert back.drop("day").exceptAll(t.ledger).isEmpty() and back.count() == t.ledger.count()
+    one = ledger.search(back.where("day = DATE'2024-01-10'"), EventQuery(session_id="s5")).select("event_id")
+    one.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(session_id,s5)" in plan and "PartitionFilters: [isnotnull(day" in plan and "importance_hint" not in plan.split("ReadSchema")[1].split("\n")[0]
