@@ -1,14 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become token templates: numbers, quantities, units and names give typed placeholders, other
-words their lower-case letters and digits. Windows of ``window`` template tokens are hashed and
+words their lower case. Windows of ``window`` template tokens are hashed and
 joined with those of the benchmark items, which finds verbatim and re-parameterised passages
 alike. A window needs ``literals`` plain words, so runs of placeholders match nothing.
 
 Slot consistency: at one alignment of a document with an item, each value in a slot of the item
 must always stand for the same value in the document. Alignments that contradict themselves count
 nothing. A document is reported with an item if the consistent windows cover at least ``coverage``
-of the item's windows.
+of the item's windows, or are at least ``enough``.
 
 Every document is hashed whole, in one pass. The hashes of the benchmark go along as a filter while
 there are at most ``filter_bound`` of them; beyond that all windows of the documents enter the
@@ -22,7 +22,6 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,80 +33,89 @@ from pyspark.sql import functions as F
 from emberlake.llm.common import stored, without_ids
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+#: So many windows of an item are enough, whatever their share.
+ENOUGH = 12
 
 # Words that name units.
-UNITS = frozenset((
+UNITS = (
     "kg g mg lb lbs oz ton tons km m cm mm mile miles ft foot feet inch inches yard yards l ml liter liters litre litres gallon gallons second seconds sec minute minutes "
     "min hour hours day days week weeks month months year years mph kmh percent degree degrees dollar dollars cent cents euro euros pound pounds usd eur gbp"
-).split())
+).split()
 
-NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
-QUANTITY = re.compile(r"[$€£]\d[\d.,]*|\d[\d.,]*(?:%|[$€£]|[^\W\d_]{1,3})")
-EDGES = re.compile(r"^[^\w$€£]+|[^\w%$€£]+$")
-NAME = re.compile(r"[^\W\d_][^\W\d_'’-]*")
-#: Kinds of words. NOTHING: only punctuation.
-LITERAL, NUM, QTY, UNIT, NOTHING = range(5)
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: The hash of the placeholder of names.
-NAMED = np.uint64(xxhash.xxh64_intdigest("\0name"))
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of bytes; bytes beyond ASCII count as letters.
+BLANK, MARK, LETTER, DIGIT = range(4)
+CLASS = np.full(256, MARK, np.uint8)
+CLASS[[*range(9, 14), 32]] = BLANK
+CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+CLASS[48:58] = DIGIT
+ENDS, QUOTES = (np.isin(np.arange(256), list(x)) for x in (b".!?:", b"\"')]"))
 
 
-class Words(dict):
-    """Numbers of distinct words; the arrays tell, for each number, the hash, the kind, and flags: 1 looks like a name, 2 ends a sentence.
+def placeholder(kind: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(f"\0{kind}"))
 
-    vocabulary: the plain words that matter; all others share the first four numbers, one for
-    each value of the flags. Starts anew beyond ``most`` words, between two texts.
+
+class Templates:
+    """Makes token templates of texts, whole arrays of bytes at a time.
+
+    A token is what stands between blanks, from its first letter or digit to its last; its hash is a
+    polynomial in its lower-case bytes. Numbers, quantities (digits with letters), units and names
+    (a capital that no sentence start explains, not all capitals) hash as placeholders. Where lower
+    case changes a text's length in bytes, its capitals tell no names.
     """
 
-    def __init__(self, vocabulary: frozenset[str] | None = None, most: int = 400_000) -> None:
-        super().__init__()
-        self.vocabulary, self.most = vocabulary, most
-        self.start()
-
-    def start(self) -> None:
-        self.clear()
-        self.hashes, self.kinds, self.flags = [0] * 4, [LITERAL] * 4, [0, 1, 2, 3]
-        self.arrays = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int8)
-
-    def __missing__(self, word: str) -> int:
-        bare = word.rstrip(".,!?;:")
-        if not bare.isalpha():
-            bare = EDGES.sub("", word)
-        low = bare.lower()
-        if bare.isalpha():
-            kind = UNIT if low in UNITS else LITERAL
-        elif not any(map(str.isalnum, bare)):
-            kind = NOTHING
-        else:
-            kind = NUM if NUMBER.fullmatch(bare) else QTY if QUANTITY.fullmatch(bare) else LITERAL
-        named = kind == LITERAL and bare[0].isupper() and not bare.isupper() and (bare.isalpha() or NAME.fullmatch(bare) is not None)
-        flags = named + 2 * (word.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":"))
-        if kind == LITERAL and self.vocabulary is not None and low not in self.vocabulary:
-            k = flags
-        else:
-            k = len(self.hashes)
-            self.hashes.append(xxhash.xxh64_intdigest(low if kind == LITERAL else f"\0{kind}"))
-            self.kinds.append(kind)
-            self.flags.append(flags)
-        self[word] = k
-        return k
-
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Token hashes, whether each is a placeholder, and the words, without mere punctuation."""
-        if len(self) > self.most:
-            self.start()
-        words = text.split()
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if (n := len(self.arrays[0])) < len(self.hashes):
-            self.arrays = tuple(np.append(x, np.array(y[n:], x.dtype)) for x, y in zip(self.arrays, (self.hashes, self.kinds, self.flags), strict=True))
-        hashes, kinds, flags = (x[ids] for x in self.arrays)
-        first = np.ones(len(ids), bool)
-        first[1:] = flags[:-1] >= 2
-        name = (flags & 1 == 1) & ~first  # a capital that no sentence start explains
-        hashes[name] = NAMED
-        kept = kinds != NOTHING
-        slots = name | (kinds != LITERAL)
-        return (hashes, slots, words) if kept.all() else (hashes[kept], slots[kept], [words[i] for i in np.flatnonzero(kept)])
+    def __init__(self) -> None:
+        self.powers = self.inverse = np.ones(1, np.uint64)
+        self.room(1 << 16)
+        self.units = np.sort(np.concatenate([self.template(u)[0] for u in UNITS]))
+
+    def room(self, n: int) -> None:
+        if len(self.powers) < n:
+            size = np.uint64(1) << np.uint64(int(n - 1).bit_length())
+            back = np.uint64(pow(int(BASE), -1, 1 << 64))
+            self.powers, self.inverse = (np.concatenate([np.ones(1, np.uint64), np.full(int(size) - 1, x)]).cumprod(dtype=np.uint64) for x in (BASE, back))
+
+    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """Token hashes, whether each is a placeholder, the text's bytes, and where tokens begin and end in them."""
+        low, raw = text.lower().encode("utf-8", "replace"), text.encode("utf-8", "replace")
+        if len(low) != len(raw):
+            raw = low
+        n = len(low)
+        self.room(n + 1)
+        small, own = np.frombuffer(low + b"\0\0", np.uint8), np.frombuffer(raw + b"\0\0", np.uint8)
+        kind = CLASS[small[:n]]
+        at = np.flatnonzero(kind >= LETTER)
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(0, bool), raw, at, at
+        chunk = np.cumsum(kind == BLANK, dtype=np.int32)[at]
+        new = np.flatnonzero(chunk[1:] != chunk[:-1])
+        begin, end = np.concatenate([at[:1], at[new + 1]]), np.concatenate([at[new], at[-1:]]) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(small[:n] * self.powers[:n], out=sums[1:])
+        hashes = (sums[end] - sums[begin]) * self.inverse[begin]
+        hashes ^= hashes >> np.uint64(32)
+        slots = np.zeros(len(hashes), bool)
+        if (kind == DIGIT).any():
+            digits = np.concatenate([[0], np.cumsum(kind == DIGIT)])
+            for k in np.flatnonzero(digits[end] > digits[begin]).tolist():
+                letters = bool((kind[begin[k] : end[k]] == LETTER).sum())
+                slots[k], hashes[k] = True, placeholder("quantity" if letters else "number")
+        if hasattr(self, "units"):
+            k = np.minimum(self.units.searchsorted(hashes), len(self.units) - 1)
+            unit = self.units[k] == hashes
+            slots |= unit
+            hashes[unit] = placeholder("unit")
+        capital = (own[begin] != small[begin]) | ((own[begin] >= 128) & (own[begin + 1] != small[begin + 1]))
+        if capital.any():
+            after = own[end]
+            ends = ENDS[after] | (QUOTES[after] & ENDS[own[end + 1]])
+            first = np.concatenate([[True], ends[:-1]])
+            last = end - 1
+            name = capital & ~first & ~slots & (own[last] == small[last]) & (last > begin)
+            slots |= name
+            hashes[name] = placeholder("name")
+        return hashes, slots, raw, begin, end
 
 
 def windows(hashes: np.ndarray, slots: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,11 +130,10 @@ def windows(hashes: np.ndarray, slots: np.ndarray, size: int, literals: int) ->
     return out ^ (out >> np.uint64(29)), plain[size:] - plain[:-size] >= literals
 
 
-def template_windows(rows: DataFrame, sizes: list[int], literals: int, only: np.ndarray | None, own_length: bool, vocabulary: frozenset[str] | None = None) -> DataFrame:
+def template_windows(rows: DataFrame, sizes: list[int], literals: int, only: np.ndarray | None, own_length: bool) -> DataFrame:
     """(id, hash, at, slots, n_windows) of template windows; ``rows``: id and text.
 
-    only: sorted hashes beyond which nothing is returned; vocabulary: plain words of the texts that have
-    these hashes, others stand in none of them; own_length: a text shorter than the
+    only: sorted hashes beyond which nothing is returned; own_length: a text shorter than the
     first size is one window of its own length.
     """
     mask = np.uint64((1 << 22) - 1)
@@ -135,11 +142,11 @@ def template_windows(rows: DataFrame, sizes: list[int], literals: int, only: np.
         maybe[only & mask] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(vocabulary)
+        known = Templates()
         for b in batches:
             ids, found, at, slots, totals = [], [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hashes, places, words = known.template(text or "")
+                hashes, places, raw, begin, end = known.template(text or "")
                 for size in [min(sizes[0], len(hashes))] if own_length else sizes:
                     if not 0 < size <= len(hashes):
                         continue
@@ -153,7 +160,7 @@ def template_windows(rows: DataFrame, sizes: list[int], literals: int, only: np.
                         ids.append(key)
                         found.append(made[k])
                         at.append(k)
-                        slots.append([EDGES.sub("", words[j]) for j in range(k, k + size) if places[j]])
+                        slots.append([raw[begin[j] : end[j]].decode("utf-8", "replace") for j in range(k, k + size) if places[j]])
                         totals.append(int(good.sum()))
             columns = [pa.array(ids, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(at, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(totals, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "at", "slots", "n_windows"])
@@ -162,20 +169,18 @@ def template_windows(rows: DataFrame, sizes: list[int], literals: int, only: np.
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, filter_bound: int = 2_000_000
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE, enough: int = ENOUGH, filter_bound: int = 2_000_000
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_slots, verbatim) of each document that holds an item."""
     items = benchmark.where("text IS NOT NULL").groupBy("text").agg(F.min("item_id").cast("long").alias("id")).select("id", "text")
     of_items = stored(template_windows(items, [window], literals, None, True), "item-windows")
-    only, vocabulary, sizes = None, None, [window]
+    only, sizes = None, [window]
     n = of_items.count()
     if n <= filter_bound:
-        # At most window words for each of the bounded windows.
-        vocabulary = frozenset(r["word"] for r in plain_words(items).collect())
         only = np.unique(np.array([r["hash"] for r in of_items.select("hash").distinct().collect()], np.int64).view(np.uint64))
     short = template_sizes(items, window)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    of_docs = template_windows(rows, sizes + short, literals, only, False, vocabulary).select(F.col("id").alias("doc_id"), "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
+    of_docs = template_windows(rows, sizes + short, literals, only, False).select(F.col("id").alias("doc_id"), "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
     own = of_items.select(F.col("id").alias("item_id"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n_windows")
     met = of_docs.join(F.broadcast(own) if n <= 100_000 else own, "hash")
     # At one alignment an item has as many windows as it has tokens, so these sets are as short as an item.
@@ -188,28 +193,16 @@ def leaks(
     places = sound.select("doc_id", "item_id", "n_windows", F.explode("places").alias("place"), F.size("pairs").alias("n_slots"), F.forall("pairs", lambda x: x["a"] == x["b"]).alias("same"))
     once = places.groupBy("doc_id", "item_id", "n_windows", "place").agg(F.max("n_slots").alias("n_slots"), F.max("same").alias("same"))
     out = once.groupBy("doc_id", "item_id", "n_windows").agg(F.count("*").alias("matched"), F.max("n_slots").cast("long").alias("n_slots"), F.min("same").alias("verbatim"))
-    return out.where(F.col("matched") >= coverage * F.col("n_windows")).select(
+    return out.where((F.col("matched") >= coverage * F.col("n_windows")) | (F.col("matched") >= enough)).select(
         "doc_id", "item_id", F.col("matched").alias("n_windows"), (F.col("matched") / F.col("n_windows")).alias("coverage"), "n_slots", "verbatim"
     )
 
 
-def plain_words(items: DataFrame) -> DataFrame:
-    """The distinct plain words of the items, as templates see them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = {EDGES.sub("", w).lower() for t in b.column(1).to_pylist() for w in t.split()}
-            words |= {w.rstrip(".,!?;:").lower() for t in b.column(1).to_pylist() for w in t.split()}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
-
-    return items.mapInArrow(run, "word string").distinct()
-
-
 def template_sizes(items: DataFrame, window: int) -> list[int]:
     """The lengths, in template tokens, of items shorter than a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        known = Templates()
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([min(window, len(known.template(t)[0])) for t in b.column(1).to_pylist()], pa.int32())], ["n"])
 
