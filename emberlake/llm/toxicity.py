@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm.common import shuffle_partitions, stored
 from emberlake.llm.labelled import held_out, training_sample
 
 #: Most labelled rows that a fit reads.
@@ -190,7 +191,8 @@ def linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 40) -
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     """The model of at most ``limit`` labelled rows outside the held-out fold."""
-    sample = training_sample(docs, labels, "toxic", limit)
+    # Four passes read the sample, one the documents.
+    sample = stored(training_sample(docs, labels, "toxic", limit).repartition(shuffle_partitions(docs.sparkSession), "doc_id"), "toxicity-sample")
     entries = mined(sample)
     entries += [(w, True) for w in INSULTS if not any(w == x or (w.startswith(x) and not whole) for x, whole in entries)]
 
