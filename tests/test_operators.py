@@ -150,3 +150,20 @@ def test_stored_ledger_is_pruned(spark, folder, tmp_path, capsys):
     one.explain("formatted")
     plan = capsys.readouterr().out
     assert "EqualTo(session_id,s5)" in plan and "PartitionFilters: [isnotnull(day" in plan and "importance_hint" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_surface_helpers(spark):
+    from emberlake.operators import surface
+
+    assert [surface.bounded(x, 3, 10) for x in (None, 0, 5, 99)] == [3, 1, 5, 10]
+    assert surface.hyde_query("q", "  ") == "q" and surface.hyde_query("q", " a ") == "q\na"
+    assert all(t.count() == 0 for t in surface.empty_tables(spark).values())
+    with pytest.raises(ValueError):
+        surface.read_only(spark, "DROP TABLE x")
+    keys = spark.createDataFrame([("10-2",), ("9-10",), ("9-9",), ("bad",)], "s string")
+    assert [r.s for r in keys.orderBy(surface.stream_key(F.col("s"))).collect()] == ["bad", "9-9", "9-10", "10-2"]
+
+
+def test_redaction(spark):
+    rows = spark.createDataFrame([("token=abc next",), ("Authorization: xyz",), ("plain",)], "t string")
+    assert [r.t for r in rows.select(text.redacted(F.col("t")).alias("t")).collect()] == ["token=*** next", "Authorization: ***", "plain"]
