@@ -56,6 +56,11 @@ def placeholder(kind: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(f"\0{kind}"))
 
 
+NUMBER, QUANTITY, UNIT, NAMED = map(placeholder, ("number", "quantity", "unit", "name"))
+#: Characters of texts that are made templates at once; longer texts are taken alone.
+TOGETHER = 1 << 16
+
+
 class Templates:
     """Makes token templates of texts, whole arrays of bytes at a time.
 
@@ -68,7 +73,7 @@ class Templates:
     def __init__(self) -> None:
         self.powers = self.inverse = np.ones(1, np.uint64)
         self.room(1 << 16)
-        self.units = np.sort(np.concatenate([self.template(u)[0] for u in UNITS]))
+        self.units = np.sort(self.template(UNITS)[0])
 
     def room(self, n: int) -> None:
         if len(self.powers) < n:
@@ -76,21 +81,25 @@ class Templates:
             back = np.uint64(pow(int(BASE), -1, 1 << 64))
             self.powers, self.inverse = (np.concatenate([np.ones(1, np.uint64), np.full(int(size) - 1, x)]).cumprod(dtype=np.uint64) for x in (BASE, back))
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
-        """Token hashes, whether each is a placeholder, the text's bytes, and where tokens begin and end in them."""
-        low, raw = text.lower().encode("utf-8", "replace"), text.encode("utf-8", "replace")
-        if len(low) != len(raw):
-            raw = low
+    def template(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """Of several texts at once: token hashes, whether each is a placeholder, which text it is of, all bytes, and where tokens begin and end in them."""
+        lows, raws = [], []
+        for text in texts:
+            low, raw = text.lower().encode("utf-8", "replace"), text.encode("utf-8", "replace")
+            lows.append(low)
+            raws.append(raw if len(raw) == len(low) else low)
+        low, raw = b"\n".join(lows), b"\n".join(raws)  # no token crosses a text's end
         n = len(low)
         self.room(n + 1)
         small, own = np.frombuffer(low + b"\0\0", np.uint8), np.frombuffer(raw + b"\0\0", np.uint8)
         kind = CLASS[small[:n]]
         at = np.flatnonzero(kind >= LETTER)
         if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, bool), raw, at, at
+            return np.zeros(0, np.uint64), np.zeros(0, bool), at, raw, at, at
         chunk = np.cumsum(kind == BLANK, dtype=np.int32)[at]
         new = np.flatnonzero(chunk[1:] != chunk[:-1])
         begin, end = np.concatenate([at[:1], at[new + 1]]), np.concatenate([at[new], at[-1:]]) + 1
+        of = np.searchsorted(np.cumsum([len(x) + 1 for x in lows]), begin, side="right")
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(small[:n] * self.powers[:n], out=sums[1:])
         hashes = (sums[end] - sums[begin]) * self.inverse[begin]
@@ -99,23 +108,23 @@ class Templates:
         if (kind == DIGIT).any():
             digits = np.concatenate([[0], np.cumsum(kind == DIGIT)])
             for k in np.flatnonzero(digits[end] > digits[begin]).tolist():
-                letters = bool((kind[begin[k] : end[k]] == LETTER).sum())
-                slots[k], hashes[k] = True, placeholder("quantity" if letters else "number")
+                letters = bool((kind[begin[k] : end[k]] == LETTER).any())
+                slots[k], hashes[k] = True, QUANTITY if letters else NUMBER
         if hasattr(self, "units"):
             k = np.minimum(self.units.searchsorted(hashes), len(self.units) - 1)
             unit = self.units[k] == hashes
             slots |= unit
-            hashes[unit] = placeholder("unit")
+            hashes[unit] = UNIT
         capital = (own[begin] != small[begin]) | ((own[begin] >= 128) & (own[begin + 1] != small[begin + 1]))
         if capital.any():
             after = own[end]
             ends = ENDS[after] | (QUOTES[after] & ENDS[own[end + 1]])
-            first = np.concatenate([[True], ends[:-1]])
+            first = np.concatenate([[True], ends[:-1] | (of[1:] != of[:-1])])
             last = end - 1
             name = capital & ~first & ~slots & (own[last] == small[last]) & (last > begin)
             slots |= name
-            hashes[name] = placeholder("name")
-        return hashes, slots, raw, begin, end
+            hashes[name] = NAMED
+        return hashes, slots, of, raw, begin, end
 
 
 def windows(hashes: np.ndarray, slots: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +140,7 @@ def windows(hashes: np.ndarray, slots: np.ndarray, size: int, literals: int) ->
 
 
 def template_windows(rows: DataFrame, sizes: list[int], literals: int, only: np.ndarray | None, own_length: bool) -> DataFrame:
-    """(id, hash, at, slots, n_windows) of template windows; ``rows``: id and text.
+    """(id, hash, at, slots, n_windows) of template windows; ``rows``: id and text; ``at`` counts the text's tokens.
 
     only: sorted hashes beyond which nothing is returned; own_length: a text shorter than the
     first size is one window of its own length.
@@ -141,27 +150,40 @@ def template_windows(rows: DataFrame, sizes: list[int], literals: int, only: np.
         maybe = np.zeros(1 << 22, bool)  # a quick look before the search
         maybe[only & mask] = True
 
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+        ids, texts, size = [], [], 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(key)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if own_length or size >= TOGETHER:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates()
         for b in batches:
             ids, found, at, slots, totals = [], [], [], [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hashes, places, raw, begin, end = known.template(text or "")
+            for keys, texts in groups(b):
+                hashes, places, of, raw, begin, end = known.template(texts)
                 for size in [min(sizes[0], len(hashes))] if own_length else sizes:
                     if not 0 < size <= len(hashes):
                         continue
                     made, good = windows(hashes, places, size, literals)
+                    good &= of[size - 1 :] == of[: len(made)]
                     if only is not None:
                         near = np.flatnonzero(good & maybe[made & mask])
                         near = near[np.isin(made[near], only)] if len(near) else near
                     else:
                         near = np.flatnonzero(good)
                     for k in near.tolist():
-                        ids.append(key)
+                        ids.append(keys[of[k]])
                         found.append(made[k])
-                        at.append(k)
+                        at.append(k - int(np.searchsorted(of, of[k])))
                         slots.append([raw[begin[j] : end[j]].decode("utf-8", "replace") for j in range(k, k + size) if places[j]])
-                        totals.append(int(good.sum()))
+                        totals.append(int(good.sum()) if own_length else 0)
             columns = [pa.array(ids, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(at, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(totals, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "at", "slots", "n_windows"])
 
@@ -204,7 +226,7 @@ def template_sizes(items: DataFrame, window: int) -> list[int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([min(window, len(known.template(t)[0])) for t in b.column(1).to_pylist()], pa.int32())], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([min(window, len(known.template([t])[0])) for t in b.column(1).to_pylist()], pa.int32())], ["n"])
 
     return sorted(r["n"] for r in items.mapInArrow(run, "n int").where(F.col("n").between(1, window - 1)).distinct().collect())
 
