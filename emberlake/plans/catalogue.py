@@ -793,14 +793,14 @@ def _(t):
 
 def staged(t: Tables) -> str:
     """The ledger as a folder that a stream can read."""
-    return f"{graph.cut(t.ledger.repartition(2)).inputFiles()[0].rsplit('/', 1)[0]}"
+    return f"{graph.cut(t.ledger).inputFiles()[0].rsplit('/', 1)[0]}"
 
 
 @query("stream_follows")
 def _(t):
     from emberlake.streaming import queries as streams
 
-    return streams.drained(streams.follows(streams.event_stream(t.spark, staged(t), 100)), "stream_follows")
+    return streams.drained(streams.follows(streams.event_stream(t.spark, staged(t), None)), "stream_follows")
 
 
 @query("stream_dedup", "SELECT event_id FROM ledger")
@@ -809,7 +809,7 @@ def _(t):
 
     twice = t.ledger.unionByName(t.ledger)
     folder = graph.cut(twice).inputFiles()[0].rsplit("/", 1)[0]
-    return streams.drained(streams.deduplicated(streams.event_stream(t.spark, folder, 100)), "stream_dedup").select("event_id")
+    return streams.drained(streams.deduplicated(streams.event_stream(t.spark, folder, 100), None), "stream_dedup").select("event_id")
 
 
 @query("archive_roundtrip", f"SELECT strftime(occurred_at, '%Y/%m/%d') AS day, count(*) AS n FROM ledger WHERE occurred_us // 1000 < {(NOW_US - 20 * 24 * 3_600_000_000) // 1000} GROUP BY ALL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,18 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from emberlake.operators.graph import shared_folder
 from emberlake.operators.ledger import errors
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """Ledger events as a stream from a folder of Parquet files, with event time ``at``."""
-    schema = spark.read.parquet(folder).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """Ledger events as a stream from a folder of Parquet files, with event time ``at``; None: what there is comes in one trigger."""
+    reader = spark.readStream.schema(spark.read.parquet(folder).schema)
+    raw = (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
     return raw.withColumn("at", F.timestamp_micros("occurred_us"))
 
 
-def deduplicated(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """The first arrival of each event id within the watermark."""
+def deduplicated(stream: DataFrame, watermark: str | None = "1 day") -> DataFrame:
+    """The first arrival of each event id within the watermark; None: of all, with every id in the state, for replays whose files aren't in time order."""
+    if watermark is None:
+        return stream.dropDuplicates(["event_id"])
     return stream.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -29,15 +33,15 @@ def follows(stream: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        for b in batches:
-            rows = []
-            for r in b.sort_values(["occurred_us", "position"]).itertuples():
-                if last is not None:
-                    rows.append((r.event_id, last[0], "FOLLOWS", key[0], int((r.occurred_us - last[1]) / 1000)))
-                last = (r.event_id, int(r.occurred_us))
-                if r.event_type == "system.session_end":
-                    last = None
-            yield pd.DataFrame(rows, columns=["src", "dst", "edge_type", "session_id", "delta_ms"])
+        rows = []
+        # A session of a trigger can come in several batches, which only have an order together.
+        for r in pd.concat(list(batches)).sort_values(["occurred_us", "position"]).itertuples():
+            if last is not None:
+                rows.append((r.event_id, last[0], "FOLLOWS", key[0], int((r.occurred_us - last[1]) / 1000)))
+            last = (r.event_id, int(r.occurred_us))
+            if r.event_type == "system.session_end":
+                last = None
+        yield pd.DataFrame(rows, columns=["src", "dst", "edge_type", "session_id", "delta_ms"])
         if last is None:
             state.remove()
         else:
@@ -63,11 +67,13 @@ def with_dead_letters(stream: DataFrame, now_us: int, good_path: str, dead_path:
     return stream.writeStream.foreachBatch(split)
 
 
-def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns its rows, through an in-memory table; for tests and small replays."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(df: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what there is, to its end, and returns its rows, through Parquet files in the shared folder; a failed stream raises."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    sink = df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+    query = sink.outputMode("append").trigger(availableNow=True).start()
     try:
-        query.awaitTermination(600)
+        query.awaitTermination()
     finally:
         query.stop()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
