@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import decontam, linededup, packing, simhash, toxicity
+from emberlake.llm import decontam, linededup, packing, shingles, simhash, toxicity
 from emberlake.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +29,9 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document of smallest id stays."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """Of each near-duplicate class (five-word shingles, similarity 0.8 or more, exactly) the document of smallest id stays."""
+    docs = docs.select(*COLUMNS)
+    return simhash.one_of_each(docs, found=stored(shingles.near_duplicates(docs), "near-duplicates"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,12 +170,12 @@ def near_duplicates(docs: DataFrame, bits: int = 3, words: int = WORDS, limit: i
     return marked.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """The documents without near-duplicates of smaller id.
+def one_of_each(docs: DataFrame, bits: int = 3, found: DataFrame | None = None) -> DataFrame:
+    """The documents without near-duplicates of smaller id; ``found`` (doc_id, component_id) replaces those by fingerprints.
 
     Rows without id stay, since nothing tells them apart; of the rows with one id, one stays.
     """
-    found = near_duplicates(docs, bits)
+    found = near_duplicates(docs, bits) if found is None else found
     left = without_ids(docs, found.where("doc_id != component_id").select("doc_id").distinct())
     again = stored(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if again.isEmpty():
