@@ -37,6 +37,19 @@ STATISTICS = [
 ]
 
 
+def distinct_share(words: list[str], width: int = 200) -> float:
+    """The mean share of distinct words over all windows of ``width`` words, or over the text where it is shorter."""
+    if len(words) <= width:
+        return (len(set(words)) + 1) / (len(words) + 1)
+    # A place counts in each window that holds it and doesn't hold the same word earlier.
+    last: dict[str, int] = {}
+    total, end = 0, len(words) - width
+    for k, word in enumerate(words):
+        total += max(0, min(k, end) - max(last.get(word, -1) + 1, k - width + 1, 0) + 1)
+        last[word] = k
+    return (total / (end + 1) + 1) / (width + 1)
+
+
 def statistics(text: str) -> list[float]:
     """The transformed statistics of one text, in the order of STATISTICS."""
     raw = text.encode("utf-8", "replace")
@@ -48,11 +61,10 @@ def statistics(text: str) -> list[float]:
     letters = counts[65:91].sum() + counts[97:123].sum() + counts[128:].sum() + 1
     marks = counts[[33, 34, 39, 40, 41, 44, 45, 46, 58, 59, 63]].sum()
     symbols = counts[33:48].sum() + counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum() - marks + counts[33]
-    head = words[:200]
     root = lambda x: float(x) ** 0.5
     return [
         np.log1p(n), np.log((size - n) / (n + 1) + 1), root(counts[65:91].sum() / letters), root(counts[48:58].sum() / size), root(marks / (n + 1)),
-        root(symbols / (n + 1)), (len(set(words)) + 1) / (n + 1), (len(set(head)) + 1) / (len(head) + 1), np.log1p(max(map(len, words), default=0)),
+        root(symbols / (n + 1)), (len(set(words)) + 1) / (n + 1), distinct_share(words), np.log1p(max(map(len, words), default=0)),
         np.log1p(n / max(1, len(lines))), root(1 - len(set(lines)) / len(lines)) if lines else 0.0, root(1 - len(set(triples)) / len(triples)) if triples else 0.0,
         root((counts[46] + counts[63] + counts[33]) / (n + 1)), root(sum(map(str.isalpha, words)) / (n + 1)),
     ]
