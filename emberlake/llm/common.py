@@ -54,6 +54,11 @@ def id_remainder(mod: int, name: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of doc_id and text, which tells rows of one id apart. Rows equal in both are one document."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,3 +70,13 @@ def without_ids(docs: DataFrame, ids: DataFrame, bound: int = 1_000_000) -> Data
     """
     gone = stored(ids.select("doc_id").where("doc_id IS NOT NULL"), "ids")
     return docs.join(F.broadcast(gone) if gone.count() <= bound else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows named in ``rows`` (doc_id, row_key; distinct).
+
+    Up to ``bound`` rows (16 MB) are broadcast, so no text is shuffled; more meet the documents in a shuffled join.
+    """
+    gone = stored(rows.select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")), "rows")
+    same = (row_key(docs) == gone["gone_key"]) & docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"])
+    return docs.join(F.broadcast(gone) if gone.count() <= bound else gone, same, "left_anti")

@@ -151,8 +151,9 @@ def test_leaks(spark):
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, hash int")
     bench = spark.createDataFrame([(7, item), (8, item), (9, "1 2 3 4 5 6 7 8 9"), (10, None), (11, ""), (12, "Call the green river bank now")], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, bench).collect()}
-    assert set(found) == {(1, 7), (2, 7), (9, 12)} and found[1, 7].verbatim and not found[2, 7].verbatim and found[1, 7].coverage == 1
+    # (7, 7): a copy in capitals is a copy
+    assert set(found) == {(1, 7), (2, 7), (7, 7), (9, 12)} and found[1, 7].verbatim and not found[2, 7].verbatim and found[1, 7].coverage == 1
     unfiltered = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, filter_bound=0).collect()}
     assert unfiltered == set(found)
-    assert {r.doc_id for r in decontam.decontaminated(docs, bench).collect()} == {3, 4, 5, 6, 7, 8}
+    assert {r.doc_id for r in decontam.decontaminated(docs, bench).collect()} == {3, 4, 5, 6, 8}
     assert decontam.leaks(docs, bench.where("false")).count() == 0 and decontam.leaks(docs.where("false"), bench).count() == 0
