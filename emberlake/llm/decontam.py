@@ -13,7 +13,8 @@ such window are searched by their exact tokens; if they have fewer than ``litera
 document matches when it consists of them.
 
 Slot consistency: at one alignment of a document with an item, each value in a slot of the item
-must stand for one value in the document, the one it stands for most often. Windows that say
+must stand for one value in the document, the one it stands for most often (of several the same value, then
+the first). Windows that say
 otherwise don't count; the others do. A document is reported with an item if its consistent windows
 cover at least ``coverage`` of the item's windows, or are at least ``enough``.
 
@@ -30,7 +31,7 @@ one; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -267,10 +268,10 @@ def document_windows(docs: DataFrame, sizes: list[int], literals: int, only: np.
 def sound_places(found: list[tuple[int, list[tuple[int, str, str]]]]) -> tuple[list[int], int, bool]:
     """Of one alignment's windows (item place; position, item value and document value of each slot): the places of
     windows that agree with what each item value mostly stands for, how many item values those hold, whether all values are the same."""
-    votes: dict[str, Counter] = defaultdict(Counter)
-    for at, a, b in {x for _, pairs in found for x in pairs}:
-        votes[a][b] += 1
-    mostly = {a: max(n, key=lambda b: (n[b], a == b, b)) for a, n in votes.items()}
+    votes: dict[str, dict[str, set[int]]] = defaultdict(lambda: defaultdict(set))
+    for at, a, b in (x for _, pairs in found for x in pairs):
+        votes[a][b].add(at)
+    mostly = {a: max(n, key=lambda b: (len(n[b]), a == b, -min(n[b]))) for a, n in votes.items()}
     good = [(place, pairs) for place, pairs in found if all(mostly[a] == b for _, a, b in pairs)]
     held = {(a, b) for _, pairs in good for _, a, b in pairs}
     return sorted({place for place, _ in good}), len({a for a, _ in held}), all(a == b for a, b in held)

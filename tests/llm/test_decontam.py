@@ -60,10 +60,11 @@ def plain_leaks(docs, items, window=8, literals=4, coverage=0.5, enough=12):
                             shifts[k - i].append((i, [(i + j, x[0], y[0]) for j, (x, y) in enumerate(zip(a, b, strict=True)) if slot(x[f])]))
             matched = set()
             for met in shifts.values():
+                seen = sorted({p for _, pairs in met for p in pairs})
                 votes = defaultdict(Counter)
-                for at, a, b in {p for _, pairs in met for p in pairs}:
+                for _, a, b in seen:
                     votes[a][b] += 1
-                best = {a: max(n, key=lambda b: (n[b], a == b, b)) for a, n in votes.items()}
+                best = {a: min(n, key=lambda b: (-n[b], a != b, [x[1:] for x in seen].index((a, b)))) for a, n in votes.items()}
                 matched |= {i for i, pairs in met if all(best[a] == b for _, a, b in pairs)}
             if len(matched) >= coverage * len(places) or len(matched) >= enough:
                 found.add((doc_id, text, item_id))
