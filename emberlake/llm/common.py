@@ -63,15 +63,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """``docs`` without the rows whose doc_id stands in ``ids`` (doc_id, distinct); rows without id stay.
-
-    Up to ``bound`` ids (8 MB) are broadcast, so no text is shuffled; more meet the rows in a shuffled join.
-    """
-    gone = stored(ids.select("doc_id").where("doc_id IS NOT NULL"), "ids")
-    return docs.join(F.broadcast(gone) if gone.count() <= bound else gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 def without_rows(docs: DataFrame, rows: DataFrame, bound: int = 1_000_000) -> DataFrame:
     """``docs`` without the rows named in ``rows`` (doc_id, row_key; distinct).
 

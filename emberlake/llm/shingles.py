@@ -3,7 +3,9 @@
 A text with A-Z lower-cased is the set of XXH64 hashes of its runs of five words (the whole sequence
 where there are fewer). Two texts are linked when their sets' Jaccard similarity is 0.8 or more.
 
-Search: with all hashes in one order, sets of similarity s and sizes n share a hash among the first
+Search, first by SimHash: fingerprints over the same shingles within 3 bits are found by their deletion
+variants, and such pairs verified; they give most classes. Then, since pairs of similarity 0.8 often
+lie further apart, by prefixes: with all hashes in one order, sets of similarity s and sizes n share a hash among the first
 n - ceil(s n) + 1 of each. So only these are indexed, and no pair is missed whatever the order is;
 hashes that are common in a sample come last, which keeps the lists short. Equal sets are one node.
 
@@ -11,7 +13,8 @@ Links: within a list each node meets the next ``near`` nodes. Lists that are lon
 are not yet one component are compared in full, in blocks of nodes; pairs within one component
 are left out, as they can't change it. The components are those of all links.
 
-Defined results: a null text is an empty one, and texts without words are equal; rows without id take part.
+Defined results: a null text is an empty one, and texts without words are equal; rows without id
+take part; rows of one id are told apart by ``row_key``.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import shuffle_partitions, stored, without_ids
+from emberlake.llm import simhash
+from emberlake.llm.common import row_key, shuffle_partitions, stored, without_rows
 from emberlake.llm.graph import components
 
-SEED = 42
 WORDS = 5
 #: The similarity as a fraction, so that bounds are whole numbers.
 LEAST = (4, 5)
@@ -35,37 +38,26 @@ LEAST = (4, 5)
 SAMPLE, COMMON = 20_000, 100_000
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of one text."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) <= words:
-        return np.array([digest(joined, SEED)], np.uint64)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = np.concatenate([[0], gaps[: len(gaps) - words + 1] + 1]).tolist()
-    ends = np.append(gaps[words - 1 :], len(joined)).tolist()
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(ends)))
-
-
 def similar(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
     """Whether sets of sizes a and b that share so many hashes are near-duplicates."""
     return LEAST[1] * shared >= LEAST[0] * (a + b - shared)
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the set), and the set as bytes."""
+    """doc_id, row_key, node (a hash of the set), the SimHash fingerprint and the set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                made = [shingles(t or "").tobytes() for t in part.column(1).to_pylist()]
-                node = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in made), np.uint64, len(made)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(made, pa.binary())], ["doc_id", "node", "hashes"])
+                made = [simhash.shingle_hashes(t or "", WORDS) for t in part.column(2).to_pylist()]
+                prints = np.fromiter(map(simhash.folded, made), np.uint64, len(made)).view(np.int64)
+                held = [np.unique(x).tobytes() for x in made]
+                node = np.fromiter((xxhash.xxh64_intdigest(x, simhash.SEED) for x in held), np.uint64, len(held)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(node), pa.array(prints), pa.array(held, pa.binary())], ["doc_id", "row_key", "node", "fp", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, hashes binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, row_key long, node long, fp long, hashes binary")
 
 
 def common(unique: DataFrame, nodes: int) -> np.ndarray:
@@ -196,22 +188,30 @@ def needed(unique: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(few(sets(unique).select("node", "hashes"), nodes, "node").dropDuplicates(["node"]), "shingle-sets")
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes (node, fp) whose fingerprints lie within 3 bits, as a spanning set: nodes of one fingerprint with the
+    first of them, and the first ones of linked fingerprints."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("lead"))
+    same = nodes.join(first, "fp").where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    lead = lambda side: first.select(F.col("fp").alias(f"{side}_fp"), F.col("lead").alias(side))
+    found = simhash.links(first.select("fp")).select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp"))
+    return same.unionByName(found.join(lead("a"), "a_fp").join(lead("b"), "b_fp").select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, near: int = 8, block: int = 64) -> DataFrame:
-    """(doc_id, component_id): the smallest doc_id reachable over links.
+    """(doc_id, row_key, root, component_id): the class, and the smallest doc_id reachable over links.
 
     Sets are made anew from the texts wherever they are needed, since all of them would take more room than the texts.
     """
-    made = stored(sets(docs).select("doc_id", "node"), "shingles")
-    nodes = stored(made.groupBy("node").agg(F.min("doc_id").alias("first")), "shingle-nodes")
-    copies = made.where("doc_id IS NOT NULL").join(nodes, "node").where("doc_id != first").select("doc_id").distinct()
-    unique = without_ids(docs, copies)  # rows with the id of a copy go, unless their own set would be lost
-    lost = nodes.join(without_ids(made, copies).select("node").distinct(), "node", "left_anti")
-    again = stored(lost.select(F.col("first").alias("doc_id")).distinct(), "shingle-again")
-    if not again.isEmpty():
-        unique = unique.unionByName(docs.join(again, "doc_id", "left_semi"))
+    made = stored(sets(docs).select("doc_id", "row_key", "node", "fp"), "shingles")
+    order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key")
+    nodes = stored(made.groupBy("node", "fp").agg(F.min("doc_id").alias("first"), F.min(order).alias("kept")), "shingle-nodes")
+    kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("row_key") == F.col("kept.row_key"))
+    copies = made.join(nodes.select("node", "fp", "kept"), ["node", "fp"]).where(~kept).select("doc_id", "row_key").distinct()
+    unique = without_rows(docs, copies)
     last = common(unique, nodes.count())
     met = stored(neighbours(indexed(sets(unique), last), near), "shingle-pairs")
-    pairs = met.where("key IS NULL").select("a", "b").distinct()
+    pairs = stored(met.where("key IS NULL").select("a", "b").unionByName(fingerprint_pairs(nodes.select("node", "fp"))).distinct(), "shingle-candidates")
     links = stored(verified(pairs, needed(unique, pairs.select(F.explode(F.array("a", "b")).alias("node")))), "shingle-links")
     roots = components(links)
     crowded = stored(met.where("key IS NOT NULL").select("key").distinct(), "shingle-crowded")
@@ -224,6 +224,6 @@ def near_duplicates(docs: DataFrame, near: int = 8, block: int = 64) -> DataFram
         open_lists = stored(held.join(todo, "key"), "shingle-open")
         links = links.unionByName(stored(compared(open_lists, needed(unique, open_lists.select("node")), block), "shingle-links"))
         roots = components(links)
-    member = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    member = nodes.groupBy("node").agg(F.min("first").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     groups = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    return made.join(member.join(groups, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return made.join(member.join(groups, "root").select("node", "root", "component_id"), "node").select("doc_id", "row_key", "root", "component_id")

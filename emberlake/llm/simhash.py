@@ -28,41 +28,54 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import stored, without_ids
+from emberlake.llm.common import row_key, stored, without_rows
 from emberlake.llm.graph import components
 
 SEED = 42
 WORDS = 3
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
+    """The hashes of all shingles of a text, repeats included; none without words."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= words:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = np.concatenate([[0], gaps[: len(gaps) - words + 1] + 1]).tolist()
     ends = np.append(gaps[words - 1 :], len(joined)).tolist()
-    n = len(ends)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(ends))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint that these hashes give."""
+    n = len(hashes)
+    if n < 2:
+        return int(hashes[0]) if n else 0
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and the fingerprint's bits as a signed long."""
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """The unsigned fingerprint of one text."""
+    return folded(shingle_hashes(text, words))
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, rows: bool = False) -> DataFrame:
+    """doc_id, row_key if asked for, and the fingerprint's bits as a signed long."""
+    names = ["doc_id"] + ["row_key"] * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.fromiter((fingerprint(t or "", words) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            made = np.fromiter((fingerprint(t or "", words) for t in b.column(len(names)).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(made.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    keys = [F.col("doc_id").cast("long").alias("doc_id")] + [row_key(docs).alias("row_key")] * rows
+    return docs.select(*keys, "text").mapInArrow(run, "doc_id long, row_key long, fp long" if rows else "doc_id long, fp long")
 
 
 def variants(rows: DataFrame, width: int) -> DataFrame:
@@ -159,26 +172,30 @@ def links(distinct: DataFrame, bits: int = 3, limit: int = 4096) -> DataFrame:
     return out.distinct()
 
 
-def near_duplicates(docs: DataFrame, bits: int = 3, words: int = WORDS, limit: int = 4096) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
-    marked = stored(fingerprints(docs, words), "simhash")
+def near_duplicates(docs: DataFrame, bits: int = 3, words: int = WORDS, limit: int = 4096, rows: bool = False) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links); with ``rows`` also row_key and root, the class."""
+    marked = stored(fingerprints(docs, words, rows), "simhash")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp"), bits, limit))
     member = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     groups = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = member.join(groups, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = member.join(groups, "root").select("fp", "component_id", "root")
+    return marked.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["row_key", "root"] * rows)
 
 
 def one_of_each(docs: DataFrame, bits: int = 3, found: DataFrame | None = None) -> DataFrame:
-    """The documents without near-duplicates of smaller id; ``found`` (doc_id, component_id) replaces those by fingerprints.
+    """One row of each near-duplicate class; ``found`` (doc_id, row_key, root) replaces the classes by fingerprints.
 
-    Rows without id stay, since nothing tells them apart; of the rows with one id, one stays.
+    The row of smallest doc_id stays (rows without id come last), of several rows with that id the one with
+    the smallest ``row_key``, of rows equal in id and text any one.
     """
-    found = near_duplicates(docs, bits) if found is None else found
-    left = without_ids(docs, found.where("doc_id != component_id").select("doc_id").distinct())
-    again = stored(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    found = near_duplicates(docs, bits, rows=True) if found is None else found
+    counted = stored(found.groupBy("doc_id", "row_key", "root").agg(F.count("*").alias("n")), "simhash-rows")
+    best = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key")).alias("best"))
+    marked = counted.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key")))
+    left = without_rows(docs, marked.where("NOT stays").select("doc_id", "row_key"))
+    again = stored(marked.where("stays AND n > 1").select("doc_id", "row_key"), "repeated")
     if again.isEmpty():
         return left
-    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return without_ids(left, again).unionByName(repeated)
+    same = (row_key(left) == again["row_key"]) & left["doc_id"].cast("long").eqNullSafe(again["doc_id"])
+    return without_rows(left, again).unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 
 #: The vocabulary as tokenizers reads it; beside it lies the same vocabulary as ranks, for tiktoken.
@@ -22,8 +23,8 @@ def encoder(path: str):
 
     Where the vocabulary also lies beside ``path`` as ranks, tiktoken merges (same ids, a
     fraction of the time); tokenizers takes what tiktoken refuses, and everything where
-    there are no ranks. Strings of special tokens count as ordinary text. Each Python worker
-    keeps one encoder.
+    there are no ranks or a text holds the string of a special token, which is that token's id. Each
+    Python worker keeps one encoder.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -31,9 +32,7 @@ def encoder(path: str):
     def whole():
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
-        return made
+        return Tokenizer.from_file(path)
 
     ranks = f"{os.path.splitext(path)[0]}.tiktoken"
     if not os.path.exists(ranks):
@@ -42,6 +41,8 @@ def encoder(path: str):
     import public_tokenizers
     import tiktoken
 
+    with open(path, encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
     with open(ranks, "rb") as lines:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
@@ -50,7 +51,7 @@ def encoder(path: str):
         out = []
         for text in texts:
             try:
-                out.append(fast.encode_ordinary(text))
+                out.append(whole().encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text))
             except Exception:  # e.g. white space too long for its pattern engine
                 out.append(whole().encode(text, add_special_tokens=False).ids)
         return out

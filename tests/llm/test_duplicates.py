@@ -64,13 +64,19 @@ def test_crowded_variants_are_cut_further(spark):
         assert {found.get(x) for x in signed} == ({min(signed)} if len(signed) > 1 else {None})
 
 
-def test_one_of_each(docs, texts):
+def test_one_of_each(spark, docs, texts):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     found = simhash.near_duplicates(docs)
     want = {r.doc_id for r in found.where("doc_id = component_id").collect()}
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert set(ids) - {None} == want and len([i for i in ids if i is not None]) == len(want) and None in ids
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(want)
+
+
+def test_one_of_each_drops_rows_and_not_ids(spark):
+    a, b = "the quick brown fox jumps over it", "nothing of this stands anywhere else at all"
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, a), (None, "alone " * 5), (None, "alone " * 5)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(3, a), (5, b), (None, "alone " * 5)], key=repr)
 
 
 def test_no_documents(empty):

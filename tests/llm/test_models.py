@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from emberlake.llm import decontam, katz, quality, toxicity
+from emberlake.llm import labelled as labelled_rows
 from tests.llm.conftest import prose
 
 STEMS = ["gruk", "blart", "snivex"]
@@ -62,12 +63,75 @@ def test_toxicity_without_labels(labelled):
     assert toxicity.score(docs.selectExpr("doc_id", "'good day' as text").limit(1), model).first().predicted == 0
 
 
-def test_label_model_finds_the_reliable_voter():
+def test_label_model_finds_the_reliable_voter_without_using_labels_as_votes():
     rng = np.random.default_rng(0)
     y = (rng.random(3000) < 0.4).astype(int)
     votes = np.column_stack([np.where(rng.random(3000) < acc, y, 1 - y) for acc in (0.95, 0.6, 0.6, 0.55)]).astype(float)
-    p = toxicity.posterior(votes, y, trust=0.55)
-    assert np.mean((p > 0.5) == y) > 0.93
+    known = np.where(np.arange(3000) < 400, y, -1)
+    model = toxicity.label_model(votes, known)
+    p = toxicity.posterior(votes, model)
+    assert 0.93 < np.mean((p > 0.5) == y) < 0.99 and np.mean((p[:400] > 0.5) == y[:400]) < 1
+    flipped = toxicity.posterior(votes[:1], model)  # the same votes, the same posterior, whatever the label
+    assert flipped[0] == p[0]
+
+
+def plain_label_model(votes, known, parent, rounds, weight):
+    """The same estimates by loops over rows and voters."""
+    def m_step(p, w):
+        table, rate = {}, {}
+        for y in (0, 1):
+            q = [wi * (pi if y else 1 - pi) for wi, pi in zip(w, p, strict=True)]
+            for j in range(len(votes[0])):
+                rate[y, j] = (sum(qi * v[j] for qi, v in zip(q, votes, strict=True)) + 0.1) / (sum(q) + 1)
+                for b in (0, 1):
+                    seen = [sum(qi for qi, v in zip(q, votes, strict=True) if parent[j] >= 0 and v[j] == a and v[parent[j]] == b) for a in (0, 1)]
+                    for a in (0, 1):
+                        own = rate[y, j] if a else 1 - rate[y, j]
+                        table[y, j, b, a] = (seen[a] + own) / (sum(seen) + 1)
+        prior = (sum(wi * pi for wi, pi in zip(w, p, strict=True)) + 1) / (sum(w) + 2)
+        return prior, table
+
+    def joint(model, y, v):
+        prior, table = model
+        return (prior if y else 1 - prior) * math.prod(table[y, j, v[parent[j]] if parent[j] >= 0 else 0, v[j]] for j in range(len(v)))
+
+    p = [max(k, 0) for k in known]
+    model = m_step(p, [float(k >= 0) for k in known])
+    for _ in range(rounds):
+        p = [k if k >= 0 else joint(model, 1, v) / (joint(model, 0, v) + joint(model, 1, v)) for k, v in zip(known, votes, strict=True)]
+        model = m_step(p, [1.0 if k >= 0 else weight for k in known])
+    return model, joint
+
+
+def test_label_model_equals_plain_loops_and_sums_to_one():
+    rng = np.random.default_rng(3)
+    y = (rng.random(200) < 0.5).astype(int)
+    first = np.where(rng.random(200) < 0.8, y, 1 - y)
+    votes = np.column_stack([first, np.where(rng.random(200) < 0.95, first, 1 - first), rng.random(200) < 0.2 + 0.5 * y, rng.random(200) < 0.3]).astype(float)
+    known = np.where(np.arange(200) < 80, y, -1)
+    model = toxicity.label_model(votes, known, rounds=4)
+    assert model.parent[1] == 0 and (model.parent[[0, 2, 3]] == -1).all()  # the copying voter leans on the one it copies
+    plain, joint = plain_label_model(votes.astype(int).tolist(), known.tolist(), model.parent.tolist(), 4, toxicity.UNLABELLED_WEIGHT)
+    every = [[k >> j & 1 for j in range(4)] for k in range(16)]
+    assert sum(joint(plain, c, v) for v in every for c in (0, 1)) == pytest.approx(1)
+    assert np.allclose(toxicity.posterior(np.array(every, float), model), [joint(plain, 1, v) / (joint(plain, 0, v) + joint(plain, 1, v)) for v in every])
+    # A voter that copies another hardly changes what is believed.
+    alone = toxicity.posterior(votes[:, [0, 2, 3]], toxicity.label_model(votes[:, [0, 2, 3]], known, rounds=0))
+    assert np.abs(alone - toxicity.posterior(votes, toxicity.label_model(votes, known, rounds=0))).mean() < 0.05
+
+
+def test_samples_are_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(k, "x") for k in range(2, 60)] + [(None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, toxic int")
+    for made, most in ((labelled_rows.training_sample(docs, labels, "toxic", 10), 10), (labelled_rows.unlabelled_sample(docs, labels, "toxic", 12), 12)):
+        rows = made.collect()
+        assert len(rows) == len({r.doc_id for r in rows}) == most and not any(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
+
+
+def test_not_toxic_keeps_the_callers_columns(labelled):
+    docs, labels = labelled
+    kept = toxicity.not_toxic(docs.selectExpr("*", "0.25 as toxicity_score"), toxicity.fit(docs, labels))
+    assert kept.columns == ["doc_id", "text", "toxicity_score"] and {float(r.toxicity_score) for r in kept.collect()} == {0.25}
 
 
 def test_quality_held_out(labelled):

@@ -14,9 +14,32 @@ from emberlake.llm.tokens import encoder, vocabulary_path
 def reference_ids(text):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(vocabulary_path())
-    made.encode_special_tokens = True
-    return made.encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(vocabulary_path()).encode(text or "", add_special_tokens=False).ids + [0]
+
+
+def test_ids_of_a_whole_table_are_those_of_tokenizers(spark, folder):
+    from tokenizers import Tokenizer
+
+    texts = [r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    want = Tokenizer.from_file(vocabulary_path()).encode_batch(texts, add_special_tokens=False)
+    assert encoder(vocabulary_path())(texts) == [x.ids for x in want]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n\t", "don't", "ÀÉ", "日本", "🙂", "12345", "!?", "\u00a0", "x" * 40]), max_size=12))
+def test_ids_of_generated_texts_are_those_of_tokenizers(parts):
+    assert encoder(vocabulary_path())(["".join(parts)])[0] + [0] == reference_ids("".join(parts))
+
+
+def test_special_tokens_are_one_id():
+    assert encoder(vocabulary_path())(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
+
+
+def test_packing_pads_little(spark, folder):
+    rows = packing.pack_documents(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    held = sum(r.length for r in rows)
+    sequences = len({r.sequence_id for r in rows})
+    assert held > 0.97 * 1024 * sequences
 
 
 def test_fast_ids_are_those_of_tokenizers():
