@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
 written as Parquet and read again as the next one's docs. All but the last return the columns of
-``documents``. Rows without doc_id can't be named by the stages that join on ids, so those keep them.
+``documents``. Rows are told apart by doc_id and text.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class (five-word shingles, similarity 0.8 or more, exactly) the document of smallest id stays."""
+    """Of each near-duplicate class (SimHash variants, then the exact search; five-word shingles, similarity 0.8 or more) the document of smallest id stays."""
     docs = docs.select(*COLUMNS)
     return simhash.one_of_each(docs, found=stored(shingles.near_duplicates(docs), "near-duplicates"))
 
