@@ -7,11 +7,12 @@ dropped from its pages; the other lines stay in order, joined as before.
 Counts: each page sends a line once, partial sums meet before the shuffle, so a line that a third
 of all pages share is one row per task. A host with P pages of L lines on average has at most
 L / ratio boilerplate lines; the table of all hosts' lines is broadcast while it has at most
-``broadcast_lines`` rows, else pages meet their host's list in a shuffled join.
+``broadcast_lines`` rows, else pages meet their host's list in a shuffled join. There a host of more
+than a ``SPLITS``-th of all pages is dealt out over as many tasks as its share takes, its list copied to each.
 
 Defined results: blank lines are kept and never counted; a null text stays null and has no lines;
 a null host is a host of its own; repeated rows are pages of their own; an empty table gives an
-empty result. With ``keep_emptied`` a page that consists of boilerplate only stays as it is: such
+empty result; columns of the caller that are called n_lines or n_dropped are replaced. With ``keep_emptied`` a page that consists of boilerplate only stays as it is: such
 pages are copies, which copy detection handles.
 """
 
@@ -20,8 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm.common import stored
+
 RATIO = 0.02
 LEAST_PAGES = 3
+#: A host of more than this part of all pages is dealt out.
+SPLITS = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -53,18 +58,31 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     return counts.join(totals, ["host", "nameless"]).where(F.col("n") > ratio * F.col("pages")).select("host", "nameless", "key")
 
 
+def large_hosts(pages: DataFrame) -> DataFrame:
+    """(large_host, salts) of the hosts of more than a SPLITS-th of all pages: fewer than SPLITS rows, whatever the size."""
+    counts = stored(pages.groupBy("host").agg(F.count("*").alias("pages")), "host-pages")
+    all_pages = counts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    return counts.where(F.col("pages") * SPLITS > all_pages).select(F.col("host").alias("large_host"), F.ceil(F.col("pages") * SPLITS / F.lit(max(1, all_pages))).cast("int").alias("salts"))
+
+
 def drop_boilerplate(
     pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_lines: int = 200_000, keep_emptied: bool = False
 ) -> DataFrame:
     """``pages`` (with columns host and text) with text rid of boilerplate, n_lines and n_dropped (of lines not blank)."""
-    per_host = boilerplate(pages, ratio, least_pages).groupBy("host", "nameless").agg(F.collect_list("key").alias("keys")).cache()
+    per_host = boilerplate(pages, ratio, least_pages).groupBy("host", "nameless").agg(F.collect_list("key").alias("keys"))
+    per_host = stored(per_host, "boilerplate")
     total = per_host.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     lists = per_host.select(F.col("host").alias("at"), F.col("nameless").alias("no_name"), "keys")
-    if total <= broadcast_lines:
-        lists = F.broadcast(lists)
     # The page travels as one column, so none of its names can clash with those made here.
     whole = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.col("host").alias("page_host"), F.col("text").alias("page_text"))
-    joined = whole.join(lists, (F.coalesce("page_host", F.lit("")) == F.col("at")) & (F.col("page_host").isNull() == F.col("no_name")), "left")
+    same_host = (F.coalesce("page_host", F.lit("")) == F.col("at")) & (F.col("page_host").isNull() == F.col("no_name"))
+    if total <= broadcast_lines:
+        joined = whole.join(F.broadcast(lists), same_host, "left")
+    else:
+        salts = large_hosts(pages)
+        dealt = whole.join(F.broadcast(salts), F.col("page_host").eqNullSafe(F.col("large_host")), "left").withColumn("salt", F.pmod(F.xxhash64("page_text"), F.coalesce("salts", F.lit(1))).cast("int"))
+        copied = lists.join(F.broadcast(salts), F.when(~F.col("no_name"), F.col("at")).eqNullSafe(F.col("large_host")), "left").withColumn("list_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        joined = dealt.drop("large_host", "salts").join(copied.drop("large_host", "salts"), same_host & (F.col("salt") == F.col("list_salt")), "left")
     split = joined.withColumn("all_lines", F.split("page_text", "\n"))
     kept = F.filter("all_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("keys", line_key(F.trim(x))))
     cleaned = split.withColumn("kept_lines", F.when(F.col("keys").isNull(), F.col("all_lines")).otherwise(kept))

@@ -1,13 +1,16 @@
 """SimHash near-dedup and line dedup against plain versions."""
 
+import random
 import re
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from emberlake.llm import linededup, simhash
 from emberlake.llm.graph import components
+from tests.llm.conftest import prose
 
 
 def plain_fingerprint(text):
@@ -104,3 +107,20 @@ def test_hosts_and_html(spark):
     assert [r.h for r in rows.select(linededup.host_of(F.col("u")).alias("h")).collect()] == ["www.a.org", "", ""]
     html = spark.createDataFrame([("<p>a<b>b</b></p><script>x</script><div>c</div><!-- d --><br/>e",)], "h string")
     assert [x for x in html.select(linededup.html_lines(F.col("h")).alias("t")).first().t.split("\n") if x] == ["ab", "c", "e"]
+
+
+def test_pipeline_drops_a_line_spread_over_many_sources(spark):
+    """One in a hundred documents of each of 8 sources holds the line; a line that is rarer than the ratio stays."""
+    rng = random.Random(6)
+    docs = []
+    for k in range(4000):
+        text = prose(rng, 25)
+        if k // 8 % 100 == 0:
+            text += "\nThis line stands in documents of every source."
+        if k in (17, 1200):
+            text += "\nThis line stands twice."
+        docs.append((k, text, "en", f"s{k % 8}", len(text)))
+    kept = corpus_pipeline.drop_boilerplate_lines(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    texts = {r.doc_id: r.text for r in kept}
+    assert len(texts) == 4000 and not any("every source" in t for t in texts.values()) and all("stands twice" in texts[k] for k in (17, 1200))
+    assert all(texts[k] == "\n".join(x for x in t.split("\n") if "every source" not in x) for k, t, *_ in docs)

@@ -39,7 +39,7 @@ def test_pipeline_stage_by_stage(spark, folder):
         totals[r.source] = totals.get(r.source, 0) + 1
         for x in {x.strip(" ") for x in (r.text or "").split("\n")} - {""}:
             counts[r.source, x] = counts.get((r.source, x), 0) + 1
-    drop = {k for k, n in counts.items() if n >= linededup.LEAST_PAGES and n > linededup.RATIO * totals[k[0]]}
+    drop = {k for k, n in counts.items() if n >= linededup.LEAST_PAGES and n > corpus_pipeline.LINE_RATIO * totals[k[0]]}
     texts = {r.doc_id: r for r in lines.collect()}
     for r in clean.collect():
         kept = [x for x in r.text.split("\n") if (r.source, x.strip(" ")) not in drop]
