@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from emberlake.llm import decontam, linededup, packing, shingles, simhash, toxicity
 from emberlake.llm.common import stored, table
 
+#: The share of a source's documents from which a line is boilerplate, chosen by the gap that README gives.
+LINE_RATIO = 0.005
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,7 +26,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate within their source go; a text of nothing else is a copy and stays for the next stage."""
-    cleaned = linededup.drop_boilerplate(docs.select(*COLUMNS, F.col("source").alias("host")), keep_emptied=True)
+    cleaned = linededup.drop_boilerplate(docs.select(*COLUMNS, F.col("source").alias("host")), LINE_RATIO, keep_emptied=True)
     return cleaned.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
