@@ -182,10 +182,11 @@ def few(rows: DataFrame, keys: DataFrame, name: str, bound: int = 1_000_000) ->
     return rows.join(F.broadcast(keys) if keys.count() <= bound else keys, name, "left_semi")
 
 
-def needed(unique: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes) of these nodes, stored."""
+def needed(unique: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(node, hashes) of these nodes, stored; only where whole rows are ``repeated`` can a node come twice."""
     nodes = stored(wanted.distinct(), "shingle-wanted")
-    return stored(few(sets(unique).select("node", "hashes"), nodes, "node").dropDuplicates(["node"]), "shingle-sets")
+    found = few(sets(unique).select("node", "hashes"), nodes, "node")
+    return stored(found.dropDuplicates(["node"]) if repeated else found, "shingle-sets")
 
 
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -209,10 +210,11 @@ def near_duplicates(docs: DataFrame, near: int = 8, block: int = 64) -> DataFram
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("row_key") == F.col("kept.row_key"))
     copies = made.join(nodes.select("node", "fp", "kept"), ["node", "fp"]).where(~kept).select("doc_id", "row_key").distinct()
     unique = without_rows(docs, copies)
+    repeated = not made.groupBy("doc_id", "row_key").count().where("count > 1").isEmpty()
     last = common(unique, nodes.count())
     met = stored(neighbours(indexed(sets(unique), last), near), "shingle-pairs")
     pairs = stored(met.where("key IS NULL").select("a", "b").unionByName(fingerprint_pairs(nodes.select("node", "fp"))).distinct(), "shingle-candidates")
-    links = stored(verified(pairs, needed(unique, pairs.select(F.explode(F.array("a", "b")).alias("node")))), "shingle-links")
+    links = stored(verified(pairs, needed(unique, pairs.select(F.explode(F.array("a", "b")).alias("node")), repeated)), "shingle-links")
     roots = components(links)
     crowded = stored(met.where("key IS NOT NULL").select("key").distinct(), "shingle-crowded")
     if not crowded.isEmpty():
@@ -222,7 +224,7 @@ def near_duplicates(docs: DataFrame, near: int = 8, block: int = 64) -> DataFram
         lists = held.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("root").alias("low"), F.max("root").alias("high"))
         todo = lists.where("low < high").groupBy("size", "mark").agg(F.min("key").alias("key")).select("key", "size")
         open_lists = stored(held.join(todo, "key"), "shingle-open")
-        links = links.unionByName(stored(compared(open_lists, needed(unique, open_lists.select("node")), block), "shingle-links"))
+        links = links.unionByName(stored(compared(open_lists, needed(unique, open_lists.select("node"), repeated), block), "shingle-links"))
         roots = components(links)
     member = nodes.groupBy("node").agg(F.min("first").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     groups = member.groupBy("root").agg(F.min("first").alias("component_id"))

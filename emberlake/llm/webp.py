@@ -5,13 +5,17 @@ back-references with the short-distance map, the colour cache, and the predictor
 subtract-green and palette transforms, which it inverts in reverse order. ``encode`` writes it,
 with any of these tools. Both work on pixel arrays of shape (height, width, 4) in RGBA order.
 
-Images of one group of literal codes (what ``encode`` makes without further tools) are decoded
-without a loop over bits: for every bit position of a stretch the length of a pixel that starts there
-comes from tables, and one walk from pixel to pixel finds those that really do. Stretches are
-bounded, so memory doesn't grow with the image beyond its own size.
+``stored_form`` chooses the tools by the content: texts are grey images, a byte a pixel, with
+subtract-green, or a palette (up to 16 different bytes, several to a pixel), and back-references; where that takes fewer
+bits by an estimate, four bytes make a pixel, with a predictor, cross-colour, subtract-green or the colour cache.
+
+Images of one group of codes without a colour cache are decoded without a loop over bits: for every bit
+position of a stretch the length of a token that starts there comes from tables, and one walk from
+token to token finds those that really do. Stretches are bounded, so what a stretch needs is bounded; an image takes
+some 40 bytes a pixel while it is decoded.
 
 Defined results: a null text is empty; an empty text is one block of zeros; texts of up to 1 GiB
-fill one image each; equal texts give equal rows; repeated rows each give a row; an empty table
+fill one image each, longer ones raise an error; equal texts give equal rows; repeated rows each give a row; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -215,8 +219,13 @@ def image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
             made[key] = Code(lengths)
         return made[key]
 
-    if groups == 1 and not cache_bits and not read[0][0][256:].any():
-        return literals(r, [ready_code(x[:256]) for x in read[0][:4]], width * height)
+    if groups == 1 and not cache_bits:
+        if not read[0][0][256:].any():
+            return literals(r, [ready_code(x[:256]) for x in read[0][:4]], width * height)
+        fixed = [ready_code(x) for x in read[0][1:4]]
+        if not any(c.bits for c in fixed):
+            red, blue, alpha = (int(c.symbols[0]) for c in fixed)
+            return copies(r, ready_code(read[0][0]), ready_code(read[0][4]), width, width * height) << 8 | alpha << 24 | red << 16 | blue
     ready = [[ready_code(x) for x in g] for g in read]
     out, cache = np.zeros(width * height, np.int64), [0] * (1 << cache_bits)
     k, known, n = 0, 0, width * height  # pixels before ``known`` are in the cache
@@ -253,6 +262,9 @@ def image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
 def literals(r: Reader, group: list[Code], n: int) -> np.ndarray:
     """``n`` pixels of literal codes, in the order green, red, blue, alpha."""
     channels, done = np.zeros((4, n), np.int64), 0
+    if not any(c.bits for c in group):
+        channels[:] = np.array([c.symbols[0] for c in group])[:, None]
+        done = n
     one = all(c is group[0] for c in group)
     while done < n:
         first = r.at >> 3
@@ -283,8 +295,6 @@ def literals(r: Reader, group: list[Code], n: int) -> np.ndarray:
                 break
             append(p)
             p = walk[p]
-        if not found and not any(c.bits for c in group):
-            found = [min(p, end - 1)] * (n - done)  # pixels without bits at the end of the data
         if not found or p > end:
             raise ValueError("the stream ends early")
         where = np.array(found)
@@ -298,6 +308,74 @@ def literals(r: Reader, group: list[Code], n: int) -> np.ndarray:
     return alpha << 24 | red << 16 | green << 8 | blue
 
 
+def number_parts(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What prefix symbols of lengths or distances stand for before their extra bits are added, and how many those are."""
+    extra = np.maximum(0, (symbol - 2) >> 1)
+    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + 1), extra
+
+
+def copies(r: Reader, code: Code, distances: Code, width: int, n: int) -> np.ndarray:
+    """``n`` green values of an image whose other channels are constant, with back-references."""
+    out, done = bytearray(n), 0
+    near = np.array([max(1, dx + dy * width) for dx, dy in SHORT_DISTANCES])
+    while done < n:
+        first = r.at >> 3
+        raw = np.frombuffer(r.data, np.uint8, min(STRETCH // 8 + 16, len(r.data) - first), first)
+        size = len(raw)
+        wide = np.zeros(size + 3, np.int64)
+        wide[:size] = raw
+        value = ((wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24)[:, None] >> EIGHT).ravel()
+        end = len(value)
+        seen = value & code.mask
+        symbol = code.symbols[seen]
+        jump = np.arange(end) + code.lengths[seen]
+        back = np.flatnonzero(symbol >= 256)
+        length, extra = number_parts(symbol[back].astype(np.int64) - 256)
+        at = jump[back]
+        length = length + (value.take(at, mode="clip") & ((1 << extra) - 1))
+        at = at + extra
+        seen = value.take(at, mode="clip") & distances.mask
+        at = at + distances.lengths[seen]
+        distance, extra = number_parts(distances.symbols[seen].astype(np.int64))
+        distance = distance + (value.take(at, mode="clip") & ((1 << extra) - 1))
+        jump[back] = at + extra
+        walk, p, found = memoryview(jump), r.at & 7, []
+        last = end - 64 if first + size < len(r.data) else end  # a token has at most 58 bits
+        append = found.append
+        while p < last:
+            append(p)
+            p = walk[p]
+        where = np.array(found, np.int64)
+        if not len(where):
+            raise ValueError("the stream ends early")
+        which = symbol[where] >= 256
+        taken = np.ones(len(where), np.int64)
+        place = np.searchsorted(back, where[which])
+        taken[which] = length[place]
+        stops = done + np.cumsum(taken)
+        used = int(np.searchsorted(stops, n)) + 1  # tokens up to the one that fills the image
+        if used <= len(where):
+            where, which, taken, stops = where[:used], which[:used], taken[:used], stops[:used]
+            place = place[: int(which.sum())]
+        starts = stops - taken
+        target = np.frombuffer(out, np.uint8)
+        target[starts[~which]] = symbol[where[~which]]
+        code_of = distance[place]
+        real = np.where(code_of > 120, code_of - 120, near[np.minimum(code_of, 120) - 1])
+        begin = starts[which]
+        if (real > begin).any() or int(stops[-1]) > n or jump[where[-1]] > end:
+            raise ValueError("a back-reference leaves the image" if jump[where[-1]] <= end else "the stream ends early")
+        view = memoryview(out)
+        for s, k, d in zip(begin.tolist(), taken[which].tolist(), real.tolist(), strict=True):
+            if d >= k:
+                view[s : s + k] = view[s - d : s - d + k]
+            else:
+                view[s : s + k] = (bytes(view[s - d : s]) * (k // d + 1))[:k]
+        done = int(stops[-1])
+        r.at = 8 * first + int(jump[where[-1]])
+    return np.frombuffer(out, np.uint8).astype(np.int64)
+
+
 # ---- transforms, on uint8 arrays (height, width, ARGB) ----
 
 
@@ -495,13 +573,7 @@ def packed_codes(argb: np.ndarray, lengths: list[np.ndarray], at: int) -> tuple[
             s = argb >> shift & 255
             value |= table[s] << size.astype(np.uint64)
             size += own[s]
-    ends = at + np.cumsum(size)
-    start = ends - size
-    words = np.zeros((int(ends[-1]) + 127) // 64, np.uint64)
-    low = (start & 63).astype(np.uint64)
-    np.bitwise_or.at(words, start >> 6, value << low)
-    np.bitwise_or.at(words, (start >> 6) + 1, (value >> np.uint64(1)) >> (np.uint64(63) - low))
-    return words, int(ends[-1])
+    return scattered(value, size, at)
 
 
 def write_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False) -> tuple[np.ndarray, int] | None:
@@ -635,11 +707,14 @@ def encode(
         px[..., 1] -= px[..., 2]
         px[..., 3] -= px[..., 2]
     w.bits(0, 1)
-    rest = write_image(w, numbers(px), px.shape[1], True, cache_bits, references)
-    if rest is None:
+    return framed(w, *(write_image(w, numbers(px), px.shape[1], True, cache_bits, references) or (None, 0)))
+
+
+def framed(w: Writer, words: np.ndarray | None, end: int) -> bytes:
+    """The file of what ``w`` holds and of ``words`` after it, which begin in its last 64 bits and end at bit ``end``."""
+    if words is None:
         body = w.value.to_bytes((w.size + 7) // 8, "little")
     else:
-        words, end = rest
         whole = w.size - (w.size & 63)
         words[0] |= np.uint64(w.value >> whole)
         body = (w.value & ((1 << whole) - 1)).to_bytes(whole // 8, "little") + words.tobytes()[: (end + 7) // 8]
@@ -648,6 +723,240 @@ def encode(
     return b"RIFF" + (len(padded) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(chunk).to_bytes(4, "little") + padded
 
 
+# ---- choosing tools ----
+
+#: Back-references copy at least so many bytes, and at most MOST; FARTHEST is the format's reach.
+LEAST, MOST, FARTHEST = 8, 4096, (1 << 20) - 120
+#: Pixels up to which the colour cache is considered: its tokens are written one by one.
+CACHED = 1 << 16
+
+
+def repeats(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of copies in ``v``, in order and without overlap.
+
+    Each position's eight bytes are looked up at their latest earlier place; neighbours of equal
+    distance are one copy.
+    """
+    none = np.zeros(0, np.int64)
+    n = len(v) - LEAST + 1
+    if n < 2:
+        return none, none, none
+    words = np.lib.stride_tricks.sliding_window_view(v, LEAST).copy().view("<u8").ravel()
+    room = np.uint64((1 << max(20, n.bit_length())) - 1)
+    # Sorted by a hash of the words, then by place, without sorting indices.
+    order = (np.sort(words * np.uint64(0x9E3779B97F4A7C15) & ~room | np.arange(n, dtype=np.uint64)) & room).astype(np.int64)
+    same = words[order[1:]] == words[order[:-1]]
+    distance = np.zeros(n, np.int64)
+    distance[order[1:][same]] = order[1:][same] - order[:-1][same]
+    distance[distance > FARTHEST] = 0
+    edge = np.flatnonzero(np.diff(distance)) + 1
+    begin = np.concatenate([[0], edge])
+    stop = np.concatenate([edge, [n]])
+    kept = distance[begin] > 0
+    rows, at = [], 0
+    for a, z, d in zip(begin[kept].tolist(), stop[kept].tolist(), distance[begin[kept]].tolist(), strict=True):
+        a, z = max(a, at), z + LEAST - 1
+        while z - a >= LEAST:
+            k = min(MOST, z - a)
+            rows.append((a, k, d))
+            a += k
+            at = a
+    if not rows:
+        return none, none, none
+    found = np.array(rows, np.int64)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def number_symbols(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols, extra bits and their count of lengths or distances."""
+    less = np.maximum(v - 1, 1)
+    top = np.frexp(less.astype(float))[1].astype(np.int64) - 1
+    extra = np.where(v > 4, top - 1, 0)
+    return np.where(v > 4, 2 * top + (less >> extra & 1), v - 1), np.where(v > 4, less & ((1 << extra) - 1), 0), extra
+
+
+def scattered(value: np.ndarray, size: np.ndarray, at: int) -> tuple[np.ndarray, int]:
+    """Values of so many bits each, one after another, as 64-bit words, from bit ``at`` of the first, and where they end."""
+    ends = at + np.cumsum(size)
+    start = ends - size
+    words = np.zeros((int(ends[-1]) + 127) // 64, np.uint64)
+    low = (start & 63).astype(np.uint64)
+    np.bitwise_or.at(words, start >> 6, value << low)
+    np.bitwise_or.at(words, (start >> 6) + 1, (value >> np.uint64(1)) >> (np.uint64(63) - low))
+    return words, int(ends[-1])
+
+
+class GreenImage:
+    """An image of which only the green channel varies, as tokens with back-references."""
+
+    def __init__(self, green: np.ndarray, width: int) -> None:
+        begin, length, distance = repeats(green)
+        literal = np.ones(len(green), bool)
+        step = np.zeros(len(green) + 1, np.int64)
+        step[begin] += 1
+        np.add.at(step, begin + length, -1)
+        literal = np.cumsum(step[:-1]) == 0
+        near = np.zeros(16 * width + 16, np.int64)
+        for k, (dx, dy) in reversed(list(enumerate(SHORT_DISTANCES, 1))):
+            near[max(1, dx + dy * width)] = k
+        short = near[np.minimum(distance, len(near) - 1)] * (distance < len(near))
+        self.parts = [number_symbols(length), number_symbols(np.where(short > 0, short, distance + 120))]
+        self.position = np.concatenate([np.flatnonzero(literal), begin])
+        self.symbols = np.concatenate([green[literal].astype(np.int64), 256 + self.parts[0][0]])
+        self.n_copies = len(begin)
+        self.lengths = [code_lengths(np.bincount(self.symbols, minlength=280), 12), code_lengths(np.bincount(self.parts[1][0], minlength=40), 10)]  # short tables
+        if np.count_nonzero(self.lengths[0]) == 1 and self.lengths[0][256:].any():
+            self.lengths[0][0] = 1  # a lone symbol beyond the simple form's reach gets company
+        self.sizes = [np.where(np.count_nonzero(x) > 1, x, 0) for x in self.lengths]
+        self.bits = int(self.sizes[0][self.symbols].sum() + self.parts[0][2].sum() + self.sizes[1][self.parts[1][0]].sum() + self.parts[1][2].sum())
+
+    def write(self, w: Writer, alpha: int) -> tuple[np.ndarray, int]:
+        w.bits(0, 2)  # neither a colour cache nor several groups
+        w.code_lengths(self.lengths[0])
+        w.bits(0b0001, 4)  # red and blue: the one symbol 0
+        w.bits(0b0001, 4)
+        w.bits(0b101 | alpha << 3, 11)
+        if self.n_copies:
+            w.code_lengths(self.lengths[1])
+        else:
+            w.bits(0b0001, 4)
+        table, far = (codes(x).astype(np.uint64) for x in self.sizes)
+        value, size = table[self.symbols], self.sizes[0][self.symbols]
+        if self.n_copies:
+            mine = slice(len(self.symbols) - self.n_copies, None)
+            (_, extra, bits), (symbol, more, more_bits) = self.parts
+            v, k = value[mine].copy(), size[mine].copy()
+            for part, width in ((extra, bits), (far[symbol], self.sizes[1][symbol]), (more, more_bits)):
+                v |= part.astype(np.uint64) << k.astype(np.uint64)
+                k += width
+            value[mine], size[mine] = v, k
+        order = np.argsort(self.position)
+        return scattered(value[order], size[order], w.size & 63)
+
+
+def grey_form(samples: np.ndarray) -> tuple[GreenImage, bytes, list[str]]:
+    """A file of grey pixels (height, width), a byte each, and its tools."""
+    height, width = samples.shape
+    w = Writer()
+    w.bits(width - 1, 14)
+    w.bits(height - 1, 14)
+    w.bits(0, 4)  # opaque, version 0
+    table = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    if len(table) <= 16:
+        bits = packing_bits(len(table))
+        w.bits(1 | PALETTE << 1, 3)
+        w.bits(len(table) - 1, 8)
+        grey = table.astype(np.int64)
+        step = np.diff(grey, prepend=0)
+        colours = (step << 16 | step << 8 | step) | np.where(np.arange(len(grey)) == 0, 0xFF000000, 0)
+        write_image(w, colours, len(table), False)
+        index = np.searchsorted(table, samples)
+        across = -(-width >> bits)
+        index = np.pad(index, ((0, 0), (0, (across << bits) - width))).reshape(height, across, 1 << bits)
+        green = (index << (np.arange(1 << bits) * (8 >> bits))).sum(axis=2).astype(np.uint8).ravel()
+        width, tools = across, ["palette"]
+    else:
+        w.bits(1 | SUBTRACT_GREEN << 1, 3)
+        green, tools = samples.ravel(), ["subtract_green"]
+    w.bits(0, 1)
+    image = GreenImage(green, width)
+    return image, framed(w, *image.write(w, 255)), tools + ["references"] * (image.n_copies > 0)
+
+
+def entropy_bits(px: np.ndarray) -> float:
+    """The bits that the four channels of pixels take with a code each."""
+    flat, out = px.reshape(-1, 4), 0.0
+    for c in range(4):
+        counts = np.bincount(flat[:, c], minlength=256)
+        counts = counts[counts > 0]
+        out += len(flat) * np.log2(len(flat)) - float((counts * np.log2(counts)).sum())
+    return out
+
+
+def slope(a: np.ndarray, b: np.ndarray) -> int:
+    """The cross-colour element that makes ``b`` follow ``a`` best, both as signed bytes."""
+    a, b = a.view(np.int8).ravel().astype(float), b.view(np.int8).ravel().astype(float)
+    return int(np.clip(np.round(32 * (a @ b) / max(1.0, a @ a)), -128, 127)) & 255
+
+
+def spread(px: np.ndarray) -> float:
+    """The sum of the bytes' sizes, as signed numbers: small where bytes lie around zero."""
+    return float(np.abs(px.view(np.int8).astype(np.int16)).sum())
+
+
+def residual(px: np.ndarray, mode: int) -> np.ndarray:
+    """What the left (1) or the upper (2) predictor leaves of a whole image."""
+    out = px.copy()
+    out[0, 1:] -= px[0, :-1]
+    if mode == 1:
+        out[1:, 1:] -= px[1:, :-1]
+        out[1:, 0] -= px[:-1, 0]
+    else:
+        out[1:] -= px[:-1]
+    out[0, 0, 0] += 1
+    return out
+
+
+def four_form(rgba: np.ndarray, less_than: float) -> tuple[float, dict, list[str]]:
+    """The estimated bits, the encoder options and their names that suit an image of four bytes a pixel best.
+
+    A tool is only costed where it brings bytes closer to zero than the mean of each channel does, and
+    none where a code for each channel takes more than ``less_than`` bits, half of the bytes
+    differ from their left and upper neighbours and few colours come again.
+    """
+    px = np.ascontiguousarray(rgba[..., [3, 0, 1, 2]])
+    height, width, _ = px.shape
+    plain = entropy_bits(px)
+    colours, counts = np.unique(px.view("<u4"), return_counts=True)
+    varied = len(colours) > height * width / 4
+    if varied and plain > less_than and all(np.count_nonzero(a != b) > 0.5 * px.size for a, b in ((px[:, 1:], px[:, :-1]), (px[1:], px[:-1]))):
+        return plain, {}, []
+    block = 9  # the largest blocks: one predictor and one element for up to 512 x 512 pixels
+    blocks = (-(-height >> block), -(-width >> block))
+    found: list[tuple[float, dict, list[str]]] = [(plain, {}, [])]
+    now, least = px, spread(px - px.reshape(-1, 4).mean(axis=0).astype(np.uint8))
+    for mode in (1, 2):
+        if (size := spread(left := residual(px, mode))) < least:
+            now, least = left, size
+            found.append((entropy_bits(left), {"modes": np.full(blocks, mode), "block": block}, ["predictor"]))
+    base = found[-1]
+    green = now.copy()
+    green[..., 1] -= green[..., 2]
+    green[..., 3] -= green[..., 2]
+    if spread(green) < least:
+        found.append((entropy_bits(green), base[1] | {"subtract_green": True}, [*base[2], "subtract_green"]))
+    element = np.zeros((*blocks, 4), np.uint8)
+    element[..., 0], element[..., 3], element[..., 2] = 255, slope(now[..., 2].copy(), now[..., 1].copy()), slope(now[..., 2].copy(), now[..., 3].copy())
+    strong = max(abs(int(x)) for x in element[0, 0, 2:].view(np.int8)) >= 8
+    if strong and spread(crossed := cross_colour(now, element, block, False)) < 0.9 * least:
+        found.append((entropy_bits(crossed), base[1] | {"elements": element, "block": block}, [*base[2], "cross_colour"]))
+    if height * width <= CACHED and not varied:
+        n = counts.sum()
+        told = n * np.log2(n) - float((counts * np.log2(counts)).sum())
+        found.append((told + found[0][0] * len(colours) / n, {"cache_bits": 10, "references": True}, ["cache", "references"]))
+    # Tables and small images that come with the tools take about as many bits as this.
+    return min(((bits + 300 * len(tools), options, tools) for bits, options, tools in found), key=lambda x: x[0])
+
+
+def stored_form(payload: bytes) -> tuple[bytes, list[str]]:
+    """The file of a payload and the tools that it uses."""
+    v = np.frombuffer(payload, np.uint8)
+    four = to_pixels(payload)
+    if len(v) > LONGEST**2 - LONGEST * BLOCK:
+        _, options, tools = four_form(four, np.inf)
+        return encode(four, **options), tools
+    across = -(-len(v) // BLOCK // LONGEST)
+    rows = -(-len(v) // (BLOCK * across))
+    image, data, grey_tools = grey_form(np.pad(v, (0, rows * across * BLOCK - len(v))).reshape(rows, across * BLOCK))
+    bits, options, tools = four_form(four, image.bits)
+    return (encode(four, **options), tools) if bits < image.bits else (data, grey_tools)
+
+
+def samples_of(data: bytes, rgba: np.ndarray) -> np.ndarray:
+    """The payload bytes, with what fills the last row: of opaque images one a pixel, else four."""
+    return rgba.reshape(-1) if data[24] >> 4 & 1 else rgba[..., 1].reshape(-1)
+
+
 # ---- media columns ----
 
 BLOCK = 64
@@ -674,12 +983,17 @@ def feature_of(samples: np.ndarray) -> str:
     steps = np.abs(np.diff(samples.astype(np.int16)))
     mean = float(counts @ np.arange(256) / len(samples))
     spread = float(max(0.0, counts @ (np.arange(256.0) ** 2) / len(samples) - mean * mean) ** 0.5)
-    return f"mean={mean:.4f};std={spread:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};step={float(steps.sum() / max(1, len(steps))):.4f}"
+    return f"mean={mean:.4f};std={spread:.4f};entropy={float(-(share * np.log2(share)).sum()) + 0.0:.4f};step={float(steps.sum() / max(1, len(steps))):.4f}"
 
 
-def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """Each text stored as a lossless image and read back: sizes, digests and a feature; the file itself if asked for."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * keep_media
+def media_columns(docs: DataFrame, keep_media: bool = False, keep_pixels: bool = False) -> DataFrame:
+    """Each text stored as a lossless image and read back: sizes, digests, a feature and the tools used; the file itself and the
+    pixel array (height x width x RGBA bytes, row by row) if asked for."""
+    kinds = {
+        "n_bytes": (pa.int64(), "long"), "payload_bytes": (pa.int64(), "long"), "payload_sha256": (pa.string(), "string"), "tail_crc32": (pa.int64(), "long"), "media_bytes": (pa.int64(), "long"),
+        "media_sha256": (pa.string(), "string"), "feature": (pa.string(), "string"), "height": (pa.int32(), "int"), "width": (pa.int32(), "int"), "tools": (pa.string(), "string"),
+    }
+    kinds |= ({"media": (pa.binary(), "binary")} if keep_media else {}) | ({"pixels": (pa.binary(), "binary")} if keep_pixels else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -687,13 +1001,20 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 part, rows = b.slice(k, 128), []
                 for text in part.column(1).to_pylist():
                     payload = payload_of(text or "")
-                    media = encode(to_pixels(payload))
-                    samples = decode(media).reshape(-1)[: len(payload)]
+                    media, tools = stored_form(payload)
+                    rgba = decode(media)
+                    samples = samples_of(media, rgba)[: len(payload)]
                     back = samples.tobytes()
-                    rows.append((len((text or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples), media))
-                columns = list(zip(*rows, strict=True))[: len(names) - 1]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names)
+                    row = {
+                        "n_bytes": len((text or "").encode()), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-BLOCK:]), "media_bytes": len(media),
+                        "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature_of(samples), "height": rgba.shape[0], "width": rgba.shape[1], "tools": "+".join(tools), "media": media,
+                    }
+                    rows.append(row | {"pixels": rgba.tobytes()} if keep_pixels else row)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[name] for r in rows], kind) for name, (kind, _) in kinds.items())], ["doc_id", *kinds])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{name} {kind}" for name, (_, kind) in kinds.items()))
+
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema + ", media binary" * keep_media)
+def write_pixels(docs: DataFrame, path: str) -> None:
+    """Writes doc_id, height, width and the decoded pixel array of every text as Parquet."""
+    media_columns(docs, keep_pixels=True).select("doc_id", "height", "width", "pixels").write.parquet(path)
