@@ -2,11 +2,14 @@
 
 import math
 import random
+import statistics
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from emberlake.llm import decontam, katz, quality, toxicity
 from emberlake.llm import labelled as labelled_rows
@@ -171,7 +174,11 @@ def plain_katz(rows):
 
     def weights(counts):
         n = Counter(counts.values())
-        return katz.weights_of([n[r] for r in range(1, katz.K + 2)])
+        points = [(math.log(r), math.log(n[r])) for r in range(1, 7) if n[r]]
+        b = -statistics.linear_regression(*zip(*points, strict=True)).slope if len(points) > 1 else 2.0
+        ratio = lambda r: (r + 1) * (r + 1) ** -max(b, 1.05) / (r * r ** -max(b, 1.05))
+        whole = 6 * 6 ** -max(b, 1.05)
+        return [0.0] + [r * (ratio(r) - whole) / (1 - whole) for r in range(1, 6)]
 
     total, wu, wb = sum(c.values()), weights(c), weights(pairs)
     cut = lambda x, w: x - katz.LARGE if x > katz.K else w[x]
@@ -184,6 +191,13 @@ def plain_katz(rows):
     return c, total, lambda t: sum(math.log10(prob(h, w)) for h, w in zip([0, *t], t, strict=False))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 10**6), min_size=6, max_size=6))
+def test_katz_weights_rise_with_counts(counts):
+    w = katz.weights_of(counts)
+    assert w[0] == 0 and all(0 < a < b for a, b in zip(w[1:], w[2:], strict=False)) and all(w[r] < r for r in range(1, katz.K + 1)) and w[-1] < katz.K + 1 - katz.LARGE
+
+
 @pytest.mark.parametrize("block_tokens,splits", [(1 << 20, 1000), (700, 1000), (700, 10**9)])
 def test_katz(docs, texts, block_tokens, splits, monkeypatch):
     monkeypatch.setattr(katz, "SPLITS", splits)
