@@ -21,6 +21,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import zlib
@@ -122,6 +123,11 @@ class Code:
         self.mask = (1 << self.bits) - 1
 
 
+@functools.lru_cache(maxsize=64)
+def known_code(lengths: bytes) -> Code:
+    return Code(np.frombuffer(lengths, np.int64))
+
+
 # ---- reading ----
 
 
@@ -212,12 +218,7 @@ def image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         groups = int(of_block.max()) + 1
     sizes = [256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40]
     read: list[list[np.ndarray]] = [[r.code_lengths(n) for n in sizes] for _ in range(groups)]
-    made: dict[bytes, Code] = {}
-
-    def ready_code(lengths: np.ndarray) -> Code:
-        if (key := lengths.tobytes()) not in made:
-            made[key] = Code(lengths)
-        return made[key]
+    ready_code = lambda lengths: known_code(lengths.tobytes())
 
     if groups == 1 and not cache_bits:
         if not read[0][0][256:].any():
@@ -339,13 +340,20 @@ def copies(r: Reader, code: Code, distances: Code, width: int, n: int) -> np.nda
         distance, extra = number_parts(distances.symbols[seen].astype(np.int64))
         distance = distance + (value.take(at, mode="clip") & ((1 << extra) - 1))
         jump[back] = at + extra
-        walk, p, found = memoryview(jump), r.at & 7, []
+        two = jump.take(jump, mode="clip")
+        walk, p, found = memoryview(two.take(two, mode="clip")), r.at & 7, []
         last = end - 64 if first + size < len(r.data) else end  # a token has at most 58 bits
         append = found.append
         while p < last:
             append(p)
             p = walk[p]
-        where = np.array(found, np.int64)
+        each = np.empty((len(found), 4), np.int64)  # four tokens a step
+        each[:, 0] = found
+        each[:, 1] = jump[each[:, 0]]
+        each[:, 2] = two[each[:, 0]]
+        each[:, 3] = jump.take(each[:, 2], mode="clip")
+        where = each.ravel()
+        where = where[: int(np.searchsorted(np.maximum.accumulate(where), last))]
         if not len(where):
             raise ValueError("the stream ends early")
         which = symbol[where] >= 256
@@ -742,8 +750,8 @@ def repeats(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n < 2:
         return none, none, none
     words = np.lib.stride_tricks.sliding_window_view(v, LEAST).copy().view("<u8").ravel()
-    room = np.uint64((1 << max(20, n.bit_length())) - 1)
     # Sorted by a hash of the words, then by place, without sorting indices.
+    room = np.uint64((1 << max(20, n.bit_length())) - 1)
     order = (np.sort(words * np.uint64(0x9E3779B97F4A7C15) & ~room | np.arange(n, dtype=np.uint64)) & room).astype(np.int64)
     same = words[order[1:]] == words[order[:-1]]
     distance = np.zeros(n, np.int64)
@@ -780,31 +788,52 @@ def scattered(value: np.ndarray, size: np.ndarray, at: int) -> tuple[np.ndarray,
     ends = at + np.cumsum(size)
     start = ends - size
     words = np.zeros((int(ends[-1]) + 127) // 64, np.uint64)
-    low = (start & 63).astype(np.uint64)
-    np.bitwise_or.at(words, start >> 6, value << low)
-    np.bitwise_or.at(words, (start >> 6) + 1, (value >> np.uint64(1)) >> (np.uint64(63) - low))
+    word, low = start >> 6, (start & 63).astype(np.uint64)
+    new = np.ones(len(word), bool)
+    new[1:] = word[1:] != word[:-1]
+    first = np.flatnonzero(new)
+    words[word[first]] = np.bitwise_or.reduceat(value << low, first)
+    over = np.flatnonzero((start & 63) + size > 64)  # the last of a word may go on in the next
+    words[word[over] + 1] |= value[over] >> (np.uint64(64) - low[over])
     return words, int(ends[-1])
 
 
+#: A flat code of distances, for images of so few copies that one of their own doesn't pay.
+FLAT = np.array([5] * 24 + [6] * 16)
+FLAT_CODES = codes(FLAT).astype(np.uint64)
+
+
+def written_code(lengths: np.ndarray) -> tuple[int, int]:
+    w = Writer()
+    w.code_lengths(lengths)
+    return w.value, w.size
+
+
+FLAT_BITS = written_code(FLAT)
+
+
 class GreenImage:
     """An image of which only the green channel varies, as tokens with back-references."""
 
     def __init__(self, green: np.ndarray, width: int) -> None:
         begin, length, distance = repeats(green)
-        literal = np.ones(len(green), bool)
-        step = np.zeros(len(green) + 1, np.int64)
+        step = np.zeros(len(green) + 1, np.int8)
         step[begin] += 1
-        np.add.at(step, begin + length, -1)
-        literal = np.cumsum(step[:-1]) == 0
+        step[begin + length] -= 1
+        literal = np.cumsum(step[:-1], dtype=np.int8) == 0
         near = np.zeros(16 * width + 16, np.int64)
         for k, (dx, dy) in reversed(list(enumerate(SHORT_DISTANCES, 1))):
             near[max(1, dx + dy * width)] = k
         short = near[np.minimum(distance, len(near) - 1)] * (distance < len(near))
         self.parts = [number_symbols(length), number_symbols(np.where(short > 0, short, distance + 120))]
-        self.position = np.concatenate([np.flatnonzero(literal), begin])
-        self.symbols = np.concatenate([green[literal].astype(np.int64), 256 + self.parts[0][0]])
+        at = np.flatnonzero(literal)
+        self.copies = np.searchsorted(at, begin) + np.arange(len(begin))  # where copies stand among the tokens
+        self.symbols = np.empty(len(at) + len(begin), np.int64)
+        told = np.ones(len(self.symbols), bool)
+        told[self.copies] = False
+        self.symbols[told], self.symbols[self.copies] = green[at], 256 + self.parts[0][0]
         self.n_copies = len(begin)
-        self.lengths = [code_lengths(np.bincount(self.symbols, minlength=280), 12), code_lengths(np.bincount(self.parts[1][0], minlength=40), 10)]  # short tables
+        self.lengths = [code_lengths(np.bincount(self.symbols, minlength=280), 12), FLAT if len(begin) < 256 else code_lengths(np.bincount(self.parts[1][0], minlength=40), 10)]  # short tables
         if np.count_nonzero(self.lengths[0]) == 1 and self.lengths[0][256:].any():
             self.lengths[0][0] = 1  # a lone symbol beyond the simple form's reach gets company
         self.sizes = [np.where(np.count_nonzero(x) > 1, x, 0) for x in self.lengths]
@@ -817,21 +846,20 @@ class GreenImage:
         w.bits(0b0001, 4)
         w.bits(0b101 | alpha << 3, 11)
         if self.n_copies:
-            w.code_lengths(self.lengths[1])
+            w.bits(*FLAT_BITS) if self.lengths[1] is FLAT else w.code_lengths(self.lengths[1])
         else:
             w.bits(0b0001, 4)
-        table, far = (codes(x).astype(np.uint64) for x in self.sizes)
+        table, far = codes(self.sizes[0]).astype(np.uint64), FLAT_CODES if self.lengths[1] is FLAT else codes(self.sizes[1]).astype(np.uint64)
         value, size = table[self.symbols], self.sizes[0][self.symbols]
         if self.n_copies:
-            mine = slice(len(self.symbols) - self.n_copies, None)
+            mine = self.copies
             (_, extra, bits), (symbol, more, more_bits) = self.parts
             v, k = value[mine].copy(), size[mine].copy()
             for part, width in ((extra, bits), (far[symbol], self.sizes[1][symbol]), (more, more_bits)):
                 v |= part.astype(np.uint64) << k.astype(np.uint64)
                 k += width
             value[mine], size[mine] = v, k
-        order = np.argsort(self.position)
-        return scattered(value[order], size[order], w.size & 63)
+        return scattered(value, size, w.size & 63)
 
 
 def grey_form(samples: np.ndarray) -> tuple[GreenImage, bytes, list[str]]:
@@ -897,20 +925,21 @@ def residual(px: np.ndarray, mode: int) -> np.ndarray:
     return out
 
 
-def four_form(rgba: np.ndarray, less_than: float) -> tuple[float, dict, list[str]]:
-    """The estimated bits, the encoder options and their names that suit an image of four bytes a pixel best.
+def four_form(rgba: np.ndarray, v: np.ndarray, less_than: float) -> tuple[float, dict, list[str]]:
+    """The estimated bits, the encoder options and their names that suit an image of four bytes a pixel (of the payload ``v``) best.
 
     A tool is only costed where it brings bytes closer to zero than the mean of each channel does, and
     none where a code for each channel takes more than ``less_than`` bits, half of the bytes
     differ from their left and upper neighbours and few colours come again.
     """
-    px = np.ascontiguousarray(rgba[..., [3, 0, 1, 2]])
-    height, width, _ = px.shape
-    plain = entropy_bits(px)
-    colours, counts = np.unique(px.view("<u4"), return_counts=True)
-    varied = len(colours) > height * width / 4
-    if varied and plain > less_than and all(np.count_nonzero(a != b) > 0.5 * px.size for a, b in ((px[:, 1:], px[:, :-1]), (px[1:], px[:-1]))):
+    height, width, _ = rgba.shape
+    plain = entropy_bits(rgba)
+    counts = np.sort(v.view("<u4"))
+    counts = np.diff(np.flatnonzero(counts[1:] != counts[:-1]), prepend=-1, append=len(counts) - 1)  # of each colour
+    varied = len(counts) > height * width / 4
+    if varied and plain > less_than and all(np.count_nonzero(v[k:] != v[:-k]) > 0.5 * len(v) for k in (4, 4 * width)[: 1 + (height > 1)]):
         return plain, {}, []
+    px = np.ascontiguousarray(rgba[..., [3, 0, 1, 2]])
     block = 9  # the largest blocks: one predictor and one element for up to 512 x 512 pixels
     blocks = (-(-height >> block), -(-width >> block))
     found: list[tuple[float, dict, list[str]]] = [(plain, {}, [])]
@@ -933,7 +962,7 @@ def four_form(rgba: np.ndarray, less_than: float) -> tuple[float, dict, list[str
     if height * width <= CACHED and not varied:
         n = counts.sum()
         told = n * np.log2(n) - float((counts * np.log2(counts)).sum())
-        found.append((told + found[0][0] * len(colours) / n, {"cache_bits": 10, "references": True}, ["cache", "references"]))
+        found.append((told + found[0][0] * len(counts) / n, {"cache_bits": 10, "references": True}, ["cache", "references"]))
     # Tables and small images that come with the tools take about as many bits as this.
     return min(((bits + 300 * len(tools), options, tools) for bits, options, tools in found), key=lambda x: x[0])
 
@@ -943,12 +972,12 @@ def stored_form(payload: bytes) -> tuple[bytes, list[str]]:
     v = np.frombuffer(payload, np.uint8)
     four = to_pixels(payload)
     if len(v) > LONGEST**2 - LONGEST * BLOCK:
-        _, options, tools = four_form(four, np.inf)
+        _, options, tools = four_form(four, v, np.inf)
         return encode(four, **options), tools
     across = -(-len(v) // BLOCK // LONGEST)
     rows = -(-len(v) // (BLOCK * across))
     image, data, grey_tools = grey_form(np.pad(v, (0, rows * across * BLOCK - len(v))).reshape(rows, across * BLOCK))
-    bits, options, tools = four_form(four, image.bits)
+    bits, options, tools = four_form(four, v, image.bits)
     return (encode(four, **options), tools) if bits < image.bits else (data, grey_tools)
 
 
