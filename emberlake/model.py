@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import types as T
 
 # Enumerations and lexicons of the model.
-EVENT_PREFIXES = ["agent", "llm", "tool", "observation", "system", "user", "workflow", "memory"]
+EVENT_PREFIXES = ["agent", "llm", "tool", "observation", "system", "user"]
 STATUSES = ["pending", "running", "completed", "failed", "timeout"]
 EDGE_TYPES = [
     "FOLLOWS", "CAUSED_BY", "SIMILAR_TO", "REFERENCES", "SUMMARIZES", "SAME_AS", "RELATED_TO", "HAS_PROFILE", "HAS_PREFERENCE", "HAS_SKILL", "DERIVED_FROM",
@@ -26,9 +26,9 @@ INTENTS = {
 }
 SEED_STRATEGIES = {
     "why": "causal_roots", "when": "temporal_anchors", "what": "entity_hubs", "who_is": "entity_hubs", "related": "similar_cluster", "how_does": "workflow_pattern",
-    "personalize": "user_profile", "general": "temporal_anchors",
+    "personalize": "user_profile", "general": "general",
 }
-#: Weight of the core edge types for each intent.
+#: Weight of the core edge types for each intent. Fixed values.
 INTENT_WEIGHTS = {
     "why": {"CAUSED_BY": 5.0, "FOLLOWS": 1.0, "SIMILAR_TO": 1.5, "REFERENCES": 2.0, "SUMMARIZES": 1.0},
     "when": {"CAUSED_BY": 1.0, "FOLLOWS": 5.0, "SIMILAR_TO": 0.5, "REFERENCES": 1.0, "SUMMARIZES": 0.5},
@@ -39,6 +39,7 @@ INTENT_WEIGHTS = {
     "how_does": {"CAUSED_BY": 2.0, "FOLLOWS": 3.0, "SIMILAR_TO": 1.0, "REFERENCES": 2.0, "SUMMARIZES": 1.0, "HAS_PROFILE": 1.0, "HAS_PREFERENCE": 2.0, "HAS_SKILL": 3.0, "EXHIBITS_PATTERN": 5.0, "INTERESTED_IN": 2.0, "ABOUT": 1.0, "DERIVED_FROM": 1.0, "ABSTRACTED_FROM": 4.0, "PARENT_SKILL": 1.0, "SAME_AS": 1.0, "RELATED_TO": 2.0},
     "personalize": {"CAUSED_BY": 1.0, "FOLLOWS": 0.5, "SIMILAR_TO": 1.5, "REFERENCES": 2.0, "SUMMARIZES": 1.0, "HAS_PROFILE": 4.0, "HAS_PREFERENCE": 5.0, "HAS_SKILL": 4.0, "EXHIBITS_PATTERN": 3.0, "INTERESTED_IN": 4.0, "ABOUT": 3.0, "DERIVED_FROM": 3.0, "ABSTRACTED_FROM": 1.0, "PARENT_SKILL": 2.0, "SAME_AS": 2.0, "RELATED_TO": 2.0},
 }
+#: The most confidence that a source can give, words of negation, aliases of names.
 CONFIDENCE_CEILINGS = {"explicit": 0.95, "implicit_intentional": 0.7, "implicit_unintentional": 0.5, "observed": 0.85, "declared": 0.95, "inferred": 0.6, "implicit": 0.7}
 NEGATIONS = ["no", "not", "never", "none", "nor", "neither", "without", "don't", "doesn't", "didn't", "won't", "can't", "isn't", "aren't", "wasn't", "weren't"]
 ALIASES = {
@@ -47,8 +48,11 @@ ALIASES = {
     "kubernetes": ["k8s"], "docker": ["docker.io"], "amazon web services": ["aws"], "google cloud platform": ["gcp"], "microsoft azure": ["azure"],
     "usps": ["us postal service", "united states postal service"], "fedex": ["federal express"], "csv": ["comma separated values", "comma-separated values"],
 }
-#: Hours after which half-life style stability counts, by preference category.
-PREFERENCE_STABILITY = {"tool": 720.0, "workflow": 720.0, "communication": 336.0, "domain": 336.0, "environment": 168.0, "style": 168.0}
+#: Hours over which a preference fades to 1/e, by category, and that of categories unheard of. Fixed values.
+PREFERENCE_STABILITY = {"communication": 720.0, "environment": 720.0, "tool": 336.0, "workflow": 336.0, "domain": 168.0, "style": 168.0}
+OTHER_STABILITY = 168.0
+#: What recency, strength and confidence weigh in a preference's score. Fixed values.
+PREFERENCE_WEIGHTS = (1.0, 0.8, 0.8)
 
 
 @dataclasses.dataclass(frozen=True)

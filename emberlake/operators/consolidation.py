@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,9 +14,18 @@ def episodes(ledger: DataFrame, gap_minutes: int = 30) -> DataFrame:
     return ledger.withColumn("starts", starts).withColumn("episode", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
 
 
-def summaries(events: DataFrame, scope: str, keys: list[str]) -> DataFrame:
-    """One summary for each group: a deterministic id, count, types, extent and text."""
-    ids = F.array_join(F.array_sort(F.collect_list("event_id")), "|")
+def sum_of_ids(name: str) -> Column:
+    """A digest of a group's ids in no order: exclusive or and sum of parts of their digests, which add up before the shuffle."""
+    part = lambda at, n: F.conv(F.substring(F.md5(name), at, n), 16, 10).cast("long")
+    return F.concat_ws("|", F.bit_xor(part(1, 15)).cast("string"), F.sum(part(16, 8)).cast("string"), F.count("*").cast("string"))
+
+
+def summaries(events: DataFrame, scope: str, keys: list[str], bounded: bool = True) -> DataFrame:
+    """One summary for each group: a deterministic id, count, types, extent and text.
+
+    The id is a digest of the group's sorted event ids; groups without a bound (``bounded`` false) take one that needs no list of them.
+    """
+    ids = F.array_join(F.array_sort(F.collect_list("event_id")), "|") if bounded else sum_of_ids("event_id")
     grouped = events.groupBy(*keys).agg(
         F.left(F.sha2(ids, 256), F.lit(12)).alias("summary_id"), F.count("*").alias("event_count"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("event_types"),
         F.min("occurred_us").alias("start_us"), F.max("occurred_us").alias("end_us"),

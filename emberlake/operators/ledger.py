@@ -53,12 +53,15 @@ def search(ledger: DataFrame, q: EventQuery) -> DataFrame:
 
 
 def page_after(events: DataFrame, us: int, event_id: str, n: int) -> DataFrame:
-    """The next ``n`` events behind a cursor, newest first, with has_more on each row."""
-    position = F.col("event_id").cast("long")
-    behind = events.where((F.col("occurred_us") < us) | ((F.col("occurred_us") == us) & (position < int(event_id))))
-    fetched = behind.orderBy(F.col("occurred_us").desc(), position.desc()).limit(n + 1)  # one more tells whether there is another page
-    rank = F.row_number().over(Window.orderBy(F.col("occurred_us").desc(), position.desc()))
-    return fetched.withColumns({"rn": rank, "has_more": F.count("*").over(Window.partitionBy()) > n}).where(F.col("rn") <= n).drop("rn")
+    """The next ``n`` events behind a cursor, newest first, with has_more on each row.
+
+    Ids of one moment are ordered by length, then as texts: numbers as numbers, and ids of one length as they are.
+    """
+    key, here = F.struct("occurred_us", F.length("event_id").alias("n"), "event_id"), F.struct(F.lit(us).cast("long"), F.lit(len(event_id)), F.lit(event_id))
+    order = [F.col("occurred_us").desc(), F.length("event_id").desc(), F.col("event_id").desc()]
+    fetched = events.where((F.col("occurred_us") <= us) & (key < here)).orderBy(*order).limit(n + 1)  # one more tells whether there is another page
+    numbered = fetched.withColumns({"rn": F.row_number().over(Window.orderBy(*order)), "has_more": F.count("*").over(Window.partitionBy()) > n})
+    return numbered.where(F.col("rn") <= n).drop("rn")
 
 
 def newest(ledger: DataFrame, n: int) -> DataFrame:

@@ -42,17 +42,45 @@ def matching_ratio(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", ratio double")
 
 
+#: Characters from common to rare; the others are the rarest. Only the order of a search depends on it.
+COMMON = " etaoinsrhldcumfpgwybvkxjqz"
+
+
+def likely_pairs(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+    """Distinct pairs (l, r) of texts (columns l and r) that can have a matching-block ratio of at least ``ratio``; none is lost.
+
+    2 M / (n + m) >= ratio means that M characters are shared, so m lies within n ratio / (2 - ratio) and its
+    inverse, and of the characters in one common order each text shares one among its first n - ceil(n ratio / (2 - ratio)) + 1
+    with the same of the other. The rarest characters come first, so few pairs meet.
+    """
+    least = ratio / (2 - ratio)
+
+    def indexed(df: DataFrame, name: str) -> DataFrame:
+        order = F.expr(f"array_sort(transform(filter(split({name}, ''), c -> c != ''), c -> named_struct('r', -locate(c, '{COMMON}'), 'c', c)))")
+        own = df.select(name).distinct().withColumn("o", order).withColumn("n", F.size("o"))
+        numbered = F.transform("o", lambda x, i: F.struct(x["c"].alias("c"), (i - F.array_position("o", x)).alias("k")))
+        kept = F.slice(numbered, 1, F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1))
+        return own.where("n > 0").select(name, F.col("n").alias(f"{name}_n"), F.explode(kept).alias("token"))
+
+    met = indexed(left, "l").join(indexed(right, "r"), "token").where((F.least("l_n", "r_n") >= least * F.greatest("l_n", "r_n") - 1e-9))
+    return met.select("l", "r").distinct()
+
+
 def fuzzy(new: DataFrame, known: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(name, target, action, confidence): nearest known name by matching blocks, among names of one first trigram and similar length.
+    """(name, target, action, confidence): the known name of the best ratio, if that is ``threshold`` or more.
 
-    A ratio of ``threshold`` bounds the lengths' quotient, so the length band loses nothing; the trigram is the block.
+    The ratio is the best over both names' normalised and canonical forms. Pairs that can't reach it are left out without loss.
     """
-    block = lambda df, p: df.select(F.col("name").alias(f"{p}_name"), F.col("entity_type").alias(f"{p}_type"), normalised(F.col("name")).alias(f"{p}_key"), F.left(normalised(F.col("name")), F.lit(3)).alias("block"))
-    pairs = block(new, "new").join(block(known, "known"), "block")
-    near = pairs.where(2 * F.least(F.length("new_key"), F.length("known_key")) >= threshold * (F.length("new_key") + F.length("known_key")))
-    hits = matching_ratio(near, "new_key", "known_key").where(F.col("ratio") >= threshold)
-    best = hits.groupBy("new_name", "new_type").agg(F.min_by(F.struct("known_name", "known_type", "ratio"), F.struct(-F.col("ratio"), "known_name")).alias("hit"))
-    return best.select(F.col("new_name").alias("name"), F.col("hit.known_name").alias("target"), F.when(F.col("new_type") == F.col("hit.known_type"), "SAME_AS").otherwise("RELATED_TO").alias("action"), F.round("hit.ratio", 4).alias("confidence"))
+
+    def spelt(df: DataFrame, name: str, form: str) -> DataFrame:
+        both = F.array_distinct(F.array(normalised(F.col("name")), canonical(F.col("name"))))
+        return df.select(F.col("name").alias(name), F.col("entity_type").alias(f"{name}_type"), F.explode(both).alias(form))
+
+    a, b = spelt(new, "new_name", "l"), spelt(known, "known_name", "r")
+    hits = matching_ratio(likely_pairs(a, b, threshold), "l", "r").where(F.col("ratio") >= threshold)
+    found = a.join(hits, "l").join(b, "r")
+    best = found.groupBy("new_name", "new_name_type").agg(F.min_by(F.struct("known_name", "known_name_type", "ratio"), F.struct(-F.col("ratio"), "known_name")).alias("hit"))
+    return best.select(F.col("new_name").alias("name"), F.col("hit.known_name").alias("target"), F.when(F.col("new_name_type") == F.col("hit.known_name_type"), "SAME_AS").otherwise("RELATED_TO").alias("action"), F.round("hit.ratio", 4).alias("confidence"))
 
 
 def preference_conflicts(preferences: DataFrame) -> DataFrame:
@@ -69,17 +97,26 @@ def preference_winner(conflicts: DataFrame) -> DataFrame:
 
 
 def belief_winner(pairs: DataFrame) -> DataFrame:
-    """(winner, loser): higher confidence, then later confirmation, then more confirmations, then b."""
-    order = lambda p: F.struct(F.col(f"{p}_confidence"), F.coalesce(F.col(f"{p}_us"), F.lit(0)), F.col(f"{p}_count"))
-    a_wins = order("a") > order("b")
+    """(winner, loser): higher confidence, then later confirmation where both times are known and differ, then more confirmations, then b."""
+    a, b = (lambda name: F.col(f"a_{name}")), (lambda name: F.col(f"b_{name}"))
+    timed = F.coalesce(a("us") != b("us"), F.lit(False))
+    a_wins = F.when(a("confidence") != b("confidence"), a("confidence") > b("confidence")).when(timed, a("us") > b("us")).otherwise(a("count") > b("count"))
     return pairs.select(F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("loser"))
 
 
 def belief_contradictions(beliefs: DataFrame) -> DataFrame:
-    """(a, b, ratio) of beliefs of one category and one first word whose texts are alike but not the same (ratio 0.6 to 0.95)."""
-    side = lambda p: beliefs.select(F.col("belief_id").alias(p), "category", F.split_part(F.lower("belief_text"), F.lit(" "), F.lit(1)).alias("head"), F.lower("belief_text").alias(f"{p}_text"))
-    pairs = side("a").join(side("b"), ["category", "head"]).where("a < b")
-    return matching_ratio(pairs, "a_text", "b_text").where("ratio BETWEEN 0.6 AND 0.95").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    """(a, b, ratio) of beliefs of one category whose texts are alike but not the same (ratio 0.6 to 0.95), whatever words they begin with.
+
+    Pairs that can't reach the ratio are left out by length and characters, without loss; long texts of one language
+    share most characters, so a category costs up to the square of its size, dealt out by character.
+    """
+    low = beliefs.select("belief_id", "category", F.lower("belief_text").alias("text"))
+    keyed = low.withColumn("text", F.concat("category", F.lit("\n"), "text"))
+    near = likely_pairs(keyed.select(F.col("text").alias("l")), keyed.select(F.col("text").alias("r")), 0.6).where("l <= r AND split_part(l, '\n', 1) = split_part(r, '\n', 1)")
+    bare = near.select("l", "r", F.regexp_replace("l", "^[^\n]*\n", "").alias("l_text"), F.regexp_replace("r", "^[^\n]*\n", "").alias("r_text"))
+    hits = matching_ratio(bare, "l_text", "r_text").where("ratio BETWEEN 0.6 AND 0.95").select("l", "r", "ratio")
+    found = hits.join(keyed.select(F.col("belief_id").alias("x"), F.col("text").alias("l")), "l").join(keyed.select(F.col("belief_id").alias("y"), F.col("text").alias("r")), "r")
+    return found.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("ratio", 6).alias("ratio"))
 
 
 def superseded(items: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:

@@ -52,6 +52,36 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(touched, "id", "left_anti")
 
 
+def prunable(nodes: DataFrame, now_us: int, r: Retention = Retention()) -> DataFrame:
+    """``nodes`` with their tier that its rule gives up: warm ones of low importance that nobody has read, cold ones of low importance and few reads, all of archive age."""
+    t, low = F.col("tier"), F.coalesce("importance_hint", F.lit(0)) < r.cold_importance
+    reads = F.coalesce("access_count", F.lit(0))
+    rule = F.when(t == "warm", low & (reads == 0)).when(t == "cold", low & (reads < r.cold_access)).otherwise(t == "archive")
+    return nodes.withColumn("tier", tier(now_us, r)).where(rule)
+
+
+#: Labels whose nodes go when no edge is left; profiles and summaries stay.
+ORPHAN_LABELS = ["Entity", "Preference", "Skill", "Workflow", "BehavioralPattern"]
+
+
+def orphan_sweep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label) of nodes of the five sweepable labels without any edge."""
+    return orphans(nodes.where(F.col("label").isin(ORPHAN_LABELS)), edges)
+
+
+def forget(events: DataFrame, edges: DataFrame, now_us: int, r: Retention = Retention()) -> tuple[DataFrame, DataFrame]:
+    """A forgetting run: events without cold ones of low importance and few reads and without those of archive age, and edges
+    (src, dst, edge_type, similarity) without weak SIMILAR_TO edges of events past the hot tier and without loose ends."""
+    kept = actions(events.withColumn("similarity", F.lit(None).cast("double")), now_us, r).where("action NOT IN ('delete', 'archive')").select(*events.columns)
+    gone = events.join(kept.select("event_id"), "event_id", "left_anti").select("event_id")
+    old = events.where(age_hours(now_us) > r.hot).select(F.col("event_id").alias("src"), F.lit(True).alias("old"))
+    weak = (F.col("edge_type") == "SIMILAR_TO") & (F.col("similarity") < r.warm_similarity) & F.col("old")
+    left = edges.join(old, "src", "left").where(~F.coalesce(weak, F.lit(False))).select(*edges.columns)
+    for end in ("src", "dst"):
+        left = left.join(gone.withColumnRenamed("event_id", end), end, "left_anti")
+    return kept, left.select(*edges.columns)
+
+
 def trim_point(progress: DataFrame, cutoff_ms: int) -> DataFrame:
     """One row (ms, seq): the earlier of the age cutoff and the slowest group's stream id; ``progress``: group, stream_id."""
     parts = progress.select(F.split_part("stream_id", F.lit("-"), F.lit(1)).cast("long").alias("ms"), F.split_part("stream_id", F.lit("-"), F.lit(2)).cast("long").alias("seq"))

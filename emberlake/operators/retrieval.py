@@ -88,14 +88,19 @@ def fused(lists: DataFrame, k: int = 60) -> DataFrame:
 
 
 def intents(queries: DataFrame) -> DataFrame:
-    """(qid, intent, confidence) of ``queries`` (qid, text): 0.4 a key word, at most 1, the best scaled to 1; without any, general at 0.5."""
+    """(qid, ordinal, intent, confidence) of ``queries`` (qid, text): 0.4 a key word, at most 1, the best scaled to 1; without any, general at 0.5.
+
+    One pass over each text and nothing between rows, so no shuffle.
+    """
     names = list(INTENTS)
-    hits = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("intent"), text.intent_hits(F.col("text"), n).alias("hits")) for i, n in enumerate(names)])
-    each = queries.select("qid", F.explode(F.filter(hits, lambda x: x["hits"] > 0)).alias("h")).select("qid", "h.*")
-    score = F.least(F.lit(1.0), F.col("hits") * 0.4)
-    found = each.select("qid", "ordinal", "intent", (score / F.max(score).over(Window.partitionBy("qid"))).alias("confidence"))
-    none = queries.select("qid").join(found.select("qid").distinct(), "qid", "left_anti").select("qid", F.lit(len(names)).alias("ordinal"), F.lit("general").alias("intent"), F.lit(0.5).alias("confidence"))
-    return found.unionByName(none)
+    found = queries.select("qid", text.intent_words(F.coalesce("text", F.lit(""))).alias("words"))
+    score = lambda n: F.least(F.lit(1.0), text.intent_hits(F.col("words"), n) * 0.4)
+    every = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("intent"), score(n).alias("score")) for i, n in enumerate(names)])
+    scored = found.select("qid", F.filter(every, lambda x: x["score"] > 0).alias("hits"))
+    best = F.array_max(F.transform("hits", lambda x: x["score"]))
+    some = F.transform("hits", lambda x: F.struct(x["ordinal"].alias("ordinal"), x["intent"].alias("intent"), (x["score"] / best).alias("confidence")))
+    none = F.array(F.struct(F.lit(len(names)).alias("ordinal"), F.lit("general").alias("intent"), F.lit(0.5).alias("confidence")))
+    return scored.select("qid", F.explode(F.when(F.size("hits") > 0, some).otherwise(none)).alias("h")).select("qid", "h.*")
 
 
 def edge_weights(found: DataFrame) -> DataFrame:
@@ -136,12 +141,24 @@ def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float =
     return joined.groupBy("id").agg(F.round(F.sum(part), 5).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
+#: Most query vectors that are sent to every task.
+SENT = 10_000
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, threshold: float, sent: int = SENT) -> DataFrame:
     """(qid, id, similarity, rank): the ``k`` nearest vectors of each query (qid, q) above a threshold.
 
-    A stated query set against all rows: the queries are sent to the vectors' tasks, each of which keeps its best.
+    A stated query set against all rows: up to ``sent`` queries go to the vectors' tasks; more are cut into blocks of about
+    that size, each of which meets all vectors.
     """
-    pairs = vectors.join(F.broadcast(queries)).select("qid", "id", F.round(scoring.cosine(F.col("vector"), F.col("q")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    n = queries.count()
+    if n <= sent:
+        met = vectors.join(F.broadcast(queries))
+    else:
+        blocks = -(-n // sent)
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+        met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block").drop("block")
+    pairs = met.select("qid", "id", F.round(scoring.cosine(F.col("vector"), F.col("q")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
     best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("similarity").desc(), "id")))
     return best.where(F.col("rank") <= k)
 
@@ -156,13 +173,13 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
 def mmr(candidates: DataFrame, n: int, diversity: float = 0.7) -> DataFrame:
     """Greedy maximal marginal relevance per query over ``candidates`` (qid, id, relevance, vector): (qid, id, rank, mmr).
 
-    Candidates of a query are a bounded page (at most 500), so a query is one task's small matrix.
+    All candidates of a query are ranked, in one task: pass a page of a bounded size.
     """
     import numpy as np
     import pandas as pd
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").head(500)
+        rows = rows.sort_values("id")
         v = np.stack(rows["vector"].to_numpy())
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         rel = rows["relevance"].to_numpy(float)
@@ -189,9 +206,10 @@ def bridges(session: DataFrame, ledger: DataFrame, references: DataFrame, sessio
     return found.select("event_id", "session_id", "entity_id", "occurred_us", "position").orderBy(F.col("occurred_us").desc(), F.col("position").desc()).limit(max(1, n // 5))
 
 
-def subgraph(ledger: DataFrame, references: DataFrame, similar: DataFrame, query: str, session_id: str, now_us: int, max_nodes: int = 100, seeds: int = 10) -> DataFrame:
+def subgraph(ledger: DataFrame, references: DataFrame, similar: DataFrame, query: str, session_id: str, now_us: int, max_nodes: int = 100, seeds: int = 10, owners: DataFrame | None = None) -> DataFrame:
     """The intent-aware subgraph of a session: seeds by strategy and text fused, their neighbours boosted, best first.
 
+    owners: entity_id of the entities with a profile or a preference, for questions about the user.
     Returns (id, source, decay, rank). The query's intents are computed from one row; all else is one plan.
     """
     spark = ledger.sparkSession
@@ -202,17 +220,31 @@ def subgraph(ledger: DataFrame, references: DataFrame, similar: DataFrame, query
     edges = projection.event_edges(session)
     chosen = {
         "causal_roots": lambda: causal_roots(session, edges, seeds), "temporal_anchors": lambda: temporal_anchors(session, seeds), "workflow_pattern": lambda: workflow_pattern(session, seeds),
-        "similar_cluster": lambda: similar_cluster(session, similar, seeds), "entity_hubs": lambda: hub_events(session, references, seeds), "user_profile": lambda: temporal_anchors(session, seeds),
+        "similar_cluster": lambda: similar_cluster(session, similar, seeds), "entity_hubs": lambda: hub_events(session, references, seeds), "user_profile": lambda: user_profile_seeds(session, references, owners, seeds), "general": lambda: newest(session, seeds),
     }[strategy]()
-    newest = ranked(session.select(F.col("event_id").alias("id"), "occurred_us", "position").orderBy(F.col("occurred_us").desc(), F.col("position").desc()).limit(seeds), F.col("occurred_us").desc(), F.col("position").desc())
-    fused_seeds = fused(chosen.select("id", "rank").unionByName(newest.select("id", "rank"))).orderBy(F.col("rrf").desc(), "id").limit(seeds)
+    fused_seeds = fused(chosen.select("id", "rank").unionByName(newest(session, seeds).select("id", "rank"))).orderBy(F.col("rrf").desc(), "id").limit(seeds)
     own = scored_events(session.join(F.broadcast(fused_seeds.withColumnRenamed("id", "event_id")), "event_id", "left_semi"), now_us).select(F.col("event_id").alias("id"), "decay")
     weight = F.coalesce(F.try_element_at(text.literal_map(weights), F.col("edge_type")), F.lit(1.0))
     near = graph.neighbours(edges, own.select("id"), 50).where("dst IS NOT NULL").select(F.col("dst").alias("event_id"), weight.alias("w")).groupBy("event_id").agg(F.max("w").alias("w"))
     around = scored_events(session, now_us).join(near, "event_id").select(F.col("event_id").alias("id"), scoring.boosted(F.col("decay"), F.col("w")).alias("decay"))
     both = own.withColumn("source", F.lit("seed")).unionByName(around.join(own.select("id"), "id", "left_anti").withColumn("source", F.lit("neighbour")))
-    top = both.orderBy(F.col("decay").desc(), F.col("id").cast("long")).limit(max_nodes)
-    return ranked(top.select("id", "source", F.round("decay", 6).alias("decay")), F.col("decay").desc(), F.col("id").cast("long"))
+    top = both.orderBy(F.col("decay").desc(), F.length("id"), "id").limit(max_nodes)
+    return ranked(top.select("id", "source", F.round("decay", 6).alias("decay")), F.col("decay").desc(), F.length("id"), F.col("id"))
+
+
+def newest(session: DataFrame, n: int) -> DataFrame:
+    """The newest events."""
+    order = [F.col("occurred_us").desc(), F.col("position").desc()]
+    return ranked(session.select(F.col("event_id").alias("id"), "occurred_us", "position").orderBy(*order).limit(n), *order)
+
+
+def user_profile_seeds(session: DataFrame, references: DataFrame, owners: DataFrame | None, n: int) -> DataFrame:
+    """Events that refer to most entities with a profile or a preference; without any such entity, none."""
+    if owners is None:
+        owners = references.select(F.col("dst").alias("entity_id")).limit(0)
+    linked = references.join(owners.select(F.col("entity_id").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("src").alias("event_id")).agg(F.count("*").alias("links"))
+    order = [F.col("links").desc(), F.col("occurred_us").desc(), F.col("position").desc()]
+    return ranked(session.join(linked, "event_id").select(F.col("event_id").alias("id"), "links", "occurred_us", "position").orderBy(*order).limit(n), *order)
 
 
 def hub_events(session: DataFrame, references: DataFrame, n: int) -> DataFrame:

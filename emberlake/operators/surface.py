@@ -102,9 +102,9 @@ def forgotten(nodes: DataFrame, now_us: int, r) -> DataFrame:
 
 
 def capped_ids(found: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` ids, with whether there were more: a dry run's report."""
-    top = found.select("event_id").orderBy(F.col("event_id").cast("long")).limit(most + 1)
-    rn = F.row_number().over(Window.orderBy(F.col("event_id").cast("long")))
+    """The first ``most`` ids, by length and text, with whether there were more: a dry run's report."""
+    top = found.select("event_id").orderBy(F.length("event_id"), "event_id").limit(most + 1)
+    rn = F.row_number().over(Window.orderBy(F.length("event_id"), "event_id"))
     return top.withColumns({"rn": rn, "truncated": F.count("*").over(Window.partitionBy()) > most}).where(F.col("rn") <= most).drop("rn")
 
 

@@ -110,7 +110,7 @@ def _(t):
     return checked.agg(F.count_if(F.size("errors") == 0).alias("accepted"), F.count_if(F.size("errors") > 0).alias("rejected"))
 
 
-@query("known_prefixes", "SELECT split_part(event_type, '.', 1) AS prefix, split_part(event_type, '.', 1) IN ('agent','llm','tool','observation','system','user','workflow','memory') AS known, count(*) AS n FROM ledger GROUP BY ALL")
+@query("known_prefixes", "SELECT split_part(event_type, '.', 1) AS prefix, split_part(event_type, '.', 1) IN ('agent', 'tool', 'llm', 'observation', 'system', 'user') AS known, count(*) AS n FROM ledger GROUP BY ALL")
 def _(t):
     prefix = F.substring_index("event_type", ".", 1)
     return t.ledger.groupBy(prefix.alias("prefix"), ledger.known_prefix(F.col("event_type")).alias("known")).agg(F.count("*").alias("n"))
@@ -283,19 +283,19 @@ def _(t):
 
 
 LINEAGE = """, walk(start, node, depth) AS (
-  SELECT src, dst, 1 FROM caused WHERE CAST(src AS BIGINT) % 10 = 0
+  SELECT src, dst, 1 FROM caused
   UNION ALL SELECT w.start, c.dst, w.depth + 1 FROM walk w JOIN caused c ON c.src = w.node WHERE w.depth < 10)
 """
 
 
 @query("lineage_paths", LINEAGE + "SELECT start, node AS ancestor, depth FROM walk")
 def _(t):
-    return graph.lineage(projection.caused_by(t.ledger), t.ledger.where("position % 10 = 0").select(F.col("event_id").alias("id")), 10)
+    return graph.lineage(projection.caused_by(t.ledger), t.ledger.select(F.col("event_id").alias("id")), 10)
 
 
 @query("lineage_depth_hist", LINEAGE + "SELECT depth, count(*) AS n FROM walk GROUP BY depth")
 def _(t):
-    return graph.lineage(projection.caused_by(t.ledger), t.ledger.where("position % 10 = 0").select(F.col("event_id").alias("id")), 10).groupBy("depth").agg(F.count("*").alias("n"))
+    return graph.lineage(projection.caused_by(t.ledger), t.ledger.select(F.col("event_id").alias("id")), 10).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 @query("seed_causal_roots", f"SELECT event_id AS id, row_number() OVER (ORDER BY n DESC, position) AS rank FROM (SELECT l.event_id, l.position, count(*) AS n FROM ledger l JOIN caused c ON c.dst = l.event_id WHERE l.session_id = '{SESSION}' GROUP BY ALL) ORDER BY rank LIMIT 10")
@@ -428,24 +428,24 @@ def _(t):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query("vector_topk", "SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS similarity FROM embeddings e JOIN embeddings q ON q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) <= 10", model=False)
+@query("vector_topk", "SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS similarity FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) <= 10", model=False)
 def _(t):
     e = t.read("embeddings")
-    found = retrieval.vector_search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 10, -1.0)
+    found = retrieval.vector_search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 10, -1.0)
     return found.select("qid", "id", "similarity")
 
 
-@query("entity_vector_seeds", "SELECT q.entity_id AS qid, e.entity_id AS id, round(list_cosine_similarity(e.vector, q.vector), 6) AS similarity FROM evec e JOIN evec q ON q.k IN (3, 40) WHERE round(list_cosine_similarity(e.vector, q.vector), 6) >= 0.5 QUALIFY row_number() OVER (PARTITION BY q.k ORDER BY similarity DESC, e.entity_id) <= 10")
+@query("entity_vector_seeds", "SELECT q.entity_id AS qid, e.entity_id AS id, round(list_cosine_similarity(e.vector, q.vector), 6) AS similarity FROM evec e JOIN evec q ON q.k % 50 = 0 WHERE round(list_cosine_similarity(e.vector, q.vector), 6) >= 0.5 QUALIFY row_number() OVER (PARTITION BY q.k ORDER BY similarity DESC, e.entity_id) <= 10")
 def _(t):
     v = t.entity_vectors
-    found = retrieval.vector_search(v.select(F.col("entity_id").alias("id"), "vector"), v.where("k IN (3, 40)").select(F.col("entity_id").alias("qid"), F.col("vector").alias("q")), 10, 0.5)
+    found = retrieval.vector_search(v.select(F.col("entity_id").alias("id"), "vector"), v.where("k % 50 = 0").select(F.col("entity_id").alias("qid"), F.col("vector").alias("q")), 10, 0.5)
     return found.select("qid", "id", "similarity")
 
 
 @query("mmr_rerank")
 def _(t):
     v = t.entity_vectors
-    seeds = v.where("k IN (3, 40)").select(F.col("entity_id").alias("qid"), F.col("vector").alias("q"))
+    seeds = v.where("k % 50 = 0").select(F.col("entity_id").alias("qid"), F.col("vector").alias("q"))
     near = retrieval.vector_search(v.select(F.col("entity_id").alias("id"), "vector"), seeds, 20, -1.0)
     return retrieval.mmr(near.join(v.select(F.col("entity_id").alias("id"), "vector"), "id").select("qid", "id", F.col("similarity").alias("relevance"), "vector"), 10)
 
@@ -508,9 +508,9 @@ def _(t):
     return found.where("id != canonical").select(F.col("id").alias("src"), F.col("canonical").alias("dst"))
 
 
-@query("entity_cluster_3hop", COMPONENTS + ", h1 AS (SELECT entity_id AS start, entity_id AS id FROM entities WHERE k % 10 = 0), h2 AS (SELECT * FROM h1 UNION SELECT h1.start, e.b FROM h1 JOIN both_ways e ON e.a = h1.id), h3 AS (SELECT * FROM h2 UNION SELECT h2.start, e.b FROM h2 JOIN both_ways e ON e.a = h2.id), h4 AS (SELECT * FROM h3 UNION SELECT h3.start, e.b FROM h3 JOIN both_ways e ON e.a = h3.id) SELECT start, count(DISTINCT h4.id) AS members, count(src) AS events FROM h4 LEFT JOIN refs ON dst = h4.id GROUP BY start")
+@query("entity_cluster_3hop", COMPONENTS + ", h1 AS (SELECT entity_id AS start, entity_id AS id FROM entities), h2 AS (SELECT * FROM h1 UNION SELECT h1.start, e.b FROM h1 JOIN both_ways e ON e.a = h1.id), h3 AS (SELECT * FROM h2 UNION SELECT h2.start, e.b FROM h2 JOIN both_ways e ON e.a = h2.id), h4 AS (SELECT * FROM h3 UNION SELECT h3.start, e.b FROM h3 JOIN both_ways e ON e.a = h3.id) SELECT start, count(DISTINCT h4.id) AS members, count(src) AS events FROM h4 LEFT JOIN refs ON dst = h4.id GROUP BY start")
 def _(t):
-    reached = graph.cluster_within(same_as(t), t.entities.where("k % 10 = 0").select(F.col("entity_id").alias("id")))
+    reached = graph.cluster_within(same_as(t), t.entities.select(F.col("entity_id").alias("id")))
     return reached.join(t.references, reached["id"] == F.col("dst"), "left").groupBy("start").agg(F.countDistinct("id").alias("members"), F.count("src").alias("events"))
 
 
@@ -552,9 +552,16 @@ def _(t):
     return consolidation.summaries(t.ledger, "session", ["session_id"])
 
 
-@query("agent_summaries", f"SELECT 'agent' AS scope, agent_id, {SUMMARY} FROM ledger GROUP BY agent_id")
+#: The id of groups without a bound: a digest that adds up.
+LOOSE_SUMMARY = SUMMARY.replace(
+    "left(sha256(string_agg(event_id, '|' ORDER BY event_id)), 12)",
+    "left(sha256(bit_xor(CAST('0x' || left(md5(event_id), 15) AS BIGINT)) || '|' || CAST(sum(CAST('0x' || substr(md5(event_id), 16, 8) AS BIGINT)) AS BIGINT) || '|' || count(*)), 12)",
+)
+
+
+@query("agent_summaries", f"SELECT 'agent' AS scope, agent_id, {LOOSE_SUMMARY} FROM ledger GROUP BY agent_id")
 def _(t):
-    return consolidation.summaries(t.ledger, "agent", ["agent_id"])
+    return consolidation.summaries(t.ledger, "agent", ["agent_id"], bounded=False)
 
 
 @query("reconsolidate_candidates", "SELECT session_id, count(*) AS events FROM ledger GROUP BY ALL HAVING count(*) * 5 >= 350")
@@ -680,10 +687,17 @@ def _(t):
     return resolution.superseded(prefs, resolution.preference_winner(resolution.preference_conflicts(prefs)), "preference_id").where("superseded_by IS NULL").select("preference_id")
 
 
-@query("belief_resolution", "SELECT CASE WHEN (a.importance_hint, a.occurred_us, a.access_count) > (b.importance_hint, b.occurred_us, b.access_count) THEN a.event_id ELSE b.event_id END AS winner, CASE WHEN (a.importance_hint, a.occurred_us, a.access_count) > (b.importance_hint, b.occurred_us, b.access_count) THEN b.event_id ELSE a.event_id END AS loser FROM ledger a JOIN ledger b ON b.session_id = a.session_id AND b.seq = a.seq + 1 WHERE a.importance_hint IS NOT NULL AND b.importance_hint IS NOT NULL")
+BELIEFS = ", beliefs AS (SELECT session_id, seq, event_id, importance_hint AS c, CASE WHEN position % 7 <> 0 THEN occurred_us END AS us, access_count AS n FROM ledger WHERE importance_hint IS NOT NULL)"
+A_WINS = "(a.c > b.c OR (a.c = b.c AND CASE WHEN a.us IS NOT NULL AND b.us IS NOT NULL AND a.us <> b.us THEN a.us > b.us ELSE a.n > b.n END))"
+
+
+@query("belief_resolution", f"{BELIEFS} SELECT CASE WHEN {A_WINS} THEN a.event_id ELSE b.event_id END AS winner, CASE WHEN {A_WINS} THEN b.event_id ELSE a.event_id END AS loser FROM beliefs a JOIN beliefs b ON b.session_id = a.session_id AND b.seq = a.seq + 1")
 def _(t):
-    side = lambda p: t.ledger.where("importance_hint IS NOT NULL").select("session_id", F.col("seq").alias(f"{p}_seq"), F.col("event_id").alias(p), F.col("importance_hint").alias(f"{p}_confidence"), F.col("occurred_us").alias(f"{p}_us"), F.col("access_count").alias(f"{p}_count"))
-    return resolution.belief_winner(side("a").join(side("b"), "session_id").where("b_seq = a_seq + 1"))
+    known = F.when(F.col("position") % 7 != 0, F.col("occurred_us"))
+    rows = t.ledger.where("importance_hint IS NOT NULL")
+    side = lambda p: rows.select("session_id", F.col("seq").alias(f"{p}_seq"), F.col("event_id").alias(p), F.col("importance_hint").alias(f"{p}_confidence"), known.alias(f"{p}_us"), F.col("access_count").alias(f"{p}_count"))
+    before = side("a").withColumn("b_seq", F.col("a_seq") + 1)
+    return resolution.belief_winner(before.join(side("b"), ["session_id", "b_seq"]))
 
 
 @query("alias_resolution", f"WITH n AS (SELECT *, coalesce(m.whole, {sql.normalised('name')}) AS key FROM {literal(NAMES, 'ordinal, name, entity_type')} LEFT JOIN (VALUES {sql.ALIAS_ROWS}) AS m(alias, whole) ON m.alias = {sql.normalised('name')}) SELECT x.name, x.entity_type, CASE WHEN x.entity_type = y.entity_type THEN 'MERGE' ELSE 'SAME_AS' END AS action, y.name AS target, CASE WHEN x.entity_type = y.entity_type THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM n x JOIN (SELECT * FROM n WHERE ordinal <= 8 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ordinal) = 1) y USING (key)", model=False)
@@ -705,8 +719,8 @@ def _(t):
 
 @query("belief_contradictions")
 def _(t):
-    beliefs = t.read("benchmark").select(F.col("item_id").alias("belief_id"), F.lit("fact").alias("category"), F.left("text", F.lit(40)).alias("belief_text"))
-    again = beliefs.select((F.col("belief_id") + 100_000).alias("belief_id"), "category", F.concat("belief_text", F.lit(" not so")).alias("belief_text"))
+    beliefs = t.read("benchmark").select(F.col("item_id").alias("belief_id"), (F.col("item_id") % 20).cast("string").alias("category"), F.col("text").alias("belief_text"))
+    again = beliefs.select((F.col("belief_id") + 100_000).alias("belief_id"), "category", F.concat(F.lit("It has been said before and told again, but it is not so: "), "belief_text").alias("belief_text"))
     return resolution.belief_contradictions(beliefs.unionByName(again))
 
 
@@ -748,31 +762,106 @@ def _(t):
     return t.ledger.groupBy("user_id", F.split_part("event_type", F.lit("."), F.lit(1)).alias("skill")).agg(F.count("*").alias("assessments"), F.round(F.avg(F.when(F.col("status") == "completed", 1.0).otherwise(0.0)), 6).alias("proficiency"))
 
 
-@query("pref_decay", f"SELECT 'pref:' || event_id AS preference_id, round(exp(-greatest(0.0, {sql.HOURS}) / ((CASE WHEN split_part(event_type, '.', 1) = 'tool' THEN 720.0 ELSE 168.0 END)::DOUBLE * (1 + 0.1::DOUBLE * ln(1 + k)))), 6) AS left_over FROM ledger")
+@query(
+    "pref_decay",
+    f"SELECT 'pref:' || event_id AS preference_id, round(exp(-greatest(0.0, ({NOW_US} - greatest(occurred_us, coalesce(last_accessed_us, 0))) / 3.6e9) / (CASE WHEN split_part(event_type, '.', 1) = 'tool' THEN 336.0 ELSE 168.0 END)::DOUBLE) + 0.8::DOUBLE * (value / 100) + 0.8::DOUBLE * (k % 10 / 10.0)::DOUBLE, 6) AS score FROM ledger",
+)
 def _(t):
-    p = users.preferences(t.ledger).join(t.ledger.select("position", "k"), "position")
-    return p.select("preference_id", F.round(users.preference_decay(F.col("confirmed_us"), F.col("category"), F.col("k"), NOW_US), 6).alias("left_over"))
+    category = F.split_part("event_type", F.lit("."), F.lit(1))
+    score = users.preference_decay(F.col("occurred_us"), F.col("last_accessed_us"), category, F.col("value") / 100, (F.col("k") % 10 / 10.0).cast("double"), NOW_US)
+    return t.ledger.select(F.concat(F.lit("pref:"), "event_id").alias("preference_id"), F.round(score, 6).alias("score"))
 
 
-@query("user_profile", f"SELECT c_custkey AS user_id, c_name AS name, count(event_id) AS events FROM customer LEFT JOIN events ON user_id = c_custkey WHERE c_custkey <= 20 GROUP BY ALL", model=False)
+@query("user_profile", f"SELECT c_custkey AS user_id, c_name AS name, count(event_id) AS events FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY ALL", model=False)
 def _(t):
-    people = t.read("customer").where("c_custkey <= 20").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_name").alias("name"))
+    people = t.read("customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_name").alias("name"))
     return people.join(t.read("events").groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left").select("user_id", "name", F.coalesce("n", F.lit(0)).alias("events"))
 
 
-@query("gdpr_erase", f"SELECT 'people' AS what, count(*) AS n, count(*) FILTER (c_custkey = {USER}) AS redacted FROM customer UNION ALL SELECT 'preferences', count(*), 0 FROM events WHERE user_id <> {USER}", model=False)
+def user_edges(t: Tables) -> DataFrame:
+    """What users are linked with: profiles, preferences, skills, interests, patterns, and other accounts."""
+    user, skill = F.concat(F.lit("user:"), "user_id"), F.concat(F.lit("skill:"), F.split_part("event_type", F.lit("."), F.lit(1)))
+    told = [F.lit("rules").alias("method"), "session_id"]
+    prefs = t.ledger.select(user.alias("user_entity_id"), F.concat(F.lit("pref:"), "event_id").alias("preference_id"), F.when(F.col("k") % 3 != 0, F.col("k").cast("string")).alias("about_entity"), F.array("event_id").alias("source_event_ids"), *told)
+    nothing = [F.lit(None).cast("double").alias("proficiency"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("source")]
+    first = t.ledger.groupBy(user.alias("user_entity_id"), skill.alias("skill_id"), "session_id").agg(F.array(F.min("position").cast("string")).alias("source_event_ids"))
+    skills = first.select("*", F.lit("rules").alias("method"), *nothing)
+    wanted = users.interests(t.ledger, 3).select(user.alias("user_entity_id"), F.split_part("entity_id", F.lit(":"), F.lit(2)).alias("entity_name"), F.lit(0.5).alias("weight"), F.lit("declared").alias("source"))
+    people = t.ledger.select("user_id").distinct()
+    own = lambda kind, what: people.select(*users.edge(user, F.concat(F.lit(f"{what}:"), "user_id"), kind))
+    same = people.where("user_id % 5 IN (0, 4)").select(*users.edge(user, F.concat(F.lit("user:"), F.col("user_id") + 1), "SAME_AS"))
+    out = own("HAS_PROFILE", "profile").unionByName(own("EXHIBITS_PATTERN", "pattern")).unionByName(same)
+    for made in (users.preference_edges(prefs), users.skill_edges(skills), users.interest_edges(wanted)):
+        out = out.unionByName(made)
+    return out
+
+
+def user_nodes(t: Tables) -> DataFrame:
+    named = lambda df, prefix, key, label: df.select(F.concat(F.lit(prefix), key).alias("id"), F.lit(label).alias("label"), F.concat(F.lit(label + " "), key).alias("name")).distinct()
+    people = t.ledger.select(F.col("user_id").cast("string").alias("u")).distinct()
+    parts = [named(people, "user:", "u", "Entity"), named(people, "profile:", "u", "UserProfile"), named(people, "pattern:", "u", "BehavioralPattern"), named(t.ledger, "pref:", "event_id", "Preference")]
+    parts += [named(t.ledger.select(F.col("k").cast("string").alias("k")), "entity:", "k", "Entity"), named(t.ledger.select(F.split_part("event_type", F.lit("."), F.lit(1)).alias("s")), "skill:", "s", "Skill")]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+USERS = """, uedges AS (
+  SELECT DISTINCT 'user:' || user_id AS src, 'profile:' || user_id AS dst, 'HAS_PROFILE' AS edge_type FROM ledger
+  UNION ALL SELECT DISTINCT 'user:' || user_id, 'pattern:' || user_id, 'EXHIBITS_PATTERN' FROM ledger
+  UNION ALL SELECT DISTINCT 'user:' || user_id, 'user:' || (user_id + 1), 'SAME_AS' FROM ledger WHERE user_id % 5 IN (0, 4)
+  UNION ALL SELECT 'user:' || user_id, 'pref:' || event_id, 'HAS_PREFERENCE' FROM ledger
+  UNION ALL SELECT 'pref:' || event_id, 'entity:' || k, 'ABOUT' FROM ledger WHERE k % 3 <> 0
+  UNION ALL SELECT 'pref:' || event_id, event_id, 'DERIVED_FROM' FROM ledger
+  UNION ALL SELECT DISTINCT 'user:' || user_id, 'skill:' || split_part(event_type, '.', 1), 'HAS_SKILL' FROM ledger
+  UNION ALL SELECT 'skill:' || split_part(event_type, '.', 1), CAST(min(position) AS VARCHAR), 'DERIVED_FROM' FROM ledger GROUP BY user_id, split_part(event_type, '.', 1)
+  UNION ALL SELECT 'user:' || user_id, 'entity:' || k, 'INTERESTED_IN' FROM ledger GROUP BY user_id, k HAVING count(*) >= 3
+), unodes AS (
+  SELECT DISTINCT 'user:' || user_id AS id, 'Entity' AS label FROM ledger UNION ALL SELECT DISTINCT 'profile:' || user_id, 'UserProfile' FROM ledger
+  UNION ALL SELECT DISTINCT 'pattern:' || user_id, 'BehavioralPattern' FROM ledger UNION ALL SELECT 'pref:' || event_id, 'Preference' FROM ledger
+  UNION ALL SELECT DISTINCT 'entity:' || k, 'Entity' FROM ledger UNION ALL SELECT DISTINCT 'skill:' || split_part(event_type, '.', 1), 'Skill' FROM ledger
+)
+"""
+ERASED = f""", mine AS (SELECT dst FROM uedges WHERE src = 'user:{USER}' AND edge_type IN ('HAS_PROFILE', 'HAS_PREFERENCE', 'EXHIBITS_PATTERN')),
+left_edges AS (SELECT * FROM uedges WHERE src NOT IN (SELECT dst FROM mine) AND dst NOT IN (SELECT dst FROM mine) AND NOT (src = 'user:{USER}' AND edge_type IN ('HAS_SKILL', 'INTERESTED_IN')) AND NOT (edge_type = 'SAME_AS' AND (src = 'user:{USER}' OR dst = 'user:{USER}')))
+"""
+
+
+@query("user_edges", USERS + "SELECT src, dst, edge_type FROM uedges")
 def _(t):
-    people = t.read("customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_name").alias("name"))
-    redacted, owned = users.erased(people, users.preferences(t.ledger), USER)
-    return redacted.agg(F.count("*").alias("n"), F.count_if(F.col("name") == "REDACTED").alias("redacted")).select(F.lit("people").alias("what"), "n", "redacted").unionByName(
-        owned.agg(F.count("*").alias("n")).select(F.lit("preferences").alias("what"), "n", F.lit(0).cast("long").alias("redacted"))
-    )
+    return user_edges(t).select("src", "dst", "edge_type")
 
 
-@query("gdpr_export", f"SELECT 'preferences' AS kind, 'pref:' || event_id AS id FROM ledger WHERE user_id = {USER} UNION ALL SELECT 'profile', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey = {USER}")
+@query("gdpr_erase", USERS + ERASED + f"SELECT edge_type AS what, count(*) AS n FROM left_edges GROUP BY ALL UNION ALL SELECT 'nodes', count(*) FROM unodes WHERE id NOT IN (SELECT dst FROM mine) UNION ALL SELECT 'redacted', count(*) FROM unodes WHERE id = 'user:{USER}' UNION ALL SELECT 'affected', 1")
 def _(t):
-    people = t.read("customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_name").alias("name"))
-    return users.exported(USER, profile=people, preferences=users.preferences(t.ledger)).select("kind", "id")
+    nodes, edges, affected = users.erase_user(user_nodes(t), user_edges(t), f"user:{USER}")
+    told = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("name") == "REDACTED").alias("redacted"))
+    both = told.select(F.explode(F.create_map(F.lit("nodes"), "nodes", F.lit("redacted"), "redacted")).alias("what", "n"))
+    return edges.groupBy(F.col("edge_type").alias("what")).agg(F.count("*").alias("n")).unionByName(both).unionByName(affected.select(F.lit("affected").alias("what"), F.col("affected").cast("long").alias("n")))
+
+
+@query("gdpr_export", USERS + f", own AS (SELECT CASE edge_type WHEN 'HAS_PROFILE' THEN 'profile' WHEN 'HAS_PREFERENCE' THEN 'preferences' WHEN 'HAS_SKILL' THEN 'skills' WHEN 'EXHIBITS_PATTERN' THEN 'patterns' ELSE 'interests' END AS kind, dst AS id FROM uedges WHERE src = 'user:{USER}' AND edge_type IN ('HAS_PROFILE', 'HAS_PREFERENCE', 'HAS_SKILL', 'EXHIBITS_PATTERN', 'INTERESTED_IN')) SELECT kind, id FROM own UNION ALL SELECT 'provenance_chains', src || '>' || dst FROM uedges WHERE edge_type = 'DERIVED_FROM' AND src IN (SELECT id FROM own)")
+def _(t):
+    return users.export_user(user_nodes(t), user_edges(t), f"user:{USER}").select("kind", "id")
+
+
+@query("orphan_labels", USERS + ", e AS (SELECT * FROM uedges WHERE edge_type NOT IN ('INTERESTED_IN', 'ABOUT', 'DERIVED_FROM') AND NOT (edge_type = 'HAS_PREFERENCE' AND src <> 'user:5')) SELECT label, count(*) AS n FROM unodes WHERE label <> 'UserProfile' AND id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e) GROUP BY ALL")
+def _(t):
+    left = user_edges(t).where("edge_type NOT IN ('INTERESTED_IN', 'ABOUT', 'DERIVED_FROM') AND NOT (edge_type = 'HAS_PREFERENCE' AND src <> 'user:5')")
+    return retention.orphan_sweep(user_nodes(t), left).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("tier_prunable", f"SELECT event_id, tier FROM (SELECT *, {sql.tier(480)} AS tier FROM ledger) WHERE tier = 'archive' OR (coalesce(importance_hint, 0) < 5 AND ((tier = 'warm' AND access_count = 0) OR (tier = 'cold' AND access_count < 3)))")
+def _(t):
+    return retention.prunable(t.ledger, NOW_US, Retention(cold=480.0)).select("event_id", "tier")
+
+
+@query("forgetting_applied", SIMILAR + f", kept AS (SELECT event_id, {sql.HOURS} AS hours FROM (SELECT *, {sql.tier(480)} AS tier FROM ledger) WHERE tier <> 'archive' AND NOT (tier = 'cold' AND coalesce(importance_hint, 0) < 5 AND access_count < 3)), alle AS (SELECT src, dst, edge_type, NULL::DOUBLE AS similarity FROM edges UNION ALL SELECT src, dst, 'SIMILAR_TO', similarity FROM sims) SELECT 'events' AS what, count(*) AS n FROM kept UNION ALL SELECT edge_type, count(*) FROM alle JOIN kept x ON x.event_id = src JOIN kept y ON y.event_id = dst WHERE NOT (edge_type = 'SIMILAR_TO' AND similarity < 0.93 AND x.hours > 24) GROUP BY edge_type")
+def _(t):
+    edges = projection.event_edges(t.ledger).withColumn("similarity", F.lit(None).cast("double")).unionByName(similar_events(t, t.ledger))
+    events, left = retention.forget(t.ledger, edges, NOW_US, Retention(cold=480.0, warm_similarity=0.93))
+    return events.agg(F.count("*").alias("n")).select(F.lit("events").alias("what"), "n").unionByName(left.groupBy(F.col("edge_type").alias("what")).agg(F.count("*").alias("n")))
 
 
 @query("path_safety", "SELECT page_id, length(url) <= 256 AND NOT regexp_matches(url, '[%\\n\\r]|\\.\\.|/|\\\\') AS safe FROM pages", model=False)
@@ -796,7 +885,7 @@ def staged(t: Tables) -> str:
     return f"{graph.cut(t.ledger).inputFiles()[0].rsplit('/', 1)[0]}"
 
 
-@query("stream_follows")
+@query("stream_follows", "SELECT src, dst, 'FOLLOWS' AS edge_type, session_id, delta_ms FROM follows")
 def _(t):
     from emberlake.streaming import queries as streams
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from emberlake.model import ENTITY_TYPES, EVENT_SCHEMA
 #: The moment that stands for now: 2024-01-31 00:00:00.
 NOW_US = 1_706_659_200_000_000
 HOUR = 3_600_000_000
+#: Where the ledger of an application and a folder is stored.
+STORED: dict[tuple[str, str], str] = {}
 
 
 def micros(ts: Column) -> Column:
@@ -31,7 +34,20 @@ class Tables:
 
     @functools.cached_property
     def ledger(self) -> DataFrame:
-        """All events. A session's events form a binary causal tree: number n follows from n div 2."""
+        """All events, stored once for each application and folder: sorted by session, so that filters on session and event id skip row groups."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in STORED:
+            from emberlake.operators.graph import shared_folder
+
+            path = f"{shared_folder(self.spark)}/ledger-{uuid.uuid4().hex}"
+            rows = self.events.repartitionByRange("session_id", "occurred_us").sortWithinPartitions("session_id", "occurred_us", "position")
+            rows.write.option("parquet.bloom.filter.enabled#event_id", "true").parquet(path)
+            STORED[key] = path
+        return self.spark.read.schema(EVENT_SCHEMA).parquet(STORED[key])
+
+    @functools.cached_property
+    def events(self) -> DataFrame:
+        """All events as the tables hold them. A session's events form a binary causal tree: number n follows from n div 2."""
         k = F.get_json_object("props", "$.k").cast("int")
         base = self.read("events").select(
             F.col("event_id").alias("position"), "ts", "user_id", F.col("event_type").alias("raw"), "value", k.alias("k"),
