@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +64,36 @@ def quote_supported(quote: Column, text: Column) -> Column:
     return filled & (F.contains(plain_text, plain_quote) | ((F.size(long_words) > 0) & (shared >= 0.6 * F.size(long_words))))
 
 
+def quote_window(quote: Column, text: Column, least: float = 0.6) -> Column:
+    """Whether a stretch of a text as long as the quote is like it by matching blocks, in steps of a quarter of its length; for quotes that aren't supported otherwise."""
+    from difflib import SequenceMatcher
+
+
+    @F.pandas_udf("boolean")
+    def like(quotes: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(q: str | None, t: str | None) -> bool:
+            if not q or not t:
+                return False
+            n = len(q)
+            starts = range(0, len(t) - n + 1, max(1, n // 4)) if n <= len(t) else [0]
+            near = SequenceMatcher(None, "", q)
+            for k in starts:
+                near.set_seq1(t[k : k + n] if n <= len(t) else t)
+                if near.real_quick_ratio() >= least and near.quick_ratio() >= least and SequenceMatcher(None, q, near.a).ratio() >= least:
+                    return True
+            return False
+
+        return pd.Series([one(q, t) for q, t in zip(quotes, texts, strict=True)], dtype=bool)
+
+    open_ones = F.when(~quote_supported(quote, text), normalised(quote))
+    return like(open_ones, F.when(open_ones.isNotNull(), normalised(text)))
+
+
+def inline_payload(payload_ref: Column) -> Column:
+    """The JSON object that a payload reference holds itself, as text; null where it is a reference or broken."""
+    return F.when(F.startswith(F.trim(payload_ref), F.lit("{")) & (F.schema_of_variant(F.try_parse_json(payload_ref)).startswith("OBJECT")), payload_ref)
+
+
 def entailed(claim: Column, evidence: Column) -> Column:
     """Whether evidence supports a claim: the same polarity, and half of the claim's words longer than two letters."""
     of = lambda c: F.split(normalised(c), " ")

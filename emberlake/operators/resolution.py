@@ -127,9 +127,11 @@ def superseded(items: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
 
 def validated(items: DataFrame, conversation: str = "text") -> DataFrame:
     """Extracted items (confidence, source, quote) whose quote their text supports, with capped confidence."""
-    from emberlake.functions.text import capped_confidence
+    from emberlake.functions.text import capped_confidence, quote_window
 
-    return items.where(quote_supported(F.col("quote"), F.col(conversation))).withColumn("confidence", capped_confidence(F.col("confidence"), F.col("source")))
+    quote, said = F.col("quote"), F.col(conversation)
+    checked = items.withColumn("supported", quote_supported(quote, said) | quote_window(quote, said))
+    return checked.where("supported").drop("supported").withColumn("confidence", capped_confidence(F.col("confidence"), F.col("source")))
 
 
 def coerced(value, allowed: dict[str, str], default: str):

@@ -737,9 +737,16 @@ def quotes(t: Tables) -> DataFrame:
     return first.join(c.where("turn = 1").select("conv_id", F.col("text").alias("other")), "conv_id")
 
 
-@query("quote_substring", f"SELECT conv_id, contains({sql.normalised('own')}, {sql.normalised('quote')}) AS in_own FROM (SELECT a.conv_id, substr(a.text, 6, 40) AS quote, a.text AS own, b.text AS other FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn = 1) WHERE quote <> ''", model=False)
+def supported_sql(said: str) -> str:
+    words = f"list_distinct(list_filter(string_split({sql.normalised('quote')}, ' '), lambda w: len(w) > 3))"
+    shared = f"len(list_intersect({words}, string_split({sql.normalised(said)}, ' ')))"
+    return f"(quote <> '' AND {said} <> '' AND (contains({sql.normalised(said)}, {sql.normalised('quote')}) OR (len({words}) > 0 AND {shared} >= 0.6 * len({words}))))"
+
+
+@query("quote_substring", f"SELECT conv_id, coalesce({supported_sql('own')}, FALSE) AS in_own, coalesce({supported_sql('other')}, FALSE) AS in_other FROM (SELECT a.conv_id, substr(a.text, 6, 40) AS quote, a.text AS own, b.text AS other FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn = 1)", model=False)
 def _(t):
-    return quotes(t).where("quote != ''").select("conv_id", text.quote_supported(F.col("quote"), F.col("own")).alias("in_own"))
+    has = lambda said: F.coalesce(text.quote_supported(F.col("quote"), F.col(said)), F.lit(False))
+    return quotes(t).select("conv_id", has("own").alias("in_own"), has("other").alias("in_other"))
 
 
 @query("entailment_heuristic", f"WITH p AS (SELECT a.conv_id, string_split({sql.normalised('substr(a.text, 6, 40)')}, ' ') AS c, string_split({sql.normalised('b.text')}, ' ') AS e, substr(a.text, 6, 40) AS q, b.text AS o FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn = 1), w AS (SELECT *, list_distinct(list_filter(c, lambda x: len(x) > 2)) AS cw, list_distinct(list_filter(e, lambda x: len(x) > 2)) AS ew FROM p) SELECT conv_id, q <> '' AND o <> '' AND list_has_any(c, {sql.NEGATION_LIST}) = list_has_any(e, {sql.NEGATION_LIST}) AND (len(cw) < 2 OR len(ew) = 0 OR len(list_intersect(cw, ew)) >= 0.5 * len(cw)) AS entailed FROM w", model=False)
@@ -864,9 +871,11 @@ def _(t):
     return events.agg(F.count("*").alias("n")).select(F.lit("events").alias("what"), "n").unionByName(left.groupBy(F.col("edge_type").alias("what")).agg(F.count("*").alias("n")))
 
 
-@query("path_safety", "SELECT page_id, length(url) <= 256 AND NOT regexp_matches(url, '[%\\n\\r]|\\.\\.|/|\\\\') AS safe FROM pages", model=False)
+@query("path_safety", "SELECT page_id, length(p) BETWEEN 1 AND 256 AND NOT regexp_matches(p, '[%\\n\\r]|\\.\\.|/|\\\\') AS safe FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'a%2e' || page_id WHEN 2 THEN '..' ELSE 'id-' || page_id END AS p FROM pages)", model=False)
 def _(t):
-    return t.read("pages").select("page_id", text.safe_path_parameter(F.col("url")).alias("safe"))
+    k = F.col("page_id") % 5
+    given = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("a%2e"), "page_id")).when(k == 2, "..").otherwise(F.concat(F.lit("id-"), "page_id"))
+    return t.read("pages").select("page_id", text.safe_path_parameter(given).alias("safe"))
 
 
 @query("message_roles", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE 'system' END AS message, CASE role WHEN 'user' THEN 'observation.input' WHEN 'assistant' THEN 'agent.invoke' ELSE 'system.session_start' END AS event_type FROM conversations", model=False)
@@ -892,6 +901,21 @@ def _(t):
     return streams.drained(streams.follows(streams.event_stream(t.spark, staged(t), None)), "stream_follows")
 
 
+@query("stream_enrichment", "SELECT event_id, coalesce(importance_hint, 5) AS importance_score, CASE WHEN tool_name IS NULL THEN replace(event_type, '.', ',') ELSE replace(event_type, '.', ',') || ',' || tool_name END AS keywords FROM ledger")
+def _(t):
+    from emberlake.streaming import queries as streams
+
+    return streams.drained(streams.enriched(streams.event_stream(t.spark, staged(t), 4)), "stream_enrichment").select("event_id", "importance_score", "keywords")
+
+
+@query("stream_extraction_triggers", "SELECT session_id, event_id, turn FROM (SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY occurred_us, position) AS turn FROM ledger WHERE event_type NOT LIKE 'system.%') WHERE turn % 5 = 0")
+def _(t):
+    from emberlake.streaming import queries as streams
+
+    kept = graph.cut(t.ledger.where("event_type NOT LIKE 'system.%'")).inputFiles()[0].rsplit("/", 1)[0]
+    return streams.drained(streams.extraction_triggers(streams.event_stream(t.spark, kept, None), 5), "stream_extraction_triggers")
+
+
 @query("stream_dedup", "SELECT event_id FROM ledger")
 def _(t):
     from emberlake.streaming import queries as streams

@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from emberlake.operators import projection
 from emberlake.operators.graph import shared_folder
 from emberlake.operators.ledger import errors
 
@@ -51,6 +53,30 @@ def follows(stream: DataFrame) -> DataFrame:
     return picked.groupBy("session_id").applyInPandasWithState(step, "src string, dst string, edge_type string, session_id string, delta_ms long", "event_id string, us long", "append", GroupStateTimeout.NoTimeout)
 
 
+def enriched(stream: DataFrame) -> DataFrame:
+    """Key words, importance and the text to embed of each event, as it comes; nothing is kept between events."""
+    return projection.enriched(stream)
+
+
+def extraction_triggers(stream: DataFrame, every: int = 50) -> DataFrame:
+    """(session_id, event_id, turn): every so many events of a session that the system hasn't made; the state is one number a session, dropped at its end."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["occurred_us", "position"])
+        turns = rows[~rows["event_type"].str.startswith("system.")].copy()
+        before = state.get[0] if state.exists else 0
+        turns["turn"] = before + np.arange(1, len(turns) + 1)
+        due = turns[turns["turn"] % every == 0]
+        yield pd.DataFrame({"session_id": key[0], "event_id": due["event_id"], "turn": due["turn"]})
+        if (rows["event_type"] == "system.session_end").any():
+            state.remove()
+        else:
+            state.update((before + len(turns),))
+
+    picked = stream.select("session_id", "event_id", "event_type", "occurred_us", "position")
+    return picked.groupBy("session_id").applyInPandasWithState(step, "session_id string, event_id string, turn long", "turns long", "append", GroupStateTimeout.NoTimeout)
+
+
 def windows(stream: DataFrame, watermark: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Events of each type in fixed windows of event time."""
     return stream.withWatermark("at", watermark).groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")

@@ -144,3 +144,22 @@ def test_stored_ledger_prunes(spark, folder):
 
     plan = Tables(spark, folder).ledger.where("event_id = '123'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_id,123)" in plan and "Exchange" not in plan and "Window" not in plan
+
+
+def test_quotes_by_a_like_stretch(spark):
+    from pyspark.sql import functions as F
+
+    from emberlake.functions.text import inline_payload, quote_window
+
+    def plain(q, t):
+        q, t = " ".join(q.lower().split()), " ".join(t.lower().split())
+        if len(q) > len(t):
+            return ratio_junk(q, t) >= 0.6
+        return any(ratio_junk(q, t[k : k + len(q)]) >= 0.6 for k in range(0, len(t) - len(q) + 1, max(1, len(q) // 4)))
+
+    ratio_junk = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    rows = [("the depoy was slwo tdy", "we saw that the deploy was slow today at noon"), ("nothing alike zzz qqq", "we saw the deploy"), ("a very long quote that exceeds", "long quote exceed"), ("", "x"), (None, "x")]
+    found = spark.createDataFrame(rows, "q string, t string").select(quote_window(F.col("q"), F.col("t")).alias("ok")).collect()
+    assert [r.ok for r in found] == [plain(*rows[0]), plain(*rows[1]), plain(*rows[2]), False, False] and found[0].ok
+    refs = spark.createDataFrame([('{"a": 1}',), (" {}",), ("[1]",), ("{broken",), ("s3://x",), (None,)], "r string").select(inline_payload(F.col("r")).alias("p")).collect()
+    assert [r.p for r in refs] == ['{"a": 1}', " {}", None, None, None, None]
