@@ -109,9 +109,12 @@ def archived(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).json(path)
 
 
-def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """The archive's files with their sizes, in order."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").orderBy("path")
+def archive_files(spark: SparkSession, path: str, prefix: str = "", most: int | None = None) -> DataFrame:
+    """The archive's files with their sizes, in order; only those whose path within it begins with ``prefix`` (y=2024/m=01, say), and the first ``most`` of them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    inside = F.concat(F.lit("y="), F.element_at(F.split("path", F.lit("/y=")), -1))
+    found = found.where(inside.startswith(prefix)).orderBy("path")
+    return found if most is None else found.limit(most)
 
 
 def scenarios(spark: SparkSession, path: str) -> DataFrame:

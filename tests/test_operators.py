@@ -167,3 +167,32 @@ def test_surface_helpers(spark):
 def test_redaction(spark):
     rows = spark.createDataFrame([("token=abc next",), ("Authorization: xyz",), ("plain",)], "t string")
     assert [r.t for r in rows.select(text.redacted(F.col("t")).alias("t")).collect()] == ["token=*** next", "Authorization: ***", "plain"]
+
+
+def test_archive_files_by_prefix_and_limit(spark, tmp_path):
+    for day in ("y=2024/m=01/d=02", "y=2024/m=01/d=03", "y=2024/m=02/d=01"):
+        (tmp_path / day).mkdir(parents=True)
+        (tmp_path / day / "part.json").write_text("{}")
+    path = f"file://{tmp_path}"
+    assert archive_files(spark, path).count() == 3
+    assert [r.path.split("/y=")[1] for r in archive_files(spark, path, "y=2024/m=01").collect()] == ["2024/m=01/d=02/part.json", "2024/m=01/d=03/part.json"]
+    assert archive_files(spark, path, most=1).count() == 1 and archive_files(spark, path, "y=2023").isEmpty()
+
+
+def test_merging_properties(spark):
+    old = spark.createDataFrame([(1, "a", "kept"), (2, "b", None)], "id int, v string, w string")
+    changes = spark.createDataFrame([(1, "x", 5, 1), (1, None, 6, 2), (3, "z", None, 1)], "id int, v string, u int, at int")
+    assert sorted(map(tuple, upsert.merge_properties(old, changes, ["id"], "at").collect())) == [(1, "x", "kept", 6), (2, "b", None, None), (3, "z", None, None)]
+    assert upsert.merge_properties(old.limit(0), changes.limit(0), ["id"], "at").isEmpty()
+
+
+def test_merging_edges(spark):
+    schema = "src string, dst string, edge_type string, props map<string,string>"
+    old = spark.createDataFrame([("a", "b", "FOLLOWS", {"x": "1", "y": "1"}), ("a", "c", "FOLLOWS", None)], schema)
+    changes = spark.createDataFrame(
+        [("a", "b", "FOLLOWS", {"y": "3"}, 2), ("a", "b", "FOLLOWS", {"y": "2", "z": "2"}, 1), ("a", "c", "FOLLOWS", {"x": "9"}, 1), ("d", "e", "SAME_AS", {}, 1), ("d", "e", "UNKNOWN", {}, 1)], f"{schema}, at int"
+    )
+    found = {(r.src, r.dst, r.edge_type): r.props for r in upsert.merge_edges(old, changes, "at").collect()}
+    assert found == {("a", "b", "FOLLOWS"): {"x": "1", "y": "3", "z": "2"}, ("a", "c", "FOLLOWS"): {"x": "9"}, ("d", "e", "SAME_AS"): {}}
+    with pytest.raises(ValueError):
+        upsert.typed_edges("UNKNOWN", old)
