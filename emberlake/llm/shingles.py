@@ -13,6 +13,10 @@ Links: within a list each node meets the next ``near`` nodes. Lists that are lon
 are not yet one component are compared in full, in blocks of nodes; pairs within one component
 are left out, as they can't change it. The components are those of all links.
 
+Before whole sets travel, pairs and blocks are narrowed by sketches: the parities of a set's hashes over a power of two
+of bits, as many as the set has hashes or more. Two sketches differ in no more bits than the sets differ in hashes, so
+what they rule out is certainly not similar, and all the rest is verified.
+
 Defined results: a null text is an empty one, and texts without words are equal; rows without id
 take part; rows of one id are told apart by ``row_key``.
 """
@@ -43,8 +47,27 @@ def similar(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
     return LEAST[1] * shared >= LEAST[0] * (a + b - shared)
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """The parities of a set's hashes by their last bits, 512 of them or the next power of two from the set's size on."""
+    width = 1 << max(9, (len(x) - 1).bit_length())
+    return np.packbits((np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def narrower(raw: bytes, width: int) -> np.ndarray:
+    """A sketch folded to ``width`` bytes, which is the set's sketch of that width."""
+    x = np.frombuffer(raw, np.uint8)
+    while len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def possible(apart: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
+    """Whether sets of sizes a and b can be near-duplicates if sketches of one width differ in so many bits."""
+    return similar((a + b - apart) // 2, a, b)
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, node (a hash of the set), the SimHash fingerprint and the set as bytes."""
+    """doc_id, row_key, node (a hash of the set), the SimHash fingerprint, the set as bytes, its size and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,12 +75,14 @@ def sets(docs: DataFrame) -> DataFrame:
                 part = b.slice(k, 512)
                 made = [simhash.shingle_hashes(t or "", WORDS) for t in part.column(2).to_pylist()]
                 prints = np.fromiter(map(simhash.folded, made), np.uint64, len(made)).view(np.int64)
-                held = [np.unique(x).tobytes() for x in made]
+                distinct = [np.unique(x) for x in made]
+                held = [x.tobytes() for x in distinct]
+                size, bits = pa.array([len(x) for x in distinct], pa.int64()), pa.array([sketch(x) for x in distinct], pa.binary())
                 node = np.fromiter((xxhash.xxh64_intdigest(x, simhash.SEED) for x in held), np.uint64, len(held)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(node), pa.array(prints), pa.array(held, pa.binary())], ["doc_id", "row_key", "node", "fp", "hashes"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(node), pa.array(prints), pa.array(held, pa.binary()), size, bits], ["doc_id", "row_key", "node", "fp", "hashes", "n", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, row_key long, node long, fp long, hashes binary")
+    return rows.mapInArrow(run, "doc_id long, row_key long, node long, fp long, hashes binary, n long, bits binary")
 
 
 def common(unique: DataFrame, nodes: int) -> np.ndarray:
@@ -125,6 +150,21 @@ def neighbours(index: DataFrame, near: int) -> DataFrame:
     return index.repartition(shuffle_partitions(index.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, a long, b long")
 
 
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches (node, n, bits) don't rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, x, m, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                width = min(len(x), len(y))
+                keep.append(bool(possible(int(np.bitwise_count(narrower(x, width) ^ narrower(y, width)).sum()), n, m)))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    side = lambda p: sketches.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("bits").alias(f"{p}_bits"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are near-duplicates."""
 
@@ -157,24 +197,63 @@ def shared_counts(found: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def compared(lists: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """Links (a, b) between nodes of each list (key, node, root, size) whose roots differ; all pairs, block by block."""
+def dealt(lists: DataFrame, block: int) -> DataFrame:
+    """The nodes (key, node, root, size) of each list in blocks, once for each pair of blocks (low, high) that theirs (at) is part of."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    placed = lists.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("key", "node", "root", "at", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
+
+
+def open_pairs(table: pa.Table) -> np.ndarray:
+    """Which rows of two blocks are still to be linked: those of two roots; within a block where the block meets itself."""
+    root, at = (table.column(c).to_numpy() for c in ("root", "at"))
+    hit = root[:, None] < root[None, :]
+    if at.min() != at.max():
+        hit &= at[:, None] != at[None, :]
+    return hit
+
+
+def bits_apart(found: list[bytes], width: int) -> np.ndarray:
+    """In how many bits each two of these sketches differ, folded to ``width`` bytes."""
+    rows = np.stack([narrower(x, width) for x in found])
+    ones = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+    both = np.zeros((len(found), len(found)), np.float32)
+    for k in range(0, width, 512):
+        part = np.unpackbits(rows[:, k : k + 512], axis=1).astype(np.float32)
+        both += part @ part.T
+    return ones[:, None] + ones[None, :] - 2 * np.rint(both).astype(np.int64)
+
+
+def narrowed(blocks: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of :func:`dealt` that are similar to another row of their pair of blocks, as far as sketches (node, n, bits) can tell."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, root, at = (table.column(c).to_numpy() for c in ("node", "root", "at"))
+        found, n = table.column("bits").to_pylist(), table.column("n").to_numpy()
+        width, hit = np.array([len(x) for x in found]), open_pairs(table)
+        near = similar(np.minimum(n[:, None], n[None, :]), n[:, None], n[None, :])
+        low, may = np.minimum(width[:, None], width[None, :]), np.zeros(hit.shape, bool)
+        for w in np.unique(low[hit & near]).tolist():  # of sizes this close one sketch is at most twice as wide
+            at = np.flatnonzero((width == w) | (width == 2 * w))
+            square = np.ix_(at, at)
+            may[square] |= (low[square] == w) & possible(bits_apart([found[k] for k in at], w), n[at][:, None], n[at][None, :])
+        hit &= near & may
+        return table.select(["key", "node", "root", "at", "low", "high"]).filter(pa.array(hit.any(axis=0) | hit.any(axis=1)))
+
+    return blocks.join(sketches, "node").groupBy("key", "low", "high").applyInArrow(run, "key long, node long, root long, at int, low int, high int")
+
+
+def compared(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of two roots that meet in a pair of blocks (of :func:`dealt`)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
         found = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         n = np.array([len(x) for x in found])
-        hit = similar(shared_counts(found), n[:, None], n[None, :]) & (root[:, None] < root[None, :])
-        if at.min() != at.max():  # within a block is compared where the block meets itself
-            hit &= at[:, None] != at[None, :]
-        a, b = np.nonzero(hit)
+        a, b = np.nonzero(similar(shared_counts(found), n[:, None], n[None, :]) & open_pairs(table))
         return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    placed = lists.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met.select("key", "node", "root", "at", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
-    return dealt.join(nodes.select("node", "hashes"), "node").groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    return blocks.join(nodes.select("node", "hashes"), "node").groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def few(rows: DataFrame, keys: DataFrame, name: str, bound: int = 1_000_000) -> DataFrame:
@@ -204,9 +283,9 @@ def near_duplicates(docs: DataFrame, near: int = 8, block: int = 64) -> DataFram
 
     Sets are made anew from the texts wherever they are needed, since all of them would take more room than the texts.
     """
-    made = stored(sets(docs).select("doc_id", "row_key", "node", "fp"), "shingles")
+    made = stored(sets(docs).drop("hashes"), "shingles")
     order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key")
-    nodes = stored(made.groupBy("node", "fp").agg(F.min("doc_id").alias("first"), F.min(order).alias("kept")), "shingle-nodes")
+    nodes = stored(made.groupBy("node", "fp", "n", "bits").agg(F.min("doc_id").alias("first"), F.min(order).alias("kept")), "shingle-nodes")
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("row_key") == F.col("kept.row_key"))
     copies = made.join(nodes.select("node", "fp", "kept"), ["node", "fp"]).where(~kept).select("doc_id", "row_key").distinct()
     unique = without_rows(docs, copies)
@@ -214,6 +293,8 @@ def near_duplicates(docs: DataFrame, near: int = 8, block: int = 64) -> DataFram
     last = common(unique, nodes.count())
     met = stored(neighbours(indexed(sets(unique), last), near), "shingle-pairs")
     pairs = stored(met.where("key IS NULL").select("a", "b").unionByName(fingerprint_pairs(nodes.select("node", "fp"))).distinct(), "shingle-candidates")
+    sketches = nodes.select("node", "n", "bits")
+    pairs = stored(plausible(pairs, sketches), "shingle-plausible")
     links = stored(verified(pairs, needed(unique, pairs.select(F.explode(F.array("a", "b")).alias("node")), repeated)), "shingle-links")
     roots = components(links)
     crowded = stored(met.where("key IS NOT NULL").select("key").distinct(), "shingle-crowded")
@@ -223,8 +304,8 @@ def near_duplicates(docs: DataFrame, near: int = 8, block: int = 64) -> DataFram
         # Lists of the same nodes are compared once, those of one component not at all.
         lists = held.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("root").alias("low"), F.max("root").alias("high"))
         todo = lists.where("low < high").groupBy("size", "mark").agg(F.min("key").alias("key")).select("key", "size")
-        open_lists = stored(held.join(todo, "key"), "shingle-open")
-        links = links.unionByName(stored(compared(open_lists, needed(unique, open_lists.select("node"), repeated), block), "shingle-links"))
+        blocks = stored(narrowed(dealt(held.join(todo, "key"), block), sketches), "shingle-blocks")
+        links = links.unionByName(stored(compared(blocks, needed(unique, blocks.select("node"), repeated)), "shingle-links"))
         roots = components(links)
     member = nodes.groupBy("node").agg(F.min("first").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     groups = member.groupBy("root").agg(F.min("first").alias("component_id"))
