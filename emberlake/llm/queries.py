@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import chat, decontam, katz, linededup, packing, quality, simhash, token_output, toxicity, webp
+from emberlake.llm import chat, decontam, exponion, hardneg, katz, linededup, mixture, packing, quality, simhash, token_output, toxicity, webp
 from emberlake.llm.common import table
 
 
@@ -67,6 +67,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mix by source weights takes the words of each document."""
+    mixed = mixture.mixture(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shard", "quota")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its positives."""
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors."""
+    return exponion.codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_packing": op2_packing,
@@ -78,9 +94,15 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_sainte_lague_mix": op11_sainte_lague_mix,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
+    "op11_sainte_lague_mix": mixture.MIX_SQL,
+    "op12_hard_negatives": hardneg.MINED_SQL,
+    "op13_vector_codes": exponion.codes_sql(),
     "op9_line_dedup": linededup.PAGES_SQL % {"ratio": linededup.RATIO, "least": linededup.LEAST_PAGES},
     "op1_chat_formatting": chat.DIGESTS_SQL
     % """SELECT conv_id, turn, role, text FROM conversations
