@@ -35,6 +35,24 @@ def test_special_tokens_are_one_id():
     assert encoder(vocabulary_path())(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
 
 
+def test_very_long_white_space(spark):
+    """Such texts once ended the worker; both queries keep their ids."""
+    blanks = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "\t" * 2_000_000 + "end", "a " + " \n\t\r\u00a0\u3000" * 400_000 + "z", "x" + " " * 9_999 + "y", "x" + " " * 10_000]
+    want = [reference_ids(t) for t in blanks]
+    assert [x + [0] for x in encoder(vocabulary_path())(blanks)] == want
+    docs = spark.createDataFrame(list(enumerate(blanks)), "doc_id long, text string")
+    ids = {}
+    for r in packing.pack_documents(docs, with_ids=True).collect():
+        ids.setdefault(r.doc_id, []).append((r.start, r.ids))
+    assert [[i for _, x in sorted(ids[k]) for i in x] for k in range(len(blanks))] == want
+    rows = {}
+    for r in token_output.packed_rows(docs).collect():
+        row = np.frombuffer(r.input_ids, "<u2").tolist()
+        for doc, start, a, b in zip(r.doc_ids, r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            rows.setdefault(doc, []).append((start, row[a:b]))
+    assert [[i for _, x in sorted(rows[k]) for i in x] for k in range(len(blanks))] == want
+
+
 def test_packing_pads_little(spark, folder):
     rows = packing.pack_documents(spark.read.parquet(f"{folder}/documents.parquet")).collect()
     held = sum(r.length for r in rows)
