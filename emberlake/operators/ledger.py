@@ -24,10 +24,6 @@ def known_prefix(event_type):
     return F.substring_index(event_type, ".", 1).isin(EVENT_PREFIXES)
 
 
-def accepted(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("errors") == 0)
-
-
 def deduplicated(arrivals: DataFrame) -> DataFrame:
     """The first arrival of each event_id."""
     first = Window.partitionBy("event_id").orderBy("arrival")

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlake.functions import scoring
 from emberlake.functions.text import canonical, literal_map, normalised, quote_supported
 
 
@@ -137,7 +136,3 @@ def validated(items: DataFrame, conversation: str = "text") -> DataFrame:
 def coerced(value, allowed: dict[str, str], default: str):
     """A model's word as a value of an enumeration."""
     return F.coalesce(F.try_element_at(literal_map(allowed), F.lower(value)), F.lit(default))
-
-
-def cosine_between(a, b):
-    return scoring.cosine(a, b)

@@ -141,35 +141,6 @@ def bm25(docs: DataFrame, terms: list[str], k: int, k1: float = 1.2, b: float =
     return joined.groupBy("id").agg(F.round(F.sum(part), 5).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-#: Most query vectors that are sent to every task.
-SENT = 10_000
-
-
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, threshold: float, sent: int = SENT) -> DataFrame:
-    """(qid, id, similarity, rank): the ``k`` nearest vectors of each query (qid, q) above a threshold.
-
-    A stated query set against all rows: up to ``sent`` queries go to the vectors' tasks; more are cut into blocks of about
-    that size, each of which meets all vectors.
-    """
-    n = queries.count()
-    if n <= sent:
-        met = vectors.join(F.broadcast(queries))
-    else:
-        blocks = -(-n // sent)
-        dealt = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-        met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block").drop("block")
-    pairs = met.select("qid", "id", F.round(scoring.cosine(F.col("vector"), F.col("q")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("similarity").desc(), "id")))
-    return best.where(F.col("rank") <= k)
-
-
-def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of entities a < b in one block whose cosine reaches a threshold."""
-    x, y = vectors.select("block", F.col("k").alias("ka"), F.col("entity_id").alias("a"), F.col("vector").alias("va")), vectors.select("block", F.col("k").alias("kb"), F.col("entity_id").alias("b"), F.col("vector").alias("vb"))
-    near = x.join(y, "block").where("ka < kb").select("a", "b", F.round(scoring.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
-    return near.where(F.col("similarity") >= threshold)
-
-
 def mmr(candidates: DataFrame, n: int, diversity: float = 0.7) -> DataFrame:
     """Greedy maximal marginal relevance per query over ``candidates`` (qid, id, relevance, vector): (qid, id, rank, mmr).
 

@@ -96,21 +96,6 @@ def access_reinforced(nodes: DataFrame, log: DataFrame) -> DataFrame:
     return nodes.join(seen, "id", "left").select("id", (F.col("access_count") + F.coalesce("n", F.lit(0))).alias("access_count"), F.greatest("last_accessed_us", "us").alias("last_us"))
 
 
-def erased(people: DataFrame, owned: DataFrame, user_id: int) -> tuple[DataFrame, DataFrame]:
-    """People with one name redacted, and owned rows (user_id) without theirs."""
-    name = F.when(F.col("user_id") == user_id, "REDACTED").otherwise(F.col("name"))
-    return people.withColumn("name", name), owned.where(F.col("user_id") != user_id)
-
-
-def exported(user_id: int, **frames: DataFrame) -> DataFrame:
-    """All rows of a user as tagged JSON: (kind, id, body)."""
-    out = None
-    for kind, df in sorted(frames.items()):
-        own = df.where(F.col("user_id") == user_id).select(F.lit(kind).alias("kind"), F.col(df.columns[0]).cast("string").alias("id"), F.to_json(F.struct(*df.columns)).alias("body"))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 #: Edge types whose far ends an erasure deletes, and those that it only cuts.
 OWNED, CUT = ["HAS_PROFILE", "HAS_PREFERENCE", "EXHIBITS_PATTERN"], ["HAS_SKILL", "INTERESTED_IN"]
 

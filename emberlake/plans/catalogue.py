@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlake.functions import scoring, text
 from emberlake.model import EDGE_TYPES, EventQuery, Retention
-from emberlake.operators import consolidation, graph, ledger, projection, resolution, retention, retrieval, upsert, users
+from emberlake.operators import consolidation, graph, ledger, projection, resolution, retention, retrieval, upsert, users, vectors
 from emberlake.plans import sql
 from emberlake.sources.ledger import NOW_US, Tables, to_json_lines
 
@@ -329,9 +329,15 @@ def _(t):
 SIMILAR = f", sims AS (SELECT x.event_id AS src, y.event_id AS dst, p.similarity FROM pairs p JOIN ledger x ON x.k = CAST(substr(p.a, 8) AS INTEGER) JOIN ledger y ON y.k = CAST(substr(p.b, 8) AS INTEGER) AND y.session_id = x.session_id WHERE p.similarity > 0.85)"
 
 
+def entity_pairs(t: Tables, threshold: float) -> DataFrame:
+    """(a, b, similarity) of entities that are alike; a has the smaller number."""
+    found = vectors.similar_pairs(t.entity_vectors.select(F.col("k").alias("id"), "vector"), threshold)
+    return found.select(F.concat(F.lit("entity:"), "a").alias("a"), F.concat(F.lit("entity:"), "b").alias("b"), "similarity")
+
+
 def similar_events(t: Tables, events: DataFrame) -> DataFrame:
     """SIMILAR_TO edges between events of one session whose entities are alike."""
-    near = retrieval.similar_pairs(t.entity_vectors, 0.85).where("similarity > 0.85").select(F.split_part("a", F.lit(":"), F.lit(2)).cast("int").alias("ka"), F.split_part("b", F.lit(":"), F.lit(2)).cast("int").alias("kb"), "similarity")
+    near = entity_pairs(t, 0.85).where("similarity > 0.85").select(F.split_part("a", F.lit(":"), F.lit(2)).cast("int").alias("ka"), F.split_part("b", F.lit(":"), F.lit(2)).cast("int").alias("kb"), "similarity")
     x = events.select(F.col("event_id").alias("src"), F.col("k").alias("ka"), "session_id")
     y = events.select(F.col("event_id").alias("dst"), F.col("k").alias("kb"), "session_id")
     return x.join(near, "ka").join(y, ["session_id", "kb"]).select("src", "dst", F.lit("SIMILAR_TO").alias("edge_type"), "similarity")
@@ -431,14 +437,14 @@ def _(t):
 @query("vector_topk", "SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS similarity FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) <= 10", model=False)
 def _(t):
     e = t.read("embeddings")
-    found = retrieval.vector_search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 10, -1.0)
+    found = vectors.vector_search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 10, -1.0)
     return found.select("qid", "id", "similarity")
 
 
 @query("entity_vector_seeds", "SELECT q.entity_id AS qid, e.entity_id AS id, round(list_cosine_similarity(e.vector, q.vector), 6) AS similarity FROM evec e JOIN evec q ON q.k % 50 = 0 WHERE round(list_cosine_similarity(e.vector, q.vector), 6) >= 0.5 QUALIFY row_number() OVER (PARTITION BY q.k ORDER BY similarity DESC, e.entity_id) <= 10")
 def _(t):
     v = t.entity_vectors
-    found = retrieval.vector_search(v.select(F.col("entity_id").alias("id"), "vector"), v.where("k % 50 = 0").select(F.col("entity_id").alias("qid"), F.col("vector").alias("q")), 10, 0.5)
+    found = vectors.vector_search(v.select(F.col("entity_id").alias("id"), "vector"), v.where("k % 50 = 0").select(F.col("entity_id").alias("qid"), F.col("vector").alias("q")), 10, 0.5)
     return found.select("qid", "id", "similarity")
 
 
@@ -446,7 +452,7 @@ def _(t):
 def _(t):
     v = t.entity_vectors
     seeds = v.where("k % 50 = 0").select(F.col("entity_id").alias("qid"), F.col("vector").alias("q"))
-    near = retrieval.vector_search(v.select(F.col("entity_id").alias("id"), "vector"), seeds, 20, -1.0)
+    near = vectors.vector_search(v.select(F.col("entity_id").alias("id"), "vector"), seeds, 20, -1.0)
     return retrieval.mmr(near.join(v.select(F.col("entity_id").alias("id"), "vector"), "id").select("qid", "id", F.col("similarity").alias("relevance"), "vector"), 10)
 
 
@@ -494,7 +500,7 @@ comp AS (SELECT id, least(id, min(other)) AS component FROM reach GROUP BY id)
 
 
 def same_as(t: Tables) -> DataFrame:
-    return retrieval.similar_pairs(t.entity_vectors, 0.9).select("a", "b")
+    return entity_pairs(t, 0.9).select("a", "b")
 
 
 @query("same_as_components", COMPONENTS + "SELECT c.id, c.component, first_value(c.id) OVER (PARTITION BY c.component ORDER BY coalesce(e.mention_count, 0) DESC, c.id) AS canonical FROM comp c LEFT JOIN entities e ON e.entity_id = c.id")
@@ -714,7 +720,7 @@ def _(t):
 
 @query("semantic_resolution", "SELECT a, b, CASE WHEN similarity >= 0.9 THEN 'SAME_AS' ELSE 'RELATED_TO' END AS action, round(similarity, 4) AS confidence FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) = 1) WHERE similarity >= 0.75")
 def _(t):
-    return resolution.semantic(retrieval.similar_pairs(t.entity_vectors, 0.75))
+    return resolution.semantic(entity_pairs(t, 0.75))
 
 
 @query("belief_contradictions")

@@ -28,11 +28,11 @@ entities AS (
 caused AS (SELECT event_id AS src, parent_event_id AS dst FROM ledger WHERE parent_event_id IS NOT NULL),
 edges AS (SELECT src, dst, 'FOLLOWS' AS edge_type FROM follows UNION ALL SELECT src, dst, 'CAUSED_BY' FROM caused),
 evec AS (
-  SELECT 'entity:' || i.k AS entity_id, i.k AS k, i.k // 4 AS block,
+  SELECT 'entity:' || i.k AS entity_id, i.k AS k,
     list_transform(range(1, 65), lambda x: CAST(b.embedding[x] AS DOUBLE) + (CASE WHEN i.k % 3 = 0 THEN 0.7::DOUBLE ELSE 0.25::DOUBLE END) * CAST(o.embedding[x] AS DOUBLE)) AS vector
-  FROM (SELECT CAST(range AS INTEGER) AS k FROM range(100)) i JOIN embeddings b ON b.vec_id = i.k // 4 JOIN embeddings o ON o.vec_id = i.k + 100
+  FROM (SELECT CAST(vec_id AS INTEGER) AS k FROM embeddings) i JOIN embeddings b ON b.vec_id = i.k // 4 JOIN embeddings o ON o.vec_id = i.k + 100
 ), pairs AS (
-  SELECT x.entity_id AS a, y.entity_id AS b, round(list_cosine_similarity(x.vector, y.vector), 6) AS similarity FROM evec x JOIN evec y ON x.block = y.block AND x.k < y.k
+  SELECT x.entity_id AS a, y.entity_id AS b, round(list_cosine_similarity(x.vector, y.vector), 6) AS similarity FROM evec x JOIN evec y ON x.k < y.k
 )
 """
 

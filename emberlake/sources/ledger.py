@@ -14,8 +14,8 @@ from emberlake.model import ENTITY_TYPES, EVENT_SCHEMA
 #: The moment that stands for now: 2024-01-31 00:00:00.
 NOW_US = 1_706_659_200_000_000
 HOUR = 3_600_000_000
-#: Where the ledger of an application and a folder is stored.
-STORED: dict[tuple[str, str], str] = {}
+#: Where the ledger of an application, a folder and its files as they were is stored.
+STORED: dict[tuple, str] = {}
 
 
 def micros(ts: Column) -> Column:
@@ -32,10 +32,19 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def version(self, name: str) -> tuple:
+        """What tells a table's files apart from others: number, bytes and a mark of paths, sizes and times. Spark lists them; none is opened."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.folder}/{name}.parquet")
+        mark = F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
+        return tuple(files.agg(F.count("*"), F.sum("length"), mark).first())  # one row
+
     @functools.cached_property
     def ledger(self) -> DataFrame:
-        """All events, stored once for each application and folder: sorted by session, so that filters on session and event id skip row groups."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
+        """All events, sorted by session, so that filters on session and event id skip row groups.
+
+        They are stored once as long as the files of ``events`` stay as they are; other files are stored anew. :func:`store` does it ahead.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder, *self.version("events"))
         if key not in STORED:
             from emberlake.operators.graph import shared_folder
 
@@ -82,15 +91,18 @@ class Tables:
 
     @functools.cached_property
     def entity_vectors(self) -> DataFrame:
-        """Vectors of the 100 entities: a shared base of four and an own part, so that there are near and far pairs. ``block`` numbers the base."""
+        """(entity_id, k, vector) for the vectors that have one a hundred places on: a base that four share, and an own part, so that there are near and far pairs."""
         e = self.read("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-        ids = self.spark.range(100).select(F.col("id").cast("int").alias("k"))
+        ids = e.select(F.col("vec_id").cast("int").alias("k"))
         weight = F.when(F.col("k") % 3 == 0, 0.7).otherwise(0.25)
         base, own = e.select(F.col("vec_id").alias("b"), F.col("v").alias("vb")), e.select(F.col("vec_id").alias("o"), F.col("v").alias("vo"))
         joined = ids.join(base, F.floor(F.col("k") / 4) == F.col("b")).join(own, F.col("k") + 100 == F.col("o"))
-        return joined.select(
-            F.concat(F.lit("entity:"), "k").alias("entity_id"), "k", F.floor(F.col("k") / 4).cast("int").alias("block"), F.zip_with("vb", "vo", lambda x, y: x + weight * y).alias("vector")
-        )
+        return joined.select(F.concat(F.lit("entity:"), "k").alias("entity_id"), "k", F.zip_with("vb", "vo", lambda x, y: x + weight * y).alias("vector"))
+
+
+def store(spark: SparkSession, folder: str) -> None:
+    """Stores the ledger of a folder ahead of the first query that reads it."""
+    Tables(spark, folder).ledger
 
 
 def to_json_lines(ledger: DataFrame) -> DataFrame:

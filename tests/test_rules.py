@@ -73,14 +73,6 @@ def test_pages_over_ids_that_are_not_numbers(spark):
     assert [r.event_id for r in surface.capped_ids(events, 3).orderBy("event_id").collect()] == sorted(ids)[:3]
 
 
-def test_vector_search_in_blocks(spark):
-    rng = random.Random(3)
-    v = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(60)], "id int, vector array<double>")
-    q = v.where("id % 5 = 0").selectExpr("id as qid", "vector as q")
-    rows = lambda df: sorted(map(tuple, df.select("qid", "id", "similarity", "rank").collect()))
-    assert rows(retrieval.vector_search(v, q, 4, -1.0)) == rows(retrieval.vector_search(v, q, 4, -1.0, sent=3))
-
-
 def test_mmr_ranks_all_candidates(spark):
     rows = [("q", f"{k:04d}", k / 1000, [1.0, k / 1000]) for k in range(800)]
     top = retrieval.mmr(spark.createDataFrame(rows, "qid string, id string, relevance double, vector array<double>"), 1).first()
