@@ -892,43 +892,7 @@ def _(t):
     return t.read("conversations").select("conv_id", "turn", message.alias("message"), kind.alias("event_type"))
 
 
-# ---- streams ----
-
-
-def staged(t: Tables) -> str:
-    """The ledger as a folder that a stream can read."""
-    return f"{graph.cut(t.ledger).inputFiles()[0].rsplit('/', 1)[0]}"
-
-
-@query("stream_follows", "SELECT src, dst, 'FOLLOWS' AS edge_type, session_id, delta_ms FROM follows")
-def _(t):
-    from emberlake.streaming import queries as streams
-
-    return streams.drained(streams.follows(streams.event_stream(t.spark, staged(t), None)), "stream_follows")
-
-
-@query("stream_enrichment", "SELECT event_id, coalesce(importance_hint, 5) AS importance_score, CASE WHEN tool_name IS NULL THEN replace(event_type, '.', ',') ELSE replace(event_type, '.', ',') || ',' || tool_name END AS keywords FROM ledger")
-def _(t):
-    from emberlake.streaming import queries as streams
-
-    return streams.drained(streams.enriched(streams.event_stream(t.spark, staged(t), 4)), "stream_enrichment").select("event_id", "importance_score", "keywords")
-
-
-@query("stream_extraction_triggers", "SELECT session_id, event_id, turn FROM (SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY occurred_us, position) AS turn FROM ledger WHERE event_type NOT LIKE 'system.%') WHERE turn % 5 = 0")
-def _(t):
-    from emberlake.streaming import queries as streams
-
-    kept = graph.cut(t.ledger.where("event_type NOT LIKE 'system.%'")).inputFiles()[0].rsplit("/", 1)[0]
-    return streams.drained(streams.extraction_triggers(streams.event_stream(t.spark, kept, None), 5), "stream_extraction_triggers")
-
-
-@query("stream_dedup", "SELECT event_id FROM ledger")
-def _(t):
-    from emberlake.streaming import queries as streams
-
-    twice = t.ledger.unionByName(t.ledger)
-    folder = graph.cut(twice).inputFiles()[0].rsplit("/", 1)[0]
-    return streams.drained(streams.deduplicated(streams.event_stream(t.spark, folder, 100), None), "stream_dedup").select("event_id")
+# ---- archive ----
 
 
 @query("archive_roundtrip", f"SELECT strftime(occurred_at, '%Y/%m/%d') AS day, count(*) AS n FROM ledger WHERE occurred_us // 1000 < {(NOW_US - 20 * 24 * 3_600_000_000) // 1000} GROUP BY ALL")

@@ -1,19 +1,28 @@
-"""Streams over the ledger: dedup, FOLLOWS edges with state, enrichment, windows, dead letters."""
+"""Streams over the ledger: dedup, projection and extraction with state, windows with late rows, dead letters.
+
+State lies in RocksDB under the query's checkpoint, so a query that is started again with the same checkpoint goes on where it stopped.
+A key's rows of a trigger come in arrival order of files only; within a trigger they are put in the order of time. A trigger's
+rows of one session are one frame in one task: bound triggers by ``files_per_trigger``.
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from emberlake.operators import projection
 from emberlake.operators.graph import shared_folder
-from emberlake.operators.ledger import errors
+
+SESSION_END = "system.session_end"
+#: How long a session's state is kept without an event.
+KEPT_MS = 30 * 24 * 3_600_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = 1) -> DataFrame:
@@ -30,27 +39,123 @@ def deduplicated(stream: DataFrame, watermark: str | None = "1 day") -> DataFram
     return stream.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
+# ---- state by session ----
+
+
+def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of a trigger, which come in several batches, in the order of time."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(["occurred_us", "position"], ignore_index=True)
+
+
+def as_rows(frame: pd.DataFrame, *texts: str) -> pd.DataFrame:
+    """``frame`` with text columns as plain objects: strings in several Arrow chunks can't be sent."""
+    return frame.assign(**{c: frame[c].astype(object).where(frame[c].notna(), None) for c in texts})
+
+
+def with_state(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """``stream`` by session through a processor; state that no event has touched for ``KEPT_MS`` goes."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.groupBy("session_id").transformWithStateInPandas(processor, StructType.fromDDL(schema), "Append", "ProcessingTime")
+
+
+PROJECTED = "kind string, session_id string, event_id string, event_type string, tool_name string, importance_score int, global_position long, src string, dst string, edge_type string, delta_ms long"
+PROJECTED_NAMES = [f.split()[0] for f in PROJECTED.split(", ")]
+
+
+class Projection(StatefulProcessor):
+    """Nodes and edges of each event; the state is a session's last event, dropped at its end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "event_id string, us long", KEPT_MS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        r = in_order(rows)
+        ended = (r["event_type"] == SESSION_END).to_numpy()
+        dst, us = r["event_id"].shift(), r["occurred_us"].shift().astype("Int64")
+        if self.last.exists():
+            dst.iloc[0], us.iloc[0] = self.last.get()
+        dst[pd.Series(ended).shift(fill_value=False)] = None  # nothing follows an end
+        nodes = r[["event_id", "event_type", "tool_name"]].assign(kind="node", importance_score=r["importance_hint"].astype("Int32"), global_position=r["position"])
+        one = pd.DataFrame({"src": r["event_id"], "dst": dst, "edge_type": "FOLLOWS", "delta_ms": ((r["occurred_us"] - us) // 1000).astype("Int64")})
+        other = pd.DataFrame({"src": r["event_id"], "dst": r["parent_event_id"], "edge_type": "CAUSED_BY"})
+        edges = pd.concat([x[x["dst"].notna()] for x in (one, other)]).assign(kind="edge")
+        if ended[-1]:
+            self.last.clear()
+        else:
+            self.last.update((r["event_id"].iloc[-1], int(r["occurred_us"].iloc[-1])))
+        out = pd.concat([nodes, edges]).assign(session_id=key[0]).reindex(columns=PROJECTED_NAMES).astype({"importance_score": "Int32", "global_position": "Int64", "delta_ms": "Int64"})
+        yield as_rows(out, "kind", "session_id", "event_id", "event_type", "tool_name", "src", "dst", "edge_type")
+
+    def close(self) -> None:
+        pass
+
+
+def projected(stream: DataFrame) -> DataFrame:
+    """Graph rows of ``stream`` in one pass: nodes (kind node) and FOLLOWS and CAUSED_BY edges (kind edge), as they arrive."""
+    names = ["session_id", "event_id", "event_type", "tool_name", "importance_hint", "position", "occurred_us", "parent_event_id"]
+    return with_state(stream.select(*names), Projection(), PROJECTED)
+
+
 def follows(stream: DataFrame) -> DataFrame:
     """FOLLOWS edges in arrival order, from the last event of each session; a session's end drops its state."""
+    have = set(stream.columns)
+    filled = stream.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in (("tool_name", "string"), ("importance_hint", "int"), ("parent_event_id", "string")) if name not in have])
+    return projected(filled).where("edge_type = 'FOLLOWS'").select("src", "dst", "edge_type", "session_id", "delta_ms")
+
+
+class Extraction(StatefulProcessor):
+    """Events of a session since its last trigger, given out at every so many turns and at its end."""
+
+    def __init__(self, every: int) -> None:
+        self.every = every
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = []
-        # A session of a trigger can come in several batches, which only have an order together.
-        for r in pd.concat(list(batches)).sort_values(["occurred_us", "position"]).itertuples():
-            if last is not None:
-                rows.append((r.event_id, last[0], "FOLLOWS", key[0], int((r.occurred_us - last[1]) / 1000)))
-            last = (r.event_id, int(r.occurred_us))
-            if r.event_type == "system.session_end":
-                last = None
-        yield pd.DataFrame(rows, columns=["src", "dst", "edge_type", "session_id", "delta_ms"])
-        if last is None:
-            state.remove()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.turns = handle.getValueState("turns", "n long", KEPT_MS)
+        self.waiting = handle.getListState("waiting", "event_id string, us long, position long", KEPT_MS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        r = in_order(rows)
+        before = int(self.turns.get()[0]) if self.turns.exists() else 0
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        ends = (r["event_type"] == SESSION_END).to_numpy()
+        counts = ~r["event_type"].str.startswith("system.").to_numpy()
+        life = pd.Series(ends).shift(fill_value=False).cumsum().to_numpy()  # a session that goes on after its end begins anew
+        turn = pd.Series(counts).groupby(life).cumsum().to_numpy() + (life == 0) * before
+        due = ends | (counts & (turn % self.every == 0))
+        piece = pd.Series(due).shift(fill_value=False).cumsum().to_numpy()
+        held = pd.DataFrame(waiting, columns=["event_id", "us", "position"])
+        now = pd.DataFrame({"event_id": r["event_id"], "us": r["occurred_us"], "position": r["position"], "piece": piece})
+        every = pd.concat([held.assign(piece=0), now])
+        triggers = pd.DataFrame({"piece": piece[due], "trigger_event_id": r["event_id"][due], "reason": ["session_end" if e else "turn" for e in ends[due]], "turns": turn[due]})
+        left = every[every["piece"] == due.sum()]
+        if ends[-1]:
+            self.turns.clear()
         else:
-            state.update(last)
+            self.turns.update((int(turn[-1]),))
+        self.waiting.clear()
+        if len(left):
+            self.waiting.put([(str(e), int(u), int(p)) for e, u, p in zip(left["event_id"], left["us"], left["position"], strict=True)])
+        out = every.merge(triggers, on="piece").assign(session_id=key[0])
+        out = out[["session_id", "trigger_event_id", "reason", "turns", "event_id"]].astype({"turns": "int64"})
+        yield as_rows(out, "session_id", "trigger_event_id", "reason", "event_id")
+
+    def close(self) -> None:
+        pass
+
+
+def extraction_pieces(stream: DataFrame, every: int = 50) -> DataFrame:
+    """(session_id, trigger_event_id, reason, turns, event_id): the events of a session since its last trigger, at every so many
+    events that the system hasn't made and at ``system.session_end``.
 
-    picked = stream.select("session_id", "event_id", "event_type", "occurred_us", "position")
-    return picked.groupBy("session_id").applyInPandasWithState(step, "src string, dst string, edge_type string, session_id string, delta_ms long", "event_id string, us long", "append", GroupStateTimeout.NoTimeout)
+    The state holds what waits for the next trigger and a count, both dropped at the end. All pieces of a session together are its events.
+    """
+    names = ["session_id", "event_id", "event_type", "occurred_us", "position"]
+    return with_state(stream.select(*names), Extraction(every), "session_id string, trigger_event_id string, reason string, turns long, event_id string")
+
+
+def extraction_triggers(stream: DataFrame, every: int = 50) -> DataFrame:
+    """(session_id, event_id, turn): every so many events of a session that the system hasn't made."""
+    return extraction_pieces(stream, every).where("reason = 'turn' AND event_id = trigger_event_id").select("session_id", "event_id", F.col("turns").alias("turn"))
 
 
 def enriched(stream: DataFrame) -> DataFrame:
@@ -58,48 +163,134 @@ def enriched(stream: DataFrame) -> DataFrame:
     return projection.enriched(stream)
 
 
-def extraction_triggers(stream: DataFrame, every: int = 50) -> DataFrame:
-    """(session_id, event_id, turn): every so many events of a session that the system hasn't made; the state is one number a session, dropped at its end."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["occurred_us", "position"])
-        turns = rows[~rows["event_type"].str.startswith("system.")].copy()
-        before = state.get[0] if state.exists else 0
-        turns["turn"] = before + np.arange(1, len(turns) + 1)
-        due = turns[turns["turn"] % every == 0]
-        yield pd.DataFrame({"session_id": key[0], "event_id": due["event_id"], "turn": due["turn"]})
-        if (rows["event_type"] == "system.session_end").any():
-            state.remove()
-        else:
-            state.update((before + len(turns),))
+# ---- windows and late rows ----
+
+
+def windows(stream: DataFrame, watermark: str = "1 hour", width: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Events of each type in windows of event time, every ``slide`` or one behind the other, once the watermark has passed them."""
+    window = F.window("at", width, slide) if slide else F.window("at", width)
+    counted = stream.withWatermark("at", watermark).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
+
+
+def bursts(stream: DataFrame, watermark: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
+    """Runs of a session's events that no longer gap interrupts, once the watermark has passed their end."""
+    counted = stream.withWatermark("at", watermark).groupBy("session_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n"))
+    return counted.select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def counted_with_late(stream: DataFrame, base: str, delay: str = "1 hour", width: str = "1 day", keys: tuple[str, ...] = ("event_type",)):
+    """A writer that counts events by window and keeps those that come too late for theirs.
+
+    A row is late if its window has ended by the watermark: the greatest event time of all triggers before, less ``delay``. ``base`` gets
+    late (the rows, with the watermark), counts (each trigger's own counts; add them up) and marks (each trigger's greatest time). Every trigger
+    writes folders of its own, so one that is repeated after a failure replaces what it wrote.
+    """
+
+    def split(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        marks = spark.createDataFrame([], "at timestamp, epoch long")
+        if epoch:
+            marks = spark.read.schema("at timestamp, epoch long").parquet(f"{base}/marks").where(F.col("epoch") < epoch)
+        mark = marks.agg((F.max("at") - F.expr(f"INTERVAL {delay}")).alias("watermark"))  # one row
+        rows = batch.withColumn("w", F.window("at", width)).join(F.broadcast(mark)).persist()
+        try:
+            late = F.coalesce(F.col("w.end") <= F.col("watermark"), F.lit(False))
+            rows.where(late).drop("w").write.mode("overwrite").parquet(f"{base}/late/epoch={epoch}")
+            counts = rows.where(~late).groupBy(F.col("w.start").alias("start"), *keys).agg(F.count("*").alias("n"))
+            counts.write.mode("overwrite").parquet(f"{base}/counts/epoch={epoch}")
+            rows.agg(F.max("at").alias("at")).write.mode("overwrite").parquet(f"{base}/marks/epoch={epoch}")
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.foreachBatch(split)
+
+
+def total_counts(spark: SparkSession, base: str, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """The windows' counts over all triggers of :func:`counted_with_late`."""
+    return spark.read.parquet(f"{base}/counts").groupBy("start", *keys).agg(F.sum("n").alias("n"))
 
-    picked = stream.select("session_id", "event_id", "event_type", "occurred_us", "position")
-    return picked.groupBy("session_id").applyInPandasWithState(step, "session_id string, event_id string, turn long", "turns long", "append", GroupStateTimeout.NoTimeout)
 
+# ---- dead letters ----
 
-def windows(stream: DataFrame, watermark: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Events of each type in fixed windows of event time."""
-    return stream.withWatermark("at", watermark).groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
+def with_dead_letters(stream: DataFrame, base: str, group: str, fault: Column | Callable[[DataFrame], DataFrame], most: int = 5):
+    """A writer that processes events, delivers those that fail again with each trigger, and gives them up after ``most`` deliveries.
 
-def with_dead_letters(stream: DataFrame, now_us: int, good_path: str, dead_path: str):
-    """A writer that sends events that pass validation to one folder and the others, with their errors, to another."""
+    fault: a column with the error's text, or null; or a function that adds it as column ``error``. ``base`` gets good, dead (with original_position,
+    group, delivery_count, error and epoch) and waiting (what failed so far), one folder a trigger, which a repeated trigger replaces.
+    """
 
     def split(batch: DataFrame, epoch: int) -> None:
-        checked = errors(batch, now_us).withColumn("epoch", F.lit(epoch))
-        checked.where(F.size("errors") == 0).drop("errors").write.mode("append").parquet(good_path)
-        checked.where(F.size("errors") > 0).write.mode("append").parquet(dead_path)
+        spark = batch.sparkSession
+        rows = batch.withColumn("delivery_count", F.lit(1))
+        if epoch:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{base}/waiting/epoch={epoch - 1}").withColumn("delivery_count", F.col("delivery_count") + 1))
+        tried = (fault(rows) if callable(fault) else rows.withColumn("error", fault)).persist()
+        try:
+            failed, over = F.col("error").isNotNull(), F.col("delivery_count") > most
+            tried.where(~failed).drop("error").write.mode("overwrite").parquet(f"{base}/good/epoch={epoch}")
+            tried.where(failed & ~over).drop("error").write.mode("overwrite").parquet(f"{base}/waiting/epoch={epoch}")
+            dead = tried.where(failed & over).withColumns({"original_position": F.col("position"), "group": F.lit(group)})
+            dead.write.mode("overwrite").parquet(f"{base}/dead/epoch={epoch}")
+        finally:
+            tried.unpersist()
 
     return stream.writeStream.foreachBatch(split)
 
 
-def drained(df: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what there is, to its end, and returns its rows, through Parquet files in the shared folder; a failed stream raises."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    sink = df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
-    query = sink.outputMode("append").trigger(availableNow=True).start()
+# ---- runs ----
+
+
+def run_to_end(writer, checkpoint: str, settle: bool = False) -> None:
+    """Runs a stream over what there is, to its end; a failed stream raises. The same checkpoint goes on where an earlier run stopped.
+
+    settle: a last trigger without data closes the windows that the watermark has passed. State with a time to live would ask for such
+    triggers for ever, so they are off otherwise.
+    """
+    conf, name = SparkSession.active().conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str(settle).lower())
+    try:
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
     try:
         query.awaitTermination()
     finally:
         query.stop()
+
+
+def drained(df: DataFrame, name: str, path: str | None = None, settle: bool = False) -> DataFrame:
+    """The rows of a stream over what there is, through Parquet files in the shared folder, or under ``path``, where another run goes on."""
+    path = path or new_folder(df.sparkSession, name)
+    run_to_end(df.writeStream.format("parquet").option("path", f"{path}/rows").outputMode("append"), f"{path}/checkpoint", settle)
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def by_time(events: DataFrame, parts: int) -> list[DataFrame]:
+    """``events`` cut into ``parts`` of about the same size, one after the other."""
+    shares = ", ".join(str(k / parts) for k in range(1, parts))
+    ends = events.selectExpr(f"percentile_approx(occurred_us, array({shares}), 1000)").first()[0] or []  # a few numbers
+    us = F.col("occurred_us")
+    first = [events.where(us <= ends[0])] if ends else [events]
+    return first + [events.where((us > low) & (us <= high)) for low, high in zip(ends, ends[1:], strict=False)] + ([events.where(us > ends[-1])] if ends else [])
+
+
+def arriving(parts: list[DataFrame], base: str, step: Callable[[DataFrame], object]) -> object:
+    """Lets ``parts`` arrive one after the other, each followed by ``step`` over the stream of what has arrived; the last step's result."""
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/events")
+        out = step(event_stream(part.sparkSession, f"{base}/events", None))
+    return out
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def replayed(events: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, parts: int = 3) -> DataFrame:
+    """The rows of the stream ``make`` over ``events``, which arrive in ``parts`` by time: after each, the query is started again from its checkpoint."""
+    base = new_folder(events.sparkSession, name)
+    return arriving(by_time(events, parts), base, lambda stream: drained(make(stream), name, f"{base}/out"))

@@ -3,6 +3,7 @@
 import pytest
 
 import emberlake.plans.lifecycle  # noqa: F401  registers more queries
+import emberlake.plans.streams  # noqa: F401  registers more queries
 import emberlake.plans.surface  # noqa: F401  registers more queries
 from emberlake.plans.catalogue import ORACLE_SQL, QUERIES
 from tests.conftest import oracle_rows, rows_of

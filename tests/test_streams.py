@@ -1,7 +1,9 @@
 """Replays of streams whose files and batches aren't in time order."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from emberlake.plans import streams as _queries  # noqa: F401  registers the queries
 from emberlake.plans.catalogue import QUERIES
 from emberlake.sources.ledger import Tables
 from emberlake.streaming import queries as streams
@@ -48,3 +50,46 @@ def test_follows_over_many_batches_and_files(spark, settings, tmp_path):
     settings(spark__sql__execution__arrow__maxRecordsPerBatch="10")
     found = streams.drained(streams.follows(streams.event_stream(spark, str(tmp_path / "in"), None)), "many_batches")
     assert sorted((r.dst, r.src) for r in found.collect()) == sorted((f"e{k}", f"e{k + 1}") for k in range(199))
+
+
+def test_state_goes_on_after_a_restart_and_ends_with_a_session(spark, tmp_path):
+    kinds = ["tool.execute", "tool.execute", "system.session_end", "tool.execute", "agent.invoke", "agent.invoke", "system.session_start"]
+    rows = [(f"e{k}", "s", kind, "t", k, 1000 * k, k, f"e{k - 1}" if k == 4 else None) for k, kind in enumerate(kinds)]
+    schema = "event_id string, session_id string, event_type string, tool_name string, importance_hint int, occurred_us long, position long, parent_event_id string"
+    parts = [spark.createDataFrame(rows[a:b], schema) for a, b in ((0, 1), (1, 4), (4, 7))]
+    base = str(tmp_path)
+    seen = []
+    out = streams.arriving(parts, f"{base}/p", lambda s: seen.append(1) or streams.drained(streams.projected(s), "p", f"{base}/p/out"))
+    found = out.collect()
+    assert len(seen) == 3 and sorted(r.event_id for r in found if r.kind == "node") == [f"e{k}" for k in range(7)]
+    assert sorted((r.dst, r.src) for r in found if r.edge_type == "FOLLOWS") == [("e0", "e1"), ("e1", "e2"), ("e3", "e4"), ("e4", "e5"), ("e5", "e6")]
+    assert [(r.src, r.dst, r.delta_ms) for r in found if r.edge_type == "CAUSED_BY"] == [("e4", "e3", None)]
+    got = streams.arriving(parts, f"{base}/x", lambda s: streams.drained(streams.extraction_pieces(s, 2), "x", f"{base}/x/out")).collect()
+    pieces = {}
+    for r in got:
+        pieces.setdefault((r.trigger_event_id, r.reason, r.turns), set()).add(r.event_id)
+    assert pieces == {("e1", "turn", 2): {"e0", "e1"}, ("e2", "session_end", 2): {"e2"}, ("e4", "turn", 2): {"e3", "e4"}}
+
+
+def test_a_repeated_trigger_replaces_its_counts(spark, tmp_path):
+    """The same trigger twice, as after a failure, counts once."""
+    hour = 3_600_000_000
+    events = spark.createDataFrame([("a", hour), ("a", 30 * hour), ("b", 2 * hour)], "event_type string, occurred_us long").withColumn("at", F.timestamp_micros("occurred_us"))
+    kept = {}
+
+    class Writer:
+        def foreachBatch(self, f):
+            kept["f"] = f
+
+    class Stream:
+        writeStream = Writer()
+
+    base = str(tmp_path)
+    streams.counted_with_late(Stream(), base)
+    split = kept["f"]
+    split(events, 0)
+    late = spark.createDataFrame([("a", hour), ("a", 40 * hour)], "event_type string, occurred_us long").withColumn("at", F.timestamp_micros("occurred_us"))
+    for _ in range(2):
+        split(late, 1)
+    assert sorted((r.event_type, r.n) for r in streams.total_counts(spark, base).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    assert [(r.event_type, r.occurred_us) for r in spark.read.parquet(f"{base}/late").collect()] == [("a", hour)]
