@@ -61,3 +61,4 @@ def user_affinity(preference: Column, recency_score: Column, overlap: Column) ->
 def boosted(decay: Column, weight: Column) -> Column:
     """A neighbour's score, raised by the weight of the edge that led to it."""
     return F.least(F.lit(1.0), decay * (1 + weight * 0.1))
+

@@ -121,6 +121,28 @@ def safe_path_parameter(value: Column) -> Column:
     return F.coalesce((F.length(value) > 0) & (F.length(value) <= 256) & ~bad, F.lit(False))
 
 
+#: The most characters of an error that is shown. Fixed value.
+ERROR_LENGTH = 500
+
+
 def redacted(text: Column) -> Column:
-    """Credentials in log lines, hidden."""
-    return F.regexp_replace(text, r"(?i)((?:api[_-]?key|token|password|authorization)\s*[=:]\s*)\S+", "$1***")
+    """Credentials in log lines, hidden: what follows their names, and addresses of stores."""
+    named = F.regexp_replace(text, r"(?i)((?:api[_-]?key|token|password|secret|authorization)\s*[=:]\s*)\S+", "$1***")
+    return F.regexp_replace(named, r"(?i)\b(redis|neo4j|postgres|mysql)://\S+", "$1://***")
+
+
+def shown_error(message: Column) -> Column:
+    """An error as a caller may see it: without credentials, cut at ERROR_LENGTH characters."""
+    plain = redacted(message)
+    return F.when(F.length(plain) > ERROR_LENGTH, F.concat(F.left(plain, F.lit(ERROR_LENGTH)), F.lit("..."))).otherwise(plain)
+
+
+def offset_cursor(offset: Column) -> Column:
+    """An opaque cursor of a number: URL-safe base 64."""
+    return F.translate(F.base64(offset.cast("string").cast("binary")), "+/", "-_")
+
+
+def offset_of(cursor: Column) -> Column:
+    """The number in a cursor; 0 where there is none, it is broken or negative."""
+    plain = F.decode(F.try_to_binary(F.translate(cursor, "-_", "+/"), F.lit("base64")), "UTF-8")
+    return F.greatest(F.lit(0), F.coalesce(plain.try_cast("long"), F.lit(0)))

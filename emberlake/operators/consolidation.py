@@ -30,7 +30,8 @@ def summaries(events: DataFrame, scope: str, keys: list[str], bounded: bool = Tr
         F.left(F.sha2(ids, 256), F.lit(12)).alias("summary_id"), F.count("*").alias("event_count"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("event_types"),
         F.min("occurred_us").alias("start_us"), F.max("occurred_us").alias("end_us"),
     )
-    text = F.concat(F.col("event_count").cast("string"), F.lit(" events ("), "event_types", F.lit(")"))
+    told = lambda us: F.date_format(F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.concat(F.col("event_count").cast("string"), F.lit(" events ("), "event_types", F.lit(") from "), told(F.col("start_us")), F.lit(" to "), told(F.col("end_us")))
     return grouped.select(F.lit(scope).alias("scope"), *keys, "summary_id", "event_count", "event_types", "start_us", "end_us", text.alias("content"))
 
 
@@ -59,3 +60,22 @@ def transcript(conversations: DataFrame, width: int = 500) -> DataFrame:
     line = F.concat(F.lit("[Turn "), F.col("turn").cast("string"), F.lit("] "), "role", F.lit(": "), F.left("text", F.lit(width)))
     lines = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
     return lines.select("conv_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("transcript"))
+
+
+def session_transcripts(events: DataFrame, width: int = 500) -> DataFrame:
+    """(session_id, transcript): for each event in order a header (turn, time, type, tool, agent), then its payload_ref, status, content, and input and output, cut at ``width``.
+
+    events: session_id, occurred_at, occurred_us, position, event_type, tool_name, agent_id, payload_ref, status, payload (JSON). A null payload is read from a
+    reference that is JSON itself. The text of a session is one value: its size is the session's.
+    """
+    from emberlake.functions.text import inline_payload
+
+    body = F.coalesce("payload", inline_payload(F.col("payload_ref")))
+    part = lambda name: F.get_json_object(body, f"$.{name}")
+    short = lambda c: F.when(F.length(c) > width, F.concat(F.left(c, F.lit(width)), F.lit("..."))).otherwise(c)
+    line = lambda label, c: F.when(c != "", F.concat(F.lit(f"  {label}: "), c))
+    header = F.concat(F.date_format("occurred_at", "'['yyyy-MM-dd'T'HH:mm:ss.SSSSSS'] '"), "event_type", F.coalesce(F.concat(F.lit(" tool="), F.when(F.col("tool_name") != "", F.col("tool_name"))), F.lit("")), F.lit(" agent="), "agent_id")
+    rest = F.concat_ws("\n", F.concat(F.lit("  payload_ref: "), F.coalesce("payload_ref", F.lit(""))), line("status", F.col("status")), line("content", part("content")), line("input", short(part("input"))), line("output", short(part("output"))), F.lit(""))
+    turns = events.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("occurred_us", "position", header.alias("header"), rest.alias("rest")))).alias("turns"))
+    told = F.transform("turns", lambda x, i: F.concat(F.lit("[Turn "), i.cast("string"), F.lit("] "), x["header"], F.lit("\n"), x["rest"]))
+    return turns.select("session_id", F.array_join(told, "\n").alias("transcript"))

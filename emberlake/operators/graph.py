@@ -45,6 +45,35 @@ def lineage(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFram
     return told.groupBy("start", "ancestor").agg(F.min("depth").alias("depth"))
 
 
+#: Most hops and most nodes of a traversal. Fixed values.
+MOST_HOPS, MOST_NODES = 10, 500
+
+
+def bounded_lineage(edges: DataFrame, starts: DataFrame, max_depth: int = 3, max_nodes: int = 100, edge_types: tuple[str, ...] = ("CAUSED_BY",)) -> tuple[DataFrame, DataFrame]:
+    """What ``starts`` (id) lead to along some types of ``edges`` (src, dst, edge_type): nodes (start, node, depth) and the edges (start, src, dst, edge_type) among them.
+
+    Breadth first, a round of joins for each hop, until no start has a new node: each start gets at most ``max_nodes`` nodes besides itself, nearer ones
+    first, then smaller ids; what is left out isn't followed further. A start without any ancestor gives no rows.
+    """
+    depth, most = max(1, min(max_depth, MOST_HOPS)), max(1, min(max_nodes, MOST_NODES))
+    steps = edges.where(F.col("edge_type").isin(*edge_types)).select("src", "dst", "edge_type").distinct()
+    seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
+    front = seen
+    for hop in range(1, depth + 1):
+        new = front.select("start", F.col("node").alias("src")).join(steps.select("src", F.col("dst").alias("node")), "src").select("start", "node").distinct()
+        new = new.join(seen, ["start", "node"], "left_anti")
+        held = seen.groupBy("start").agg((F.count("*") - 1).alias("held"))
+        rank = F.row_number().over(Window.partitionBy("start").orderBy("node"))
+        front = new.withColumn("rank", rank).join(held, "start").where(F.col("held") + F.col("rank") <= most).select("start", "node", F.lit(hop).alias("depth"))
+        front = cut(front)
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    seen = cut(seen)
+    src, dst = seen.select("start", F.col("node").alias("src")), seen.select("start", F.col("node").alias("dst"))
+    return seen.where("depth > 0"), src.join(steps, "src").join(dst, ["start", "dst"]).select("start", "src", "dst", "edge_type")
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, per_seed: int = 50) -> DataFrame:
     """(seed, dst, edge_type, rank) of the outgoing edges of distinct ``seeds`` (id), at most ``per_seed`` each; seeds without any stay, with nulls."""
     distinct = seeds.select(F.col("id").alias("seed")).distinct()

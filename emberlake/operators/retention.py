@@ -98,12 +98,39 @@ def idle_sessions(ledger: DataFrame, now_us: int, hours: float = 168.0) -> DataF
     return ledger.groupBy("session_id").agg(F.max("occurred_us").alias("last_us")).where(F.col("last_us") < now_us - int(hours * HOUR_US))
 
 
+def archive_days(ledger: DataFrame, now_us: int, days: float, path: str) -> None:
+    """Archives expired events day by day: under ``path`` events hold each day's rows, and manifest a row (day, n, mark) for each day that has arrived whole.
+
+    A day is written over its own folder, read back, and committed if number and mark of ids agree; a run that broke off goes on with the days that aren't committed,
+    and days whose events have changed since (late ones, say) are written anew.
+    """
+    from emberlake.sources.ledger import archive
+
+    spark = ledger.sparkSession
+    old = expired(ledger, now_us, days).withColumn("day", F.to_date("occurred_at"))
+    told = lambda df: df.groupBy("day").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("event_id")).alias("mark"))
+    todo = told(old).join(committed(spark, path), ["day", "n", "mark"], "left_anti")
+    batches = sorted(r.day for r in todo.collect())  # at most one row for each day
+    if not batches:
+        return
+    archive(old.where(F.col("day").isin(batches)).drop("day"), f"{path}/events", overwrite=True)
+    arrived = told(spark.read.schema("event_id string, occurred_at timestamp_ntz").json(f"{path}/events").withColumn("day", F.to_date("occurred_at")))
+    whole = arrived.join(todo, ["day", "n", "mark"], "left_semi")
+    whole.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def committed(spark, path: str) -> DataFrame:
+    """The manifest (day, n, mark) of an archive; empty where there is none yet."""
+    schema, at = "day date, n long, mark long", spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(f"{path}/manifest").distinct() if there else spark.createDataFrame([], schema)
+
+
 def archive_then_delete(ledger: DataFrame, now_us: int, days: float, path: str) -> DataFrame:
-    """Writes expired events to ``path``, checks that all have arrived, and returns the rest."""
-    from emberlake.sources.ledger import archive, archived
-
-    old = expired(ledger, now_us, days)
-    archive(old, path)
-    if archived(ledger.sparkSession, path).count() != old.count():
-        raise RuntimeError("the archive is incomplete; nothing is deleted")
-    return ledger.join(old.select("event_id"), "event_id", "left_anti")
+    """Archives expired events to ``path`` and returns the ledger without those of committed days; days that haven't arrived whole stay."""
+    archive_days(ledger, now_us, days, path)
+    told = expired(ledger, now_us, days).withColumn("day", F.to_date("occurred_at"))
+    gone = told.groupBy("day").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("event_id")).alias("mark")).join(committed(ledger.sparkSession, path), ["day", "n", "mark"], "left_semi").select("day")
+    dated = ledger.withColumn("day", F.to_date("occurred_at"))
+    out_of_date = F.floor(F.col("occurred_us") / 1000) < (now_us - days * 24 * HOUR_US) // 1000
+    return dated.join(gone.withColumn("archived", F.lit(True)), "day", "left").where(~(out_of_date & F.coalesce("archived", F.lit(False)))).select(*ledger.columns)

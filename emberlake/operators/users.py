@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.functions import scoring
 from emberlake.model import OTHER_STABILITY, PREFERENCE_STABILITY, PREFERENCE_WEIGHTS
 
 
@@ -124,3 +125,41 @@ def export_user(nodes: DataFrame, edges: DataFrame, entity_id: str) -> DataFrame
     named = own.join(nodes.select("id", F.to_json(F.struct("label", "name")).alias("body")), "id").select("kind", "id", "body")
     chains = edges.where("edge_type = 'DERIVED_FROM'").join(own.select(F.col("id").alias("src")).distinct(), "src")
     return named.unionByName(chains.select(F.lit("provenance_chains").alias("kind"), F.concat("src", F.lit(">"), "dst").alias("id"), F.to_json(F.struct("src", "dst")).alias("body")))
+
+
+# ---- affinity ----
+
+#: Hours over which a retrieval fades, and days of which a user's entities count as recent.
+RETRIEVAL_HOURS, RECENT_DAYS = 168.0, 7
+
+
+def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
+    """``left`` with ``value`` of the last row of ``right`` (by, time, value) before its own time, null where there is none.
+
+    Both sides go in one sort by time within ``by``, so nothing is joined pair by pair; rows of ``right`` at the very time don't count.
+    """
+    both = left.withColumn("_told", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(0))
+    more = right.select(*by, time, F.col(value).alias("_told"), F.lit(1).alias("_side"))
+    line = Window.partitionBy(*by).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, -1)
+    joined = both.unionByName(more, allowMissingColumns=True).withColumn(value, F.last("_told", ignorenulls=True).over(line))
+    return joined.where("_side = 0").drop("_side", "_told")
+
+
+def affinity_factors(events: DataFrame, preferences: DataFrame, retrievals: DataFrame, references: DataFrame, now_us: int) -> DataFrame:
+    """(event_id, preference, retrieval, overlap, affinity): how near each of ``events`` (event_id, user_id, category, occurred_us) is to its user.
+
+    preference: the strength of the user's last preference (user_id, category, occurred_us, strength) of its category before it. retrieval: how recently the user was
+    last shown it (user_id, event_id, us). overlap: the entities that it shares with the user's events of the last days, over the larger number of both;
+    references: (event_id, entity_id). What isn't there counts as 0.
+    """
+    told = as_of(events.select("event_id", "user_id", "category", "occurred_us"), preferences, ["user_id", "category"], "occurred_us", "strength")
+    shown = retrievals.groupBy("user_id", "event_id").agg(F.max("us").alias("us"))
+    recency = F.when(F.col("us").isNotNull(), F.exp(-F.greatest(F.lit(0.0), (F.lit(now_us) - F.col("us")) / scoring.HOUR_US) / RETRIEVAL_HOURS))
+    owned = events.select("event_id", "user_id", "occurred_us").join(references.select("event_id", "entity_id").distinct(), "event_id")
+    recent = owned.where(F.col("occurred_us") >= now_us - RECENT_DAYS * 24 * int(scoring.HOUR_US)).select("user_id", "entity_id").distinct()
+    sizes = recent.groupBy("user_id").agg(F.count("*").alias("theirs"))
+    shared = owned.join(recent.withColumn("known", F.lit(1)), ["user_id", "entity_id"], "left").groupBy("event_id", "user_id").agg(F.count("*").alias("own"), F.count("known").alias("shared"))
+    overlap = shared.join(sizes, "user_id", "left").select("event_id", (F.col("shared") / F.greatest("own", F.coalesce("theirs", F.lit(0)))).alias("overlap"))
+    joined = told.join(shown, ["user_id", "event_id"], "left").join(overlap, "event_id", "left")
+    parts = [F.coalesce("strength", F.lit(0.0)), F.coalesce(recency, F.lit(0.0)), F.coalesce("overlap", F.lit(0.0))]
+    return joined.select("event_id", *[F.round(x, 6).alias(n) for x, n in zip(parts, ("preference", "retrieval", "overlap"), strict=True)], F.round(scoring.user_affinity(*parts), 6).alias("affinity"))

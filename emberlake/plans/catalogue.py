@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.functions import scoring, text
-from emberlake.model import EDGE_TYPES, EventQuery, Retention
+from emberlake.model import EDGE_TYPES, ENTITY_TYPES, EventQuery, Retention
 from emberlake.operators import consolidation, graph, ledger, projection, resolution, retention, retrieval, upsert, users, vectors
 from emberlake.plans import sql
 from emberlake.sources.ledger import NOW_US, Tables, to_json_lines
@@ -23,10 +23,8 @@ QUESTIONS = [
     (4, "similar incidents, like this one"), (5, "who is the team author"), (6, "how does the process workflow work"), (7, "prefer my favorite style"),
     (8, "hello world"), (9, "show me the order"), (10, "why and when, in what sequence"), (11, "root cause due to user method"), (12, ""),
 ]
-NAMES = [
-    (1, "K8s", "service"), (2, "Visual  Studio Code", "tool"), (3, "VSCode", "tool"), (4, "postgres", "service"), (5, "PostgreSQL", "resource"), (6, "kubernetes", "service"),
-    (7, "Acme", "concept"), (8, " PP ", "service"), (9, "paypal.com", "service"), (10, "US Postal Service", "service"), (11, "postgresq", "service"), (12, "acme ", "user"),
-]
+#: Spellings of known names, which every tenth mention uses.
+SPELLINGS = ["K8s", "Visual  Studio Code", "postgres", "PostgreSQL", "kubernetes", "VSCode", " PP ", "US Postal Service", "postgresq", "paypal.com"]
 FEEDBACK_STEP = 3
 
 
@@ -46,9 +44,18 @@ def session_of(t: Tables) -> DataFrame:
     return t.ledger.where(F.col("session_id") == SESSION)
 
 
-def literal(rows: list, columns: str) -> str:
-    values = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
-    return f"(VALUES {values}) AS v({columns})"
+def mentions(t: Tables) -> DataFrame:
+    """(event_id, position, session_id, name, entity_type): what each event names, in several spellings: a part's name, now and then with a letter doubled, or a known service."""
+    parts = t.read("part").select(F.col("p_partkey").cast("int").alias("k"), F.col("p_name").alias("part"))
+    spelt = F.get(F.array(*[F.lit(x) for x in SPELLINGS]), F.floor(F.col("k") / 10).cast("int") % len(SPELLINGS))
+    way = F.col("position") % 5
+    name = F.when(way == 0, F.upper("part")).when(way == 1, F.concat(F.lit("  "), F.replace("part", F.lit(" "), F.lit("  ")))).when(way == 2, F.concat(F.left("part", F.lit(3)), F.substring("part", 3, 100))).otherwise(F.col("part"))
+    kind = F.get(F.array(*[F.lit(x) for x in ENTITY_TYPES]), (F.col("k") % 6).cast("int"))
+    return t.ledger.join(parts, "k").select("event_id", "position", "session_id", F.when(F.col("k") % 10 == 0, spelt).otherwise(name).alias("name"), kind.alias("entity_type"))
+
+
+MENTIONS = f""", mentions AS (SELECT event_id, position, session_id, CASE WHEN k % 10 = 0 THEN {SPELLINGS}[(k // 10) % {len(SPELLINGS)} + 1] WHEN position % 5 = 0 THEN upper(p_name) WHEN position % 5 = 1 THEN '  ' || replace(p_name, ' ', '  ')
+  WHEN position % 5 = 2 THEN left(p_name, 3) || substr(p_name, 3) ELSE p_name END AS name, {ENTITY_TYPES}[k % 6 + 1] AS entity_type FROM ledger JOIN part ON p_partkey = k)"""
 
 
 # ---- ledger ----
@@ -211,9 +218,10 @@ def _(t):
     return users.preferences(t.ledger).groupBy("category", "polarity").agg(F.count("*").alias("n"))
 
 
-@query("degenerate_output", "SELECT agent_id, count(*) AS n, stddev_pop(value / 100) < 0.29 AS degenerate FROM ledger GROUP BY ALL HAVING count(*) >= 3")
+@query("degenerate_output", "SELECT trace_id, count(*) AS n, count(*) >= 3 AND stddev_pop(0.5 + value / 1000) < 0.02 AS degenerate FROM ledger GROUP BY ALL")
 def _(t):
-    return t.ledger.groupBy("agent_id").agg(F.count("*").alias("n"), (F.stddev_pop(F.col("value") / 100) < 0.29).alias("degenerate")).where("n >= 3")
+    """Confidences of what a day's events of a user would give."""
+    return resolution.degenerate(t.ledger.withColumn("confidence", 0.5 + F.col("value") / 1000), "trace_id", "confidence")
 
 
 # ---- scores ----
@@ -376,11 +384,14 @@ def _(t):
 
 
 def questions(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(QUESTIONS, "qid int, text string")
+    """(qid, text): each turn of the conversations, opened by one of the questions."""
+    asked = F.get(F.array(*[F.lit(q) for _, q in QUESTIONS]), ((F.col("conv_id") + F.col("turn")) % len(QUESTIONS)).cast("int"))
+    return t.read("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.concat(asked, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
+ASKED_SQL = "SELECT conv_id || '-' || turn AS qid, [" + ", ".join("'" + q.replace("'", "''") + "'" for _, q in QUESTIONS) + f"][(conv_id + turn) % {len(QUESTIONS)} + 1] || ' ' || coalesce(text, '') AS text FROM conversations"
 INTENT_SQL = f"""
-WITH q AS (SELECT * FROM {literal(QUESTIONS, "qid, text")}), lex AS (SELECT * FROM (VALUES {sql.INTENT_ROWS}) AS v(ordinal, intent, word)),
+WITH q AS ({ASKED_SQL}), lex AS (SELECT * FROM (VALUES {sql.INTENT_ROWS}) AS v(ordinal, intent, word)),
 h AS (SELECT qid, ordinal, intent, count(*) AS hits FROM q JOIN lex ON regexp_matches(lower(text), '\\b' || word || '\\b') GROUP BY ALL),
 found AS (SELECT qid, ordinal, intent, least(1.0::DOUBLE, hits * 0.4::DOUBLE) / max(least(1.0::DOUBLE, hits * 0.4::DOUBLE)) OVER (PARTITION BY qid) AS confidence FROM h
   UNION ALL SELECT qid, 7, 'general', 0.5::DOUBLE FROM q WHERE qid NOT IN (SELECT qid FROM h))
@@ -392,7 +403,7 @@ def _(t):
     return retrieval.intents(questions(t)).select("qid", "intent", F.round("confidence", 4).alias("confidence"))
 
 
-@query("intent_of_documents", INTENT_SQL.replace(f"SELECT * FROM {literal(QUESTIONS, 'qid, text')}", "SELECT doc_id AS qid, text FROM documents") + "SELECT intent, count(*) AS n FROM found GROUP BY ALL", model=False)
+@query("intent_of_documents", INTENT_SQL.replace(ASKED_SQL, "SELECT doc_id AS qid, text FROM documents") + "SELECT intent, count(*) AS n FROM found GROUP BY ALL", model=False)
 def _(t):
     return retrieval.intents(t.read("documents").select(F.col("doc_id").alias("qid"), "text")).groupBy("intent").agg(F.count("*").alias("n"))
 
@@ -540,7 +551,7 @@ def _(t):
 # ---- consolidation ----
 
 EPISODES = ", ep AS (SELECT *, sum(starts) OVER (PARTITION BY session_id ORDER BY occurred_us, position ROWS UNBOUNDED PRECEDING) AS episode FROM (SELECT *, CASE WHEN occurred_us - lag(occurred_us) OVER (PARTITION BY session_id ORDER BY occurred_us, position) > 1800000000 THEN 1 ELSE 0 END AS starts FROM ledger))"
-SUMMARY = "left(sha256(string_agg(event_id, '|' ORDER BY event_id)), 12) AS summary_id, count(*) AS event_count, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS event_types, min(occurred_us) AS start_us, max(occurred_us) AS end_us, count(*) || ' events (' || array_to_string(list_sort(list(DISTINCT event_type)), ',') || ')' AS content"
+SUMMARY = "left(sha256(string_agg(event_id, '|' ORDER BY event_id)), 12) AS summary_id, count(*) AS event_count, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS event_types, min(occurred_us) AS start_us, max(occurred_us) AS end_us, count(*) || ' events (' || array_to_string(list_sort(list(DISTINCT event_type)), ',') || ') from ' || strftime(min(occurred_at), '%Y-%m-%dT%H:%M:%S.%f') || ' to ' || strftime(max(occurred_at), '%Y-%m-%dT%H:%M:%S.%f') AS content"
 
 
 @query("episodes", EPISODES + "SELECT event_id, session_id, CAST(episode AS BIGINT) AS episode FROM ep")
@@ -706,16 +717,17 @@ def _(t):
     return resolution.belief_winner(before.join(side("b"), ["session_id", "b_seq"]))
 
 
-@query("alias_resolution", f"WITH n AS (SELECT *, coalesce(m.whole, {sql.normalised('name')}) AS key FROM {literal(NAMES, 'ordinal, name, entity_type')} LEFT JOIN (VALUES {sql.ALIAS_ROWS}) AS m(alias, whole) ON m.alias = {sql.normalised('name')}) SELECT x.name, x.entity_type, CASE WHEN x.entity_type = y.entity_type THEN 'MERGE' ELSE 'SAME_AS' END AS action, y.name AS target, CASE WHEN x.entity_type = y.entity_type THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM n x JOIN (SELECT * FROM n WHERE ordinal <= 8 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ordinal) = 1) y USING (key)", model=False)
+@query("alias_resolution", f"{MENTIONS}, n AS (SELECT m.*, coalesce(a.whole, {sql.normalised('name')}) AS key FROM mentions m LEFT JOIN (VALUES {sql.ALIAS_ROWS}) AS a(alias, whole) ON a.alias = {sql.normalised('name')}) SELECT x.name, x.entity_type, CASE WHEN x.entity_type = y.entity_type THEN 'MERGE' ELSE 'SAME_AS' END AS action, y.name AS target, CASE WHEN x.entity_type = y.entity_type THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM n x JOIN (SELECT * FROM n WHERE session_id = '{SESSION}' QUALIFY row_number() OVER (PARTITION BY key ORDER BY position) = 1) y USING (key)")
 def _(t):
-    names = t.spark.createDataFrame(NAMES, "ordinal int, name string, entity_type string")
-    return resolution.by_alias(names, names.where("ordinal <= 8"))
+    named = mentions(t)
+    return resolution.by_alias(named, named.where(F.col("session_id") == SESSION).withColumnRenamed("position", "ordinal"))
 
 
 @query("fuzzy_resolution")
 def _(t):
-    names = t.spark.createDataFrame(NAMES, "ordinal int, name string, entity_type string")
-    return resolution.fuzzy(names.where("ordinal > 8"), names.where("ordinal <= 8"))
+    """All names against those of one session."""
+    named = mentions(t)
+    return resolution.fuzzy(named.select("name", "entity_type").distinct(), named.where(F.col("session_id") == SESSION).select("name", "entity_type").distinct())
 
 
 @query("semantic_resolution", "SELECT a, b, CASE WHEN similarity >= 0.9 THEN 'SAME_AS' ELSE 'RELATED_TO' END AS action, round(similarity, 4) AS confidence FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) = 1) WHERE similarity >= 0.75")

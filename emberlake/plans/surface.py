@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from emberlake.functions import text
 from emberlake.model import Retention
-from emberlake.operators import consolidation, projection, resolution, retention, retrieval, surface, users
+from emberlake.operators import consolidation, projection, resolution, retention, retrieval, surface, users, vectors
 from emberlake.plans import sql
-from emberlake.plans.catalogue import NAMES, SESSION, USER, literal, query, session_of
+from emberlake.plans.catalogue import MENTIONS, SESSION, USER, mentions, query, session_of
 from emberlake.sources.ledger import NOW_US, micros
 
 
@@ -63,12 +63,6 @@ def _(t):
     return surface.parsed_items(raw, "struct<name:string,k:int>", ["name", "k"])
 
 
-@query("coerced_values", "SELECT event_id, CASE raw WHEN 'click' THEN 'observed' WHEN 'view' THEN 'inferred' ELSE 'implicit' END AS source FROM (SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS raw FROM events)", model=False)
-def _(t):
-    e = t.read("events")
-    return e.select(F.col("event_id").cast("string").alias("event_id"), resolution.coerced(F.upper("event_type"), {"click": "observed", "view": "inferred"}, "implicit").alias("source"))
-
-
 @query("stream_keys", "SELECT event_id, row_number() OVER (ORDER BY occurred_us // 1000, position) AS place FROM ledger")
 def _(t):
     key = surface.stream_key(F.concat(F.floor(F.col("occurred_us") / 1000).cast("string"), F.lit("-"), "event_id"))
@@ -127,16 +121,20 @@ def _(t):
     return surface.chained(t.ledger)
 
 
-@query("normalised_names", f"SELECT ordinal, {sql.normalised('name')} AS plain FROM {literal(NAMES, 'ordinal, name, entity_type')}", model=False)
+@query("normalised_names", f"{MENTIONS} SELECT event_id, {sql.normalised('name')} AS plain FROM mentions")
 def _(t):
-    return t.spark.createDataFrame(NAMES, "ordinal int, name string, entity_type string").select("ordinal", text.normalised(F.col("name")).alias("plain"))
+    return mentions(t).select("event_id", text.normalised(F.col("name")).alias("plain"))
 
 
 @query("resolution_cascade")
 def _(t):
-    names = t.spark.createDataFrame(NAMES, "ordinal int, name string, entity_type string")
-    pairs = t.spark.createDataFrame([("Acme", "VSCode", 0.8), ("Acme", "postgres", 0.2)], "name string, target string, similarity double")
-    return surface.resolved(names.where("ordinal > 6"), names.where("ordinal <= 6"), pairs)
+    """All names against those of one session, and what similar names' hashed words say."""
+    named = mentions(t)
+    known = named.where(F.col("session_id") == SESSION).groupBy("name").agg(F.min("position").alias("ordinal"), F.min_by("entity_type", "position").alias("entity_type"))
+    new = named.groupBy("name").agg(F.min("position").alias("ordinal"), F.min_by("entity_type", "position").alias("entity_type"))
+    vectors_of = lambda df: surface.embedded(df.select(F.col("name").alias("id"), F.col("name").alias("text")))
+    near = vectors.vector_search(vectors_of(known), vectors_of(new).select(F.col("id").alias("qid"), F.col("vector").alias("q")), 1, 0.75)
+    return surface.resolved(new, known, near.select(F.col("qid").alias("name"), F.col("id").alias("target"), "similarity"))
 
 
 @query("events_of_user_entities", f"SELECT event_id FROM ledger WHERE session_id = '{SESSION}' AND k % 5 = 0")
@@ -164,12 +162,6 @@ def _(t):
     return counts.select("category", "polarity", F.when(F.col("n") >= 500, "hot").when(F.col("n") >= 200, "warm").otherwise("cold").alias("tier"))
 
 
-@query("validated_items", "SELECT event_id, least(value / 100, 0.6) AS confidence FROM ledger WHERE position % 2 = 0")
-def _(t):
-    items = t.ledger.select("event_id", (F.col("value") / 100).alias("confidence"), F.lit("inferred").alias("source"), F.when(F.col("position") % 2 == 0, "a known quote").otherwise("never said before").alias("quote"), F.lit("This has A  known quote in it").alias("text"))
-    return resolution.validated(items).select("event_id", "confidence")
-
-
 @query("sessions_per_day", "SELECT strftime(occurred_at, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM ledger GROUP BY ALL")
 def _(t):
     return t.ledger.groupBy(F.window("occurred_at", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

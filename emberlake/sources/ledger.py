@@ -110,10 +110,14 @@ def to_json_lines(ledger: DataFrame) -> DataFrame:
     return ledger.select("event_id", F.to_json(F.struct("event_id", "session_id", "event_type", F.floor(F.col("occurred_us") / 1000).alias("occurred_at_epoch_ms"), "tool_name")).alias("doc"))
 
 
-def archive(ledger: DataFrame, path: str) -> None:
-    """Writes events as compressed JSON lines, one folder for each day."""
+def archive(ledger: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Writes events as compressed JSON lines, one folder for each day; with ``overwrite`` in place of what the folders of the same days hold."""
     day = F.to_date("occurred_at")
-    ledger.withColumns({"y": F.date_format(day, "yyyy"), "m": F.date_format(day, "MM"), "d": F.date_format(day, "dd")}).write.partitionBy("y", "m", "d").option("compression", "gzip").json(path)
+    dated = ledger.withColumns({"y": F.date_format(day, "yyyy"), "m": F.date_format(day, "MM"), "d": F.date_format(day, "dd")})
+    writer = dated.repartitionByRange("y", "m", "d", "occurred_us").write.partitionBy("y", "m", "d").option("compression", "gzip")
+    if overwrite:
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.json(path)
 
 
 def archived(spark: SparkSession, path: str) -> DataFrame:

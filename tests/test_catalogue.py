@@ -2,6 +2,7 @@
 
 import pytest
 
+import emberlake.plans.features  # noqa: F401  registers more queries
 import emberlake.plans.lifecycle  # noqa: F401  registers more queries
 import emberlake.plans.streams  # noqa: F401  registers more queries
 import emberlake.plans.surface  # noqa: F401  registers more queries
