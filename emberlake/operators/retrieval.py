@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions import scoring, text
-from emberlake.model import INTENT_WEIGHTS, INTENTS, SEED_STRATEGIES, Decay
+from emberlake.model import INTENT_WEIGHTS, INTENTS, OTHER_SIGNAL, PROACTIVE_SIGNALS, SEED_STRATEGIES, Decay, SubgraphQuery
 from emberlake.operators import graph, projection
 
 
@@ -177,30 +177,71 @@ def bridges(session: DataFrame, ledger: DataFrame, references: DataFrame, sessio
     return found.select("event_id", "session_id", "entity_id", "occurred_us", "position").orderBy(F.col("occurred_us").desc(), F.col("position").desc()).limit(max(1, n // 5))
 
 
-def subgraph(ledger: DataFrame, references: DataFrame, similar: DataFrame, query: str, session_id: str, now_us: int, max_nodes: int = 100, seeds: int = 10, owners: DataFrame | None = None) -> DataFrame:
-    """The intent-aware subgraph of a session: seeds by strategy and text fused, their neighbours boosted, best first.
+def context_response(ledger: DataFrame, session_id: str, n: int, now_us: int) -> DataFrame:
+    """A session's newest ``n`` events as a response: rows of kind node (id, decay, rank), edge (src, dst, edge_type; those among the nodes) and page (id: the cursor of the next page, has_more)."""
+    session = ledger.where(F.col("session_id") == session_id)
+    order = [F.col("occurred_us").desc(), F.col("position").desc()]
+    fetched = session.orderBy(*order).limit(n + 1)  # one more tells whether there is another page
+    numbered = fetched.withColumns({"rn": F.row_number().over(Window.orderBy(*order)), "fetched": F.count("*").over(Window.partitionBy())})
+    own = graph.cut(numbered.where(F.col("rn") <= n))
+    nodes = ranked(scored_events(own, now_us).select(F.col("event_id").alias("id"), "decay", "position"), F.col("decay").desc(), F.col("position")).drop("position")
+    edges = projection.among(projection.event_edges(session), own.select(F.col("event_id").alias("id"))).select("src", "dst", "edge_type").distinct()
+    last = own.orderBy(F.col("rn").desc()).limit(1)
+    cursor = F.when(F.col("fetched") > n, text.cursor(F.col("occurred_us"), F.col("event_id")))
+    page = last.select(cursor.alias("id"), (F.col("fetched") > n).alias("has_more"))
+    out = nodes.withColumn("kind", F.lit("node")).unionByName(edges.withColumn("kind", F.lit("edge")), allowMissingColumns=True)
+    return out.unionByName(page.withColumn("kind", F.lit("page")), allowMissingColumns=True)
+
+
+def expanded(seeds: DataFrame, edges: DataFrame, weights: dict[str, float], per_seed: int = 50) -> tuple[DataFrame, DataFrame]:
+    """What one hop from ``seeds`` (id) leads to: nodes (id, w, signal) and the edges (src, dst, edge_type) that do.
+
+    A node takes the weight and the signal of the strongest edge that leads to it, of equals the first type. A seed isn't its own neighbour.
+    """
+    near = graph.cut(graph.neighbours(edges, seeds, per_seed).where("dst IS NOT NULL AND dst != seed"))
+    weight = F.coalesce(F.try_element_at(text.literal_map(weights), F.col("edge_type")), F.lit(1.0))
+    signal = F.coalesce(F.try_element_at(text.literal_map(PROACTIVE_SIGNALS), F.col("edge_type")), F.lit(OTHER_SIGNAL))
+    best = near.groupBy(F.col("dst").alias("id")).agg(F.min_by(F.struct(weight.alias("w"), signal.alias("signal")), F.struct(-weight, "edge_type")).alias("b"))
+    return best.select("id", "b.*"), near.select(F.col("seed").alias("src"), "dst", "edge_type").distinct()
 
-    owners: entity_id of the entities with a profile or a preference, for questions about the user.
-    Returns (id, source, decay, rank). The query's intents are computed from one row; all else is one plan.
+
+def subgraph(
+    ledger: DataFrame, references: DataFrame, similar: DataFrame, q: SubgraphQuery, now_us: int, seeds: int = 10, entities: DataFrame | None = None, owners: DataFrame | None = None, given: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The intent-aware subgraph of a session: seeds by strategy and recency fused, what they lead to boosted, best first.
+
+    entities: known ones with their scores' columns, which seeds refer to. owners: entity_id of the entities with a profile or a preference, for
+    questions about the user. given: ids to start from instead of a strategy's; unknown ones stay, without a score.
+    Returns nodes (id, node_type, source, signal, decay, rank) and the edges among them. Only the query's intents, one row, reach the driver.
     """
     spark = ledger.sparkSession
-    asked = intents(spark.createDataFrame([(0, query)], "qid int, text string"))
-    strategy = strategies(asked).first()["strategy"]  # one row
+    asked = intents(spark.createDataFrame([(0, q.text)], "qid int, text string"))
     weights = {r["edge_type"]: r["weight"] for r in edge_weights(asked).collect()}  # at most one row for each edge type
-    session = ledger.where(F.col("session_id") == session_id)
-    edges = projection.event_edges(session)
-    chosen = {
-        "causal_roots": lambda: causal_roots(session, edges, seeds), "temporal_anchors": lambda: temporal_anchors(session, seeds), "workflow_pattern": lambda: workflow_pattern(session, seeds),
-        "similar_cluster": lambda: similar_cluster(session, similar, seeds), "entity_hubs": lambda: hub_events(session, references, seeds), "user_profile": lambda: user_profile_seeds(session, references, owners, seeds), "general": lambda: newest(session, seeds),
-    }[strategy]()
-    fused_seeds = fused(chosen.select("id", "rank").unionByName(newest(session, seeds).select("id", "rank"))).orderBy(F.col("rrf").desc(), "id").limit(seeds)
-    own = scored_events(session.join(F.broadcast(fused_seeds.withColumnRenamed("id", "event_id")), "event_id", "left_semi"), now_us).select(F.col("event_id").alias("id"), "decay")
-    weight = F.coalesce(F.try_element_at(text.literal_map(weights), F.col("edge_type")), F.lit(1.0))
-    near = graph.neighbours(edges, own.select("id"), 50).where("dst IS NOT NULL").select(F.col("dst").alias("event_id"), weight.alias("w")).groupBy("event_id").agg(F.max("w").alias("w"))
-    around = scored_events(session, now_us).join(near, "event_id").select(F.col("event_id").alias("id"), scoring.boosted(F.col("decay"), F.col("w")).alias("decay"))
-    both = own.withColumn("source", F.lit("seed")).unionByName(around.join(own.select("id"), "id", "left_anti").withColumn("source", F.lit("neighbour")))
-    top = both.orderBy(F.col("decay").desc(), F.length("id"), "id").limit(max_nodes)
-    return ranked(top.select("id", "source", F.round("decay", 6).alias("decay")), F.col("decay").desc(), F.length("id"), F.col("id"))
+    session = ledger.where(F.col("session_id") == q.session_id)
+    own_edges = projection.event_edges(session)
+    if given is None:
+        strategy = strategies(asked).first()["strategy"]  # one row
+        chosen = {
+            "causal_roots": lambda: causal_roots(session, own_edges, seeds), "temporal_anchors": lambda: temporal_anchors(session, seeds), "workflow_pattern": lambda: workflow_pattern(session, seeds),
+            "similar_cluster": lambda: similar_cluster(session, similar, seeds), "entity_hubs": lambda: hub_events(session, references, seeds), "user_profile": lambda: user_profile_seeds(session, references, owners, seeds), "general": lambda: newest(session, seeds),
+        }[strategy]()
+        given = fused(chosen.select("id", "rank").unionByName(newest(session, seeds).select("id", "rank"))).orderBy(F.col("rrf").desc(), "id").limit(seeds)
+    start = graph.cut(given.select("id").distinct())
+    edges = own_edges.unionByName(similar.select("src", "dst", "edge_type")).unionByName(references.select("src", "dst", "edge_type")).join(F.broadcast(start.withColumnRenamed("id", "src")), "src", "left_semi")
+    near, led = expanded(start, edges, weights)
+    near = near.join(start, "id", "left_anti")
+    event = lambda rows, score: rows.select(F.col("event_id").alias("id"), F.lit("Event").alias("node_type"), score.alias("decay"))
+    own = start.join(event(scored_events(ledger.join(F.broadcast(start.withColumnRenamed("id", "event_id")), "event_id", "left_semi"), now_us), F.col("decay")), "id", "left")
+    own = own.select("id", F.coalesce("node_type", F.lit("Unknown")).alias("node_type"), F.lit("seed").alias("source"), F.lit(None).cast("string").alias("signal"), "decay")
+    around = event(scored_events(ledger.join(near.select(F.col("id").alias("event_id")), "event_id", "left_semi"), now_us), F.col("decay"))
+    if entities is not None:
+        found = scored_entities(entities.join(near.select(F.col("id").alias("entity_id")), "entity_id", "left_semi"), now_us)
+        around = around.unionByName(found.select(F.col("entity_id").alias("id"), F.lit("Entity").alias("node_type"), "decay"))
+    around = around.join(near, "id").select("id", "node_type", F.lit("proactive").alias("source"), "signal", scoring.boosted(F.col("decay"), F.col("w")).alias("decay"))
+    best = [F.col("decay").desc_nulls_last(), F.length("id"), F.col("id")]
+    top = graph.cut(own.unionByName(around).withColumn("decay", F.round("decay", 6)).orderBy(*best).limit(q.max_nodes))
+    ids = top.select("id")
+    return ranked(top, *best), projection.among(led, ids)
 
 
 def newest(session: DataFrame, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.functions import scoring, text
-from emberlake.model import EDGE_TYPES, ENTITY_TYPES, EventQuery, Retention
+from emberlake.model import EDGE_TYPES, ENTITY_TYPES, INTENT_WEIGHTS, PROACTIVE_SIGNALS, EventQuery, Retention, SubgraphQuery
 from emberlake.operators import consolidation, graph, ledger, projection, resolution, retention, retrieval, upsert, users, vectors
 from emberlake.plans import sql
 from emberlake.sources.ledger import NOW_US, Tables, to_json_lines
@@ -543,9 +543,46 @@ def _(t):
     return graph.expanded(projection.event_edges(session_of(t)).select("src", "dst", weight), seeds).select("id", F.round("score", 6).alias("score"))
 
 
-@query("subgraph_flagship")
+WHY = "why did this happen, because of what"
+#: The weights of that question: both key words of why give it 0.8, that of what 0.4, half as much.
+WHY_WEIGHTS = {e: w + 0.5 * INTENT_WEIGHTS["what"][e] for e, w in INTENT_WEIGHTS["why"].items()}
+BEST = "ORDER BY decay DESC, length(id), id"
+ENTITY_DECAY = f"({sql.recency('last_seen_us', 'NULL', 'mention_count', 336.0, 24.0)} + {sql.importance('least(mention_count, 10)', 'mention_count')} + 0.5) / 3.5"
+SUBGRAPH = SIMILAR + f""", own AS (SELECT * FROM ledger WHERE session_id = '{SESSION}'), recent AS (SELECT event_id AS id, row_number() OVER (ORDER BY occurred_us DESC, position DESC) AS rank FROM own ORDER BY rank LIMIT 10),
+causes AS (SELECT event_id AS id, row_number() OVER (ORDER BY n DESC, position) AS rank FROM (SELECT o.event_id, o.position, count(*) AS n FROM own o JOIN caused c ON c.dst = o.event_id GROUP BY ALL) ORDER BY rank LIMIT 10),
+start AS (SELECT id FROM (SELECT id, sum(1 / (60 + rank)) AS rrf FROM (SELECT * FROM recent UNION ALL SELECT * FROM causes) GROUP BY id) ORDER BY rrf DESC, id LIMIT 10),
+led AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY edge_type, dst) AS rn FROM (SELECT src, dst, edge_type FROM edges UNION ALL SELECT src, dst, 'SIMILAR_TO' FROM sims UNION ALL SELECT src, dst, 'REFERENCES' FROM refs) WHERE src IN (SELECT id FROM start)) WHERE rn <= 50 AND src <> dst),
+near AS (SELECT dst AS id, arg_min(struct_pack(w := w, s := s), (-w, edge_type)) AS b FROM led JOIN (VALUES {", ".join(f"('{e}', {w}::DOUBLE, '{PROACTIVE_SIGNALS[e]}')" for e, w in WHY_WEIGHTS.items())}) AS v(edge_type, w, s) USING (edge_type) WHERE dst NOT IN (SELECT id FROM start) GROUP BY dst),
+scored AS (SELECT event_id AS id, 'Event' AS node_type, round({sql.DECAY}, 6) AS decay FROM ledger UNION ALL SELECT entity_id, 'Entity', round({ENTITY_DECAY}, 6) FROM entities),
+every AS (SELECT id, node_type, 'seed' AS source, NULL::VARCHAR AS signal, decay FROM scored JOIN start USING (id) UNION ALL SELECT id, node_type, 'proactive', b.s, round(least(1.0, decay * (1 + b.w * 0.1)), 6) FROM scored JOIN near USING (id)),
+top AS (SELECT *, row_number() OVER ({BEST}) AS rank FROM every {BEST} LIMIT 60)
+"""
+
+
+def flagship(t: Tables) -> tuple[DataFrame, DataFrame]:
+    q = SubgraphQuery(WHY, SESSION, max_nodes=60)
+    return retrieval.subgraph(t.ledger, t.references, similar_events(t, session_of(t)), q, NOW_US, entities=t.entities)
+
+
+@query("subgraph_flagship", SUBGRAPH + "SELECT id, node_type, source, signal, decay, CAST(rank AS INTEGER) AS rank FROM top")
+def _(t):
+    return flagship(t)[0]
+
+
+@query("subgraph_edges", SUBGRAPH + "SELECT DISTINCT src, dst, edge_type FROM led WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)")
+def _(t):
+    return flagship(t)[1]
+
+
+CURSOR = "translate(to_base64(encode(occurred_us || '|' || event_id)), '+/', '-_')"
+
+
+@query("context_response", f""", own AS (SELECT *, row_number() OVER (ORDER BY occurred_us DESC, position DESC) AS rn FROM ledger WHERE session_id = '{SESSION}'), page AS (SELECT * FROM own WHERE rn <= 20), d AS (SELECT event_id AS id, position, round({sql.DECAY}, 6) AS decay FROM page)
+SELECT 'node' AS kind, id, decay, row_number() OVER (ORDER BY decay DESC, position) AS rank, NULL AS src, NULL AS dst, NULL AS edge_type, NULL AS has_more FROM d
+UNION ALL SELECT DISTINCT 'edge', NULL, NULL, NULL, src, dst, edge_type, NULL FROM edges WHERE src IN (SELECT id FROM d) AND dst IN (SELECT id FROM d)
+UNION ALL SELECT 'page', {CURSOR}, NULL, NULL, NULL, NULL, NULL, (SELECT count(*) FROM own) > 20 FROM page WHERE rn = 20""")
 def _(t):
-    return retrieval.subgraph(t.ledger, t.references, similar_events(t, session_of(t)), "why did this happen, because of what", SESSION, NOW_US)
+    return retrieval.context_response(t.ledger, SESSION, 20, NOW_US)
 
 
 # ---- consolidation ----
