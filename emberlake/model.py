@@ -26,6 +26,13 @@ SEED_STRATEGIES = {
     "why": "causal_roots", "when": "temporal_anchors", "what": "entity_hubs", "who_is": "entity_hubs", "related": "similar_cluster", "how_does": "workflow_pattern",
     "personalize": "user_profile", "general": "general",
 }
+#: The labels that an edge type leads from and to; None: any. Fixed values.
+EDGE_ENDS = {
+    "FOLLOWS": ("Event", "Event"), "CAUSED_BY": ("Event", "Event"), "SIMILAR_TO": ("Event", "Event"), "REFERENCES": ("Event", "Entity"), "SUMMARIZES": ("Summary", None),
+    "SAME_AS": ("Entity", "Entity"), "RELATED_TO": ("Entity", "Entity"), "HAS_PROFILE": ("Entity", "UserProfile"), "HAS_PREFERENCE": ("Entity", "Preference"), "HAS_SKILL": ("Entity", "Skill"),
+    "DERIVED_FROM": (None, "Event"), "EXHIBITS_PATTERN": ("Entity", "BehavioralPattern"), "INTERESTED_IN": ("Entity", "Entity"), "ABOUT": ("Preference", "Entity"),
+    "ABSTRACTED_FROM": ("Workflow", "Workflow"), "PARENT_SKILL": ("Skill", "Skill"), "CONTRADICTS": ("Belief", "Belief"), "SUPERSEDES": ("Belief", "Belief"), "PURSUES": ("Entity", "Goal"), "CONTAINS": ("Episode", "Event"),
+}
 #: Weight of the core edge types for each intent. Fixed values.
 INTENT_WEIGHTS = {
     "why": {"CAUSED_BY": 5.0, "FOLLOWS": 1.0, "SIMILAR_TO": 1.5, "REFERENCES": 2.0, "SUMMARIZES": 1.0},

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.model import EDGE_ENDS
+
 
 def nodes(ledger: DataFrame) -> DataFrame:
     """Event nodes; an event without position is an error."""
@@ -35,6 +37,17 @@ def with_endpoints(edges: DataFrame, src_ids: DataFrame, dst_ids: DataFrame) ->
     return edges.join(src_ids.withColumnRenamed("id", "src"), "src", "left_semi").join(dst_ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (src, dst, edge_type) whose ends exist among ``nodes`` (id, label) with the labels that the type asks for; unknown types go."""
+    rows = [(kind, a, b) for kind, (a, b) in EDGE_ENDS.items()]
+    asked = edges.sparkSession.createDataFrame(rows, "edge_type string, from_label string, to_label string")  # a row for each type
+    known = nodes.select("id", "label").distinct()
+    end = lambda name: known.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
+    met = edges.join(F.broadcast(asked), "edge_type").join(end("src"), "src").join(end("dst"), "dst")
+    fits = F.coalesce(F.col("src_label") == F.col("from_label"), F.lit(True)) & F.coalesce(F.col("dst_label") == F.col("to_label"), F.lit(True))
+    return met.where(fits).select(*edges.columns)
+
+
 def among(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges within a set of nodes."""
     return with_endpoints(edges, ids, ids)

@@ -244,6 +244,20 @@ def subgraph(
     return ranked(top, *best), projection.among(led, ids)
 
 
+#: What PageRank weighs in a blend, and how many nodes a graph may have for one. Fixed values.
+PPR_WEIGHT, PPR_MOST = 0.3, 500
+
+
+def blended(nodes: DataFrame, ranks: DataFrame, weight: float = PPR_WEIGHT, most: int = PPR_MOST, enabled: bool = True) -> DataFrame:
+    """``nodes`` (id, decay, ...) with decay blended with PageRank (id, score) times the number of nodes; a graph of over ``most`` nodes, or one with blending off, stays as it is."""
+    if not enabled:
+        return nodes
+    n = nodes.agg(F.count("*").alias("n"))  # one row
+    joined = nodes.join(ranks.select("id", "score"), "id", "left").join(F.broadcast(n))
+    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0)) * F.col("n")))
+    return joined.withColumn("decay", F.when(F.col("n") > most, F.col("decay")).otherwise((1 - weight) * F.col("decay") + weight * near)).drop("score", "n")
+
+
 def newest(session: DataFrame, n: int) -> DataFrame:
     """The newest events."""
     order = [F.col("occurred_us").desc(), F.col("position").desc()]

@@ -178,3 +178,25 @@ def has_user_data(session: DataFrame, references: DataFrame, owners: DataFrame)
 def provenance(preferences: DataFrame, skills: DataFrame) -> DataFrame:
     """(kind, id, user_id, event_id): what preferences and skills are derived from."""
     return preferences.select(F.lit("preference").alias("kind"), F.col("preference_id").alias("id"), "user_id", "event_id").unionByName(skills.select(F.lit("skill").alias("kind"), F.col("skill_id").alias("id"), "user_id", "event_id"))
+
+
+def event_counts(events: DataFrame, caused: DataFrame, references: DataFrame, similar: DataFrame, owners: DataFrame) -> DataFrame:
+    """(event_id, children, entities, profiles, similar): what each event has caused, refers to, refers to with a profile (``owners``: entity_id), and is similar to, either way."""
+    counted = lambda df, end, name: df.groupBy(F.col(end).alias("event_id")).agg(F.count("*").alias(name))
+    both = similar.select(F.col("src").alias("id")).unionByName(similar.select(F.col("dst").alias("id")))
+    linked = references.join(owners.select(F.col("entity_id").alias("dst")).distinct(), "dst", "left_semi")
+    out = events.select("event_id")
+    for part in (counted(caused, "dst", "children"), counted(references, "src", "entities"), counted(linked, "src", "profiles"), counted(both, "id", "similar")):
+        out = out.join(part, "event_id", "left")
+    return out.na.fill(0)
+
+
+#: Where a memory's text is looked for, in this order. Fixed values.
+TEXT_KEYS = ("content", "payload_ref", "summary", "text", "belief_text", "description", "name")
+
+
+def recalled(nodes: DataFrame, top_k: int, score: str = "decay") -> DataFrame:
+    """(id, text, score, rank): the ``top_k`` nodes of the best score as flat memories, with the first filled text; ids decide between equals."""
+    told = nodes.select("id", node_text(nodes.columns, *TEXT_KEYS).alias("text"), F.col(score).alias("score"))
+    top = told.orderBy(F.col("score").desc_nulls_last(), "id").limit(top_k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), "id")))

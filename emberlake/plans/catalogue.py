@@ -494,14 +494,12 @@ def _(t):
     return pagerank(t).select("id", F.round("score", 6).alias("score"))
 
 
-@query("ppr_blend", ppr_sql(5) + f"SELECT id, round(0.7 * {sql.DECAY} + 0.3 * greatest(0.0, least(1.0, score * (SELECT count(*) FROM r5))), 5) AS decay FROM r5 JOIN ledger ON event_id = id")
+@query("ppr_blend", ppr_sql(5) + f"SELECT id, round(CASE WHEN (SELECT count(*) FROM r5) > 500 THEN {sql.DECAY} ELSE 0.7 * {sql.DECAY} + 0.3 * greatest(0.0, least(1.0, score * (SELECT count(*) FROM r5))) END, 5) AS decay FROM r5 JOIN ledger ON event_id = id")
 def _(t):
     ranks = pagerank(t)
-    n = ranks.agg(F.count("*").alias("n"))  # one row
-    events = retrieval.scored_events(session_of(t), NOW_US)
-    decay = scoring.composite(scoring.recency(F.col("occurred_us"), F.col("last_accessed_us"), F.col("access_count"), NOW_US), scoring.importance(F.col("importance_hint"), F.col("access_count"), F.lit(0)), F.lit(0.5), F.lit(0.0))
-    joined = events.withColumn("raw", decay).join(ranks, F.col("event_id") == F.col("id")).join(F.broadcast(n))
-    return joined.select("id", F.round(0.7 * F.col("raw") + 0.3 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") * F.col("n"))), 5).alias("decay"))
+    raw = scoring.composite(scoring.recency(F.col("occurred_us"), F.col("last_accessed_us"), F.col("access_count"), NOW_US), scoring.importance(F.col("importance_hint"), F.col("access_count"), F.lit(0)), F.lit(0.5), F.lit(0.0))
+    nodes = session_of(t).select(F.col("event_id").alias("id"), raw.alias("decay")).join(ranks.select("id"), "id", "left_semi")
+    return retrieval.blended(nodes, ranks).select("id", F.round("decay", 5).alias("decay"))
 
 
 COMPONENTS = """, same AS (SELECT a, b FROM pairs WHERE similarity >= 0.9), both_ways AS (SELECT a, b FROM same UNION SELECT b, a FROM same),

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from emberlake.functions import text
 from emberlake.model import INTEREST_SOURCES, PREFERENCE_SOURCES, SKILL_SOURCES
-from emberlake.operators import consolidation, graph, ledger, projection, resolution, retention, textindex, users, vectors
+from emberlake.operators import consolidation, graph, ledger, projection, resolution, retention, retrieval, surface, textindex, upsert, users, vectors
 from emberlake.operators.graph import shared_folder
-from emberlake.plans.catalogue import CONFLICTS, SESSION, mentions, query, supported_sql, with_faults
-from emberlake.sources.ledger import NOW_US, scenarios
+from emberlake.plans import sql
+from emberlake.plans.catalogue import CONFLICTS, SESSION, SIMILAR, USERS, mentions, query, similar_events, supported_sql, user_edges, user_nodes, with_faults
+from emberlake.sources.ledger import NOW_US, from_documents, scenarios, to_documents
 
 #: What the text queries ask.
 ASKED = "value of the stone engine, ering onth"
@@ -239,3 +240,48 @@ def _(t):
     shown = t.ledger.where("last_accessed_us IS NOT NULL").select("user_id", "event_id", F.col("last_accessed_us").alias("us"))
     references = t.references.select(F.col("src").alias("event_id"), F.col("dst").alias("entity_id"))
     return users.affinity_factors(events, strengths, shown, references, NOW_US)
+
+
+# ---- edges by label, counts, documents, memories ----
+
+
+@query("labelled_edges", USERS + """, n AS (SELECT event_id AS id, 'Event' AS label FROM ledger UNION ALL SELECT id, label FROM unodes), e AS (SELECT * FROM uedges UNION ALL SELECT 'skill:tool', 'entity:1', 'ABOUT' UNION ALL SELECT 'user:1', 'entity:2', 'KNOWS'),
+w AS (SELECT * FROM (VALUES ('HAS_PROFILE', 'Entity', 'UserProfile'), ('EXHIBITS_PATTERN', 'Entity', 'BehavioralPattern'), ('SAME_AS', 'Entity', 'Entity'), ('HAS_PREFERENCE', 'Entity', 'Preference'), ('ABOUT', 'Preference', 'Entity'), ('DERIVED_FROM', NULL, 'Event'), ('HAS_SKILL', 'Entity', 'Skill'), ('INTERESTED_IN', 'Entity', 'Entity')) AS v(edge_type, f, t))
+SELECT edge_type, count(*) AS n FROM e JOIN w USING (edge_type) JOIN n a ON a.id = e.src AND (w.f IS NULL OR a.label = w.f) JOIN n b ON b.id = e.dst AND b.label = w.t GROUP BY ALL""")
+def _(t):
+    """The users' edges, with one whose label is wrong and one of an unknown type."""
+    wrong = t.spark.createDataFrame([("skill:tool", "entity:1", "ABOUT"), ("user:1", "entity:2", "KNOWS")], "src string, dst string, edge_type string")
+    nodes = user_nodes(t).select("id", "label").unionByName(t.ledger.select(F.col("event_id").alias("id"), F.lit("Event").alias("label")))
+    edges = user_edges(t).select("src", "dst", "edge_type").unionByName(wrong)
+    return projection.valid_edges(edges, nodes).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query("event_counts", SIMILAR + """, s AS (SELECT src AS id FROM sims UNION ALL SELECT dst FROM sims)
+SELECT event_id, coalesce(c.n, 0) AS children, coalesce(r.n, 0) AS entities, coalesce(p.n, 0) AS profiles, coalesce(x.n, 0) AS similar FROM ledger
+LEFT JOIN (SELECT dst, count(*) AS n FROM caused GROUP BY dst) c ON c.dst = event_id LEFT JOIN (SELECT src, count(*) AS n FROM refs GROUP BY src) r ON r.src = event_id
+LEFT JOIN (SELECT src, count(*) AS n FROM refs WHERE CAST(substr(dst, 8) AS INTEGER) % 5 = 0 GROUP BY src) p ON p.src = event_id LEFT JOIN (SELECT id, count(*) AS n FROM s GROUP BY id) x ON x.id = event_id""")
+def _(t):
+    owners = t.entities.where("k % 5 = 0").select("entity_id")
+    return surface.event_counts(t.ledger, projection.caused_by(t.ledger), t.references, similar_events(t, t.ledger), owners)
+
+
+@query("document_roundtrip", "SELECT event_id, position, session_id, event_type, occurred_us, importance_hint, access_count, last_accessed_us, value FROM ledger")
+def _(t):
+    docs = to_documents(t.ledger.withColumn("payload", F.expr(PAYLOADS)), "payload")
+    # Some stores give numbers in quotes.
+    quoted = docs.select(F.regexp_replace("doc", '"position":([0-9]+)', '"position":"$1"').alias("doc"))
+    return from_documents(quoted.unionByName(t.spark.createDataFrame([("not a document",), ("[1]",)], "doc string"))).select("event_id", "position", "session_id", "event_type", "occurred_us", "importance_hint", "access_count", "last_accessed_us", "value")
+
+
+@query("recalled_memories", f"SELECT event_id AS id, coalesce(tool_name, trace_id) AS text, decay AS score, row_number() OVER (ORDER BY decay DESC, event_id) AS rank FROM (SELECT *, round({sql.DECAY}, 6) AS decay FROM ledger) ORDER BY rank LIMIT 25")
+def _(t):
+    scored = retrieval.scored_events(t.ledger, NOW_US).select(F.col("event_id").alias("id"), F.col("tool_name").alias("content"), F.lit(" ").alias("summary"), F.col("trace_id").alias("name"), "decay")
+    return surface.recalled(scored, 25).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("profile_upsert", "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' the second' ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS expertise FROM customer", model=False)
+def _(t):
+    """Profiles written, and written again by half of the customers; what a write leaves out stays."""
+    people = t.read("customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("expertise"))
+    again = people.where("user_id % 2 = 0").select("user_id", F.concat("name", F.lit(" the second")).alias("name"), F.lit(None).cast("string").alias("expertise"), F.lit(1).alias("at"))
+    return upsert.merge_properties(people, again, ["user_id"], "at")

@@ -110,6 +110,22 @@ def to_json_lines(ledger: DataFrame) -> DataFrame:
     return ledger.select("event_id", F.to_json(F.struct("event_id", "session_id", "event_type", F.floor(F.col("occurred_us") / 1000).alias("occurred_at_epoch_ms"), "tool_name")).alias("doc"))
 
 
+def to_documents(ledger: DataFrame, payload: str | None = None) -> DataFrame:
+    """(event_id, doc): whole events as JSON documents, with their time in milliseconds and, if a column is named, a payload (JSON text, told as an object)."""
+    own = [f.name for f in EVENT_SCHEMA if f.name in ledger.columns]
+    parts = [*own, F.floor(F.col("occurred_us") / 1000).alias("occurred_at_epoch_ms")]
+    if payload is not None:
+        parts.append(F.try_parse_json(payload).alias("payload"))
+    return ledger.select("event_id", F.to_json(F.struct(*parts)).alias("doc"))
+
+
+def from_documents(docs: DataFrame) -> DataFrame:
+    """Events of JSON documents (doc): what the store adds (milliseconds, payload) goes, numbers in quotes are numbers, values that don't fit are null; texts that aren't JSON objects go."""
+    plain = "struct<" + ",".join(f"{f.name}:string" for f in EVENT_SCHEMA) + ">"
+    read = docs.select(F.from_json("doc", plain).alias("e")).where("e IS NOT NULL AND e.event_id IS NOT NULL")
+    return read.select(*[F.expr(f"try_cast(e.{f.name} AS {f.dataType.simpleString()})").alias(f.name) for f in EVENT_SCHEMA])
+
+
 def archive(ledger: DataFrame, path: str, overwrite: bool = False) -> None:
     """Writes events as compressed JSON lines, one folder for each day; with ``overwrite`` in place of what the folders of the same days hold."""
     day = F.to_date("occurred_at")
