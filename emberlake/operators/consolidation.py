@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.operators.ordering import with_previous, with_running
+
 
 def episodes(ledger: DataFrame, gap_minutes: int = 30) -> DataFrame:
     """Events with their episode (from 0) within the session; a gap longer than ``gap_minutes`` starts another."""
-    order = Window.partitionBy("session_id").orderBy("occurred_us", "position")
-    before = F.lag("occurred_us").over(order)
-    starts = F.when(F.col("occurred_us") - before > gap_minutes * 60_000_000, 1).otherwise(0)
-    return ledger.withColumn("starts", starts).withColumn("episode", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+    told = with_previous(ledger, ["occurred_us"])
+    starts = F.when(F.col("occurred_us") - F.col("before.occurred_us") > gap_minutes * 60_000_000, 1).otherwise(0)
+    return with_running(told, starts, "episode").drop("before")
 
 
 def sum_of_ids(name: str) -> Column:
@@ -42,16 +43,14 @@ def qualifying(ledger: DataFrame, threshold: int = 150, weight: int = 5) -> Data
 
 def reflection_points(ledger: DataFrame, threshold: int = 150) -> DataFrame:
     """Events at which a session's importance sum passes another multiple of ``threshold``."""
-    order = Window.partitionBy("session_id").orderBy("occurred_us", "position").rowsBetween(Window.unboundedPreceding, 0)
-    total = ledger.withColumn("total", F.sum(F.coalesce("importance_hint", F.lit(5))).over(order))
+    total = with_running(ledger, F.coalesce("importance_hint", F.lit(5)), "total")
     passed = F.floor(F.col("total") / threshold) > F.floor((F.col("total") - F.coalesce("importance_hint", F.lit(5))) / threshold)
     return total.where(passed).select("event_id", "session_id", "total")
 
 
 def extraction_triggers(ledger: DataFrame, every: int = 50) -> DataFrame:
     """Every so many events of a session that the system hasn't made."""
-    order = Window.partitionBy("session_id").orderBy("occurred_us", "position")
-    counted = ledger.where(~F.col("event_type").startswith("system.")).withColumn("turn", F.row_number().over(order))
+    counted = with_running(ledger.where(~F.col("event_type").startswith("system.")), F.lit(1), "turn")
     return counted.where(F.col("turn") % every == 0).select("session_id", "event_id", "turn")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.model import EDGE_ENDS
+from emberlake.operators.ordering import with_previous
 
 
 def nodes(ledger: DataFrame) -> DataFrame:
@@ -16,10 +17,10 @@ def nodes(ledger: DataFrame) -> DataFrame:
 
 def follows(ledger: DataFrame) -> DataFrame:
     """FOLLOWS edges: each event to the one before it in its session, with the milliseconds between."""
-    order = Window.partitionBy("session_id").orderBy("occurred_us", "position")
-    before = ledger.select("event_id", "session_id", "occurred_us", F.lag("event_id").over(order).alias("dst"), F.lag("occurred_us").over(order).alias("before_us"))
-    gap = (F.col("occurred_us") - F.col("before_us")) / 1000
-    return before.where("dst IS NOT NULL").select(F.col("event_id").alias("src"), "dst", F.lit("FOLLOWS").alias("edge_type"), "session_id", gap.cast("long").alias("delta_ms"))
+    named = ledger.select("event_id", "session_id", "occurred_us", "position")
+    told = with_previous(named, ["event_id", "occurred_us"]).where("before IS NOT NULL")
+    gap = (F.col("occurred_us") - F.col("before.occurred_us")) / 1000
+    return told.select(F.col("event_id").alias("src"), F.col("before.event_id").alias("dst"), F.lit("FOLLOWS").alias("edge_type"), "session_id", gap.cast("long").alias("delta_ms"))
 
 
 def caused_by(ledger: DataFrame) -> DataFrame:

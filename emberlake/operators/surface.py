@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlake.model import EDGE_SCHEMA, EVENT_SCHEMA
+from emberlake.operators.ordering import with_previous
 
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
@@ -110,10 +111,11 @@ def capped_ids(found: DataFrame, most: int) -> DataFrame:
 
 def workflow_patterns(ledger: DataFrame, length: int = 3, least: int = 2) -> DataFrame:
     """(pattern, n, sessions): runs of event types that sessions share."""
-    order = Window.partitionBy("session_id").orderBy("occurred_us", "position")
-    steps = [F.lead("event_type", k).over(order) for k in range(length)]
-    runs = ledger.select("session_id", *[s.alias(f"s{k}") for k, s in enumerate(steps)]).where(F.col(f"s{length - 1}").isNotNull())
-    pattern = F.concat_ws(" > ", *[f"s{k}" for k in range(length)])
+    runs = ledger.select("session_id", "occurred_us", "position", F.col("event_type").alias("s0"))
+    for k in range(1, length):  # s1 is what came before s0, and so on
+        runs = with_previous(runs, [f"s{k - 1}"]).withColumn(f"s{k}", F.col(f"before.s{k - 1}")).drop("before")
+    runs = runs.where(F.col(f"s{length - 1}").isNotNull())
+    pattern = F.concat_ws(" > ", *[f"s{k}" for k in reversed(range(length))])
     return runs.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions")).where(F.col("sessions") >= least)
 
 
@@ -151,7 +153,8 @@ def embedded(texts: DataFrame, width: int = 64) -> DataFrame:
 
 def chained(events: DataFrame) -> DataFrame:
     """(event_id, parent_event_id): a session recorded step by step, each event following from the one before."""
-    return events.select("event_id", F.lag("event_id").over(Window.partitionBy("session_id").orderBy("occurred_us", "position")).alias("parent_event_id"))
+    told = with_previous(events.select("event_id", "session_id", "occurred_us", "position"), ["event_id"])
+    return told.select("event_id", F.col("before.event_id").alias("parent_event_id"))
 
 
 def resolved(new: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -61,13 +61,15 @@ MENTIONS = f""", mentions AS (SELECT event_id, position, session_id, CASE WHEN k
 # ---- ledger ----
 
 
-@query("ledger_search", f"SELECT event_id, session_id, event_type, occurred_us FROM ledger WHERE agent_id = 'a5' AND event_type = 'tool.execute' AND occurred_us BETWEEN {NOW_US - 1728000000000} AND {NOW_US} ORDER BY occurred_us, position LIMIT 50 OFFSET 5")
+@query("ledger_search", f"""SELECT event_id, session_id, event_type, occurred_us FROM ledger
+  WHERE agent_id = 'a5' AND event_type = 'tool.execute' AND occurred_us BETWEEN {NOW_US - 1728000000000} AND {NOW_US} ORDER BY occurred_us, position LIMIT 50 OFFSET 5""")
 def _(t):
     found = ledger.search(t.ledger, EventQuery(agent_id="a5", event_type="tool.execute", after_us=NOW_US - 1_728_000_000_000, before_us=NOW_US, limit=50, offset=5))
     return found.select("event_id", "session_id", "event_type", "occurred_us")
 
 
-@query("event_by_id", "SELECT event_id, session_id, agent_id, trace_id, event_type, occurred_us, tool_name, importance_hint, parent_event_id, status FROM ledger WHERE event_id = '123'")
+@query("event_by_id", """SELECT event_id, session_id, agent_id, trace_id, event_type, occurred_us, tool_name, importance_hint, parent_event_id, status
+  FROM ledger WHERE event_id = '123'""")
 def _(t):
     return t.ledger.where("event_id = '123'").select("event_id", "session_id", "agent_id", "trace_id", "event_type", "occurred_us", "tool_name", "importance_hint", "parent_event_id", "status")
 
@@ -82,7 +84,9 @@ def _(t):
     return t.ledger.agg(F.count("*").alias("events"))
 
 
-@query("dedup_ingest", "SELECT event_id, arrival, payload FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY arrival) AS rn FROM (SELECT event_id, position AS arrival, 'first' AS payload FROM ledger UNION ALL SELECT event_id, position + 1000000000, 'again' FROM ledger WHERE position % 3 = 0)) WHERE rn = 1 AND NOT (arrival % 11 = 0)")
+@query("dedup_ingest", """SELECT event_id, arrival, payload FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY arrival) AS rn
+  FROM (SELECT event_id, position AS arrival, 'first' AS payload FROM ledger UNION ALL SELECT event_id, position + 1000000000, 'again'
+  FROM ledger WHERE position % 3 = 0)) WHERE rn = 1 AND NOT (arrival % 11 = 0)""")
 def _(t):
     first = t.ledger.select("event_id", F.col("position").alias("arrival"), F.lit("first").alias("payload"))
     again = t.ledger.where("position % 3 = 0").select("event_id", (F.col("position") + 1_000_000_000).alias("arrival"), F.lit("again").alias("payload"))
@@ -111,13 +115,15 @@ def _(t):
     return checked.where(F.size("errors") > 0).select("event_id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("batch_accept_reject", FAULTS + "SELECT count(*) FILTER (concat_ws(',', a, b, c, d, e) = '') AS accepted, count(*) FILTER (concat_ws(',', a, b, c, d, e) <> '') AS rejected FROM faulty")
+@query("batch_accept_reject", FAULTS + """SELECT count(*) FILTER (concat_ws(',', a, b, c, d, e) = '') AS accepted, count(*) FILTER (concat_ws(',', a, b, c, d, e) <> '') AS rejected
+  FROM faulty""")
 def _(t):
     checked = ledger.errors(with_faults(t), NOW_US)
     return checked.agg(F.count_if(F.size("errors") == 0).alias("accepted"), F.count_if(F.size("errors") > 0).alias("rejected"))
 
 
-@query("known_prefixes", "SELECT split_part(event_type, '.', 1) AS prefix, split_part(event_type, '.', 1) IN ('agent', 'tool', 'llm', 'observation', 'system', 'user') AS known, count(*) AS n FROM ledger GROUP BY ALL")
+@query("known_prefixes", """SELECT split_part(event_type, '.', 1) AS prefix, split_part(event_type, '.', 1) IN ('agent', 'tool', 'llm', 'observation', 'system', 'user') AS known, count(*) AS n
+  FROM ledger GROUP BY ALL""")
 def _(t):
     prefix = F.substring_index("event_type", ".", 1)
     return t.ledger.groupBy(prefix.alias("prefix"), ledger.known_prefix(F.col("event_type")).alias("known")).agg(F.count("*").alias("n"))
@@ -128,7 +134,9 @@ def _(t):
     return ledger.newest(t.ledger, 100).select("event_id")
 
 
-@query("json_documents", "SELECT event_id, CAST(json_extract_string(doc, '$.occurred_at_epoch_ms') AS BIGINT) AS ms, json_extract_string(doc, '$.tool_name') AS tool FROM (SELECT event_id, json_object('event_id', event_id, 'occurred_at_epoch_ms', occurred_us // 1000, 'tool_name', tool_name) AS doc FROM ledger)")
+@query("json_documents", """SELECT event_id, CAST(json_extract_string(doc, '$.occurred_at_epoch_ms') AS BIGINT) AS ms, json_extract_string(doc, '$.tool_name') AS tool
+  FROM (SELECT event_id, json_object('event_id', event_id, 'occurred_at_epoch_ms', occurred_us // 1000, 'tool_name', tool_name) AS doc
+  FROM ledger)""")
 def _(t):
     return to_json_lines(t.ledger).select("event_id", F.get_json_object("doc", "$.occurred_at_epoch_ms").cast("long").alias("ms"), F.get_json_object("doc", "$.tool_name").alias("tool"))
 
@@ -167,12 +175,17 @@ def _(t):
     return projection.with_endpoints(projection.event_edges(t.ledger), ids.where("position % 2 = 0").select("id"), ids.where("position % 3 <> 0").select("id")).select("src", "dst", "edge_type")
 
 
-@query("enrich_keywords", "SELECT event_id, array_to_string(list_concat(string_split(event_type, '.'), CASE WHEN tool_name IS NULL THEN [] ELSE [tool_name] END), ',') AS keywords, coalesce(importance_hint, 5) AS importance_score, concat_ws(' ', event_type, tool_name, replace(event_type, '.', ' ')) AS embedding_text FROM ledger")
+@query("enrich_keywords", """SELECT event_id, array_to_string(list_concat(string_split(event_type, '.'),
+  CASE
+  WHEN tool_name IS NULL THEN [] ELSE [tool_name] END), ',') AS keywords, coalesce(importance_hint, 5) AS importance_score, concat_ws(' ', event_type, tool_name, replace(event_type, '.', ' ')) AS embedding_text
+  FROM ledger""")
 def _(t):
     return projection.enriched(t.ledger)
 
 
-@query("session_edges", f"SELECT e.src, e.dst, e.edge_type FROM edges e JOIN (SELECT event_id FROM ledger WHERE session_id = '{SESSION}' ORDER BY occurred_us DESC, position DESC LIMIT 20) a ON a.event_id = e.src JOIN (SELECT event_id FROM ledger WHERE session_id = '{SESSION}' ORDER BY occurred_us DESC, position DESC LIMIT 20) b ON b.event_id = e.dst")
+@query("session_edges", f"""SELECT e.src, e.dst, e.edge_type FROM edges e JOIN (SELECT event_id
+  FROM ledger WHERE session_id = '{SESSION}' ORDER BY occurred_us DESC, position DESC LIMIT 20) a ON a.event_id = e.src
+  JOIN (SELECT event_id FROM ledger WHERE session_id = '{SESSION}' ORDER BY occurred_us DESC, position DESC LIMIT 20) b ON b.event_id = e.dst""")
 def _(t):
     ids = retrieval.context(t.ledger, SESSION, 20, NOW_US).select(F.col("event_id").alias("id"))
     return projection.among(projection.event_edges(session_of(t)), ids).select("src", "dst", "edge_type")
@@ -186,7 +199,9 @@ def _(t):
     return t.ledger.groupBy("session_id").agg(F.count("*").alias("events"))
 
 
-@query("graph_stats", "SELECT t.edge_type, count(e.src) AS n FROM (VALUES " + ", ".join(f"('{e}')" for e in EDGE_TYPES) + ") AS t(edge_type) LEFT JOIN (SELECT src, edge_type FROM edges UNION ALL SELECT src, 'REFERENCES' FROM refs) e USING (edge_type) GROUP BY ALL")
+@query("graph_stats", "SELECT t.edge_type, count(e.src) AS n FROM (VALUES " + ", ".join(f"('{e}')" for e in EDGE_TYPES) + """) AS t(edge_type)
+  LEFT JOIN (SELECT src, edge_type FROM edges UNION ALL SELECT src, 'REFERENCES' FROM refs) e USING (edge_type)
+  GROUP BY ALL""")
 def _(t):
     every = t.spark.createDataFrame([(e,) for e in EDGE_TYPES], "edge_type string")
     counts = projection.event_edges(t.ledger).unionByName(t.references).groupBy("edge_type").agg(F.count("*").alias("n"))
@@ -203,7 +218,8 @@ def _(t):
     return t.ledger.rollup("agent_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("entity_overlap", "SELECT dst AS entity_id, count(DISTINCT session_id) AS sessions FROM refs JOIN ledger ON event_id = src GROUP BY ALL HAVING count(DISTINCT session_id) > 1")
+@query("entity_overlap", """SELECT dst AS entity_id, count(DISTINCT session_id) AS sessions FROM refs
+  JOIN ledger ON event_id = src GROUP BY ALL HAVING count(DISTINCT session_id) > 1""")
 def _(t):
     return t.references.join(t.ledger.select("event_id", "session_id"), F.col("src") == F.col("event_id")).groupBy(F.col("dst").alias("entity_id")).agg(F.countDistinct("session_id").alias("sessions")).where("sessions > 1")
 
@@ -213,12 +229,15 @@ def _(t):
     return t.references.groupBy(F.col("dst").alias("entity_id")).agg(F.count("*").alias("degree")).orderBy(F.col("degree").desc(), "entity_id").limit(20)
 
 
-@query("preference_histogram", "SELECT split_part(event_type, '.', 1) AS category, CASE WHEN value > 50 THEN 'positive' ELSE 'negative' END AS polarity, count(*) AS n FROM ledger GROUP BY ALL")
+@query("preference_histogram", """SELECT split_part(event_type, '.', 1) AS category, CASE
+  WHEN value > 50 THEN 'positive' ELSE 'negative' END AS polarity, count(*) AS n FROM ledger
+  GROUP BY ALL""")
 def _(t):
     return users.preferences(t.ledger).groupBy("category", "polarity").agg(F.count("*").alias("n"))
 
 
-@query("degenerate_output", "SELECT trace_id, count(*) AS n, count(*) >= 3 AND stddev_pop(0.5 + value / 1000) < 0.02 AS degenerate FROM ledger GROUP BY ALL")
+@query("degenerate_output", """SELECT trace_id, count(*) AS n, count(*) >= 3 AND stddev_pop(0.5 + value / 1000) < 0.02 AS degenerate
+  FROM ledger GROUP BY ALL""")
 def _(t):
     """Confidences of what a day's events of a user would give."""
     return resolution.degenerate(t.ledger.withColumn("confidence", 0.5 + F.col("value") / 1000), "trace_id", "confidence")
@@ -227,41 +246,49 @@ def _(t):
 # ---- scores ----
 
 
-@query("recency_score", f"SELECT event_id, round({sql.RECENCY}, 6) AS recency, round(exp(-greatest(0.0, {sql.HOURS}) / (168.0::DOUBLE + access_count * 24.0::DOUBLE)), 6) AS linear FROM ledger")
+@query("recency_score", f"""SELECT event_id, round({sql.RECENCY}, 6) AS recency, round(exp(-greatest(0.0, {sql.HOURS}) / (168.0::DOUBLE + access_count * 24.0::DOUBLE)), 6) AS linear
+  FROM ledger""")
 def _(t):
     return t.ledger.select("event_id", F.round(scoring.recency(F.col("occurred_us"), F.col("last_accessed_us"), F.col("access_count"), NOW_US), 6).alias("recency"), F.round(scoring.recency_linear(F.col("occurred_us"), F.col("access_count"), NOW_US), 6).alias("linear"))
 
 
-@query("importance_score", f"SELECT event_id, round({sql.importance('importance_hint', 'access_count', 'coalesce(d.n, 0)')}, 6) AS importance FROM ledger LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY ALL) d ON d.dst = event_id")
+@query("importance_score", f"""SELECT event_id, round({sql.importance('importance_hint', 'access_count', 'coalesce(d.n, 0)')}, 6) AS importance
+  FROM ledger LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY ALL) d ON d.dst = event_id""")
 def _(t):
     degree = graph.in_degree(projection.event_edges(t.ledger))
     joined = t.ledger.join(degree, F.col("event_id") == F.col("id"), "left")
     return joined.select("event_id", F.round(scoring.importance(F.col("importance_hint"), F.col("access_count"), F.coalesce("in_degree", F.lit(0))), 6).alias("importance"))
 
 
-@query("relevance_score", "SELECT vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id = 7)))), 6) AS relevance FROM embeddings", model=False)
+@query("relevance_score", """SELECT vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE))
+  FROM embeddings WHERE vec_id = 7)))), 6) AS relevance FROM embeddings""", model=False)
 def _(t):
     e = t.read("embeddings")
     q = e.where("vec_id = 7").select(F.col("embedding").alias("q"))  # one row
     return e.join(F.broadcast(q)).select("vec_id", F.round(scoring.relevance(F.col("embedding"), F.col("q")), 6).alias("relevance"))
 
 
-@query("composite_score", f"SELECT event_id, round({sql.RECENCY}, 6) AS recency, 0.5 AS relevance, coalesce(importance_hint, CAST(round_even(({sql.IMPORTANCE}) * 10, 0) AS INTEGER)) AS importance, round({sql.DECAY}, 6) AS decay FROM ledger")
+@query("composite_score", f"""SELECT event_id, round({sql.RECENCY}, 6) AS recency, 0.5 AS relevance, coalesce(importance_hint, CAST(round_even(({sql.IMPORTANCE}) * 10, 0) AS INTEGER)) AS importance, round({sql.DECAY}, 6) AS decay
+  FROM ledger""")
 def _(t):
     return retrieval.scored_events(t.ledger, NOW_US).select("event_id", "recency", "relevance", "importance", "decay")
 
 
-@query("entity_score", f"SELECT entity_id, round(r, 6) AS recency, round(i, 6) AS importance, round((r + i + 0.5) / 3.5, 6) AS decay FROM (SELECT entity_id, {sql.recency('last_seen_us', 'NULL', 'mention_count', 336.0, 24.0)} AS r, {sql.importance('least(mention_count, 10)', 'mention_count')} AS i FROM entities)")
+@query("entity_score", f"""SELECT entity_id, round(r, 6) AS recency, round(i, 6) AS importance, round((r + i + 0.5) / 3.5, 6) AS decay
+  FROM (SELECT entity_id, {sql.recency('last_seen_us', 'NULL', 'mention_count', 336.0, 24.0)} AS r, {sql.importance('least(mention_count, 10)', 'mention_count')} AS i
+  FROM entities)""")
 def _(t):
     return retrieval.scored_entities(t.entities, NOW_US)
 
 
-@query("user_affinity", "SELECT event_id, round(greatest(0.0, least(1.0, 0.4 * value / 100 + 0.3 * (access_count / 5.0) + 0.3 * (k / 100.0))), 6) AS affinity FROM ledger")
+@query("user_affinity", """SELECT event_id, round(greatest(0.0, least(1.0, 0.4 * value / 100 + 0.3 * (access_count / 5.0) + 0.3 * (k / 100.0))), 6) AS affinity
+  FROM ledger""")
 def _(t):
     return t.ledger.select("event_id", F.round(scoring.user_affinity(F.col("value") / 100, F.col("access_count") / 5.0, F.col("k") / 100.0), 6).alias("affinity"))
 
 
-@query("decay_curve", "SELECT event_id, d AS day, round(0.8 * exp(-(0.1 + (10 - importance_hint) * 0.05) * d), 6) AS score FROM ledger, range(8) AS r(d) WHERE importance_hint IS NOT NULL")
+@query("decay_curve", """SELECT event_id, d AS day, round(0.8 * exp(-(0.1 + (10 - importance_hint) * 0.05) * d), 6) AS score
+  FROM ledger, range(8) AS r(d) WHERE importance_hint IS NOT NULL""")
 def _(t):
     days = t.ledger.where("importance_hint IS NOT NULL").select("event_id", "importance_hint", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("day"))
     return days.select("event_id", "day", F.round(0.8 * F.exp(-(0.1 + (10 - F.col("importance_hint")) * 0.05) * F.col("day")), 6).alias("score"))
@@ -270,7 +297,8 @@ def _(t):
 # ---- context and pages ----
 
 
-@query("context_scored", f"SELECT event_id, decay, row_number() OVER (ORDER BY decay DESC, position) AS rank FROM (SELECT event_id, position, round({sql.DECAY}, 6) AS decay FROM ledger WHERE session_id = '{SESSION}' ORDER BY occurred_us DESC, position DESC LIMIT 20)")
+@query("context_scored", f"""SELECT event_id, decay, row_number() OVER (ORDER BY decay DESC, position) AS rank
+  FROM (SELECT event_id, position, round({sql.DECAY}, 6) AS decay FROM ledger WHERE session_id = '{SESSION}' ORDER BY occurred_us DESC, position DESC LIMIT 20)""")
 def _(t):
     return retrieval.ranked(retrieval.context(t.ledger, SESSION, 20, NOW_US), F.col("decay").desc(), F.col("position")).select("event_id", "decay", F.col("rank").cast("long").alias("rank"))
 
@@ -281,7 +309,8 @@ def _(t):
     return ledger.page_after(session_of(t), last["occurred_us"], last["event_id"], 10).select("event_id", "occurred_us")
 
 
-@query("cursor_roundtrip", f"SELECT event_id, translate(to_base64(encode(occurred_us || '|' || event_id)), '+/', '-_') AS cursor, occurred_us AS us, event_id AS id FROM ledger WHERE session_id = '{SESSION}'")
+@query("cursor_roundtrip", f"""SELECT event_id, translate(to_base64(encode(occurred_us || '|' || event_id)), '+/', '-_') AS cursor, occurred_us AS us, event_id AS id
+  FROM ledger WHERE session_id = '{SESSION}'""")
 def _(t):
     made = session_of(t).select("event_id", text.cursor(F.col("occurred_us"), F.col("event_id")).alias("cursor"))
     return made.withColumn("p", text.cursor_parts(F.col("cursor"))).select("event_id", "cursor", "p.us", F.col("p.event_id").alias("id"))
@@ -306,27 +335,34 @@ def _(t):
     return graph.lineage(projection.caused_by(t.ledger), t.ledger.select(F.col("event_id").alias("id")), 10).groupBy("depth").agg(F.count("*").alias("n"))
 
 
-@query("seed_causal_roots", f"SELECT event_id AS id, row_number() OVER (ORDER BY n DESC, position) AS rank FROM (SELECT l.event_id, l.position, count(*) AS n FROM ledger l JOIN caused c ON c.dst = l.event_id WHERE l.session_id = '{SESSION}' GROUP BY ALL) ORDER BY rank LIMIT 10")
+@query("seed_causal_roots", f"""SELECT event_id AS id, row_number() OVER (ORDER BY n DESC, position) AS rank
+  FROM (SELECT l.event_id, l.position, count(*) AS n FROM ledger l JOIN caused c ON c.dst = l.event_id
+  WHERE l.session_id = '{SESSION}' GROUP BY ALL) ORDER BY rank LIMIT 10""")
 def _(t):
     return retrieval.causal_roots(session_of(t), projection.event_edges(session_of(t)), 10).select("id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("seed_entity_hubs", f"SELECT dst AS id, row_number() OVER (ORDER BY count(*) DESC, dst) AS rank FROM refs JOIN ledger ON event_id = src WHERE session_id = '{SESSION}' GROUP BY dst ORDER BY rank LIMIT 10")
+@query("seed_entity_hubs", f"""SELECT dst AS id, row_number() OVER (ORDER BY count(*) DESC, dst) AS rank
+  FROM refs JOIN ledger ON event_id = src WHERE session_id = '{SESSION}' GROUP BY dst ORDER BY rank LIMIT 10""")
 def _(t):
     return retrieval.entity_hubs(session_of(t), t.references, 10).select("id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("seed_temporal_anchors", f"SELECT event_id AS id, row_number() OVER (ORDER BY importance_hint DESC, occurred_us, position) AS rank FROM ledger WHERE session_id = '{SESSION}' AND importance_hint IS NOT NULL ORDER BY rank LIMIT 10")
+@query("seed_temporal_anchors", f"""SELECT event_id AS id, row_number() OVER (ORDER BY importance_hint DESC, occurred_us, position) AS rank
+  FROM ledger WHERE session_id = '{SESSION}' AND importance_hint IS NOT NULL ORDER BY rank LIMIT 10""")
 def _(t):
     return retrieval.temporal_anchors(session_of(t), 10).select("id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("seed_workflow", f"SELECT event_id AS id, row_number() OVER (ORDER BY occurred_us, position) AS rank FROM ledger WHERE session_id = '{SESSION}' AND event_type LIKE 'tool.%' ORDER BY rank LIMIT 10")
+@query("seed_workflow", f"""SELECT event_id AS id, row_number() OVER (ORDER BY occurred_us, position) AS rank
+  FROM ledger WHERE session_id = '{SESSION}' AND event_type LIKE 'tool.%' ORDER BY rank LIMIT 10""")
 def _(t):
     return retrieval.workflow_pattern(session_of(t), 10).select("id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("seed_user_profile", f"SELECT event_id AS id, row_number() OVER (ORDER BY occurred_us DESC, position DESC) AS rank FROM ledger WHERE session_id = '{SESSION}' AND k IN (SELECT k FROM entities WHERE mention_count > (SELECT avg(mention_count) FROM entities)) ORDER BY rank LIMIT 10")
+@query("seed_user_profile", f"""SELECT event_id AS id, row_number() OVER (ORDER BY occurred_us DESC, position DESC) AS rank
+  FROM ledger WHERE session_id = '{SESSION}' AND k IN (SELECT k FROM entities WHERE mention_count > (SELECT avg(mention_count)
+  FROM entities)) ORDER BY rank LIMIT 10""")
 def _(t):
     mean = t.entities.agg(F.avg("mention_count").alias("mean"))  # one row
     linked = t.entities.join(F.broadcast(mean)).where("mention_count > mean").select("k")
@@ -334,7 +370,9 @@ def _(t):
     return retrieval.ranked(top, F.col("occurred_us").desc(), F.col("position").desc()).select(F.col("event_id").alias("id"), F.col("rank").cast("long").alias("rank"))
 
 
-SIMILAR = f", sims AS (SELECT x.event_id AS src, y.event_id AS dst, p.similarity FROM pairs p JOIN ledger x ON x.k = CAST(substr(p.a, 8) AS INTEGER) JOIN ledger y ON y.k = CAST(substr(p.b, 8) AS INTEGER) AND y.session_id = x.session_id WHERE p.similarity > 0.85)"
+SIMILAR = f""", sims AS (SELECT x.event_id AS src, y.event_id AS dst, p.similarity FROM pairs p
+  JOIN ledger x ON x.k = CAST(substr(p.a, 8) AS INTEGER) JOIN ledger y ON y.k = CAST(substr(p.b, 8) AS INTEGER) AND y.session_id = x.session_id
+  WHERE p.similarity > 0.85)"""
 
 
 def entity_pairs(t: Tables, threshold: float) -> DataFrame:
@@ -356,17 +394,22 @@ def _(t):
     return similar_events(t, t.ledger).select("src", "dst", "similarity")
 
 
-@query("seed_similar_cluster", SIMILAR + f"SELECT event_id AS id, row_number() OVER (ORDER BY count(*) DESC, position) AS rank FROM ledger JOIN (SELECT src AS e FROM sims UNION ALL SELECT dst FROM sims) ON e = event_id WHERE session_id = '{SESSION}' GROUP BY event_id, position ORDER BY rank LIMIT 10")
+@query("seed_similar_cluster", SIMILAR + f"""SELECT event_id AS id, row_number() OVER (ORDER BY count(*) DESC, position) AS rank
+  FROM ledger JOIN (SELECT src AS e FROM sims UNION ALL SELECT dst FROM sims) ON e = event_id
+  WHERE session_id = '{SESSION}' GROUP BY event_id, position ORDER BY rank LIMIT 10""")
 def _(t):
     return retrieval.similar_cluster(session_of(t), similar_events(t, session_of(t)), 10).select("id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("neighbors_batch", f"SELECT s.event_id AS seed, e.dst, e.edge_type FROM ledger s LEFT JOIN edges e ON e.src = s.event_id WHERE s.session_id = '{SESSION}'")
+@query("neighbors_batch", f"""SELECT s.event_id AS seed, e.dst, e.edge_type FROM ledger s LEFT JOIN edges e ON e.src = s.event_id
+  WHERE s.session_id = '{SESSION}'""")
 def _(t):
     return graph.neighbours(projection.event_edges(t.ledger), session_of(t).select(F.col("event_id").alias("id"))).select("seed", "dst", "edge_type")
 
 
-@query("entity_events", "SELECT entity_id, event_id, occurred_us FROM (SELECT dst AS entity_id, event_id, occurred_us, row_number() OVER (PARTITION BY dst ORDER BY occurred_us DESC, position DESC) AS rn FROM refs JOIN ledger ON event_id = src) WHERE rn <= 5")
+@query("entity_events", """SELECT entity_id, event_id, occurred_us
+  FROM (SELECT dst AS entity_id, event_id, occurred_us, row_number() OVER (PARTITION BY dst ORDER BY occurred_us DESC, position DESC) AS rn
+  FROM refs JOIN ledger ON event_id = src) WHERE rn <= 5""")
 def _(t):
     from pyspark.sql import Window
 
@@ -375,7 +418,9 @@ def _(t):
     return joined.withColumn("rn", rn).where("rn <= 5").select(F.col("dst").alias("entity_id"), "event_id", "occurred_us")
 
 
-@query("cross_session_bridge", f"SELECT event_id, session_id, dst AS entity_id FROM ledger JOIN refs ON src = event_id WHERE session_id <> '{SESSION}' AND dst IN (SELECT r.dst FROM refs r JOIN ledger l ON l.event_id = r.src WHERE l.session_id = '{SESSION}') ORDER BY occurred_us DESC, position DESC LIMIT 20")
+@query("cross_session_bridge", f"""SELECT event_id, session_id, dst AS entity_id FROM ledger JOIN refs ON src = event_id
+  WHERE session_id <> '{SESSION}' AND dst IN (SELECT r.dst FROM refs r JOIN ledger l ON l.event_id = r.src
+  WHERE l.session_id = '{SESSION}') ORDER BY occurred_us DESC, position DESC LIMIT 20""")
 def _(t):
     return retrieval.bridges(session_of(t), t.ledger, t.references, SESSION, 100).select("event_id", "session_id", "entity_id")
 
@@ -408,17 +453,23 @@ def _(t):
     return retrieval.intents(t.read("documents").select(F.col("doc_id").alias("qid"), "text")).groupBy("intent").agg(F.count("*").alias("n"))
 
 
-@query("edge_weights", INTENT_SQL + f"SELECT qid, edge_type, round(sum(confidence * w), 6) AS weight FROM found JOIN (VALUES {sql.WEIGHT_ROWS}) AS m(intent, edge_type, w) USING (intent) GROUP BY ALL", model=False)
+@query("edge_weights", INTENT_SQL + f"""SELECT qid, edge_type, round(sum(confidence * w), 6) AS weight
+  FROM found JOIN (VALUES {sql.WEIGHT_ROWS}) AS m(intent, edge_type, w) USING (intent) GROUP BY ALL""", model=False)
 def _(t):
     return retrieval.edge_weights(retrieval.intents(questions(t))).select("qid", "edge_type", F.round("weight", 6).alias("weight"))
 
 
-@query("seed_strategy", INTENT_SQL + f"SELECT qid, intent, strategy FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, ordinal) AS rn FROM found) JOIN (VALUES {sql.STRATEGY_ROWS}) AS s(intent, strategy) USING (intent) WHERE rn = 1", model=False)
+@query("seed_strategy", INTENT_SQL + f"""SELECT qid, intent, strategy
+  FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, ordinal) AS rn
+  FROM found) JOIN (VALUES {sql.STRATEGY_ROWS}) AS s(intent, strategy) USING (intent) WHERE rn = 1""", model=False)
 def _(t):
     return retrieval.strategies(retrieval.intents(questions(t)))
 
 
-@query("rrf_fusion", f"SELECT id, round(sum(1 / (60 + rank)), 9) AS rrf FROM (SELECT event_id AS id, row_number() OVER (ORDER BY occurred_us DESC, position DESC) AS rank FROM ledger WHERE session_id = '{SESSION}' UNION ALL SELECT event_id, row_number() OVER (ORDER BY importance_hint DESC, occurred_us, position) FROM ledger WHERE session_id = '{SESSION}' AND importance_hint IS NOT NULL) GROUP BY id")
+@query("rrf_fusion", f"""SELECT id, round(sum(1 / (60 + rank)), 9) AS rrf
+  FROM (SELECT event_id AS id, row_number() OVER (ORDER BY occurred_us DESC, position DESC) AS rank
+  FROM ledger WHERE session_id = '{SESSION}' UNION ALL SELECT event_id, row_number() OVER (ORDER BY importance_hint DESC, occurred_us, position)
+  FROM ledger WHERE session_id = '{SESSION}' AND importance_hint IS NOT NULL) GROUP BY id""")
 def _(t):
     newest = retrieval.ranked(session_of(t), F.col("occurred_us").desc(), F.col("position").desc()).select(F.col("event_id").alias("id"), "rank")
     return retrieval.fused(newest.unionByName(retrieval.temporal_anchors(session_of(t), 1000).select("id", "rank"))).select("id", F.round("rrf", 9).alias("rrf"))
@@ -439,20 +490,25 @@ def _(t):
     return retrieval.bm25(t.read("documents").select(F.col("doc_id").alias("id"), "text"), TERMS, 20).select(F.col("id").alias("doc_id"), "score")
 
 
-@query("token_frequencies", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents) WHERE term <> '' GROUP BY ALL) GROUP BY term", model=False)
+@query("token_frequencies", """SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf
+  FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents)
+  WHERE term <> '' GROUP BY ALL) GROUP BY term""", model=False)
 def _(t):
     p = retrieval.postings(t.read("documents").select(F.col("doc_id").alias("id"), "text"))
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query("vector_topk", "SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS similarity FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) <= 10", model=False)
+@query("vector_topk", """SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS similarity
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) <= 10""", model=False)
 def _(t):
     e = t.read("embeddings")
     found = vectors.vector_search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 10, -1.0)
     return found.select("qid", "id", "similarity")
 
 
-@query("entity_vector_seeds", "SELECT q.entity_id AS qid, e.entity_id AS id, round(list_cosine_similarity(e.vector, q.vector), 6) AS similarity FROM evec e JOIN evec q ON q.k % 50 = 0 WHERE round(list_cosine_similarity(e.vector, q.vector), 6) >= 0.5 QUALIFY row_number() OVER (PARTITION BY q.k ORDER BY similarity DESC, e.entity_id) <= 10")
+@query("entity_vector_seeds", """SELECT q.entity_id AS qid, e.entity_id AS id, round(list_cosine_similarity(e.vector, q.vector), 6) AS similarity
+  FROM evec e JOIN evec q ON q.k % 50 = 0 WHERE round(list_cosine_similarity(e.vector, q.vector), 6) >= 0.5
+  QUALIFY row_number() OVER (PARTITION BY q.k ORDER BY similarity DESC, e.entity_id) <= 10""")
 def _(t):
     v = t.entity_vectors
     found = vectors.vector_search(v.select(F.col("entity_id").alias("id"), "vector"), v.where("k % 50 = 0").select(F.col("entity_id").alias("qid"), F.col("vector").alias("q")), 10, 0.5)
@@ -494,7 +550,8 @@ def _(t):
     return pagerank(t).select("id", F.round("score", 6).alias("score"))
 
 
-@query("ppr_blend", ppr_sql(5) + f"SELECT id, round(CASE WHEN (SELECT count(*) FROM r5) > 500 THEN {sql.DECAY} ELSE 0.7 * {sql.DECAY} + 0.3 * greatest(0.0, least(1.0, score * (SELECT count(*) FROM r5))) END, 5) AS decay FROM r5 JOIN ledger ON event_id = id")
+@query("ppr_blend", ppr_sql(5) + f"""SELECT id, round(CASE WHEN (SELECT count(*) FROM r5) > 500 THEN {sql.DECAY} ELSE 0.7 * {sql.DECAY} + 0.3 * greatest(0.0, least(1.0, score * (SELECT count(*)
+  FROM r5))) END, 5) AS decay FROM r5 JOIN ledger ON event_id = id""")
 def _(t):
     ranks = pagerank(t)
     raw = scoring.composite(scoring.recency(F.col("occurred_us"), F.col("last_accessed_us"), F.col("access_count"), NOW_US), scoring.importance(F.col("importance_hint"), F.col("access_count"), F.lit(0)), F.lit(0.5), F.lit(0.0))
@@ -512,29 +569,45 @@ def same_as(t: Tables) -> DataFrame:
     return entity_pairs(t, 0.9).select("a", "b")
 
 
-@query("same_as_components", COMPONENTS + "SELECT c.id, c.component, first_value(c.id) OVER (PARTITION BY c.component ORDER BY coalesce(e.mention_count, 0) DESC, c.id) AS canonical FROM comp c LEFT JOIN entities e ON e.entity_id = c.id")
+@query("same_as_components", COMPONENTS + """SELECT c.id, c.component, first_value(c.id) OVER (PARTITION BY c.component ORDER BY coalesce(e.mention_count, 0) DESC, c.id) AS canonical
+  FROM comp c LEFT JOIN entities e ON e.entity_id = c.id""")
 def _(t):
     return graph.canonical_members(same_as(t), t.entities.select(F.col("entity_id").alias("id"), "mention_count"))
 
 
-@query("same_as_stars", COMPONENTS + ", canon AS (SELECT c.id, first_value(c.id) OVER (PARTITION BY c.component ORDER BY coalesce(e.mention_count, 0) DESC, c.id) AS canonical FROM comp c LEFT JOIN entities e ON e.entity_id = c.id) SELECT id AS src, canonical AS dst FROM canon WHERE id <> canonical")
+@query("same_as_stars", COMPONENTS + """,
+  canon AS (SELECT c.id, first_value(c.id) OVER (PARTITION BY c.component ORDER BY coalesce(e.mention_count, 0) DESC, c.id) AS canonical
+  FROM comp c LEFT JOIN entities e ON e.entity_id = c.id) SELECT id AS src, canonical AS dst
+  FROM canon WHERE id <> canonical""")
 def _(t):
     found = graph.canonical_members(same_as(t), t.entities.select(F.col("entity_id").alias("id"), "mention_count"))
     return found.where("id != canonical").select(F.col("id").alias("src"), F.col("canonical").alias("dst"))
 
 
-@query("entity_cluster_3hop", COMPONENTS + ", h1 AS (SELECT entity_id AS start, entity_id AS id FROM entities), h2 AS (SELECT * FROM h1 UNION SELECT h1.start, e.b FROM h1 JOIN both_ways e ON e.a = h1.id), h3 AS (SELECT * FROM h2 UNION SELECT h2.start, e.b FROM h2 JOIN both_ways e ON e.a = h2.id), h4 AS (SELECT * FROM h3 UNION SELECT h3.start, e.b FROM h3 JOIN both_ways e ON e.a = h3.id) SELECT start, count(DISTINCT h4.id) AS members, count(src) AS events FROM h4 LEFT JOIN refs ON dst = h4.id GROUP BY start")
+@query("entity_cluster_3hop", COMPONENTS + """, h1 AS (SELECT entity_id AS start, entity_id AS id
+  FROM entities), h2 AS (SELECT * FROM h1 UNION SELECT h1.start, e.b FROM h1 JOIN both_ways e ON e.a = h1.id),
+  h3 AS (SELECT * FROM h2 UNION SELECT h2.start, e.b FROM h2 JOIN both_ways e ON e.a = h2.id),
+  h4 AS (SELECT * FROM h3 UNION SELECT h3.start, e.b FROM h3
+  JOIN both_ways e ON e.a = h3.id) SELECT start, count(DISTINCT h4.id) AS members, count(src) AS events
+  FROM h4 LEFT JOIN refs ON dst = h4.id GROUP BY start""")
 def _(t):
     reached = graph.cluster_within(same_as(t), t.entities.select(F.col("entity_id").alias("id")))
     return reached.join(t.references, reached["id"] == F.col("dst"), "left").groupBy("start").agg(F.countDistinct("id").alias("members"), F.count("src").alias("events"))
 
 
-@query("centrality_importance", "SELECT event_id AS id, n AS in_degree, CASE WHEN n >= 10 THEN 10 WHEN n >= 5 THEN 8 WHEN n >= 3 THEN 6 ELSE coalesce(importance_hint, 5) END AS importance_score FROM ledger JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) ON dst = event_id")
+@query("centrality_importance", """SELECT event_id AS id, n AS in_degree, CASE WHEN n >= 10 THEN 10
+  WHEN n >= 5 THEN 8 WHEN n >= 3 THEN 6 ELSE coalesce(importance_hint, 5) END AS importance_score
+  FROM ledger JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) ON dst = event_id""")
 def _(t):
     return graph.centrality_importance(t.ledger.select(F.col("event_id").alias("id"), F.col("importance_hint").alias("importance_score")), projection.event_edges(t.ledger))
 
 
-@query("multi_hop_expansion", f", s AS (SELECT event_id AS id, 1.0::DOUBLE AS score FROM ledger WHERE session_id = '{SESSION}' ORDER BY position DESC LIMIT 5), e AS (SELECT src, dst, least(1.0::DOUBLE, (CASE edge_type WHEN 'CAUSED_BY' THEN 5.0 ELSE 1.0 END)::DOUBLE / 5) * 0.5::DOUBLE AS f FROM edges), a AS (SELECT dst AS id, max(score * f) AS score FROM s JOIN e ON src = id GROUP BY dst), b AS (SELECT dst AS id, max(score * f) AS score FROM a JOIN e ON src = id GROUP BY dst) SELECT id, round(max(score), 6) AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id")
+@query("multi_hop_expansion", f""", s AS (SELECT event_id AS id, 1.0::DOUBLE AS score FROM ledger
+  WHERE session_id = '{SESSION}' ORDER BY position DESC LIMIT 5), e AS (SELECT src, dst, least(1.0::DOUBLE, (CASE edge_type
+  WHEN 'CAUSED_BY' THEN 5.0 ELSE 1.0 END)::DOUBLE / 5) * 0.5::DOUBLE AS f FROM edges), a AS (SELECT dst AS id, max(score * f) AS score
+  FROM s JOIN e ON src = id GROUP BY dst), b AS (SELECT dst AS id, max(score * f) AS score FROM a
+  JOIN e ON src = id GROUP BY dst) SELECT id, round(max(score), 6) AS score FROM (SELECT * FROM s
+  UNION ALL SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id""")
 def _(t):
     weight = F.when(F.col("edge_type") == "CAUSED_BY", 5.0).otherwise(1.0).alias("w")
     seeds = session_of(t).orderBy(F.col("position").desc()).limit(5).select(F.col("event_id").alias("id"), F.lit(1.0).alias("score"))
@@ -585,7 +658,10 @@ def _(t):
 
 # ---- consolidation ----
 
-EPISODES = ", ep AS (SELECT *, sum(starts) OVER (PARTITION BY session_id ORDER BY occurred_us, position ROWS UNBOUNDED PRECEDING) AS episode FROM (SELECT *, CASE WHEN occurred_us - lag(occurred_us) OVER (PARTITION BY session_id ORDER BY occurred_us, position) > 1800000000 THEN 1 ELSE 0 END AS starts FROM ledger))"
+EPISODES = """, ep AS (SELECT *, sum(starts) OVER (PARTITION BY session_id ORDER BY occurred_us, position ROWS UNBOUNDED PRECEDING) AS episode
+  FROM (SELECT *, CASE
+  WHEN occurred_us - lag(occurred_us) OVER (PARTITION BY session_id ORDER BY occurred_us, position) > 1800000000 THEN 1 ELSE 0 END AS starts
+  FROM ledger))"""
 SUMMARY = "left(sha256(string_agg(event_id, '|' ORDER BY event_id)), 12) AS summary_id, count(*) AS event_count, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS event_types, min(occurred_us) AS start_us, max(occurred_us) AS end_us, count(*) || ' events (' || array_to_string(list_sort(list(DISTINCT event_type)), ',') || ') from ' || strftime(min(occurred_at), '%Y-%m-%dT%H:%M:%S.%f') || ' to ' || strftime(max(occurred_at), '%Y-%m-%dT%H:%M:%S.%f') AS content"
 
 
@@ -594,7 +670,8 @@ def _(t):
     return consolidation.episodes(t.ledger).select("event_id", "session_id", "episode")
 
 
-@query("episode_summaries", EPISODES + f"SELECT 'episode' AS scope, session_id, CAST(episode AS BIGINT) AS episode, {SUMMARY} FROM ep GROUP BY session_id, episode")
+@query("episode_summaries", EPISODES + f"""SELECT 'episode' AS scope, session_id, CAST(episode AS BIGINT) AS episode, {SUMMARY}
+  FROM ep GROUP BY session_id, episode""")
 def _(t):
     return consolidation.summaries(consolidation.episodes(t.ledger), "episode", ["session_id", "episode"])
 
@@ -621,17 +698,22 @@ def _(t):
     return consolidation.qualifying(t.ledger, 350)
 
 
-@query("reflection_points", "SELECT event_id, session_id, total FROM (SELECT event_id, session_id, coalesce(importance_hint, 5) AS i, CAST(sum(coalesce(importance_hint, 5)) OVER (PARTITION BY session_id ORDER BY occurred_us, position ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM ledger) WHERE total // 150 > (total - i) // 150")
+@query("reflection_points", """SELECT event_id, session_id, total
+  FROM (SELECT event_id, session_id, coalesce(importance_hint, 5) AS i, CAST(sum(coalesce(importance_hint, 5)) OVER (PARTITION BY session_id ORDER BY occurred_us, position ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total
+  FROM ledger) WHERE total // 150 > (total - i) // 150""")
 def _(t):
     return consolidation.reflection_points(t.ledger)
 
 
-@query("extraction_triggers", "SELECT session_id, event_id, turn FROM (SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY occurred_us, position) AS turn FROM ledger WHERE event_type NOT LIKE 'system.%') WHERE turn % 25 = 0")
+@query("extraction_triggers", """SELECT session_id, event_id, turn
+  FROM (SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY occurred_us, position) AS turn
+  FROM ledger WHERE event_type NOT LIKE 'system.%') WHERE turn % 25 = 0""")
 def _(t):
     return consolidation.extraction_triggers(t.ledger, 25).select("session_id", "event_id", F.col("turn").cast("long").alias("turn"))
 
 
-@query("transcript", "SELECT conv_id, string_agg('[Turn ' || turn || '] ' || role || ': ' || left(text, 500), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id", model=False)
+@query("transcript", """SELECT conv_id, string_agg('[Turn ' || turn || '] ' || role || ': ' || left(text, 500), chr(10) ORDER BY turn) AS transcript
+  FROM conversations GROUP BY conv_id""", model=False)
 def _(t):
     return consolidation.transcript(t.read("conversations"))
 
@@ -644,7 +726,11 @@ def _(t):
     return t.ledger.groupBy(retention.tier(NOW_US, Retention(cold=480)).alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("prune_actions", f"SELECT event_id, tier, CASE WHEN tier = 'warm' AND coalesce(similarity, 1.0) < 0.7 THEN 'drop_edges' WHEN tier = 'cold' AND coalesce(importance_hint, 0) < 5 AND access_count < 3 THEN 'delete' WHEN tier = 'archive' THEN 'archive' ELSE 'keep' END AS action FROM (SELECT event_id, importance_hint, access_count, CASE WHEN position % 4 <> 0 THEN (position % 10) / 10.0 END AS similarity, {sql.tier(480)} AS tier FROM ledger)")
+@query("prune_actions", f"""SELECT event_id, tier, CASE WHEN tier = 'warm' AND coalesce(similarity, 1.0) < 0.7 THEN 'drop_edges'
+  WHEN tier = 'cold' AND coalesce(importance_hint, 0) < 5 AND access_count < 3 THEN 'delete'
+  WHEN tier = 'archive' THEN 'archive' ELSE 'keep' END AS action FROM (SELECT event_id, importance_hint, access_count,
+  CASE WHEN position % 4 <> 0 THEN (position % 10) / 10.0 END AS similarity, {sql.tier(480)} AS tier
+  FROM ledger)""")
 def _(t):
     nodes = t.ledger.withColumn("similarity", F.when(F.col("position") % 4 != 0, (F.col("position") % 10) / 10.0))
     return retention.actions(nodes, NOW_US, Retention(cold=480)).select("event_id", "tier", "action")
@@ -655,18 +741,21 @@ def _(t):
     return retention.cold_survivors(t.ledger, NOW_US).select("event_id")
 
 
-@query("similar_edge_prune", SIMILAR + f"SELECT src, dst, similarity FROM sims JOIN ledger ON event_id = src WHERE NOT (similarity < 0.93 AND {sql.HOURS} > 24)")
+@query("similar_edge_prune", SIMILAR + f"""SELECT src, dst, similarity FROM sims JOIN ledger ON event_id = src
+  WHERE NOT (similarity < 0.93 AND {sql.HOURS} > 24)""")
 def _(t):
     return retention.similar_edges_kept(similar_events(t, t.ledger), t.ledger, NOW_US, 24, 0.93).select("src", "dst", "similarity")
 
 
-@query("orphan_entities", "SELECT entity_id AS id FROM evec WHERE entity_id NOT IN (SELECT dst FROM refs JOIN ledger ON event_id = src WHERE session_id IN ('s1', 's2', 's3'))")
+@query("orphan_entities", """SELECT entity_id AS id FROM evec WHERE entity_id NOT IN (SELECT dst
+  FROM refs JOIN ledger ON event_id = src WHERE session_id IN ('s1', 's2', 's3'))""")
 def _(t):
     edges = t.references.join(t.ledger.where("session_id IN ('s1', 's2', 's3')").select(F.col("event_id").alias("src")), "src", "left_semi")
     return retention.orphans(t.entity_vectors.select(F.col("entity_id").alias("id")), edges)
 
 
-@query("stream_trim", f", p AS (SELECT min(occurred_us // 1000) AS ms FROM (SELECT agent_id, max(occurred_us) AS occurred_us FROM ledger GROUP BY ALL)) SELECT event_id FROM ledger, p WHERE occurred_us // 1000 >= least(ms, {NOW_US // 1000 - 240 * 3600 * 1000})")
+@query("stream_trim", f""", p AS (SELECT min(occurred_us // 1000) AS ms FROM (SELECT agent_id, max(occurred_us) AS occurred_us
+  FROM ledger GROUP BY ALL)) SELECT event_id FROM ledger, p WHERE occurred_us // 1000 >= least(ms, {NOW_US // 1000 - 240 * 3600 * 1000})""")
 def _(t):
     progress = t.ledger.groupBy("agent_id").agg(F.concat(F.floor(F.max("occurred_us") / 1000).cast("string"), F.lit("-0")).alias("stream_id"))
     point = retention.trim_point(progress, NOW_US // 1000 - 240 * 3600 * 1000)  # one row
@@ -678,7 +767,8 @@ def _(t):
     return retention.expired(t.ledger, NOW_US, 20).select("event_id")
 
 
-@query("idle_sessions", f"SELECT session_id, max(occurred_us) AS last_us FROM ledger GROUP BY ALL HAVING max(occurred_us) < {NOW_US - 12 * 3_600_000_000}")
+@query("idle_sessions", f"""SELECT session_id, max(occurred_us) AS last_us FROM ledger GROUP BY ALL
+  HAVING max(occurred_us) < {NOW_US - 12 * 3_600_000_000}""")
 def _(t):
     return retention.idle_sessions(t.ledger, NOW_US, 12)
 
@@ -686,7 +776,8 @@ def _(t):
 # ---- upserts and users ----
 
 
-@query("upsert_merge", "SELECT event_id, status FROM ledger WHERE position % 2 = 0 AND position % 3 <> 0 UNION ALL SELECT event_id, 'v2' FROM ledger WHERE position % 3 = 0")
+@query("upsert_merge", """SELECT event_id, status FROM ledger WHERE position % 2 = 0 AND position % 3 <> 0
+  UNION ALL SELECT event_id, 'v2' FROM ledger WHERE position % 3 = 0""")
 def _(t):
     old = t.ledger.where("position % 2 = 0").select("event_id", "status")
     changed = t.ledger.where("position % 3 = 0")
@@ -694,7 +785,10 @@ def _(t):
     return upsert.merge(old, changes, ["event_id"], "version")
 
 
-@query("upsert_counting", "SELECT o.id, coalesce(o.tool, n.tool) AS tool, coalesce(o.c, 0) + coalesce(n.c, 0) AS seen FROM (SELECT 'entity:' || k AS id, min(tool_name) FILTER (position % 2 = 0) AS tool, 1 AS c FROM ledger GROUP BY k) o FULL JOIN (SELECT 'entity:' || k AS id, arg_min(tool_name, position) FILTER (tool_name IS NOT NULL) AS tool, count(*) AS c FROM ledger GROUP BY k) n ON n.id = o.id")
+@query("upsert_counting", """SELECT o.id, coalesce(o.tool, n.tool) AS tool, coalesce(o.c, 0) + coalesce(n.c, 0) AS seen
+  FROM (SELECT 'entity:' || k AS id, min(tool_name) FILTER (position % 2 = 0) AS tool, 1 AS c
+  FROM ledger GROUP BY k) o FULL JOIN (SELECT 'entity:' || k AS id, arg_min(tool_name, position) FILTER (tool_name IS NOT NULL) AS tool, count(*) AS c
+  FROM ledger GROUP BY k) n ON n.id = o.id""")
 def _(t):
     name = F.concat(F.lit("entity:"), "k")
     old = t.ledger.groupBy(name.alias("id")).agg(F.min(F.when(F.col("position") % 2 == 0, F.col("tool_name"))).alias("tool"), F.lit(1).cast("long").alias("seen"))
@@ -708,19 +802,25 @@ def _(t):
     return left.groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-@query("feedback_importance", "SELECT event_id AS id, greatest(1, least(10, coalesce(importance_hint, 5) + (CASE WHEN position % 2 = 0 THEN 1 ELSE -1 END) * (1 + position % 3))) AS importance FROM ledger")
+@query("feedback_importance", """SELECT event_id AS id, greatest(1, least(10, coalesce(importance_hint, 5) + (CASE
+  WHEN position % 2 = 0 THEN 1 ELSE -1 END) * (1 + position % 3))) AS importance FROM ledger""")
 def _(t):
     votes = t.ledger.select(F.col("event_id").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("position") % FEEDBACK_STEP)).alias("order"), F.when(F.col("position") % 2 == 0, 1).otherwise(-1).alias("delta"))
     return users.feedback_importance(t.ledger.select(F.col("event_id").alias("id"), "importance_hint"), votes)
 
 
-@query("access_reinforcement", f"SELECT event_id AS id, access_count + CASE WHEN position % 2 = 0 THEN 2 ELSE 0 END AS access_count, CASE WHEN position % 2 = 0 THEN greatest({NOW_US}, coalesce(last_accessed_us, 0)) ELSE last_accessed_us END AS last_us FROM ledger")
+@query("access_reinforcement", f"""SELECT event_id AS id, access_count + CASE WHEN position % 2 = 0 THEN 2 ELSE 0 END AS access_count,
+  CASE WHEN position % 2 = 0 THEN greatest({NOW_US}, coalesce(last_accessed_us, 0)) ELSE last_accessed_us END AS last_us
+  FROM ledger""")
 def _(t):
     log = t.ledger.where("position % 2 = 0").select(F.col("event_id").alias("id"), F.explode(F.array(F.lit(NOW_US - 1), F.lit(NOW_US))).alias("us"))
     return users.access_reinforced(t.ledger.select(F.col("event_id").alias("id"), "access_count", "last_accessed_us"), log)
 
 
-CONFLICTS = ", prefs AS (SELECT 'pref:' || event_id AS id, session_id, split_part(event_type, '.', 1) AS category, k % 20 AS key, CASE WHEN value > 50 THEN 'positive' ELSE 'negative' END AS polarity, position, occurred_us FROM ledger), conf AS (SELECT lag(id) OVER w AS a, id AS b, lag(polarity) OVER w AS was, polarity FROM prefs WINDOW w AS (PARTITION BY session_id, category, key ORDER BY position))"
+CONFLICTS = """, prefs AS (SELECT 'pref:' || event_id AS id, session_id, split_part(event_type, '.', 1) AS category, k % 20 AS key,
+  CASE WHEN value > 50 THEN 'positive' ELSE 'negative' END AS polarity, position, occurred_us
+  FROM ledger), conf AS (SELECT lag(id) OVER w AS a, id AS b, lag(polarity) OVER w AS was, polarity
+  FROM prefs WINDOW w AS (PARTITION BY session_id, category, key ORDER BY position))"""
 
 
 @query("pref_contradictions", CONFLICTS + "SELECT a, b FROM conf WHERE a IS NOT NULL AND was <> polarity")
@@ -739,11 +839,13 @@ def _(t):
     return resolution.superseded(prefs, resolution.preference_winner(resolution.preference_conflicts(prefs)), "preference_id").where("superseded_by IS NULL").select("preference_id")
 
 
-BELIEFS = ", beliefs AS (SELECT session_id, seq, event_id, importance_hint AS c, CASE WHEN position % 7 <> 0 THEN occurred_us END AS us, access_count AS n FROM ledger WHERE importance_hint IS NOT NULL)"
+BELIEFS = """, beliefs AS (SELECT session_id, seq, event_id, importance_hint AS c, CASE
+  WHEN position % 7 <> 0 THEN occurred_us END AS us, access_count AS n FROM ledger WHERE importance_hint IS NOT NULL)"""
 A_WINS = "(a.c > b.c OR (a.c = b.c AND CASE WHEN a.us IS NOT NULL AND b.us IS NOT NULL AND a.us <> b.us THEN a.us > b.us ELSE a.n > b.n END))"
 
 
-@query("belief_resolution", f"{BELIEFS} SELECT CASE WHEN {A_WINS} THEN a.event_id ELSE b.event_id END AS winner, CASE WHEN {A_WINS} THEN b.event_id ELSE a.event_id END AS loser FROM beliefs a JOIN beliefs b ON b.session_id = a.session_id AND b.seq = a.seq + 1")
+@query("belief_resolution", f"""{BELIEFS} SELECT CASE WHEN {A_WINS} THEN a.event_id ELSE b.event_id END AS winner,
+  CASE WHEN {A_WINS} THEN b.event_id ELSE a.event_id END AS loser FROM beliefs a JOIN beliefs b ON b.session_id = a.session_id AND b.seq = a.seq + 1""")
 def _(t):
     known = F.when(F.col("position") % 7 != 0, F.col("occurred_us"))
     rows = t.ledger.where("importance_hint IS NOT NULL")
@@ -752,7 +854,11 @@ def _(t):
     return resolution.belief_winner(before.join(side("b"), ["session_id", "b_seq"]))
 
 
-@query("alias_resolution", f"{MENTIONS}, n AS (SELECT m.*, coalesce(a.whole, {sql.normalised('name')}) AS key FROM mentions m LEFT JOIN (VALUES {sql.ALIAS_ROWS}) AS a(alias, whole) ON a.alias = {sql.normalised('name')}) SELECT x.name, x.entity_type, CASE WHEN x.entity_type = y.entity_type THEN 'MERGE' ELSE 'SAME_AS' END AS action, y.name AS target, CASE WHEN x.entity_type = y.entity_type THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM n x JOIN (SELECT * FROM n WHERE session_id = '{SESSION}' QUALIFY row_number() OVER (PARTITION BY key ORDER BY position) = 1) y USING (key)")
+@query("alias_resolution", f"""{MENTIONS}, n AS (SELECT m.*, coalesce(a.whole, {sql.normalised('name')}) AS key
+  FROM mentions m LEFT JOIN (VALUES {sql.ALIAS_ROWS}) AS a(alias, whole) ON a.alias = {sql.normalised('name')}) SELECT x.name, x.entity_type,
+  CASE WHEN x.entity_type = y.entity_type THEN 'MERGE' ELSE 'SAME_AS' END AS action, y.name AS target,
+  CASE WHEN x.entity_type = y.entity_type THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence
+  FROM n x JOIN (SELECT * FROM n WHERE session_id = '{SESSION}' QUALIFY row_number() OVER (PARTITION BY key ORDER BY position) = 1) y USING (key)""")
 def _(t):
     named = mentions(t)
     return resolution.by_alias(named, named.where(F.col("session_id") == SESSION).withColumnRenamed("position", "ordinal"))
@@ -765,7 +871,10 @@ def _(t):
     return resolution.fuzzy(named.select("name", "entity_type").distinct(), named.where(F.col("session_id") == SESSION).select("name", "entity_type").distinct())
 
 
-@query("semantic_resolution", "SELECT a, b, CASE WHEN similarity >= 0.9 THEN 'SAME_AS' ELSE 'RELATED_TO' END AS action, round(similarity, 4) AS confidence FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) = 1) WHERE similarity >= 0.75")
+@query("semantic_resolution", """SELECT a, b, CASE
+  WHEN similarity >= 0.9 THEN 'SAME_AS' ELSE 'RELATED_TO' END AS action, round(similarity, 4) AS confidence
+  FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) = 1)
+  WHERE similarity >= 0.75""")
 def _(t):
     return resolution.semantic(entity_pairs(t, 0.75))
 
@@ -777,7 +886,9 @@ def _(t):
     return resolution.belief_contradictions(beliefs.unionByName(again))
 
 
-@query("confidence_prior", f"SELECT event_id, source, least(value / 100, coalesce(c, value / 100)) AS confidence FROM (SELECT event_id, value, ['explicit', 'inferred', 'observed', 'unheard'][position % 4 + 1] AS source FROM ledger) LEFT JOIN (VALUES {sql.CEILING_ROWS}) AS m(source, c) USING (source)")
+@query("confidence_prior", f"""SELECT event_id, source, least(value / 100, coalesce(c, value / 100)) AS confidence
+  FROM (SELECT event_id, value, ['explicit', 'inferred', 'observed', 'unheard'][position % 4 + 1] AS source
+  FROM ledger) LEFT JOIN (VALUES {sql.CEILING_ROWS}) AS m(source, c) USING (source)""")
 def _(t):
     source = F.get(F.array(*[F.lit(x) for x in ("explicit", "inferred", "observed", "unheard")]), (F.col("position") % 4).cast("int"))
     return t.ledger.select("event_id", source.alias("source"), text.capped_confidence(F.col("value") / 100, source).alias("confidence"))
@@ -796,35 +907,46 @@ def supported_sql(said: str) -> str:
     return f"(quote <> '' AND {said} <> '' AND (contains({sql.normalised(said)}, {sql.normalised('quote')}) OR (len({words}) > 0 AND {shared} >= 0.6 * len({words}))))"
 
 
-@query("quote_substring", f"SELECT conv_id, coalesce({supported_sql('own')}, FALSE) AS in_own, coalesce({supported_sql('other')}, FALSE) AS in_other FROM (SELECT a.conv_id, substr(a.text, 6, 40) AS quote, a.text AS own, b.text AS other FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn = 1)", model=False)
+@query("quote_substring", f"""SELECT conv_id, coalesce({supported_sql('own')}, FALSE) AS in_own, coalesce({supported_sql('other')}, FALSE) AS in_other
+  FROM (SELECT a.conv_id, substr(a.text, 6, 40) AS quote, a.text AS own, b.text AS other FROM conversations a
+  JOIN conversations b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn = 1)""", model=False)
 def _(t):
     has = lambda said: F.coalesce(text.quote_supported(F.col("quote"), F.col(said)), F.lit(False))
     return quotes(t).select("conv_id", has("own").alias("in_own"), has("other").alias("in_other"))
 
 
-@query("entailment_heuristic", f"WITH p AS (SELECT a.conv_id, string_split({sql.normalised('substr(a.text, 6, 40)')}, ' ') AS c, string_split({sql.normalised('b.text')}, ' ') AS e, substr(a.text, 6, 40) AS q, b.text AS o FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn = 1), w AS (SELECT *, list_distinct(list_filter(c, lambda x: len(x) > 2)) AS cw, list_distinct(list_filter(e, lambda x: len(x) > 2)) AS ew FROM p) SELECT conv_id, q <> '' AND o <> '' AND list_has_any(c, {sql.NEGATION_LIST}) = list_has_any(e, {sql.NEGATION_LIST}) AND (len(cw) < 2 OR len(ew) = 0 OR len(list_intersect(cw, ew)) >= 0.5 * len(cw)) AS entailed FROM w", model=False)
+@query("entailment_heuristic", f"""WITH p AS (SELECT a.conv_id, string_split({sql.normalised('substr(a.text, 6, 40)')}, ' ') AS c, string_split({sql.normalised('b.text')}, ' ') AS e, substr(a.text, 6, 40) AS q, b.text AS o
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn = 1),
+  w AS (SELECT *, list_distinct(list_filter(c, lambda x: len(x) > 2)) AS cw, list_distinct(list_filter(e, lambda x: len(x) > 2)) AS ew
+  FROM p) SELECT conv_id, q <> '' AND o <> '' AND list_has_any(c, {sql.NEGATION_LIST}) = list_has_any(e, {sql.NEGATION_LIST}) AND (len(cw) < 2 OR len(ew) = 0 OR len(list_intersect(cw, ew)) >= 0.5 * len(cw)) AS entailed
+  FROM w""", model=False)
 def _(t):
     return quotes(t).select("conv_id", text.entailed(F.col("quote"), F.col("other")).alias("entailed"))
 
 
-@query("tool_preference", "SELECT agent_id, tool_name, count(*) AS uses, round(least(0.9, 0.3 + count(*) / 20.0), 6) AS strength FROM ledger WHERE tool_name IS NOT NULL GROUP BY ALL HAVING count(*) >= 3 AND avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END) > 0.7")
+@query("tool_preference", """SELECT agent_id, tool_name, count(*) AS uses, round(least(0.9, 0.3 + count(*) / 20.0), 6) AS strength
+  FROM ledger WHERE tool_name IS NOT NULL GROUP BY ALL HAVING count(*) >= 3 AND avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END) > 0.7""")
 def _(t):
     return users.tool_preferences(t.ledger)
 
 
-@query("user_interests", "SELECT user_id, 'entity:' || k AS entity_id, count(*) AS mentions, count(DISTINCT trace_id) AS days FROM ledger GROUP BY user_id, k HAVING count(*) >= 3")
+@query("user_interests", """SELECT user_id, 'entity:' || k AS entity_id, count(*) AS mentions, count(DISTINCT trace_id) AS days
+  FROM ledger GROUP BY user_id, k HAVING count(*) >= 3""")
 def _(t):
     return users.interests(t.ledger, 3)
 
 
-@query("skill_proficiency", "SELECT user_id, split_part(event_type, '.', 1) AS skill, count(*) AS assessments, round(avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END), 6) AS proficiency FROM ledger GROUP BY ALL")
+@query("skill_proficiency", """SELECT user_id, split_part(event_type, '.', 1) AS skill, count(*) AS assessments, round(avg(CASE
+  WHEN status = 'completed' THEN 1.0 ELSE 0.0 END), 6) AS proficiency FROM ledger GROUP BY ALL""")
 def _(t):
     return t.ledger.groupBy("user_id", F.split_part("event_type", F.lit("."), F.lit(1)).alias("skill")).agg(F.count("*").alias("assessments"), F.round(F.avg(F.when(F.col("status") == "completed", 1.0).otherwise(0.0)), 6).alias("proficiency"))
 
 
 @query(
     "pref_decay",
-    f"SELECT 'pref:' || event_id AS preference_id, round(exp(-greatest(0.0, ({NOW_US} - greatest(occurred_us, coalesce(last_accessed_us, 0))) / 3.6e9) / (CASE WHEN split_part(event_type, '.', 1) = 'tool' THEN 336.0 ELSE 168.0 END)::DOUBLE) + 0.8::DOUBLE * (value / 100) + 0.8::DOUBLE * (k % 10 / 10.0)::DOUBLE, 6) AS score FROM ledger",
+    f"""SELECT 'pref:' || event_id AS preference_id, round(exp(-greatest(0.0, ({NOW_US} - greatest(occurred_us, coalesce(last_accessed_us, 0))) / 3.6e9) / (CASE
+  WHEN split_part(event_type, '.', 1) = 'tool' THEN 336.0 ELSE 168.0 END)::DOUBLE) + 0.8::DOUBLE * (value / 100) + 0.8::DOUBLE * (k % 10 / 10.0)::DOUBLE, 6) AS score
+  FROM ledger""",
 )
 def _(t):
     category = F.split_part("event_type", F.lit("."), F.lit(1))
@@ -832,7 +954,8 @@ def _(t):
     return t.ledger.select(F.concat(F.lit("pref:"), "event_id").alias("preference_id"), F.round(score, 6).alias("score"))
 
 
-@query("user_profile", f"SELECT c_custkey AS user_id, c_name AS name, count(event_id) AS events FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY ALL", model=False)
+@query("user_profile", f"""SELECT c_custkey AS user_id, c_name AS name, count(event_id) AS events
+  FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY ALL""", model=False)
 def _(t):
     people = t.read("customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_name").alias("name"))
     return people.join(t.read("events").groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left").select("user_id", "name", F.coalesce("n", F.lit(0)).alias("events"))
@@ -893,7 +1016,9 @@ def _(t):
     return user_edges(t).select("src", "dst", "edge_type")
 
 
-@query("gdpr_erase", USERS + ERASED + f"SELECT edge_type AS what, count(*) AS n FROM left_edges GROUP BY ALL UNION ALL SELECT 'nodes', count(*) FROM unodes WHERE id NOT IN (SELECT dst FROM mine) UNION ALL SELECT 'redacted', count(*) FROM unodes WHERE id = 'user:{USER}' UNION ALL SELECT 'affected', 1")
+@query("gdpr_erase", USERS + ERASED + f"""SELECT edge_type AS what, count(*) AS n FROM left_edges
+  GROUP BY ALL UNION ALL SELECT 'nodes', count(*) FROM unodes WHERE id NOT IN (SELECT dst FROM mine)
+  UNION ALL SELECT 'redacted', count(*) FROM unodes WHERE id = 'user:{USER}' UNION ALL SELECT 'affected', 1""")
 def _(t):
     nodes, edges, affected = users.erase_user(user_nodes(t), user_edges(t), f"user:{USER}")
     told = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("name") == "REDACTED").alias("redacted"))
@@ -901,37 +1026,55 @@ def _(t):
     return edges.groupBy(F.col("edge_type").alias("what")).agg(F.count("*").alias("n")).unionByName(both).unionByName(affected.select(F.lit("affected").alias("what"), F.col("affected").cast("long").alias("n")))
 
 
-@query("gdpr_export", USERS + f", own AS (SELECT CASE edge_type WHEN 'HAS_PROFILE' THEN 'profile' WHEN 'HAS_PREFERENCE' THEN 'preferences' WHEN 'HAS_SKILL' THEN 'skills' WHEN 'EXHIBITS_PATTERN' THEN 'patterns' ELSE 'interests' END AS kind, dst AS id FROM uedges WHERE src = 'user:{USER}' AND edge_type IN ('HAS_PROFILE', 'HAS_PREFERENCE', 'HAS_SKILL', 'EXHIBITS_PATTERN', 'INTERESTED_IN')) SELECT kind, id FROM own UNION ALL SELECT 'provenance_chains', src || '>' || dst FROM uedges WHERE edge_type = 'DERIVED_FROM' AND src IN (SELECT id FROM own)")
+@query("gdpr_export", USERS + f""", own AS (SELECT CASE edge_type WHEN 'HAS_PROFILE' THEN 'profile'
+  WHEN 'HAS_PREFERENCE' THEN 'preferences' WHEN 'HAS_SKILL' THEN 'skills'
+  WHEN 'EXHIBITS_PATTERN' THEN 'patterns' ELSE 'interests' END AS kind, dst AS id FROM uedges
+  WHERE src = 'user:{USER}' AND edge_type IN ('HAS_PROFILE', 'HAS_PREFERENCE', 'HAS_SKILL', 'EXHIBITS_PATTERN', 'INTERESTED_IN')) SELECT kind, id
+  FROM own UNION ALL SELECT 'provenance_chains', src || '>' || dst FROM uedges WHERE edge_type = 'DERIVED_FROM' AND src IN (SELECT id
+  FROM own)""")
 def _(t):
     return users.export_user(user_nodes(t), user_edges(t), f"user:{USER}").select("kind", "id")
 
 
-@query("orphan_labels", USERS + ", e AS (SELECT * FROM uedges WHERE edge_type NOT IN ('INTERESTED_IN', 'ABOUT', 'DERIVED_FROM') AND NOT (edge_type = 'HAS_PREFERENCE' AND src <> 'user:5')) SELECT label, count(*) AS n FROM unodes WHERE label <> 'UserProfile' AND id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e) GROUP BY ALL")
+@query("orphan_labels", USERS + """, e AS (SELECT * FROM uedges
+  WHERE edge_type NOT IN ('INTERESTED_IN', 'ABOUT', 'DERIVED_FROM') AND NOT (edge_type = 'HAS_PREFERENCE' AND src <> 'user:5')) SELECT label, count(*) AS n
+  FROM unodes WHERE label <> 'UserProfile' AND id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst
+  FROM e) GROUP BY ALL""")
 def _(t):
     left = user_edges(t).where("edge_type NOT IN ('INTERESTED_IN', 'ABOUT', 'DERIVED_FROM') AND NOT (edge_type = 'HAS_PREFERENCE' AND src <> 'user:5')")
     return retention.orphan_sweep(user_nodes(t), left).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("tier_prunable", f"SELECT event_id, tier FROM (SELECT *, {sql.tier(480)} AS tier FROM ledger) WHERE tier = 'archive' OR (coalesce(importance_hint, 0) < 5 AND ((tier = 'warm' AND access_count = 0) OR (tier = 'cold' AND access_count < 3)))")
+@query("tier_prunable", f"""SELECT event_id, tier FROM (SELECT *, {sql.tier(480)} AS tier FROM ledger)
+  WHERE tier = 'archive' OR (coalesce(importance_hint, 0) < 5 AND ((tier = 'warm' AND access_count = 0) OR (tier = 'cold' AND access_count < 3)))""")
 def _(t):
     return retention.prunable(t.ledger, NOW_US, Retention(cold=480.0)).select("event_id", "tier")
 
 
-@query("forgetting_applied", SIMILAR + f", kept AS (SELECT event_id, {sql.HOURS} AS hours FROM (SELECT *, {sql.tier(480)} AS tier FROM ledger) WHERE tier <> 'archive' AND NOT (tier = 'cold' AND coalesce(importance_hint, 0) < 5 AND access_count < 3)), alle AS (SELECT src, dst, edge_type, NULL::DOUBLE AS similarity FROM edges UNION ALL SELECT src, dst, 'SIMILAR_TO', similarity FROM sims) SELECT 'events' AS what, count(*) AS n FROM kept UNION ALL SELECT edge_type, count(*) FROM alle JOIN kept x ON x.event_id = src JOIN kept y ON y.event_id = dst WHERE NOT (edge_type = 'SIMILAR_TO' AND similarity < 0.93 AND x.hours > 24) GROUP BY edge_type")
+@query("forgetting_applied", SIMILAR + f""", kept AS (SELECT event_id, {sql.HOURS} AS hours FROM (SELECT *, {sql.tier(480)} AS tier
+  FROM ledger) WHERE tier <> 'archive' AND NOT (tier = 'cold' AND coalesce(importance_hint, 0) < 5 AND access_count < 3)),
+  alle AS (SELECT src, dst, edge_type, NULL::DOUBLE AS similarity FROM edges UNION ALL SELECT src, dst, 'SIMILAR_TO', similarity
+  FROM sims) SELECT 'events' AS what, count(*) AS n FROM kept UNION ALL SELECT edge_type, count(*)
+  FROM alle JOIN kept x ON x.event_id = src JOIN kept y ON y.event_id = dst
+  WHERE NOT (edge_type = 'SIMILAR_TO' AND similarity < 0.93 AND x.hours > 24) GROUP BY edge_type""")
 def _(t):
     edges = projection.event_edges(t.ledger).withColumn("similarity", F.lit(None).cast("double")).unionByName(similar_events(t, t.ledger))
     events, left = retention.forget(t.ledger, edges, NOW_US, Retention(cold=480.0, warm_similarity=0.93))
     return events.agg(F.count("*").alias("n")).select(F.lit("events").alias("what"), "n").unionByName(left.groupBy(F.col("edge_type").alias("what")).agg(F.count("*").alias("n")))
 
 
-@query("path_safety", "SELECT page_id, length(p) BETWEEN 1 AND 256 AND NOT regexp_matches(p, '[%\\n\\r]|\\.\\.|/|\\\\') AS safe FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'a%2e' || page_id WHEN 2 THEN '..' ELSE 'id-' || page_id END AS p FROM pages)", model=False)
+@query("path_safety", """SELECT page_id, length(p) BETWEEN 1 AND 256 AND NOT regexp_matches(p, '[%\\n\\r]|\\.\\.|/|\\\\') AS safe
+  FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'a%2e' || page_id WHEN 2 THEN '..' ELSE 'id-' || page_id END AS p
+  FROM pages)""", model=False)
 def _(t):
     k = F.col("page_id") % 5
     given = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("a%2e"), "page_id")).when(k == 2, "..").otherwise(F.concat(F.lit("id-"), "page_id"))
     return t.read("pages").select("page_id", text.safe_path_parameter(given).alias("safe"))
 
 
-@query("message_roles", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE 'system' END AS message, CASE role WHEN 'user' THEN 'observation.input' WHEN 'assistant' THEN 'agent.invoke' ELSE 'system.session_start' END AS event_type FROM conversations", model=False)
+@query("message_roles", """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE 'system' END AS message, CASE role
+  WHEN 'user' THEN 'observation.input' WHEN 'assistant' THEN 'agent.invoke' ELSE 'system.session_start' END AS event_type
+  FROM conversations""", model=False)
 def _(t):
     role = F.col("role")
     message = F.when(role == "user", "human").when(role == "assistant", "ai").otherwise("system")
@@ -942,7 +1085,8 @@ def _(t):
 # ---- archive ----
 
 
-@query("archive_roundtrip", f"SELECT strftime(occurred_at, '%Y/%m/%d') AS day, count(*) AS n FROM ledger WHERE occurred_us // 1000 < {(NOW_US - 20 * 24 * 3_600_000_000) // 1000} GROUP BY ALL")
+@query("archive_roundtrip", f"""SELECT strftime(occurred_at, '%Y/%m/%d') AS day, count(*) AS n FROM ledger
+  WHERE occurred_us // 1000 < {(NOW_US - 20 * 24 * 3_600_000_000) // 1000} GROUP BY ALL""")
 def _(t):
     import uuid
 

@@ -17,7 +17,8 @@ from emberlake.sources.ledger import NOW_US, from_documents, scenarios, to_docum
 #: What the text queries ask.
 ASKED = "value of the stone engine, ering onth"
 #: The bodies of searches: an answer's words weigh as a summary, its role and its first word as key words.
-CONVERSATIONS = "SELECT conv_id || '-' || turn AS id, CAST(conv_id AS VARCHAR) AS session, text AS summary, role || ' ' || coalesce(split_part(text, ' ', 1), '') AS keywords FROM conversations"
+CONVERSATIONS = """SELECT conv_id || '-' || turn AS id, CAST(conv_id AS VARCHAR) AS session, text AS summary, role || ' ' || coalesce(split_part(text, ' ', 1), '') AS keywords
+  FROM conversations"""
 DOCUMENTS = "SELECT CAST(doc_id AS VARCHAR) AS id, source AS session, text AS summary, lang || ' ' || source AS keywords FROM documents"
 
 
@@ -109,7 +110,10 @@ def _(t):
 # ---- lineage ----
 
 
-@query("lineage_bounded", ", walk(start, node, depth) AS (SELECT src, dst, 1 FROM caused UNION ALL SELECT w.start, c.dst, w.depth + 1 FROM walk w JOIN caused c ON c.src = w.node WHERE w.depth < 5) SELECT 'node' AS what, start, NULL AS src, node AS dst, depth FROM walk UNION ALL SELECT 'edge', w.start, c.src, c.dst, NULL FROM walk w JOIN caused c ON c.dst = w.node WHERE c.src = w.start OR EXISTS (SELECT 1 FROM walk v WHERE v.start = w.start AND v.node = c.src)")
+@query("lineage_bounded", """, walk(start, node, depth) AS (SELECT src, dst, 1 FROM caused UNION ALL SELECT w.start, c.dst, w.depth + 1
+  FROM walk w JOIN caused c ON c.src = w.node WHERE w.depth < 5) SELECT 'node' AS what, start, NULL AS src, node AS dst, depth
+  FROM walk UNION ALL SELECT 'edge', w.start, c.src, c.dst, NULL FROM walk w JOIN caused c ON c.dst = w.node
+  WHERE c.src = w.start OR EXISTS (SELECT 1 FROM walk v WHERE v.start = w.start AND v.node = c.src)""")
 def _(t):
     """The five nearest causes of every event, with the edges among them."""
     nodes, edges = graph.bounded_lineage(projection.event_edges(t.ledger), t.ledger.select(F.col("event_id").alias("id")), 10, 5)
@@ -138,7 +142,8 @@ def _(t):
     return made.select(F.col("action").alias("what")).unionByName(edges.select(F.col("edge_type").alias("what"))).groupBy("what").agg(F.count("*").alias("n"))
 
 
-@query("similar_vectors", "SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(list_transform(x.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(y.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE similarity >= 0.4", model=False)
+@query("similar_vectors", """SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(list_transform(x.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(y.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS similarity
+  FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE similarity >= 0.4""", model=False)
 def _(t):
     """Similar pairs among all embeddings."""
     return vectors.similar_pairs(t.read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.4, recall=0.9999)
@@ -151,17 +156,22 @@ def source_sql(table: tuple, value: str) -> str:
     return f"CASE {value} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table[0].items()) + f" ELSE '{table[1]}' END"
 
 
-@query("coerced_values", f"SELECT event_id, {source_sql(PREFERENCE_SOURCES, 's')} AS preference, {source_sql(SKILL_SOURCES, 's')} AS skill, {source_sql(INTEREST_SOURCES, 's')} AS interest FROM (SELECT event_id, {SOURCES}[position % 8 + 1] AS s FROM ledger)")
+@query("coerced_values", f"""SELECT event_id, {source_sql(PREFERENCE_SOURCES, 's')} AS preference, {source_sql(SKILL_SOURCES, 's')} AS skill, {source_sql(INTEREST_SOURCES, 's')} AS interest
+  FROM (SELECT event_id, {SOURCES}[position % 8 + 1] AS s FROM ledger)""")
 def _(t):
     said = F.get(F.array(*[F.lit(x) for x in SOURCES]), (F.col("position") % 8).cast("int"))
     return t.ledger.select("event_id", *[resolution.coerced(said, table).alias(name) for name, table in (("preference", PREFERENCE_SOURCES), ("skill", SKILL_SOURCES), ("interest", INTEREST_SOURCES))])
 
 
-QUOTED = "SELECT conv_id, turn, ['explicit', 'inferred', 'observed'][turn % 3 + 1] AS source, (conv_id % 10) / 10.0::DOUBLE AS given, CASE WHEN (conv_id + turn) % 2 = 0 THEN substr(text, 6, 40) ELSE md5(text) END AS quote, text FROM conversations"
+QUOTED = """SELECT conv_id, turn, ['explicit', 'inferred', 'observed'][turn % 3 + 1] AS source, (conv_id % 10) / 10.0::DOUBLE AS given,
+  CASE WHEN (conv_id + turn) % 2 = 0 THEN substr(text, 6, 40) ELSE md5(text) END AS quote, text
+  FROM conversations"""
 LEAST = {"explicit": 0.5, "inferred": 0.3}
 
 
-@query("validated_items", f"SELECT conv_id, turn, source, confidence FROM (SELECT *, least(given, CASE source WHEN 'explicit' THEN 0.95 WHEN 'inferred' THEN 0.6 ELSE 0.85 END::DOUBLE) AS confidence FROM ({QUOTED}) WHERE {supported_sql('text')}) WHERE confidence >= CASE source WHEN 'explicit' THEN 0.5 WHEN 'inferred' THEN 0.3 ELSE 0 END", model=False)
+@query("validated_items", f"""SELECT conv_id, turn, source, confidence FROM (SELECT *, least(given, CASE source
+  WHEN 'explicit' THEN 0.95 WHEN 'inferred' THEN 0.6 ELSE 0.85 END::DOUBLE) AS confidence FROM ({QUOTED})
+  WHERE {supported_sql('text')}) WHERE confidence >= CASE source WHEN 'explicit' THEN 0.5 WHEN 'inferred' THEN 0.3 ELSE 0 END""", model=False)
 def _(t):
     """A quote from each turn, every other one made up, against the turn's whole text."""
     c = t.read("conversations").where("text IS NOT NULL")
@@ -171,7 +181,8 @@ def _(t):
     return resolution.validated(items, "text", LEAST).select("conv_id", "turn", "source", "confidence")
 
 
-@query("pref_of_category", CONFLICTS + "SELECT id AS preference_id FROM prefs WHERE category = 'tool' AND id NOT IN (SELECT a FROM conf WHERE a IS NOT NULL AND was <> polarity)")
+@query("pref_of_category", CONFLICTS + """SELECT id AS preference_id FROM prefs WHERE category = 'tool' AND id NOT IN (SELECT a
+  FROM conf WHERE a IS NOT NULL AND was <> polarity)""")
 def _(t):
     prefs = users.preferences(t.ledger)
     told = resolution.superseded(prefs, resolution.preference_winner(resolution.preference_conflicts(prefs)), "preference_id")
@@ -265,7 +276,8 @@ def _(t):
     return surface.event_counts(t.ledger, projection.caused_by(t.ledger), t.references, similar_events(t, t.ledger), owners)
 
 
-@query("document_roundtrip", "SELECT event_id, position, session_id, event_type, occurred_us, importance_hint, access_count, last_accessed_us, value FROM ledger")
+@query("document_roundtrip", """SELECT event_id, position, session_id, event_type, occurred_us, importance_hint, access_count, last_accessed_us, value
+  FROM ledger""")
 def _(t):
     docs = to_documents(t.ledger.withColumn("payload", F.expr(PAYLOADS)), "payload")
     # Some stores give numbers in quotes.
@@ -273,13 +285,15 @@ def _(t):
     return from_documents(quoted.unionByName(t.spark.createDataFrame([("not a document",), ("[1]",)], "doc string"))).select("event_id", "position", "session_id", "event_type", "occurred_us", "importance_hint", "access_count", "last_accessed_us", "value")
 
 
-@query("recalled_memories", f"SELECT event_id AS id, coalesce(tool_name, trace_id) AS text, decay AS score, row_number() OVER (ORDER BY decay DESC, event_id) AS rank FROM (SELECT *, round({sql.DECAY}, 6) AS decay FROM ledger) ORDER BY rank LIMIT 25")
+@query("recalled_memories", f"""SELECT event_id AS id, coalesce(tool_name, trace_id) AS text, decay AS score, row_number() OVER (ORDER BY decay DESC, event_id) AS rank
+  FROM (SELECT *, round({sql.DECAY}, 6) AS decay FROM ledger) ORDER BY rank LIMIT 25""")
 def _(t):
     scored = retrieval.scored_events(t.ledger, NOW_US).select(F.col("event_id").alias("id"), F.col("tool_name").alias("content"), F.lit(" ").alias("summary"), F.col("trace_id").alias("name"), "decay")
     return surface.recalled(scored, 25).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("profile_upsert", "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' the second' ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS expertise FROM customer", model=False)
+@query("profile_upsert", """SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' the second' ELSE c_name END AS name,
+  CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS expertise FROM customer""", model=False)
 def _(t):
     """Profiles written, and written again by half of the customers; what a write leaves out stays."""
     people = t.read("customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("expertise"))

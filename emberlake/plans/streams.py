@@ -27,7 +27,9 @@ def _(t):
     return streams.replayed(t.ledger, streams.follows, "stream_follows", 2)
 
 
-@query("stream_enrichment", "SELECT event_id, coalesce(importance_hint, 5) AS importance_score, CASE WHEN tool_name IS NULL THEN replace(event_type, '.', ',') ELSE replace(event_type, '.', ',') || ',' || tool_name END AS keywords FROM ledger")
+@query("stream_enrichment", """SELECT event_id, coalesce(importance_hint, 5) AS importance_score,
+  CASE WHEN tool_name IS NULL THEN replace(event_type, '.', ',') ELSE replace(event_type, '.', ',') || ',' || tool_name END AS keywords
+  FROM ledger""")
 def _(t):
     return streams.replayed(t.ledger, streams.enriched, "stream_enrichment", 2).select("event_id", "importance_score", "keywords")
 
@@ -42,7 +44,9 @@ def _(t):
     return streams.replayed(t.ledger.withColumn("event_type", F.expr(ENDED)), lambda s: streams.extraction_pieces(s, 5), "stream_extraction")
 
 
-@query("stream_extraction_triggers", "SELECT session_id, event_id, turn FROM (SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY occurred_us, position) AS turn FROM ledger WHERE event_type NOT LIKE 'system.%') WHERE turn % 5 = 0")
+@query("stream_extraction_triggers", """SELECT session_id, event_id, turn
+  FROM (SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY occurred_us, position) AS turn
+  FROM ledger WHERE event_type NOT LIKE 'system.%') WHERE turn % 5 = 0""")
 def _(t):
     return streams.replayed(t.ledger.where("event_type NOT LIKE 'system.%'"), lambda s: streams.extraction_triggers(s, 5), "stream_extraction_triggers", 2)
 

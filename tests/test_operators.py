@@ -132,11 +132,14 @@ def test_dead_letters(spark, folder, tmp_path):
     from emberlake.streaming import queries as streams
 
     t = Tables(spark, folder)
-    rows = t.ledger.select("event_id", F.when(F.col("position") % 10 == 0, "BAD").otherwise(F.col("event_type")).alias("event_type"), "occurred_us", "parent_event_id", F.lit(None).cast("long").alias("ended_us"), F.lit("r").alias("payload_ref"))
+    rows = t.ledger.select("event_id", "position", F.when(F.col("position") % 10 == 0, "BAD").otherwise(F.col("event_type")).alias("event_type"), "occurred_us", "parent_event_id", F.lit(None).cast("long").alias("ended_us"), F.lit("r").alias("payload_ref"))
     rows.write.parquet(f"{tmp_path}/in")
     stream = streams.event_stream(spark, f"{tmp_path}/in", 100).drop("at")
-    streams.with_dead_letters(stream, NOW_US, f"{tmp_path}/good", f"{tmp_path}/dead").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/dead").count() == 100 and spark.read.parquet(f"{tmp_path}/good").count() == 900
+    checked = lambda df: ledger.errors(df, NOW_US).withColumn("error", F.when(F.size("errors") > 0, F.array_join("errors", ","))).drop("errors")
+    streams.run_to_end(streams.with_dead_letters(stream, str(tmp_path), "g", checked, most=0), f"{tmp_path}/c")  # no second delivery
+    dead = spark.read.parquet(f"{tmp_path}/dead")
+    assert dead.count() == 100 and spark.read.parquet(f"{tmp_path}/good").count() == 900
+    assert {(r.error, r.group, r.delivery_count, r.original_position % 10) for r in dead.collect()} == {("event_type", "g", 1, 0)}
 
 
 def test_stored_ledger_is_pruned(spark, folder, tmp_path, capsys):
