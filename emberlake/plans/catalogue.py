@@ -375,10 +375,18 @@ SIMILAR = f""", sims AS (SELECT x.event_id AS src, y.event_id AS dst, p.similari
   WHERE p.similarity > 0.85)"""
 
 
+#: Where the similar entities of an application, a folder and its files as they were are stored, and from which similarity on.
+PAIRS: dict[tuple, DataFrame] = {}
+LEAST_SIMILAR = 0.75
+
+
 def entity_pairs(t: Tables, threshold: float) -> DataFrame:
-    """(a, b, similarity) of entities that are alike; a has the smaller number."""
-    found = vectors.similar_pairs(t.entity_vectors.select(F.col("k").alias("id"), "vector"), threshold)
-    return found.select(F.concat(F.lit("entity:"), "a").alias("a"), F.concat(F.lit("entity:"), "b").alias("b"), "similarity")
+    """(a, b, similarity) of entities that are alike; a has the smaller number. Stored once as long as the vectors' files stay as they are."""
+    key = (t.spark.sparkContext.applicationId, t.folder, *t.version("embeddings"))
+    if key not in PAIRS:
+        found = vectors.similar_pairs(t.entity_vectors.select(F.col("k").alias("id"), "vector"), LEAST_SIMILAR)
+        PAIRS[key] = graph.cut(found.select(F.concat(F.lit("entity:"), "a").alias("a"), F.concat(F.lit("entity:"), "b").alias("b"), "similarity"))
+    return PAIRS[key].where(F.col("similarity") >= threshold)
 
 
 def similar_events(t: Tables, events: DataFrame) -> DataFrame:
