@@ -73,3 +73,18 @@ def test_the_stored_ledger_follows_its_files(spark, folder, tmp_path):
     shutil.move(f"{here}/few", f"{here}/events.parquet")
     assert QUERIES["ledger_count"](spark, here).first().events == few.count()
     assert {r.event_id for r in QUERIES["newest_by_position"](spark, here).collect()} == {str(r.event_id) for r in few.collect()}
+
+
+def test_similar_pairs_are_all_pairs_at_a_low_threshold_and_travel_a_few_times(spark):
+    """No pair is left to chance, and a row goes to as many tasks as there are cells."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1200, 16)).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = np.round(u @ u.T, 6)
+    want = {(f"n{a:04d}", f"n{b:04d}"): near[a, b] for a, b in zip(*np.nonzero(near >= 0.3), strict=True) if a < b}
+    table = spark.createDataFrame([(f"n{k:04d}", [float(x) for x in row]) for k, row in enumerate(v)], "id string, vector array<float>")
+    for crowd in (vectors.CROWD, 300):
+        found = vectors.similar_pairs(table, 0.3, crowd=crowd)
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(want) and {(a, b) for a, b, _ in rows} == set(want)
+        assert all(abs(want[a, b] - s) < 2e-6 for a, b, s in rows)
