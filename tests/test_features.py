@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberlake.functions import text
 from emberlake.model import ALIASES
@@ -240,3 +241,20 @@ def test_the_scenario_query_writes_no_file_for_each_session(spark, folder):
     QUERIES["scenario_events"](spark, folder)
     (new,) = set(Path(shared_folder(spark).removeprefix("file://")).glob("scenarios-*")) - before
     assert len(list(new.rglob("*.json"))) <= 8
+
+
+def test_lineage_holds_few_starts_in_a_task(spark, monkeypatch):
+    """However few files the starts come from, tasks that put paths together have a bounded number; paths that have ended don't meet in one task of a join."""
+    edges = spark.createDataFrame([(f"n{k}", f"n{k // 2}") for k in range(2, 600)], "src string, dst string").coalesce(1)
+    starts = spark.createDataFrame([(f"n{k}",) for k in range(1, 600)], "id string").coalesce(1)
+    monkeypatch.setattr(graph, "STARTS", 50, raising=False)
+    found = graph.lineage(edges, starts, 10)
+    assert {(r.start, r.ancestor, r.depth) for r in found.collect()} == {(f"n{k}", f"n{k >> d}", d) for k in range(1, 600) for d in range(1, 11) if k >> d}
+    told = found.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("start").alias("n")).collect()
+    assert max(r.n for r in told) <= 100
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "coalesce(node" in graph.lineage(edges, starts, 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
