@@ -88,3 +88,22 @@ def test_similar_pairs_are_all_pairs_at_a_low_threshold_and_travel_a_few_times(s
         rows = [tuple(r) for r in found.collect()]
         assert len(rows) == len(want) and {(a, b) for a, b, _ in rows} == set(want)
         assert all(abs(want[a, b] - s) < 2e-6 for a, b, s in rows)
+
+
+def test_many_queries_are_multiplied_in_tiles():
+    """A worker's memory doesn't grow with queries times rows of a step."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(4096, 8)), rng.normal(size=(9000, 8))
+    tracemalloc.start()
+    best = vectors.Nearest(np.arange(9000), q, 3, 0.5)
+    best.add(np.arange(4096), v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # all products of a step at once: 147 MB, and as much again for each copy
+    near = np.round(vectors.unit(v) @ vectors.unit(q[8990:]).T, 6)
+    for k in range(8990, 9000):
+        want = sorted((-s, i) for i, s in enumerate(near[:, k - 8990]) if s >= 0.5)[:3]
+        got = best.held[best.held["q"] == k]
+        assert list(got["id"]) == [i for _, i in want]
