@@ -258,3 +258,15 @@ def test_lineage_holds_few_starts_in_a_task(spark, monkeypatch):
         assert "coalesce(node" in graph.lineage(edges, starts, 2)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_index_joins_its_counts_once(spark, tmp_path):
+    """Scores are stored before they are dealt out by range, which would join twice; levels begin at 0 with each term's best."""
+    docs = spark.createDataFrame([(str(k), "s", "a " * (k % 4 + 1) + f"b{k % 9}", "c") for k in range(80)], "id string, session string, summary string, keywords string")
+    index = textindex.build(docs, path=f"{tmp_path}/i")
+    own, levels = index.postings(spark), index.levels(spark)
+    stored = spark.read.parquet(f"{tmp_path}/i/scored")
+    names = ["term", "id", "score", "level", "bucket"]
+    assert sorted(map(tuple, stored.select(names).collect())) == sorted(map(tuple, own.select(names).collect()))
+    assert {r[0] for r in levels.groupBy("term").agg(F.min("level")).select("min(level)").collect()} == {0}
+    assert own.count() == 240 and levels.agg(F.sum("n")).first()[0] == 240
