@@ -2,7 +2,7 @@
 
 State lies in RocksDB under the query's checkpoint, so a query that is started again with the same checkpoint goes on where it stopped.
 A key's rows of a trigger come in arrival order of files only; within a trigger they are put in the order of time. A trigger's
-rows of one session are one frame in one task: bound triggers by ``files_per_trigger``.
+rows of one session are one list in one task: bound triggers by ``files_per_trigger``.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -42,54 +41,70 @@ def deduplicated(stream: DataFrame, watermark: str | None = "1 day") -> DataFram
 # ---- state by session ----
 
 
-def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of a trigger, which come in several batches, in the order of time."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(["occurred_us", "position"], ignore_index=True)
-
-
-def as_rows(frame: pd.DataFrame, *texts: str) -> pd.DataFrame:
-    """``frame`` with text columns as plain objects: strings in several Arrow chunks can't be sent."""
-    return frame.assign(**{c: frame[c].astype(object).where(frame[c].notna(), None) for c in texts})
+def in_order(rows: Iterator[Row]) -> list[Row]:
+    """A key's rows of a trigger in the order of time; rows without one come last."""
+    return sorted(rows, key=lambda r: (r.occurred_us is None, r.occurred_us, r.position is None, r.position))
 
 
 def with_state(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
     """``stream`` by session through a processor; state that no event has touched for ``KEPT_MS`` goes."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return stream.groupBy("session_id").transformWithStateInPandas(processor, StructType.fromDDL(schema), "Append", "ProcessingTime")
+    return stream.groupBy("session_id").transformWithState(processor, StructType.fromDDL(schema), "Append", "ProcessingTime")
+
+
+def row_of(schema: str) -> Row:
+    """A maker of rows with the names of ``schema``."""
+    return Row(*[f.split()[0] for f in schema.split(", ")])
 
 
 PROJECTED = "kind string, session_id string, event_id string, event_type string, tool_name string, importance_score int, global_position long, src string, dst string, edge_type string, delta_ms long"
-PROJECTED_NAMES = [f.split()[0] for f in PROJECTED.split(", ")]
+FOLLOWS = "src string, dst string, edge_type string, session_id string, delta_ms long"
 
 
-class Projection(StatefulProcessor):
-    """Nodes and edges of each event; the state is a session's last event, dropped at its end."""
+class Follows(StatefulProcessor):
+    """FOLLOWS edges; the state is a session's last event, dropped at its end."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "event_id string, us long", KEPT_MS)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        r = in_order(rows)
-        ended = (r["event_type"] == SESSION_END).to_numpy()
-        dst, us = r["event_id"].shift(), r["occurred_us"].shift().astype("Int64")
-        if self.last.exists():
-            dst.iloc[0], us.iloc[0] = self.last.get()
-        dst[pd.Series(ended).shift(fill_value=False)] = None  # nothing follows an end
-        nodes = r[["event_id", "event_type", "tool_name"]].assign(kind="node", importance_score=r["importance_hint"].astype("Int32"), global_position=r["position"])
-        one = pd.DataFrame({"src": r["event_id"], "dst": dst, "edge_type": "FOLLOWS", "delta_ms": ((r["occurred_us"] - us) // 1000).astype("Int64")})
-        other = pd.DataFrame({"src": r["event_id"], "dst": r["parent_event_id"], "edge_type": "CAUSED_BY"})
-        edges = pd.concat([x[x["dst"].notna()] for x in (one, other)]).assign(kind="edge")
-        if ended[-1]:
+        self.row = row_of(FOLLOWS)
+
+    def steps(self, rows: Iterator[Row]) -> Iterator[tuple[Row, str | None, int | None]]:
+        """Each event with the one before it, if it follows one, and the milliseconds between."""
+        held = self.last.get()
+        before, us = held or (None, None)
+        for r in in_order(rows):
+            yield r, before, None if us is None or r.occurred_us is None else (r.occurred_us - us) // 1000
+            before, us = (None, None) if r.event_type == SESSION_END else (r.event_id, r.occurred_us)  # nothing follows an end
+        if before is not None:
+            self.last.update((before, us))
+        elif held:
             self.last.clear()
-        else:
-            self.last.update((r["event_id"].iloc[-1], int(r["occurred_us"].iloc[-1])))
-        out = pd.concat([nodes, edges]).assign(session_id=key[0]).reindex(columns=PROJECTED_NAMES).astype({"importance_score": "Int32", "global_position": "Int64", "delta_ms": "Int64"})
-        yield as_rows(out, "kind", "session_id", "event_id", "event_type", "tool_name", "src", "dst", "edge_type")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        for r, before, delta in self.steps(rows):
+            if before is not None:
+                yield self.row(r.event_id, before, "FOLLOWS", key[0], delta)
 
     def close(self) -> None:
         pass
 
 
+class Projection(Follows):
+    """Nodes and edges of each event."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.row = row_of(PROJECTED)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        for r, before, delta in self.steps(rows):
+            yield self.row("node", key[0], r.event_id, r.event_type, r.tool_name, r.importance_hint, r.position, None, None, None, None)
+            if before is not None:
+                yield self.row("edge", key[0], None, None, None, None, None, r.event_id, before, "FOLLOWS", delta)
+            if r.parent_event_id is not None:
+                yield self.row("edge", key[0], None, None, None, None, None, r.event_id, r.parent_event_id, "CAUSED_BY", None)
+
+
 def projected(stream: DataFrame) -> DataFrame:
     """Graph rows of ``stream`` in one pass: nodes (kind node) and FOLLOWS and CAUSED_BY edges (kind edge), as they arrive."""
     names = ["session_id", "event_id", "event_type", "tool_name", "importance_hint", "position", "occurred_us", "parent_event_id"]
@@ -98,51 +113,69 @@ def projected(stream: DataFrame) -> DataFrame:
 
 def follows(stream: DataFrame) -> DataFrame:
     """FOLLOWS edges in arrival order, from the last event of each session; a session's end drops its state."""
-    have = set(stream.columns)
-    filled = stream.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in (("tool_name", "string"), ("importance_hint", "int"), ("parent_event_id", "string")) if name not in have])
-    return projected(filled).where("edge_type = 'FOLLOWS'").select("src", "dst", "edge_type", "session_id", "delta_ms")
+    return with_state(stream.select("session_id", "event_id", "event_type", "occurred_us", "position"), Follows(), FOLLOWS)
+
+
+PIECES = "session_id string, trigger_event_id string, reason string, turns long, event_id string"
+TRIGGERS = "session_id string, event_id string, turn long"
 
 
-class Extraction(StatefulProcessor):
-    """Events of a session since its last trigger, given out at every so many turns and at its end."""
+class Triggers(StatefulProcessor):
+    """Every so many events of a session that the system hasn't made; the state is their number, dropped at the session's end, after which it begins anew."""
 
     def __init__(self, every: int) -> None:
         self.every = every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.turns = handle.getValueState("turns", "n long", KEPT_MS)
-        self.waiting = handle.getListState("waiting", "event_id string, us long, position long", KEPT_MS)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        r = in_order(rows)
-        before = int(self.turns.get()[0]) if self.turns.exists() else 0
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        ends = (r["event_type"] == SESSION_END).to_numpy()
-        counts = ~r["event_type"].str.startswith("system.").to_numpy()
-        life = pd.Series(ends).shift(fill_value=False).cumsum().to_numpy()  # a session that goes on after its end begins anew
-        turn = pd.Series(counts).groupby(life).cumsum().to_numpy() + (life == 0) * before
-        due = ends | (counts & (turn % self.every == 0))
-        piece = pd.Series(due).shift(fill_value=False).cumsum().to_numpy()
-        held = pd.DataFrame(waiting, columns=["event_id", "us", "position"])
-        now = pd.DataFrame({"event_id": r["event_id"], "us": r["occurred_us"], "position": r["position"], "piece": piece})
-        every = pd.concat([held.assign(piece=0), now])
-        triggers = pd.DataFrame({"piece": piece[due], "trigger_event_id": r["event_id"][due], "reason": ["session_end" if e else "turn" for e in ends[due]], "turns": turn[due]})
-        left = every[every["piece"] == due.sum()]
-        if ends[-1]:
+        self.row = row_of(TRIGGERS)
+
+    def steps(self, rows: Iterator[Row], turn: int) -> Iterator[tuple[Row, int, str | None]]:
+        """Each event with the turns up to it and, if it is a trigger, the reason."""
+        for r in in_order(rows):
+            ends, counts = r.event_type == SESSION_END, r.event_type is not None and not r.event_type.startswith("system.")
+            turn += counts
+            yield r, turn, "session_end" if ends else "turn" if counts and turn % self.every == 0 else None
+            turn = 0 if ends else turn
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        held = self.turns.get()
+        turn, reason = 0, None
+        for r, turn, reason in self.steps(rows, held[0] if held else 0):
+            if reason == "turn":
+                yield self.row(key[0], r.event_id, turn)
+        if reason != "session_end":
+            self.turns.update((turn,))
+        elif held:
             self.turns.clear()
-        else:
-            self.turns.update((int(turn[-1]),))
-        self.waiting.clear()
-        if len(left):
-            self.waiting.put([(str(e), int(u), int(p)) for e, u, p in zip(left["event_id"], left["us"], left["position"], strict=True)])
-        out = every.merge(triggers, on="piece").assign(session_id=key[0])
-        out = out[["session_id", "trigger_event_id", "reason", "turns", "event_id"]].astype({"turns": "int64"})
-        yield as_rows(out, "session_id", "trigger_event_id", "reason", "event_id")
 
     def close(self) -> None:
         pass
 
 
+class Extraction(Triggers):
+    """Events of a session since its last trigger, given out at every so many turns and at its end; what waits is kept with the number of turns."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "n long, waiting array<string>", KEPT_MS)
+        self.row = row_of(PIECES)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        held = self.open.get()
+        before, waiting = (held[0], list(held[1])) if held else (0, [])
+        turn, reason = 0, None
+        for r, turn, reason in self.steps(rows, before):
+            waiting.append(r.event_id)
+            if reason is not None:
+                for e in waiting:
+                    yield self.row(key[0], r.event_id, reason, turn, e)
+                waiting = []
+        if reason != "session_end":
+            self.open.update((turn, waiting))
+        elif held:
+            self.open.clear()
+
+
 def extraction_pieces(stream: DataFrame, every: int = 50) -> DataFrame:
     """(session_id, trigger_event_id, reason, turns, event_id): the events of a session since its last trigger, at every so many
     events that the system hasn't made and at ``system.session_end``.
@@ -150,12 +183,12 @@ def extraction_pieces(stream: DataFrame, every: int = 50) -> DataFrame:
     The state holds what waits for the next trigger and a count, both dropped at the end. All pieces of a session together are its events.
     """
     names = ["session_id", "event_id", "event_type", "occurred_us", "position"]
-    return with_state(stream.select(*names), Extraction(every), "session_id string, trigger_event_id string, reason string, turns long, event_id string")
+    return with_state(stream.select(*names), Extraction(every), PIECES)
 
 
 def extraction_triggers(stream: DataFrame, every: int = 50) -> DataFrame:
     """(session_id, event_id, turn): every so many events of a session that the system hasn't made."""
-    return extraction_pieces(stream, every).where("reason = 'turn' AND event_id = trigger_event_id").select("session_id", "event_id", F.col("turns").alias("turn"))
+    return with_state(stream.select("session_id", "event_id", "event_type", "occurred_us", "position"), Triggers(every), TRIGGERS)
 
 
 def enriched(stream: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Replays of streams whose files and batches aren't in time order."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from emberlake.plans import streams as _queries  # noqa: F401  registers the queries
@@ -93,3 +94,45 @@ def test_a_repeated_trigger_replaces_its_counts(spark, tmp_path):
         split(late, 1)
     assert sorted((r.event_type, r.n) for r in streams.total_counts(spark, base).collect()) == [("a", 1), ("a", 2), ("b", 1)]
     assert [(r.event_type, r.occurred_us) for r in spark.read.parquet(f"{base}/late").collect()] == [("a", hour)]
+
+
+def test_events_without_a_time_come_last_and_are_kept(spark, tmp_path):
+    rows = [("e0", "s", "tool.execute", None, 0), ("e1", "s", "tool.execute", 2000, 1), ("e2", "s", "tool.execute", 1000, 2), ("e3", "s", "tool.execute", 5000, 3)]
+    schema = "event_id string, session_id string, event_type string, occurred_us long, position long"
+    parts = [spark.createDataFrame(rows[a:b], schema) for a, b in ((0, 3), (3, 4))]
+    found = streams.arriving(parts, f"{tmp_path}/f", lambda s: streams.drained(streams.follows(s), "f", f"{tmp_path}/f/out")).collect()
+    assert sorted((r.dst, r.src, r.delta_ms) for r in found) == [("e0", "e3", None), ("e1", "e0", None), ("e2", "e1", 1)]
+
+
+@pytest.mark.parametrize("make", [streams.Follows, streams.Projection, lambda: streams.Triggers(2), lambda: streams.Extraction(2)])
+def test_a_session_costs_two_calls_of_state_a_trigger(make):
+    """Each call waits for the JVM, so a trigger over many sessions takes as long as its calls."""
+    calls, kept = [], []
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return kept[-1] if kept else None
+
+        def update(self, value):
+            calls.append("update")
+            kept.append(value)
+
+        def clear(self):
+            calls.append("clear")
+            kept.clear()
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+    def rows(kinds):
+        return iter([Row(event_id=f"e{k}", event_type=kind, tool_name=None, importance_hint=None, occurred_us=k, position=k, parent_event_id=None) for k, kind in enumerate(kinds)])
+
+    one = make()
+    one.init(Handle())
+    for kinds in (["agent.invoke"] * 3, ["agent.invoke", "system.session_start"], ["agent.invoke", "system.session_end"]):
+        calls.clear()
+        list(one.handleInputRows(("s",), rows(kinds), None))
+        assert 1 <= len(calls) <= 2
+    assert not kept
