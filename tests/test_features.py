@@ -121,6 +121,33 @@ def test_bounded_lineage(spark):
             assert got[start] == want and got_links[start] == want_links
 
 
+@pytest.fixture
+def tables(monkeypatch):
+    """The rows of each table that is written between steps."""
+    rows, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    return rows
+
+
+def test_bounded_lineage_keeps_a_row_a_start_and_leaves_full_ones(spark, tables):
+    """A source of many nodes, and a chain whose starts are full after two hops of ten."""
+    edges = [(f"c{k}", f"c{k + 1}", "CAUSED_BY") for k in range(40)] + [("hub", f"h{k:04}", "CAUSED_BY") for k in range(3000)] + [("h0001", "z", "CAUSED_BY")]
+    starts = spark.createDataFrame([(f"c{k}",) for k in range(40)] + [("hub",)], "id string")
+    nodes, links = graph.bounded_lineage(spark.createDataFrame(edges, "src string, dst string, edge_type string"), starts, 10, 2)
+    found = defaultdict(set)
+    for r in nodes.collect():
+        found[r.start].add((r.node, r.depth))
+    assert found["hub"] == {("h0000", 1), ("h0001", 1)} and found["c5"] == {("c6", 1), ("c7", 2)} and found["c39"] == {("c40", 1)}
+    assert {(r.src, r.dst) for r in links.collect() if r.start == "hub"} == {("hub", "h0000"), ("hub", "h0001")}
+    assert tables == [40 + 5 + 1, 41, 40]  # edges that can matter, then the starts of each hop that aren't full
+
+
 def canonical(name):
     flat = {a: w for w, names in ALIASES.items() for a in names}
     plain = re.sub(r"\s+", " ", name.lower()).strip(" ")
