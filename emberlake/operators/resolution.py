@@ -135,8 +135,9 @@ def resolved_in_order(items: DataFrame, known: DataFrame, similar: DataFrame | N
     canonical name decides, known ones first: MERGE if types agree, else SAME_AS; else the most alike, the first of equals: SAME_AS or RELATED_TO;
     else the most ``similar`` known one (name, target, similarity; 0.9 SAME_AS, 0.75 RELATED_TO); else the item creates an entity.
 
-    Matches are found once for all names. Whether an item creates an entity depends on earlier ones only, so each round of joins decides all items
-    whose earlier matches are decided; rounds end with the longest chain of matching items of a batch.
+    Matches are found once for all names. Only the first item of a name in a batch can create an entity: what it finds, later ones find too. Whether it does
+    depends on earlier ones only, so each round of joins decides all first items whose earlier matches are decided; rounds end with the longest chain of
+    matching names of a batch. What a name of a batch can be resolved to is one list, of which each item takes the first that stands before it.
     """
     from emberlake.operators.graph import cut
 
@@ -145,30 +146,32 @@ def resolved_in_order(items: DataFrame, known: DataFrame, similar: DataFrame | N
     names = items.select("name").distinct()
     to_known = cut(matches(names, known.select(F.col("target").alias("name"))).join(known, "target"))
     within = cut(matches(names, names))
-    mine = items.select("batch", "ordinal", "name")
-    theirs = items.select("batch", F.col("ordinal").alias("t_ordinal"), F.col("name").alias("target"), F.col("entity_type").alias("target_type"))
-    earlier = cut(mine.join(within, "name").join(theirs, ["batch", "target"]).where("t_ordinal < ordinal"))
-    sure = items.join(to_known.select("name").distinct(), "name", "left_semi").select("batch", "ordinal", F.lit(False).alias("creates"))
+    firsts = cut(items.groupBy("batch", "name").agg(F.min("ordinal").alias("ordinal"), F.min_by("entity_type", "ordinal").alias("entity_type")))
+    theirs = firsts.select("batch", F.col("ordinal").alias("t_ordinal"), F.col("name").alias("target"), F.col("entity_type").alias("target_type"))
+    matched = firsts.select("batch", "ordinal", "name").join(within, "name").join(theirs, ["batch", "target"])
+    earlier = cut(matched.where("t_ordinal < ordinal").select("batch", "name", "target"))
+    sure = firsts.join(to_known.select("name").distinct(), "name", "left_semi").select("batch", "name", F.lit(False).alias("creates"))
     semantic = None
     if similar is not None:
         best = similar.where("similarity >= 0.75").groupBy("name").agg(F.min_by(F.struct("similarity", "target"), F.struct(-F.col("similarity"), "target")).alias("s"))
         semantic = cut(best.select("name", "s.*"))
-    decided, waiting = cut(sure), cut(items.join(sure, ["batch", "ordinal"], "left_anti").select("batch", "ordinal", "name"))
+    decided, waiting = cut(sure), cut(firsts.join(sure, ["batch", "name"], "left_anti").select("batch", "name"))
     while not waiting.isEmpty():
-        state = earlier.select("batch", "ordinal", "t_ordinal").join(decided.select("batch", F.col("ordinal").alias("t_ordinal"), "creates"), ["batch", "t_ordinal"], "left")
-        told = state.groupBy("batch", "ordinal").agg(F.max(F.coalesce("creates", F.lit(False))).alias("hit"), F.max(F.col("creates").isNull()).alias("open"))
-        ready = waiting.join(told, ["batch", "ordinal"], "left").where(F.coalesce("hit", F.lit(False)) | ~F.coalesce("open", F.lit(False)))
-        new = ready.select("batch", "ordinal", "name", (~F.coalesce("hit", F.lit(False))).alias("creates"))
+        state = earlier.join(decided.select("batch", F.col("name").alias("target"), "creates"), ["batch", "target"], "left")
+        told = state.groupBy("batch", "name").agg(F.max(F.coalesce("creates", F.lit(False))).alias("hit"), F.max(F.col("creates").isNull()).alias("open"))
+        ready = waiting.join(told, ["batch", "name"], "left").where(F.coalesce("hit", F.lit(False)) | ~F.coalesce("open", F.lit(False)))
+        new = ready.select("batch", "name", (~F.coalesce("hit", F.lit(False))).alias("creates"))
         if semantic is not None:
             new = new.join(semantic.select("name", F.lit(True).alias("alike")), "name", "left").withColumn("creates", F.col("creates") & F.col("alike").isNull())
-        new = cut(new.select("batch", "ordinal", "creates"))
+        new = cut(new.select("batch", "name", "creates"))
         decided = cut(decided.unionByName(new))
-        waiting = cut(waiting.join(new, ["batch", "ordinal"], "left_anti"))
-    made = earlier.join(decided.where("creates").select("batch", F.col("ordinal").alias("t_ordinal")), ["batch", "t_ordinal"], "left_semi")
-    found = items.join(to_known, "name").select("batch", "ordinal", "target", "target_type", "tier", "ratio", F.lit(0).alias("from"), F.col("k_ordinal").alias("place"))
-    found = found.unionByName(made.select("batch", "ordinal", "target", "target_type", "tier", "ratio", F.lit(1).alias("from"), F.col("t_ordinal").alias("place")))
-    first = found.groupBy("batch", "ordinal").agg(F.min_by(F.struct("target", "target_type", "tier"), F.struct("tier", -F.col("ratio"), "from", "place")).alias("h"))
-    joined = items.join(first, ["batch", "ordinal"], "left")
+        waiting = cut(waiting.join(new, ["batch", "name"], "left_anti"))
+    made = matched.join(decided.where("creates").select("batch", F.col("name").alias("target")), ["batch", "target"], "left_semi")
+    choice = lambda of, place: F.struct("tier", (-F.col("ratio")).alias("unlike"), F.lit(of).alias("from"), F.col(place).alias("place"), "target", "target_type")
+    best_known = to_known.groupBy("name").agg(F.min(choice(0, "k_ordinal")).alias("c"))
+    found = firsts.join(best_known, "name").select("batch", "name", "c").unionByName(made.select("batch", "name", choice(1, "t_ordinal").alias("c")))
+    lists = found.groupBy("batch", "name").agg(F.array_sort(F.collect_list("c")).alias("choices"))
+    joined = items.join(lists, ["batch", "name"], "left").withColumn("h", F.get(F.filter("choices", lambda c: (c["from"] == 0) | (c["place"] < F.col("ordinal"))), F.lit(0)))
     same = F.col("entity_type") == F.col("h.target_type")
     action = F.when(F.col("h").isNull(), F.lit(None)).when(F.col("h.tier") == 1, F.when(same, "MERGE").otherwise("SAME_AS")).otherwise(F.when(same, "SAME_AS").otherwise("RELATED_TO"))
     target = F.col("h.target")

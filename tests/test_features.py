@@ -148,6 +148,13 @@ def test_bounded_lineage_keeps_a_row_a_start_and_leaves_full_ones(spark, tables)
     assert tables == [40 + 5 + 1, 41, 40]  # edges that can matter, then the starts of each hop that aren't full
 
 
+def test_resolution_of_one_name_grows_with_its_mentions(spark, tables):
+    items = [("b", k, "marble" if k % 2 else "quartz", "tool" if k % 3 else "service") for k in range(300)]
+    found = resolution.resolved_in_order(spark.createDataFrame(items, "batch string, ordinal int, name string, entity_type string"), spark.createDataFrame([], "ordinal int, name string, entity_type string")).collect()
+    assert {(r.ordinal, r.action) for r in found if r.ordinal < 5} == {(0, "CREATE"), (1, "CREATE"), (2, "SAME_AS"), (3, "SAME_AS"), (4, "SAME_AS")}
+    assert len(found) == 300 and max(tables) <= 300
+
+
 def canonical(name):
     flat = {a: w for w, names in ALIASES.items() for a in names}
     plain = re.sub(r"\s+", " ", name.lower()).strip(" ")
