@@ -315,10 +315,17 @@ def number_parts(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + 1), extra
 
 
+@functools.lru_cache(maxsize=16)
+def short_distances(width: int) -> np.ndarray:
+    """The distance that each short code stands for in an image of a width."""
+    return np.array([max(1, dx + dy * width) for dx, dy in SHORT_DISTANCES])
+
+
 def copies(r: Reader, code: Code, distances: Code, width: int, n: int) -> np.ndarray:
     """``n`` green values of an image whose other channels are constant, with back-references."""
     out, done = bytearray(n), 0
-    near = np.array([max(1, dx + dy * width) for dx, dy in SHORT_DISTANCES])
+    near = short_distances(width)
+    told = code.symbols | code.lengths.astype(np.int16) << 9  # both in one table: symbols have nine bits
     while done < n:
         first = r.at >> 3
         raw = np.frombuffer(r.data, np.uint8, min(STRETCH // 8 + 16, len(r.data) - first), first)
@@ -327,9 +334,9 @@ def copies(r: Reader, code: Code, distances: Code, width: int, n: int) -> np.nda
         wide[:size] = raw
         value = ((wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24)[:, None] >> EIGHT).ravel()
         end = len(value)
-        seen = value & code.mask
-        symbol = code.symbols[seen]
-        jump = np.arange(end) + code.lengths[seen]
+        symbol = told[value & code.mask]
+        jump = np.arange(end) + (symbol >> 9)
+        symbol &= 511
         back = np.flatnonzero(symbol >= 256)
         length, extra = number_parts(symbol[back].astype(np.int64) - 256)
         at = jump[back]
@@ -554,10 +561,15 @@ class Writer:
         self.bits(n - 4, 4)
         for k in LENGTH_ORDER[:n]:
             self.bits(sizes[k], 3)
-        self.bits(0, 1)
+        value, size = 0, 1  # the whole alphabet is told
         for s, extra, width in tokens:
-            self.bits(table[s], 0 if single else sizes[s])
-            self.bits(extra, width)
+            if not single:
+                value |= table[s] << size
+                size += sizes[s]
+            if width:
+                value |= extra << size
+                size += width
+        self.bits(value, size)
 
 
 def number_symbol(n: int) -> tuple[int, int, int]:
@@ -751,15 +763,17 @@ def repeats(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(v) - LEAST + 1
     if n < 2:
         return none, none, none
-    words = np.lib.stride_tricks.sliding_window_view(v, LEAST).copy().view("<u8").ravel()
+    words = np.ndarray(n, "<u8", np.ascontiguousarray(v), strides=(1,)).copy()  # the eight bytes from each place
     # Sorted by a hash of the words, then by place, without sorting indices.
     room = np.uint64((1 << max(20, n.bit_length())) - 1)
     order = (np.sort(words * np.uint64(0x9E3779B97F4A7C15) & ~room | np.arange(n, dtype=np.uint64)) & room).astype(np.int64)
-    same = words[order[1:]] == words[order[:-1]]
+    sorted_words = words[order]
+    same = np.flatnonzero(sorted_words[1:] == sorted_words[:-1])
+    later = order[same + 1]
     distance = np.zeros(n, np.int64)
-    distance[order[1:][same]] = order[1:][same] - order[:-1][same]
+    distance[later] = later - order[same]
     distance[distance > FARTHEST] = 0
-    edge = np.flatnonzero(np.diff(distance)) + 1
+    edge = np.flatnonzero(distance[1:] != distance[:-1]) + 1
     begin = np.concatenate([[0], edge])
     stop = np.concatenate([edge, [n]])
     kept = distance[begin] > 0
@@ -814,6 +828,15 @@ def written_code(lengths: np.ndarray) -> tuple[int, int]:
 FLAT_BITS = written_code(FLAT)
 
 
+@functools.lru_cache(maxsize=16)
+def short_codes(width: int) -> np.ndarray:
+    """The code of each short distance in an image of a width, 0 for those that have none."""
+    near = np.zeros(16 * width + 16, np.int64)
+    for k, (dx, dy) in reversed(list(enumerate(SHORT_DISTANCES, 1))):
+        near[max(1, dx + dy * width)] = k
+    return near
+
+
 class GreenImage:
     """An image of which only the green channel varies, as tokens with back-references."""
 
@@ -823,9 +846,7 @@ class GreenImage:
         step[begin] += 1
         step[begin + length] -= 1
         literal = np.cumsum(step[:-1], dtype=np.int8) == 0
-        near = np.zeros(16 * width + 16, np.int64)
-        for k, (dx, dy) in reversed(list(enumerate(SHORT_DISTANCES, 1))):
-            near[max(1, dx + dy * width)] = k
+        near = short_codes(width)
         short = near[np.minimum(distance, len(near) - 1)] * (distance < len(near))
         self.parts = [number_symbols(length), number_symbols(np.where(short > 0, short, distance + 120))]
         at = np.flatnonzero(literal)

@@ -220,3 +220,17 @@ def test_long_copies_and_stretches(monkeypatch):
             continue
         with pytest.raises(ValueError):
             webp.decode(data[: len(data) // 2])
+
+
+def test_tables_of_a_width_are_made_once():
+    """Images of one width share them."""
+    assert webp.short_codes(64) is webp.short_codes(64) and webp.short_distances(64) is webp.short_distances(64)
+    for k, d in enumerate(webp.short_distances(64).tolist(), 1):
+        first = int(webp.short_codes(64)[d])
+        assert 1 <= first <= k and webp.short_distances(64)[first - 1] == d
+
+
+def test_repeats_of_a_strided_view():
+    v = np.frombuffer(b"abcdefghijkl" * 3 + b"xyz", np.uint8)
+    wide = np.repeat(v, 2)[::2]
+    assert [x.tolist() for x in webp.repeats(wide)] == [x.tolist() for x in webp.repeats(v)] == [[12], [24], [12]]
