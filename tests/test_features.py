@@ -3,7 +3,7 @@
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 from pathlib import Path
 
@@ -304,3 +304,30 @@ def test_the_index_joins_its_counts_once(spark, tmp_path):
     assert sorted(map(tuple, stored.select(names).collect())) == sorted(map(tuple, own.select(names).collect()))
     assert {r[0] for r in levels.groupBy("term").agg(F.min("level")).select("min(level)").collect()} == {0}
     assert own.count() == 240 and levels.agg(F.sum("n")).first()[0] == 240
+
+
+def test_the_index_holds_postings_once_however_they_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Many slices, terms dealt out by id, repeated rows of an id, documents without words; one stored copy of the postings, no shuffles left to add up."""
+    rng = random.Random(9)
+    rows = [(f"d{k}", f"s{k % 3}", " ".join(["all"] * (k % 4) + rng.choices([f"w{n}" for n in range(50)], k=k % 12)), "some" if k % 2 else None) for k in range(300)]
+    rows += [rows[7], rows[7], ("d8", "s2", "other words", "some"), ("none", "s1", None, None), ("none", "s1", "", "")]
+    monkeypatch.setattr(textindex, "SLICE", 5)
+    monkeypatch.setattr(textindex, "TASK", 100)
+    before = spark.conf.get(textindex.CLEANUP, None)
+    index = textindex.build(spark.createDataFrame(rows, "id string, session string, summary string, keywords string").repartition(4), path=f"{tmp_path}/i", buckets=8)
+    assert spark.conf.get(textindex.CLEANUP, None) == before
+    tf, sizes = defaultdict(float), []
+    for i, s, a, b in rows:
+        found = [[x for x in (t or "").split()] for t in (a, b)]
+        sizes.append(sum(map(len, found)))
+        for words, w in zip(found, (2.0, 1.5), strict=True):
+            for x in words:
+                tf[i, s, sizes[-1], x] += w
+    df, avg, n = Counter(x for *_, x in tf), sum(sizes) / len(sizes), len(rows)
+    want = sorted((x, i, s, math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg))) for (i, s, dl, x), f in tf.items())
+    got = sorted((r.term, r.id, r.session, r.score) for r in index.postings(spark).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-12)
+    assert {r.term: r.n for r in index.levels(spark).groupBy("term").agg(F.sum("n").alias("n")).collect()} == df
+    assert max(df.values()) > 100 and spark.read.parquet(f"{tmp_path}/i/often").where("term = 'all' AND shares > 1").count() == 1
+    whole = [p.name for p in (tmp_path / "i").iterdir() if "score" in spark.read.parquet(str(p)).columns]
+    assert whole == ["scored"]
