@@ -146,7 +146,7 @@ def with_copies(folder, tmp_path_factory):
     return str(here), con
 
 
-@pytest.mark.parametrize("name", ["entity_cluster_3hop", "event_counts", "forgetting_applied", "same_as_components", "same_as_stars", "seed_similar_cluster", "semantic_resolution", "similar_edge_prune", "similar_to_edges", "similar_vectors"])
+@pytest.mark.parametrize("name", ["entity_cluster_3hop", "event_counts", "forgetting_applied", "same_as_components", "same_as_stars", "seed_similar_cluster", "semantic_resolution", "similar_edge_prune", "similar_to_edges", "similar_vectors", "subgraph_edges", "subgraph_flagship"])
 def test_queries_on_copies_equal_their_sql(name, spark, with_copies):
     here, con = with_copies
     assert rows_of(QUERIES[name](spark, here)) == oracle_rows(con, ORACLE_SQL[name])
