@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 import emberlake.plans.features  # noqa: F401  registers more queries
 import emberlake.plans.lifecycle  # noqa: F401  registers more queries
-from emberlake.operators import vectors
-from emberlake.plans.catalogue import ORACLE_SQL, QUERIES
+from emberlake.operators import graph, vectors
+from emberlake.plans.catalogue import ORACLE_SQL, QUERIES, flagship
+from emberlake.sources.ledger import Tables
 from tests.conftest import TABLES, oracle_rows, rows_of
 
 
@@ -150,3 +151,23 @@ def with_copies(folder, tmp_path_factory):
 def test_queries_on_copies_equal_their_sql(name, spark, with_copies):
     here, con = with_copies
     assert rows_of(QUERIES[name](spark, here)) == oracle_rows(con, ORACLE_SQL[name])
+
+
+def test_all_edges_of_a_seed_are_followed(spark, folder, tmp_path):
+    """One session whose events name eight entities, of which some are alike, so that seeds have hundreds of edges."""
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    for name in TABLES:
+        whole = f"SELECT * FROM read_parquet('{folder}/{name}.parquet')"
+        if name == "events":
+            whole = f"SELECT * REPLACE (5 AS user_id, '{{\"k\": ' || event_id % 8 || '}}' AS props) FROM ({whole})"
+        con.sql(f"COPY ({whole}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    found = rows_of(QUERIES["subgraph_edges"](spark, str(tmp_path)))
+    assert found == oracle_rows(con, ORACLE_SQL["subgraph_edges"])
+    assert "rn <= 50" not in ORACLE_SQL["subgraph_edges"]
+    t = Tables(spark, str(tmp_path))
+    assert set(found[1]) != set(rows_of(flagship(t, 50)[1])[1])  # what the first fifty edges of each seed would give
+    edges = spark.createDataFrame([("s", f"d{k}", "FOLLOWS") for k in range(70)], "src string, dst string, edge_type string")
+    seeds = spark.createDataFrame([("s",), ("t",)], "id string")
+    assert graph.neighbours(edges, seeds).count() == 71 and graph.neighbours(edges, seeds, 50).count() == 51
